@@ -8,14 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.functions.scalars import finite, parse_number
+from shelfwise.functions.scalars import finite, number_in
 
 PER_100G = "_100g"
 
 
 @dataclass(frozen=True)
 class NutrimentReader:
-    """Amounts in a column of ``<name>_100g`` and ``<name>`` values."""
+    """Amounts in a column of ``<name>_100g`` and ``<name>`` entries.
+
+    Reading goes in two steps, so that a text is parsed once and not again in
+    each place its number is looked at: ``numbers`` are put into columns first,
+    ``amount`` and ``per_100g`` then work on these.
+    """
 
     nutriments: Column
     layout: T.DataType
@@ -33,32 +38,16 @@ class NutrimentReader:
         return self.nutriments.getField(key)
 
     def _number(self, key: str) -> Column:
+        """The entry as a double: zero where null or empty, null where no number."""
         value = self._value(key)
-        return (
-            parse_number(value)
-            if isinstance(self._value_type(key), T.StringType)
-            else finite(value)
-        )
-
-    def _unset(self, key: str) -> Column:
-        """Null, empty or zero: the plain key is read instead. Other text is kept."""
-        value = self._value(key)
-        unset = value.isNull() | (self._number(key) == 0)
         if isinstance(self._value_type(key), T.StringType):
-            unset = unset | (value == "")
-        return F.coalesce(unset, F.lit(False))
-
-    def per_100g(self, name: str) -> Column:
-        """The per-100 g entry alone, null where it is missing or not a number."""
-        return self._number(name + PER_100G)
+            return number_in(F.coalesce(F.nullif(value, F.lit("")), F.lit("0")))
+        return F.coalesce(value.cast("double"), F.lit(0.0))
 
-    def amount(self, name: str) -> Column:
-        """The per-100 g entry, else the plain one; 0.0 where neither is a number."""
-        per_100g = name + PER_100G
-        number = F.when(self._unset(per_100g), self._number(name)).otherwise(
-            self._number(per_100g)
-        )
-        return F.coalesce(number, F.lit(0.0))
+    def numbers(self, names: list[str]) -> dict[str, Column]:
+        """Columns to add before the amounts of ``names`` are read."""
+        keys = [key for name in names for key in (name + PER_100G, name)]
+        return {_parsed(key): self._number(key) for key in keys}
 
     def has(self, name: str) -> Column:
         """Whether either entry exists. In a map a key with a null value counts."""
@@ -70,13 +59,27 @@ class NutrimentReader:
         return F.coalesce(present[0] | present[1], F.lit(False))
 
 
+def _parsed(key: str) -> str:
+    return f"_number_{key}"
+
+
+def per_100g(name: str) -> Column:
+    """The per-100 g entry alone; zero or null where it says nothing."""
+    return finite(F.col(f"`{_parsed(name + PER_100G)}`"))
+
+
+def amount(name: str) -> Column:
+    """The per-100 g entry, else the plain one; 0.0 where it is not a number.
+
+    A null, empty or zero per-100 g entry gives way to the plain one; any other
+    text does not.
+    """
+    number = F.col(f"`{_parsed(name + PER_100G)}`")
+    plain = F.col(f"`{_parsed(name)}`")
+    return F.coalesce(finite(F.when(number == 0, plain).otherwise(number)), F.lit(0.0))
+
+
 def nutriment_reader(layout: T.DataType, nutriments: Column) -> NutrimentReader:
     if not isinstance(layout, (T.MapType, T.StructType)):
         raise TypeError(f"nutriments must be a map or a struct, not {layout.simpleString()}")
     return NutrimentReader(nutriments, layout)
-
-
-def extract_nutriment(nutriments: Column, name: str) -> Column:
-    """Amount of one nutrient in a text map."""
-    layout = T.MapType(T.StringType(), T.StringType())
-    return NutrimentReader(nutriments, layout).amount(name)

@@ -26,22 +26,18 @@ def finite(number: Column) -> Column:
     return F.when(F.abs(number) <= _LARGEST_DOUBLE, number)
 
 
-def parse_number(text: Column) -> Column:
+def number_in(text: Column) -> Column:
     """Double written in a text, else null.
 
-    Digits may be grouped by single underscores. Type suffixes (``1.5d``) and
-    hexadecimal forms, which the JVM parser takes, are not numbers here.
+    Type suffixes (``1.5d``) and hexadecimal forms, which the JVM parser takes,
+    are not numbers here.
     """
-    plain = strip(text)
-    plain = F.when(
-        plain.contains("_"), F.regexp_replace(plain, r"(?<=\d)_(?=\d)", "")
-    ).otherwise(plain)
-    return finite(F.translate(plain, "dDfFxXpP", "????????").try_cast("double"))
+    return F.translate(strip(text), "dDfFxXpP", "????????").try_cast("double")
 
 
 def to_double(value: Column, default: float = 0.0) -> Column:
-    """Any value as a double, ``default`` where it is missing or not a number."""
-    return F.coalesce(parse_number(value.cast("string")), F.lit(default))
+    """Any value as a double, ``default`` where it is missing or no finite number."""
+    return F.coalesce(finite(number_in(value.cast("string"))), F.lit(default))
 
 
 def to_int(value: Column, default: int = 0) -> Column:
@@ -49,62 +45,30 @@ def to_int(value: Column, default: int = 0) -> Column:
     return F.coalesce(value.try_cast("int"), F.lit(default))
 
 
+def _formatted(value: Column, pattern: str) -> Column:
+    return F.call_function("format_number", value, F.lit(pattern))
+
+
 def decimals_text(value: Column, places: int) -> Column:
     """The number with a fixed count of decimals.
 
-    Rounds the exact binary value, halves to even, as C and Python do;
-    ``format_string`` rounds halves of the printed decimal up. ``missed`` is
-    the part of the product ``size * scale`` that the double ``scaled`` cannot
-    hold; it decides which side of a half the exact value is on.
+    ``format_number`` rounds the exact binary value, halves to even, as C and
+    Python do; ``format_string`` rounds halves of the printed decimal up.
     """
-    scale = float(10**places)
-    size = F.abs(value)
-    scaled = size * scale
-    split = size * 134217729.0
-    high = split - (split - size)
-    missed = (high * scale - scaled) + (size - high) * scale
-    whole = F.floor(scaled)
-    rest = scaled - whole
-    up = (rest > 0.5) | ((rest == 0.5) & ((missed > 0) | ((missed == 0) & (whole % 2 == 1))))
-    rounded = whole + up.cast("bigint")
-    digits = F.floor(rounded / int(scale)).cast("string")
-    if places:
-        digits = F.concat(
-            digits, F.lit("."), F.lpad((rounded % int(scale)).cast("string"), places, "0")
-        )
-    # From 2^52 on a double has no fraction left to round.
-    digits = F.when(size < 2.0**52 / scale, digits).otherwise(
-        F.format_string(f"%.{places}f", size)
-    )
-    return F.concat(F.when(value < 0, "-").otherwise(""), digits)
+    return _formatted(value, "0." + "0" * places if places else "0")
 
 
 def shortest_text(value: Column) -> Column:
     """The shortest decimal text that reads back as the same double.
 
-    Plain notation from 1e-4 up to 1e16 and ``d.dde-05`` outside; Java switches
-    to its own exponent form at 1e-3 and 1e7.
+    Plain notation from 1e-4 up to 1e16 and ``1.5e-05`` outside; a cast to
+    string changes to exponents at 1e-3 and 1e7 already.
     """
-    java = value.cast("string")
     size = F.abs(value)
-    exponent = F.substring_index(java, "E", -1).cast("int")
-    mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
-    small = F.concat(
-        F.when(value < 0, "-").otherwise(""),
-        F.lit("0.000"),
-        F.regexp_replace(mantissa, r"[-.]", ""),
-    )
-    large = F.regexp_replace(
-        java.cast("decimal(38,10)").cast("string"), r"(\.\d+?)0+$", "$1"
-    )
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
+    plain = _formatted(value, "0.0" + "#" * 20)
+    exponent = _formatted(value, "0." + "#" * 16 + "E00")
     return (
-        F.when(~java.contains("E"), java)
-        .when((size >= 1e-4) & (size < 1e-3), small)
-        .when((size >= 1e7) & (size < 1e16), large)
-        .otherwise(scientific)
+        F.when((size == 0) | ((size >= 1e-4) & (size < 1e16)), plain)
+        .when(size < 1, F.replace(exponent, F.lit("E"), F.lit("e")))
+        .otherwise(F.replace(exponent, F.lit("E"), F.lit("e+")))
     )

@@ -101,7 +101,5 @@ def normalise_grade(grade: Column) -> Column:
 
 def grade_rank(grade: Column) -> Column:
     """0 for the best grade to 4; 99 for anything else."""
-    rank = F.lit(UNGRADED_RANK)
-    for letter, position in reversed(GRADE_RANKS.items()):
-        rank = F.when(grade == letter, position).otherwise(rank)
-    return rank
+    ranks = F.create_map(*[F.lit(item) for entry in GRADE_RANKS.items() for item in entry])
+    return F.coalesce(F.try_element_at(ranks, grade), F.lit(UNGRADED_RANK))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from shelfwise.config import DEFAULT_CONFIG, InsightConfig
 from shelfwise.fixed_values import METRIC_WEIGHTS
 from shelfwise.functions import tags as tag_fn
-from shelfwise.functions.nutrients import nutriment_reader
+from shelfwise.functions.nutrients import amount, nutriment_reader, per_100g
 from shelfwise.functions.scalars import strip, to_int
 
 PRODUCT_SCHEMA = T.StructType(
@@ -87,6 +87,7 @@ def product_facts(catalog: DataFrame, config: InsightConfig = DEFAULT_CONFIG) ->
     """
     df = conform(catalog, PRODUCT_SCHEMA)
     nutriments = nutriment_reader(df.schema["nutriments"].dataType, F.col("nutriments"))
+    read = list(dict.fromkeys([*NUTRIENTS.values(), *PROMPT_NUTRIENTS.values()]))
     grade = tag_fn.normalise_grade(F.col("nutriscore_grade"))
 
     columns: dict[str, Column] = {
@@ -100,11 +101,11 @@ def product_facts(catalog: DataFrame, config: InsightConfig = DEFAULT_CONFIG) ->
         "nova": to_int(F.col("nova_group")),
     }
     for name, key in NUTRIENTS.items():
-        columns[name] = nutriments.amount(key)
+        columns[name] = amount(key)
     for name in METRIC_WEIGHTS:
         columns[f"has_{name}"] = nutriments.has(NUTRIENTS[name])
     for name, key in PROMPT_NUTRIENTS.items():
-        columns[f"per_100g_{name}"] = nutriments.per_100g(key)
+        columns[f"per_100g_{name}"] = per_100g(key)
     for name in ("categories_tags", "labels_tags", "additives_tags", "allergens_tags"):
         columns[name] = tag_fn.tags_or_empty(F.col(name))
     columns["category_path"] = tag_fn.category_path(
@@ -112,4 +113,4 @@ def product_facts(catalog: DataFrame, config: InsightConfig = DEFAULT_CONFIG) ->
     )
     for name in ("image_url", "brands", "url", "unique_scans_n"):
         columns[name] = F.col(name)
-    return df.select(*[c.alias(n) for n, c in columns.items()])
+    return df.withColumns(nutriments.numbers(read)).select(*[c.alias(n) for n, c in columns.items()])
