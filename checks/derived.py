@@ -107,13 +107,14 @@ REPLY_BASE_SQL = (
     "SELECT p_partkey AS k, lpad(cast(p_partkey AS string), 13, '0') AS barcode FROM {part}"
 )
 
+# DuckDB form of ``views``: its regexp_replace needs 'g' to replace every match.
 VIEWS_SQL = """
 SELECT user_id, event_id, ts,
        CASE WHEN event_id%11 = 3 THEN concat('https://food.example/about/', barcode)
             ELSE concat('https://food.example/product/', barcode, '/item') END AS url
 FROM (SELECT user_id, event_id, ts,
-             lpad(regexp_replace(props, '[^0-9]', '{every}'), 13, '0') AS barcode
-      FROM {events}) viewed
+             lpad(regexp_replace(props, '[^0-9]', '', 'g'), 13, '0') AS barcode
+      FROM events) viewed
 """
 
 # Nutriment key of the catalog -> flat column of the derived rows.
@@ -176,10 +177,6 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(REPLIES_SQL, base=base)
 
 
-def views_sql(events: str) -> str:
-    return VIEWS_SQL.replace("{every}", "").replace("{events}", events)
-
-
 def views(events: DataFrame) -> DataFrame:
     """Page views; ``events`` may be a stream."""
     barcode = F.lpad(F.regexp_replace("props", "[^0-9]", ""), 13, "0")
