@@ -120,7 +120,7 @@ def alternative_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = alternative_op.scored_candidates(facts, candidate_op.candidate_pools(facts, facts, RULES))
     return rows.select(
         "barcode", "name", "url", "nutriscore_grade", "is_better",
-        F.round("score", 6).alias("score"), "confidence", "reason",
+        F.round("score", 9).alias("score"), "confidence", "reason",
     )
 
 
@@ -133,7 +133,7 @@ def _alternative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alternatives_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alternative_rows(spark, sf_dir).select(
-        "barcode", "place", "name", "nutriscore_grade", F.round("score", 6).alias("score"),
+        "barcode", "place", "name", "nutriscore_grade", F.round("score", 9).alias("score"),
         "confidence", "url",
     )
 
@@ -141,7 +141,7 @@ def alternatives_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alternatives_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _alternative_rows(spark, sf_dir)
     return rows.filter(F.col("reason").startswith("Category discovery option")).select(
-        "barcode", "place", "name", F.round("score", 6).alias("score"), "reason"
+        "barcode", "place", "name", F.round("score", 9).alias("score"), "reason"
     )
 
 

@@ -534,11 +534,11 @@ FROM requested WHERE barcode IS NULL OR barcode NOT IN (SELECT barcode FROM fact
 FROM met m JOIN facts f ON f.barcode = m.cur_barcode WHERE nth = 1 AND trim(m.product_name) <> ''""",
         "alternative_scores": alts
         + """SELECT cur_barcode AS barcode, name, url, coalesce(upper(grade), 'N/A') AS nutriscore_grade, is_better,
-  round(score, 6) AS score, confidence, reason FROM reasoned""",
+  round(score, 9) AS score, confidence, reason FROM reasoned""",
         "alternatives_topn": alts
-        + chosen + "name, coalesce(upper(grade), 'N/A') AS nutriscore_grade, round(score, 6) AS score, confidence, url FROM chosen",
+        + chosen + "name, coalesce(upper(grade), 'N/A') AS nutriscore_grade, round(score, 9) AS score, confidence, url FROM chosen",
         "alternatives_discovery": alts
-        + chosen + "name, round(score, 6) AS score, reason FROM chosen WHERE NOT any_better",
+        + chosen + "name, round(score, 9) AS score, reason FROM chosen WHERE NOT any_better",
         "alternative_reasons": alts + chosen + "reason FROM chosen",
         "pairings_rules": _with(FACTS, RULE_PAIRINGS) + "SELECT barcode, pairings FROM rule_pairings",
         "pairings_reply": _with(FACTS, REPLIES_BY_PRODUCT)

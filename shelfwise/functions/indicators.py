@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwise import fixed_values as fixed
-from shelfwise.functions.tags import any_tag_contains
+from shelfwise.functions.tags import contains_any
 
 
 def _texts(rules: list[tuple[Column, str | Column]]) -> Column:
@@ -35,7 +35,7 @@ def risk_indicators() -> Column:
 
 
 def positive_indicators() -> Column:
-    labels = F.col("labels_tags")
+    labels = F.col("labels_text")
     balanced = (
         (F.col("fat") <= fixed.FAT_HIGH)
         & (F.col("sugars") <= fixed.SUGARS_HIGH)
@@ -46,8 +46,8 @@ def positive_indicators() -> Column:
             (F.col("proteins") > fixed.PROTEIN_HIGH, "High protein"),
             (F.col("sugars") <= fixed.SUGARS_LOW, "Low sugar content"),
             (F.col("fiber") > fixed.FIBER_HIGH, "High fiber"),
-            (any_tag_contains(labels, fixed.ORGANIC_WORDS), "Organic label"),
-            (any_tag_contains(labels, fixed.FAIR_TRADE_WORDS), "Fair trade certified"),
+            (contains_any(labels, fixed.ORGANIC_WORDS), "Organic label"),
+            (contains_any(labels, fixed.FAIR_TRADE_WORDS), "Fair trade certified"),
             (balanced, "Balanced fat, sugar, and salt levels"),
             (F.col("nova") == 1, "Minimally processed (NOVA 1)"),
             (F.col("nova") == 2, "Processed culinary ingredient (NOVA 2)"),

@@ -1,8 +1,13 @@
-"""Reading nutrient amounts out of the ``nutriments`` column."""
+"""Reading nutrient amounts out of the ``nutriments`` column.
+
+Entries are named ``<name>_100g`` and ``<name>``. The per-100 g entry counts;
+a null, empty or zero one gives way to the plain entry, any other text does not.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,73 +18,113 @@ from shelfwise.functions.scalars import finite, number_in
 PER_100G = "_100g"
 
 
+def _number(entry: Column, layout: T.DataType) -> Column:
+    """An entry as a double: zero where null or empty, null where it is no number."""
+    if isinstance(layout, T.StringType):
+        return F.when(entry.isNull() | (entry == ""), 0.0).otherwise(number_in(entry))
+    return F.coalesce(entry.cast("double"), F.lit(0.0))
+
+
+def _chosen(per_100g: Column, plain: Column) -> Column:
+    """The amount out of both numbers; 0.0 where neither is one."""
+    return F.coalesce(finite(F.when(per_100g == 0, plain).otherwise(per_100g)), F.lit(0.0))
+
+
 @dataclass(frozen=True)
-class NutrimentReader:
-    """Amounts in a column of ``<name>_100g`` and ``<name>`` entries.
+class MapNutriments:
+    """Nutriments as a map, with an open set of names.
 
-    Reading goes in two steps, so that a text is parsed once and not again in
-    each place its number is looked at: ``numbers`` are put into columns first,
-    ``amount`` and ``per_100g`` then work on these.
+    All names are read in array expressions: a lookup, parse and choice for each
+    name of its own would make generated methods too large for the JVM to compile.
+    A key with a null value counts as stated.
     """
 
-    nutriments: Column
-    layout: T.DataType
-
-    def _value_type(self, key: str) -> T.DataType | None:
-        if isinstance(self.layout, T.MapType):
-            return self.layout.valueType
-        return self.layout[key].dataType if key in self.layout.fieldNames() else None
-
-    def _value(self, key: str) -> Column:
-        if isinstance(self.layout, T.MapType):
-            return F.try_element_at(self.nutriments, F.lit(key))
-        if self._value_type(key) is None:
-            return F.lit(None).cast("double")
-        return self.nutriments.getField(key)
-
-    def _number(self, key: str) -> Column:
-        """The entry as a double: zero where null or empty, null where no number."""
-        value = self._value(key)
-        if isinstance(self._value_type(key), T.StringType):
-            return number_in(F.coalesce(F.nullif(value, F.lit("")), F.lit("0")))
-        return F.coalesce(value.cast("double"), F.lit(0.0))
-
-    def numbers(self, names: list[str]) -> dict[str, Column]:
-        """Columns to add before the amounts of ``names`` are read."""
-        keys = [key for name in names for key in (name + PER_100G, name)]
-        return {_parsed(key): self._number(key) for key in keys}
+    column: Column
+    layout: T.MapType
+    names: list[str]
+
+    def _keys(self, suffix: str) -> Column:
+        return F.array(*[F.lit(name + suffix) for name in self.names])
+
+    def _numbers(self, suffix: str) -> Column:
+        entries = F.transform(self._keys(suffix), lambda k: F.try_element_at(self.column, k))
+        return F.transform(entries, lambda entry: _number(entry, self.layout.valueType))
+
+    def steps(self) -> list[dict[str, Column]]:
+        """Columns to add, step by step, before the others can be read."""
+        stated = F.map_keys(self.column)
+        return [
+            {"_per_100g": self._numbers(PER_100G), "_plain": self._numbers("")},
+            {
+                "_amounts": F.zip_with("_per_100g", "_plain", _chosen),
+                "_stated": F.zip_with(
+                    self._keys(PER_100G),
+                    self._keys(""),
+                    lambda a, b: F.array_contains(stated, a) | F.array_contains(stated, b),
+                ),
+            },
+        ]
+
+    def _at(self, values: str, name: str) -> Column:
+        return F.get(values, F.lit(self.names.index(name)))
+
+    def amount(self, name: str) -> Column:
+        return F.coalesce(self._at("_amounts", name), F.lit(0.0))
+
+    def per_100g(self, name: str) -> Column:
+        """The per-100 g entry alone; zero or null where it says nothing."""
+        return finite(self._at("_per_100g", name))
 
     def has(self, name: str) -> Column:
-        """Whether either entry exists. In a map a key with a null value counts."""
-        keys = (name + PER_100G, name)
-        if isinstance(self.layout, T.MapType):
-            present = [F.map_contains_key(self.nutriments, key) for key in keys]
-        else:
-            present = [self._value(key).isNotNull() for key in keys]
-        return F.coalesce(present[0] | present[1], F.lit(False))
+        """Whether either entry is stated."""
+        return F.coalesce(self._at("_stated", name), F.lit(False))
 
 
-def _parsed(key: str) -> str:
-    return f"_number_{key}"
+@dataclass(frozen=True)
+class StructNutriments:
+    """Nutriments as a struct; of columnar files only the fields used are read.
 
+    A null field counts as not stated.
+    """
 
-def per_100g(name: str) -> Column:
-    """The per-100 g entry alone; zero or null where it says nothing."""
-    return finite(F.col(f"`{_parsed(name + PER_100G)}`"))
+    column: Column
+    layout: T.StructType
+    names: list[str]
 
+    def _exists(self, key: str) -> bool:
+        return key in self.layout.fieldNames()
 
-def amount(name: str) -> Column:
-    """The per-100 g entry, else the plain one; 0.0 where it is not a number.
+    def _read(self, key: str) -> Column:
+        if not self._exists(key):
+            return F.lit(0.0)
+        return _number(self.column.getField(key), self.layout[key].dataType)
 
-    A null, empty or zero per-100 g entry gives way to the plain one; any other
-    text does not.
-    """
-    number = F.col(f"`{_parsed(name + PER_100G)}`")
-    plain = F.col(f"`{_parsed(name)}`")
-    return F.coalesce(finite(F.when(number == 0, plain).otherwise(number)), F.lit(0.0))
+    def steps(self) -> list[dict[str, Column]]:
+        keys = [name + suffix for name in self.names for suffix in (PER_100G, "")]
+        return [{f"_number_{key}": self._read(key) for key in keys}]
 
+    def amount(self, name: str) -> Column:
+        return _chosen(F.col(f"`_number_{name}{PER_100G}`"), F.col(f"`_number_{name}`"))
 
-def nutriment_reader(layout: T.DataType, nutriments: Column) -> NutrimentReader:
-    if not isinstance(layout, (T.MapType, T.StructType)):
-        raise TypeError(f"nutriments must be a map or a struct, not {layout.simpleString()}")
-    return NutrimentReader(nutriments, layout)
+    def per_100g(self, name: str) -> Column:
+        """The per-100 g entry alone; zero or null where it says nothing."""
+        return finite(F.col(f"`_number_{name}{PER_100G}`"))
+
+    def has(self, name: str) -> Column:
+        """Whether either entry is stated."""
+        stated = [
+            self.column.getField(key).isNotNull()
+            for key in (name + PER_100G, name)
+            if self._exists(key)
+        ]
+        return reduce(Column.__or__, stated, F.lit(False))
+
+
+def nutriments_of(
+    layout: T.DataType, column: Column, names: list[str]
+) -> MapNutriments | StructNutriments:
+    if isinstance(layout, T.MapType):
+        return MapNutriments(column, layout, names)
+    if isinstance(layout, T.StructType):
+        return StructNutriments(column, layout, names)
+    raise TypeError(f"nutriments must be a map or a struct, not {layout.simpleString()}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import fixed_values as fixed
 from shelfwise.functions.scalars import strip
-from shelfwise.functions.tags import contains_any, is_candy_like, joined_slugs
+from shelfwise.functions.tags import contains_any, is_candy_like
 
 
 def text_array(items: list[str]) -> Column:
@@ -19,18 +19,17 @@ def ranked_keys() -> list[str]:
     return sorted(fixed.CATEGORY_PAIRINGS, key=len, reverse=True)
 
 
-def rule_pairings(tags: Column) -> Column:
+def rule_pairings(slugs_text: Column) -> Column:
     """Pairings of the longest key found in any slug, else the default ones.
 
     One chain of substring tests over the joined slugs; it runs inside generated
     code, where a lookup by lambda over a key array would be interpreted.
     """
-    text = joined_slugs(tags)
     choice = text_array(fixed.DEFAULT_PAIRINGS)
     for key in reversed(ranked_keys()):
-        choice = F.when(text.contains(key), text_array(fixed.CATEGORY_PAIRINGS[key])).otherwise(
-            choice
-        )
+        choice = F.when(
+            slugs_text.contains(key), text_array(fixed.CATEGORY_PAIRINGS[key])
+        ).otherwise(choice)
     return choice
 
 
@@ -56,15 +55,14 @@ def plausible_pairings(items: Column, tags: Column) -> Column:
     return F.slice(F.when(is_candy_like(tags), filled).otherwise(cleaned), 1, fixed.MAX_PAIRINGS)
 
 
-def pairings(tags: Column, from_reply: Column, fallback: bool) -> Column:
+def pairings(from_reply: Column, fallback: bool) -> Column:
     """Default without tags; else the reply's items; else rules if allowed, or nothing.
 
     ``from_reply`` is the cleaned item list of a reply, null where none was asked for.
     """
     nothing = F.array().cast("array<string>")
-    otherwise = rule_pairings(tags) if fallback else nothing
     return (
-        F.when(F.size(tags) == 0, text_array(fixed.DEFAULT_PAIRINGS))
+        F.when(F.size("categories_tags") == 0, text_array(fixed.DEFAULT_PAIRINGS))
         .when(F.size(from_reply) > 0, from_reply)
-        .otherwise(otherwise)
+        .otherwise(rule_pairings(F.col("slugs_text")) if fallback else nothing)
     )

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfwise import fixed_values as fixed
 from shelfwise.functions.scalars import strip
-from shelfwise.functions.tags import is_candy_like
+
+
+def no_texts() -> Column:
+    return F.array().cast("array<string>")
 
 
 def reply_object(reply: Column) -> Column:
@@ -28,7 +31,7 @@ def text_items(parsed: Column, field: str) -> Column:
         F.filter(elements, lambda e: F.schema_of_variant(e) == "STRING"),
         lambda e: e.cast("string"),
     )
-    return F.coalesce(texts, F.array().cast("array<string>"))
+    return F.coalesce(texts, no_texts())
 
 
 def _cannot_be_listed(parsed: Column, field: str) -> Column:
@@ -59,7 +62,7 @@ def insight_items(reply: Column) -> Column:
 
     def items(field: str, most: int) -> Column:
         texts = F.filter(text_items(parsed, field), lambda item: item != "")
-        return F.when(~void, F.slice(texts, 1, most)).otherwise(F.array().cast("array<string>"))
+        return F.when(~void, F.slice(texts, 1, most)).otherwise(no_texts())
 
     return F.struct(
         items("enhanced_risks", fixed.MAX_REPLY_RISKS).alias("risks"),
@@ -67,25 +70,22 @@ def insight_items(reply: Column) -> Column:
     )
 
 
-def accepted_positives(items: Column, existing: Column) -> Column:
-    """Reply positives that the nutrients bear out and that are not said already.
+def accepted(item: Column) -> Column:
+    """Whether the nutrients bear a stripped positive out, and no rule says it already.
 
-    ``items`` has at most two elements, so a repeat can only be of the first one.
+    Reads the columns ``rule_texts`` (lowercase) and ``candy`` of the product.
     """
-    stripped = F.filter(F.transform(items, strip), lambda item: item != "")
-    said = F.transform(existing, F.lower)
-    candy = is_candy_like(F.col("categories_tags"))
-
-    def holds(item: Column) -> Column:
-        lower = F.lower(item)
-        wrong = (
-            (lower.contains("protein") & ((F.col("proteins") <= fixed.PROTEIN_HIGH) | candy))
-            | (lower.contains("fiber") & (F.col("fiber") <= fixed.FIBER_HIGH))
-            | (lower.contains("low sugar") & (F.col("sugars") > fixed.SUGARS_LOW))
-        )
-        return ~wrong & ~F.array_contains(said, lower)
-
-    valid = F.filter(stripped, holds)
-    return F.filter(
-        valid, lambda item, i: (i == 0) | (F.lower(item) != F.lower(F.get(valid, F.lit(0))))
+    lower = F.lower(item)
+    weak_protein = (F.col("proteins") <= fixed.PROTEIN_HIGH) | F.col("candy")
+    wrong = (
+        (lower.contains("protein") & weak_protein)
+        | (lower.contains("fiber") & (F.col("fiber") <= fixed.FIBER_HIGH))
+        | (lower.contains("low sugar") & (F.col("sugars") > fixed.SUGARS_LOW))
     )
+    return (item != "") & ~wrong & ~F.array_contains("rule_texts", lower)
+
+
+def without_repeat(items: str) -> Column:
+    """The items without a second one equal to the first; there are at most two."""
+    first = F.lower(F.get(items, F.lit(0)))
+    return F.filter(items, lambda item, i: (i == 0) | (F.lower(item) != first))

@@ -26,13 +26,14 @@ def finite(number: Column) -> Column:
     return F.when(F.abs(number) <= _LARGEST_DOUBLE, number)
 
 
-def number_in(text: Column) -> Column:
-    """Double written in a text, else null.
+# Read as part of a number by the JVM (``1.5d``, ``0x1p3``), but not numbers here.
+_JVM_ONLY = "dDfFxXpP"
 
-    Type suffixes (``1.5d``) and hexadecimal forms, which the JVM parser takes,
-    are not numbers here.
-    """
-    return F.translate(strip(text), "dDfFxXpP", "????????").try_cast("double")
+
+def number_in(text: Column) -> Column:
+    """Double written in a text, else null. Any white space around it is ignored."""
+    plain = F.translate(text, _JVM_ONLY + WHITESPACE, "?" * len(_JVM_ONLY) + " " * len(WHITESPACE))
+    return plain.try_cast("double")
 
 
 def to_double(value: Column, default: float = 0.0) -> Column:

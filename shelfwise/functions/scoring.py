@@ -1,7 +1,10 @@
 """Comparing a product with the candidates of its categories.
 
-The product side are columns of the typed frame, the candidate side the fields
-of one element of its candidate array.
+The product side are columns of the typed frame and of ``product_side``, the
+candidate side the fields of one element of its candidate array. These
+expressions run as lambdas, which Spark interprets node by node, so what does
+not depend on the pair is computed beforehand, and an unknown metric or
+processing group is a null that drops out by itself.
 """
 
 from __future__ import annotations
@@ -26,46 +29,72 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
-def metric_text(name: str) -> Column:
-    """Printed amount of a metric, with its unit."""
-    places = {field: places for field, _, places in REASON_METRICS}[name]
-    return F.concat(decimals_text(F.col(name), places), F.lit("g"))
-
-
 def known_metrics() -> Column:
     """How many of the compared metrics the product states."""
     flags = [F.col(f"has_{name}").cast("int") for name in fixed.METRIC_WEIGHTS]
     return sum(flags[1:], flags[0])
 
 
+def _shared_fields() -> dict[str, Column]:
+    """What both sides of a comparison need: metrics if stated, and as printed."""
+    fields = {
+        "known_metrics": known_metrics(),
+        "known_nova": F.when(F.col("nova") > 0, F.col("nova")),
+    }
+    for name in fixed.METRIC_WEIGHTS:
+        fields[f"known_{name}"] = F.when(F.col(f"has_{name}"), F.col(name))
+    for name, _, places in REASON_METRICS:
+        fields[f"{name}_text"] = F.concat(decimals_text(F.col(name), places), F.lit("g"))
+    return fields
+
+
 def candidate_struct() -> Column:
-    """What a comparison needs to know about a candidate.
+    """What a comparison needs to know about a candidate."""
+    fields = {
+        "name": strip(F.coalesce("product_name", F.lit(""))),
+        "name_key": F.col("name_key"),
+        "url": F.coalesce("url", F.lit("")),
+        "grade": F.col("grade"),
+        "grade_rank": F.col("grade_rank"),
+    }
+    return F.struct(*[c.alias(n) for n, c in (fields | _shared_fields()).items()])
+
+
+def product_side() -> dict[str, Column]:
+    """Columns to add to a product before it is compared."""
+    spans = {
+        f"span_{name}": F.greatest(F.abs(F.col(name)), F.lit(1.0)) for name in fixed.METRIC_WEIGHTS
+    }
+    return _shared_fields() | spans
 
-    Amounts are also kept as printed: a candidate is met by many products, so
-    its numbers are formatted once, where it enters a category's candidates.
-    """
-    fields = [
-        strip(F.coalesce("product_name", F.lit(""))).alias("name"),
-        F.col("name_key"),
-        F.coalesce("url", F.lit("")).alias("url"),
-        F.col("grade"),
-        F.col("grade_rank"),
-        F.col("nova"),
-        known_metrics().alias("known_metrics"),
-    ]
-    for name in fixed.METRIC_WEIGHTS:
-        fields += [F.col(name), F.col(f"has_{name}"), metric_text(name).alias(f"{name}_text")]
-    return F.struct(*fields)
 
+def is_better(c: Column) -> Column:
+    return c["grade_rank"] < F.col("grade_rank")
+
+
+def other_name(c: Column) -> Column:
+    return c["name_key"] != F.col("name_key")
+
+
+def is_detailed(c: Column) -> Column:
+    """Both sides state enough metrics, and at least one of them in common."""
+    shared = F.coalesce(
+        *[F.col(f"known_{name}") + c[f"known_{name}"] for name in fixed.METRIC_WEIGHTS]
+    )
+    enough = fixed.MIN_KNOWN_METRICS
+    return (
+        (F.col("known_metrics") >= enough) & (c["known_metrics"] >= enough) & shared.isNotNull()
+    )
 
-def relative_improvement(current: Column, other: Column, lower_is_better: bool) -> Column:
-    """Change for the better relative to the current amount, within [-1, 1]."""
-    change = (current - other) if lower_is_better else (other - current)
-    return clamp(change / F.greatest(F.abs(current), F.lit(1.0)), -1.0, 1.0)
 
+def relative_improvement(name: str, c: Column) -> Column:
+    """Change for the better relative to the product's amount, within [-1, 1].
 
-def both_processed(c: Column) -> Column:
-    return (F.col("nova") > 0) & (c["nova"] > 0)
+    Null where a side does not state the metric.
+    """
+    current, other = F.col(f"known_{name}"), c[f"known_{name}"]
+    change = (current - other) if name in fixed.LOWER_IS_BETTER else (other - current)
+    return clamp(change / F.col(f"span_{name}"), -1.0, 1.0)
 
 
 def detailed_score(c: Column) -> Column:
@@ -75,17 +104,16 @@ def detailed_score(c: Column) -> Column:
     """
     score = F.lit(0.0)
     for name, weight in fixed.METRIC_WEIGHTS.items():
-        change = relative_improvement(F.col(name), c[name], name in fixed.LOWER_IS_BETTER)
-        shared = F.col(f"has_{name}") & c[f"has_{name}"]
-        score = score + F.when(shared, change * weight).otherwise(0.0)
+        known = F.isnotnull(F.col(f"known_{name}")) & F.isnotnull(c[f"known_{name}"])
+        score = score + F.when(known, relative_improvement(name, c) * weight).otherwise(0.0)
     steps = F.col("grade_rank") - c["grade_rank"]
     graded = (F.col("grade_rank") < fixed.UNGRADED_RANK) & (c["grade_rank"] < fixed.UNGRADED_RANK)
     score = score + F.when(
         graded, clamp(steps / fixed.GRADE_STEPS, -1.0, 1.0) * fixed.GRADE_WEIGHT
     ).otherwise(0.0)
-    processing = (F.col("nova") - c["nova"]) / fixed.NOVA_STEPS
+    processing = (F.col("known_nova") - c["known_nova"]) / fixed.NOVA_STEPS
     return score + F.when(
-        both_processed(c), clamp(processing, -1.0, 1.0) * fixed.NOVA_WEIGHT
+        processing.isNotNull(), clamp(processing, -1.0, 1.0) * fixed.NOVA_WEIGHT
     ).otherwise(0.0)
 
 
@@ -93,39 +121,22 @@ def simple_score(c: Column) -> Column:
     return (F.col("grade_rank") - c["grade_rank"]) * fixed.SIMPLE_SCORE_PER_GRADE
 
 
+def better_score(c: Column) -> Column:
+    return F.when(is_detailed(c), detailed_score(c)).otherwise(simple_score(c))
+
+
 def discovery_score(c: Column) -> Column:
     by_grade = (F.col("grade_rank") - c["grade_rank"]) * fixed.DISCOVERY_PER_GRADE
-    by_nova = (F.col("nova") - c["nova"]) * fixed.DISCOVERY_PER_NOVA
+    by_nova = (F.col("known_nova") - c["known_nova"]) * fixed.DISCOVERY_PER_NOVA
     score = F.lit(fixed.DISCOVERY_BASE) + F.when(
         c["grade_rank"] < fixed.UNGRADED_RANK,
         F.greatest(F.lit(fixed.DISCOVERY_GRADE_FLOOR), by_grade),
     ).otherwise(0.0)
     return score + F.when(
-        both_processed(c), clamp(by_nova, *fixed.DISCOVERY_NOVA_RANGE)
+        by_nova.isNotNull(), clamp(by_nova, *fixed.DISCOVERY_NOVA_RANGE)
     ).otherwise(0.0)
 
 
-def is_better(c: Column) -> Column:
-    return c["grade_rank"] < F.col("grade_rank")
-
-
-def is_detailed(c: Column) -> Column:
-    """Both sides state enough metrics, and at least one of them in common."""
-    shared = F.lit(False)
-    for name in fixed.METRIC_WEIGHTS:
-        shared = shared | (F.col(f"has_{name}") & c[f"has_{name}"])
-    enough = fixed.MIN_KNOWN_METRICS
-    return (F.col("known_metrics") >= enough) & (c["known_metrics"] >= enough) & shared
-
-
-def score(c: Column) -> Column:
-    return (
-        F.when(~is_better(c), discovery_score(c))
-        .when(is_detailed(c), detailed_score(c))
-        .otherwise(simple_score(c))
-    )
-
-
 def confidence(c: Column, scored: Column) -> Column:
     """Whole percent; fractions are cut off."""
     percent = (scored * fixed.CONFIDENCE_PER_SCORE + fixed.CONFIDENCE_BASE).cast("int")
@@ -141,12 +152,16 @@ def _change_text(label: str, current: Column, other: Column) -> Column:
     return F.concat(F.lit(f"{label}: "), current, F.lit(" → "), other)
 
 
+def _less_processed(c: Column) -> Column:
+    return c["known_nova"] < F.col("known_nova")
+
+
 def _nova_step(c: Column) -> Column:
     return F.concat(
         F.lit("lower processing (NOVA "),
-        F.col("nova").cast("string"),
+        F.col("known_nova").cast("string"),
         F.lit(" -> "),
-        c["nova"].cast("string"),
+        c["known_nova"].cast("string"),
         F.lit(")"),
     )
 
@@ -157,26 +172,25 @@ def _graded(lead: str, c: Column) -> Column:
 
 
 def _parts_or(default: str, parts: list[Column]) -> Column:
-    joined = F.concat_ws("; ", *parts)
-    return F.when(joined == "", default).otherwise(joined)
+    return F.coalesce(F.nullif(F.concat_ws("; ", *parts), F.lit("")), F.lit(default))
 
 
 def detailed_reason(c: Column, confident: Column) -> Column:
     """Every improvement with both amounts.
 
-    Unlike the score it compares amounts as stored, so a metric the candidate
-    lacks reads as zero.
+    Unlike the score it takes a metric the candidate lacks as zero.
     """
     parts = [F.concat(F.lit("NutriScore "), F.upper(c["grade"]))]
     for name, label, _ in REASON_METRICS:
-        better = (
-            c[name] < F.col(name) if name in fixed.LOWER_IS_BETTER else c[name] > F.col(name)
-        )
+        current, other = F.col(name), F.coalesce(c[f"known_{name}"], F.lit(0.0))
+        better = (other < current) if name in fixed.LOWER_IS_BETTER else (other > current)
         parts.append(
             F.when(better, _change_text(label, F.col(f"{name}_text"), c[f"{name}_text"]))
         )
-    nova_change = _change_text("NOVA", F.col("nova").cast("string"), c["nova"].cast("string"))
-    parts.append(F.when(both_processed(c) & (c["nova"] < F.col("nova")), nova_change))
+    nova_change = _change_text(
+        "NOVA", F.col("known_nova").cast("string"), c["known_nova"].cast("string")
+    )
+    parts.append(F.when(_less_processed(c), nova_change))
     return F.concat(
         _parts_or("Better overall nutrition profile", parts),
         F.lit(" (confidence: "),
@@ -194,14 +208,14 @@ def simple_reason(c: Column) -> Column:
             F.when(steps >= 2, "significantly better nutritional quality").when(
                 steps == 1, "better nutritional quality"
             ),
-            F.when(both_processed(c) & (c["nova"] < F.col("nova")), _nova_step(c)),
+            F.when(_less_processed(c), _nova_step(c)),
         ],
     )
 
 
 def discovery_reason(c: Column) -> Column:
     same_nova = F.concat(
-        F.lit("similar processing (NOVA "), c["nova"].cast("string"), F.lit(")")
+        F.lit("similar processing (NOVA "), c["known_nova"].cast("string"), F.lit(")")
     )
     return F.concat_ws(
         "; ",
@@ -209,8 +223,8 @@ def discovery_reason(c: Column) -> Column:
         F.when(is_better(c), _graded("better NutriScore", c)).when(
             c["grade_rank"] == F.col("grade_rank"), _graded("same NutriScore", c)
         ),
-        F.when(both_processed(c) & (c["nova"] < F.col("nova")), _nova_step(c)).when(
-            both_processed(c) & (c["nova"] == F.col("nova")), same_nova
+        F.when(_less_processed(c), _nova_step(c)).when(
+            c["known_nova"] == F.col("known_nova"), same_nova
         ),
     )
 

@@ -80,18 +80,18 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return found
 
 
-def any_tag_contains(tags: Column, words: list[str]) -> Column:
-    """Whether some tag, lowercased, contains one of the words."""
-    return contains_any(F.lower(F.array_join(tags_or_empty(tags), _BOUNDARY)), words)
+def joined_tags(tags: Column) -> Column:
+    """All tags in one lowercase text, for substring tests on any of them."""
+    return F.lower(F.array_join(tags, _BOUNDARY))
 
 
 def joined_slugs(tags: Column) -> Column:
     """All slugs in one text, for substring tests on any of them."""
-    return F.array_join(F.transform(tags_or_empty(tags), slug), _BOUNDARY)
+    return F.array_join(F.transform(tags, slug), _BOUNDARY)
 
 
 def is_candy_like(tags: Column) -> Column:
-    return contains_any(F.lower(F.array_join(tags_or_empty(tags), " ")), CANDY_WORDS)
+    return contains_any(F.lower(F.array_join(tags, " ")), CANDY_WORDS)
 
 
 def normalise_grade(grade: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise import fixed_values as fixed
 from shelfwise.config import DEFAULT_CONFIG, InsightConfig
 from shelfwise.functions import scoring
 
@@ -36,15 +37,29 @@ def with_pool(subjects: DataFrame, pools: DataFrame) -> DataFrame:
 
 
 def comparable(pooled: DataFrame) -> DataFrame:
-    """Add the candidates to compare with, and what comparing needs of the product.
+    """Add ``choice``, the candidates to rank, and what comparing needs of the product.
 
-    A product's own name is left out here, after its category's candidates were
-    chosen: it takes one of their places, as it does in a catalog search.
+    Only better graded candidates are taken if there is any, else all. A product's
+    own name is left out here, after its category's candidates were chosen: it
+    takes one of their places, as it does in a catalog search.
     """
-    printed = {f"{name}_text": scoring.metric_text(name) for name in fixed.METRIC_WEIGHTS}
-    others = F.filter("pool", lambda c: c["name_key"] != F.col("name_key"))
-    return pooled.withColumns(
-        {"known_metrics": scoring.known_metrics(), "others": others, **printed}
+    better = F.filter("pool", lambda c: scoring.is_better(c) & scoring.other_name(c))
+    return (
+        pooled.withColumns(scoring.product_side() | {"better": better})
+        .withColumn("any_better", F.coalesce(F.size("better") > 0, F.lit(False)))
+        .withColumn(
+            "choice",
+            F.when(F.col("any_better"), F.col("better")).otherwise(
+                F.filter("pool", scoring.other_name)
+            ),
+        )
+    )
+
+
+def _ranking(score: Callable[[Column], Column]) -> Column:
+    """Negated score and place of each candidate: sorts best first, ties in order."""
+    return F.transform(
+        "choice", lambda c, i: F.struct((-score(c)).alias("loss"), i.alias("place"))
     )
 
 
@@ -53,20 +68,15 @@ def with_alternatives(
 ) -> DataFrame:
     """Add ``similar_products``: the best ``max_results`` alternatives, best first.
 
-    Only better graded candidates are taken if there is any, else all others.
     Equal scores keep the candidates' order. Each product is compared with its
     pool inside its own row, so no (product, candidate) pair is ever shuffled
     or sorted across rows; reasons are written for the chosen ones only.
     """
-    better = F.filter("others", scoring.is_better)
-    ranked = F.transform(
-        "choice",
-        lambda c, i: F.struct((-scoring.score(c)).alias("loss"), i.alias("place"), c.alias("c")),
+    ranking = F.when(F.col("any_better"), _ranking(scoring.better_score)).otherwise(
+        _ranking(scoring.discovery_score)
     )
-    best = F.slice(F.array_sort(ranked), 1, config.max_results)
 
-    def entry(pick):
-        c, score = pick["c"], -pick["loss"]
+    def entry(c: Column, score: Column) -> Column:
         confidence = scoring.confidence(c, score)
         return F.struct(
             c["name"].alias("name"),
@@ -77,16 +87,21 @@ def with_alternatives(
             c["url"].alias("url"),
         )
 
+    best = F.slice(F.sort_array(ranking), 1, config.max_results)
     picked = (
         comparable(with_pool(subjects, pools))
-        .withColumn("better", better)
-        .withColumn("choice", F.when(F.size("better") > 0, F.col("better")).otherwise(F.col("others")))
-        .withColumn("best", best)
-        .withColumn("similar_products", F.transform("best", entry))
+        # Unfolding a list of one changes nothing, but later filters stay above
+        # it; Catalyst would otherwise copy the whole comparison into them.
+        .select("*", F.explode(F.array(best)).alias("best"))
+        .withColumn("chosen", F.transform("best", lambda pick: F.get("choice", pick["place"])))
+        .withColumn(
+            "similar_products",
+            F.zip_with("chosen", F.transform("best", lambda pick: -pick["loss"]), entry),
+        )
     )
-    kept = [c for c in subjects.columns if c != "similar_products"]
+    none = F.array().cast(picked.schema["similar_products"].dataType)
     return picked.select(
-        *kept, F.coalesce("similar_products", F.array().cast(picked.schema["similar_products"].dataType)).alias("similar_products")
+        *subjects.columns, F.coalesce("similar_products", none).alias("similar_products")
     )
 
 
@@ -96,20 +111,26 @@ def scored_candidates(subjects: DataFrame, pools: DataFrame) -> DataFrame:
     Unfolds the pools in place (a narrow step); at most
     ``category_depth * page_size`` rows per product.
     """
-    rows = comparable(with_pool(subjects, pools)).select(
-        "*", F.posexplode("others").alias("place", "c")
-    )
     c = F.col("c")
-    return rows.withColumn("score", scoring.score(c)).withColumn(
-        "confidence", scoring.confidence(c, F.col("score"))
-    ).withColumn("reason", scoring.reason(c, F.col("confidence"))).select(
-        "barcode",
-        "place",
-        F.col("c.name").alias("name"),
-        F.col("c.url").alias("url"),
-        F.coalesce(F.upper("c.grade"), F.lit("N/A")).alias("nutriscore_grade"),
-        scoring.is_better(c).alias("is_better"),
-        "score",
-        "confidence",
-        "reason",
+    others = F.filter("pool", scoring.other_name)
+    score = F.when(scoring.is_better(c), scoring.better_score(c)).otherwise(
+        scoring.discovery_score(c)
+    )
+    return (
+        with_pool(subjects, pools)
+        .withColumns(scoring.product_side())
+        .select("*", F.posexplode(others).alias("place", "c"))
+        .withColumn("score", score)
+        .withColumn("confidence", scoring.confidence(c, F.col("score")))
+        .select(
+            "barcode",
+            "place",
+            "c.name",
+            "c.url",
+            F.coalesce(F.upper("c.grade"), F.lit("N/A")).alias("nutriscore_grade"),
+            scoring.is_better(c).alias("is_better"),
+            "score",
+            "confidence",
+            scoring.reason(c, F.col("confidence")).alias("reason"),
+        )
     )

@@ -11,21 +11,18 @@ from shelfwise.functions.scalars import strip
 from shelfwise.functions.scoring import candidate_struct
 from shelfwise.operators.topk import top_k_per_group
 
-SEARCH_ORDER = ("unique_scans_n", "barcode")
-
-
 def category_members(facts: DataFrame) -> DataFrame:
-    """One row per product and category slug it carries: (slug, order columns, candidate)."""
-    return facts.select(
-        F.explode(F.array_distinct(tag_fn.slugs(F.col("categories_tags")))).alias("slug"),
-        *SEARCH_ORDER,
-        candidate_struct().alias("candidate"),
-    )
+    """One row per product and category slug it carries."""
+    slugs = F.array_distinct(tag_fn.slugs(F.col("categories_tags")))
+    return facts.select("*", F.explode(slugs).alias("slug"))
 
 
 def category_top(facts: DataFrame, config: InsightConfig = DEFAULT_CONFIG) -> DataFrame:
-    """The most scanned products of every category: (slug, position, candidate)."""
-    return top_k_per_group(
+    """The most scanned products of every category: (slug, position, barcode, candidate).
+
+    What is shown of a candidate is put together for the chosen ones only.
+    """
+    top = top_k_per_group(
         category_members(facts),
         ["slug"],
         [F.desc_nulls_last("unique_scans_n"), F.asc("barcode")],
@@ -33,6 +30,9 @@ def category_top(facts: DataFrame, config: InsightConfig = DEFAULT_CONFIG) -> Da
         config.shards,
         "position",
     )
+    return top.select(
+        "slug", "position", "barcode", "unique_scans_n", candidate_struct().alias("candidate")
+    )
 
 
 def category_shelves(top: DataFrame) -> DataFrame:

@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 from shelfwise.fixed_values import PAIRING_ATTEMPTS
 from shelfwise.functions.pairings import plausible_pairings
-from shelfwise.functions.replies import accepted_positives, insight_items, pairing_items
-from shelfwise.functions.tags import last_slug
+from shelfwise.functions.replies import (
+    accepted,
+    insight_items,
+    no_texts,
+    pairing_items,
+    without_repeat,
+)
+from shelfwise.functions.scalars import strip
+from shelfwise.functions.tags import is_candy_like, last_slug
 from shelfwise.sources.schema import REPLY_SCHEMA, conform
 
 
+
 def replies_by_product(replies: DataFrame) -> DataFrame:
     """One row per barcode with the reply to each task.
 
@@ -42,6 +50,12 @@ def replies_by_product(replies: DataFrame) -> DataFrame:
             first((task == "pairings") & usable, F.col("pairing_items")).alias("reply_pairings"),
             F.max(task == "pairings").alias("asked_pairings"),
         )
+        .select(
+            "*",
+            F.col("reply_insights.risks").alias("reply_risks"),
+            F.col("reply_insights.positives").alias("reply_positives"),
+        )
+        .drop("reply_insights")
     )
 
 
@@ -56,17 +70,24 @@ def reply_pairings() -> Column:
     An unusable reply counts as an empty list, which sweets still fill up.
     Products whose last category is blank are not asked about.
     """
-    items = F.coalesce("reply_pairings", F.array().cast("array<string>"))
+    items = F.coalesce("reply_pairings", no_texts())
     tags = F.col("categories_tags")
     asked = F.col("asked_pairings") & (last_slug(tags) != "")
     return F.when(asked, plausible_pairings(items, tags))
 
 
-def merged_risks(rule_risks: Column) -> Column:
-    more = F.coalesce(F.col("reply_insights.risks"), F.array().cast("array<string>"))
-    return F.concat(rule_risks, more)
-
-
-def merged_positives(rule_positives: Column) -> Column:
-    accepted = accepted_positives(F.col("reply_insights.positives"), rule_positives)
-    return F.concat(rule_positives, F.coalesce(accepted, F.array().cast("array<string>")))
+def with_reply_insights(subjects: DataFrame) -> DataFrame:
+    """Append the reply's risks, and those of its positives that are accepted."""
+    checked = subjects.withColumns(
+        {
+            "rule_texts": F.transform("positive_indicators", F.lower),
+            "candy": is_candy_like(F.col("categories_tags")),
+            "stripped": F.transform(F.coalesce("reply_positives", no_texts()), strip),
+        }
+    ).withColumn("accepted", F.filter("stripped", accepted))
+    return checked.withColumns(
+        {
+            "risk_indicators": F.concat("risk_indicators", F.coalesce("reply_risks", no_texts())),
+            "positive_indicators": F.concat("positive_indicators", without_repeat("accepted")),
+        }
+    )

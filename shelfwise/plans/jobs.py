@@ -31,7 +31,8 @@ def _no_replies(subjects: DataFrame) -> DataFrame:
         "reply_summary": "string",
         "reply_nutriscore": "string",
         "reply_nova": "string",
-        "reply_insights": "struct<risks:array<string>,positives:array<string>>",
+        "reply_risks": "array<string>",
+        "reply_positives": "array<string>",
         "reply_pairings": "array<string>",
         "asked_pairings": "boolean",
     }
@@ -46,20 +47,15 @@ def subjects_of(
     return _no_replies(facts) if replies is None else reply_op.with_replies(facts, replies)
 
 
-def with_indicators(subjects: DataFrame) -> DataFrame:
-    """Add rule indicators, extended by accepted reply items."""
+def with_indicators(subjects: DataFrame, replies: bool) -> DataFrame:
+    """Add rule indicators, extended by accepted reply items if there are replies."""
     rules = subjects.withColumns(
         {
             "risk_indicators": indicators.risk_indicators(),
             "positive_indicators": indicators.positive_indicators(),
         }
     )
-    return rules.withColumns(
-        {
-            "risk_indicators": reply_op.merged_risks(F.col("risk_indicators")),
-            "positive_indicators": reply_op.merged_positives(F.col("positive_indicators")),
-        }
-    )
+    return reply_op.with_reply_insights(rules) if replies else rules
 
 
 def with_explanations(subjects: DataFrame, config: InsightConfig) -> DataFrame:
@@ -101,12 +97,12 @@ def with_summary(subjects: DataFrame, config: InsightConfig) -> DataFrame:
     )
 
 
-def with_pairings(subjects: DataFrame, config: InsightConfig) -> DataFrame:
-    return subjects.withColumn("reply_choice", reply_op.reply_pairings()).withColumn(
-        "pairings",
-        choose_pairings(
-            F.col("categories_tags"), F.col("reply_choice"), config.fallback_to_rules
-        ),
+def with_pairings(subjects: DataFrame, config: InsightConfig, replies: bool) -> DataFrame:
+    """Add pairings: from replies if there are any, else from the rules."""
+    if replies:
+        subjects = subjects.withColumn("reply_pairings", reply_op.reply_pairings())
+    return subjects.withColumn(
+        "pairings", choose_pairings(F.col("reply_pairings"), config.fallback_to_rules)
     )
 
 
@@ -114,7 +110,8 @@ def analyse(
     catalog: DataFrame, replies: DataFrame | None = None, config: InsightConfig = DEFAULT_CONFIG
 ) -> DataFrame:
     """Risk and positive indicators: (barcode, risk_indicators, positive_indicators)."""
-    return with_indicators(subjects_of(catalog, replies, config)).select(
+    subjects = subjects_of(catalog, replies, config)
+    return with_indicators(subjects, replies is not None).select(
         "barcode", "risk_indicators", "positive_indicators"
     )
 
@@ -139,9 +136,8 @@ def pair(
     catalog: DataFrame, replies: DataFrame | None = None, config: InsightConfig = DEFAULT_CONFIG
 ) -> DataFrame:
     """Food pairings: (barcode, pairings)."""
-    return with_pairings(subjects_of(catalog, replies, config), config).select(
-        "barcode", "pairings"
-    )
+    subjects = subjects_of(catalog, replies, config)
+    return with_pairings(subjects, config, replies is not None).select("barcode", "pairings")
 
 
 def alternatives(
@@ -218,7 +214,9 @@ def report(
             product_facts(catalog, config), product_facts(asked, config), config
         )
     full = alternative_op.with_alternatives(subjects, pools, config)
-    full = with_pairings(with_explanations(with_summary(with_indicators(full), config), config), config)
+    full = with_indicators(full, replies is not None)
+    full = with_explanations(with_summary(full, config), config)
+    full = with_pairings(full, config, replies is not None)
     header = F.struct(
         text_or(F.col("product_name"), "Unknown product").alias("name"),
         F.col("image_url"),

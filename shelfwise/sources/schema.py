@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from shelfwise.config import DEFAULT_CONFIG, InsightConfig
 from shelfwise.fixed_values import METRIC_WEIGHTS
 from shelfwise.functions import tags as tag_fn
-from shelfwise.functions.nutrients import amount, nutriment_reader, per_100g
+from shelfwise.functions.nutrients import nutriments_of
 from shelfwise.functions.scalars import strip, to_int
 
 PRODUCT_SCHEMA = T.StructType(
@@ -86,31 +86,32 @@ def product_facts(catalog: DataFrame, config: InsightConfig = DEFAULT_CONFIG) ->
     columns a job asks for.
     """
     df = conform(catalog, PRODUCT_SCHEMA)
-    nutriments = nutriment_reader(df.schema["nutriments"].dataType, F.col("nutriments"))
     read = list(dict.fromkeys([*NUTRIENTS.values(), *PROMPT_NUTRIENTS.values()]))
-    grade = tag_fn.normalise_grade(F.col("nutriscore_grade"))
+    nutriments = nutriments_of(df.schema["nutriments"].dataType, F.col("nutriments"), read)
+    tag_columns = ("categories_tags", "labels_tags", "additives_tags", "allergens_tags")
 
-    columns: dict[str, Column] = {
-        "barcode": F.col("barcode"),
-        "product_name": F.col("product_name"),
-        "name_key": F.lower(strip(F.coalesce("product_name", F.lit("")))),
-        "nutriscore_grade": F.col("nutriscore_grade"),
-        "nova_group": F.col("nova_group"),
-        "grade": grade,
-        "grade_rank": tag_fn.grade_rank(grade),
-        "nova": to_int(F.col("nova_group")),
-    }
-    for name, key in NUTRIENTS.items():
-        columns[name] = amount(key)
-    for name in METRIC_WEIGHTS:
-        columns[f"has_{name}"] = nutriments.has(NUTRIENTS[name])
-    for name, key in PROMPT_NUTRIENTS.items():
-        columns[f"per_100g_{name}"] = per_100g(key)
-    for name in ("categories_tags", "labels_tags", "additives_tags", "allergens_tags"):
-        columns[name] = tag_fn.tags_or_empty(F.col(name))
-    columns["category_path"] = tag_fn.category_path(
-        F.col("categories_tags"), config.category_depth
-    )
-    for name in ("image_url", "brands", "url", "unique_scans_n"):
-        columns[name] = F.col(name)
-    return df.withColumns(nutriments.numbers(read)).select(*[c.alias(n) for n, c in columns.items()])
+    # Columns of one step are read more than once in the next. Catalyst keeps
+    # such steps apart, so that nothing is looked up or parsed twice.
+    steps: list[dict[str, Column]] = [
+        {name: tag_fn.tags_or_empty(F.col(name)) for name in tag_columns},
+        {
+            "grade": tag_fn.normalise_grade(F.col("nutriscore_grade")),
+            "category_path": tag_fn.category_path(F.col("categories_tags"), config.category_depth),
+        },
+        *nutriments.steps(),
+        {name: nutriments.amount(key) for name, key in NUTRIENTS.items()}
+        | {f"has_{name}": nutriments.has(NUTRIENTS[name]) for name in METRIC_WEIGHTS}
+        | {f"per_100g_{name}": nutriments.per_100g(key) for name, key in PROMPT_NUTRIENTS.items()}
+        | {
+            "name_key": F.lower(strip(F.coalesce("product_name", F.lit("")))),
+            "grade_rank": tag_fn.grade_rank(F.col("grade")),
+            "nova": to_int(F.col("nova_group")),
+            "labels_text": tag_fn.joined_tags(F.col("labels_tags")),
+            "slugs_text": tag_fn.joined_slugs(F.col("categories_tags")),
+        },
+    ]
+    for step in steps:
+        df = df.withColumns(step)
+    passed_on = ["barcode", "product_name", "nutriscore_grade", "nova_group", "image_url",
+                 "brands", "url", "unique_scans_n", "grade", "category_path"]
+    return df.select(*passed_on, *tag_columns, *steps[-1])
