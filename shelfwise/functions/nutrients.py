@@ -26,8 +26,11 @@ def _number(entry: Column, layout: T.DataType) -> Column:
 
 
 def _chosen(per_100g: Column, plain: Column) -> Column:
-    """The amount out of both numbers; 0.0 where neither is one."""
-    return F.coalesce(finite(F.when(per_100g == 0, plain).otherwise(per_100g)), F.lit(0.0))
+    return F.when(per_100g == 0, plain).otherwise(per_100g)
+
+
+def _amount(number: Column) -> Column:
+    return F.coalesce(finite(number), F.lit(0.0))
 
 
 @dataclass(frozen=True)
@@ -46,17 +49,25 @@ class MapNutriments:
     def _keys(self, suffix: str) -> Column:
         return F.array(*[F.lit(name + suffix) for name in self.names])
 
-    def _numbers(self, suffix: str) -> Column:
-        entries = F.transform(self._keys(suffix), lambda k: F.try_element_at(self.column, k))
-        return F.transform(entries, lambda entry: _number(entry, self.layout.valueType))
+    def _entries(self, suffix: str) -> Column:
+        return F.transform(self._keys(suffix), lambda k: F.try_element_at(self.column, k))
+
+    def _number(self, entry: Column) -> Column:
+        return _number(entry, self.layout.valueType)
 
     def steps(self) -> list[dict[str, Column]]:
-        """Columns to add, step by step, before the others can be read."""
+        """Columns to add, step by step, before the others can be read.
+
+        A plain entry is parsed only where it is needed.
+        """
         stated = F.map_keys(self.column)
+        chosen = F.zip_with(
+            "_per_100g", self._entries(""), lambda n, entry: _chosen(n, self._number(entry))
+        )
         return [
-            {"_per_100g": self._numbers(PER_100G), "_plain": self._numbers("")},
+            {"_per_100g": F.transform(self._entries(PER_100G), self._number)},
             {
-                "_amounts": F.zip_with("_per_100g", "_plain", _chosen),
+                "_amounts": F.transform(chosen, _amount),
                 "_stated": F.zip_with(
                     self._keys(PER_100G),
                     self._keys(""),
@@ -104,7 +115,9 @@ class StructNutriments:
         return [{f"_number_{key}": self._read(key) for key in keys}]
 
     def amount(self, name: str) -> Column:
-        return _chosen(F.col(f"`_number_{name}{PER_100G}`"), F.col(f"`_number_{name}`"))
+        return _amount(
+            _chosen(F.col(f"`_number_{name}{PER_100G}`"), F.col(f"`_number_{name}`"))
+        )
 
     def per_100g(self, name: str) -> Column:
         """The per-100 g entry alone; zero or null where it says nothing."""

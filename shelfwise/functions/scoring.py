@@ -38,8 +38,9 @@ def known_metrics() -> Column:
 def _shared_fields() -> dict[str, Column]:
     """What both sides of a comparison need: metrics if stated, and as printed."""
     fields = {
-        "known_metrics": known_metrics(),
-        "known_nova": F.when(F.col("nova") > 0, F.col("nova")),
+        "enough_metrics": known_metrics() >= fixed.MIN_KNOWN_METRICS,
+        "known_nova": F.when(F.col("nova") > 0, F.col("nova").cast("double")),
+        "nova_text": F.col("nova").cast("string"),
     }
     for name in fixed.METRIC_WEIGHTS:
         fields[f"known_{name}"] = F.when(F.col(f"has_{name}"), F.col(name))
@@ -54,18 +55,27 @@ def candidate_struct() -> Column:
         "name": strip(F.coalesce("product_name", F.lit(""))),
         "name_key": F.col("name_key"),
         "url": F.coalesce("url", F.lit("")),
-        "grade": F.col("grade"),
         "grade_rank": F.col("grade_rank"),
+        "grade_text": F.upper("grade"),
     }
     return F.struct(*[c.alias(n) for n, c in (fields | _shared_fields()).items()])
 
 
 def product_side() -> dict[str, Column]:
-    """Columns to add to a product before it is compared."""
+    """Columns to add to a product before it is compared.
+
+    ``grade_terms`` holds the grade part of the score for each candidate rank.
+    """
     spans = {
         f"span_{name}": F.greatest(F.abs(F.col(name)), F.lit(1.0)) for name in fixed.METRIC_WEIGHTS
     }
-    return _shared_fields() | spans
+    rank = F.col("grade_rank")
+    terms = [
+        clamp((rank - other) / fixed.GRADE_STEPS, -1.0, 1.0) * fixed.GRADE_WEIGHT
+        for other in fixed.GRADE_RANKS.values()
+    ]
+    graded = F.when(rank < fixed.UNGRADED_RANK, F.array(*terms))
+    return _shared_fields() | spans | {"grade_terms": graded}
 
 
 def is_better(c: Column) -> Column:
@@ -81,20 +91,22 @@ def is_detailed(c: Column) -> Column:
     shared = F.coalesce(
         *[F.col(f"known_{name}") + c[f"known_{name}"] for name in fixed.METRIC_WEIGHTS]
     )
-    enough = fixed.MIN_KNOWN_METRICS
-    return (
-        (F.col("known_metrics") >= enough) & (c["known_metrics"] >= enough) & shared.isNotNull()
-    )
+    return F.col("enough_metrics") & c["enough_metrics"] & shared.isNotNull()
 
 
 def relative_improvement(name: str, c: Column) -> Column:
     """Change for the better relative to the product's amount, within [-1, 1].
 
-    Null where a side does not state the metric.
+    Zero where a side does not state the metric.
     """
     current, other = F.col(f"known_{name}"), c[f"known_{name}"]
     change = (current - other) if name in fixed.LOWER_IS_BETTER else (other - current)
-    return clamp(change / F.col(f"span_{name}"), -1.0, 1.0)
+    return clamp(F.coalesce(change / F.col(f"span_{name}"), F.lit(0.0)), -1.0, 1.0)
+
+
+def _nova_steps(c: Column) -> Column:
+    """How far the candidate is less processed; zero if either group is unknown."""
+    return F.coalesce(F.col("known_nova") - c["known_nova"], F.lit(0.0))
 
 
 def detailed_score(c: Column) -> Column:
@@ -104,17 +116,9 @@ def detailed_score(c: Column) -> Column:
     """
     score = F.lit(0.0)
     for name, weight in fixed.METRIC_WEIGHTS.items():
-        known = F.isnotnull(F.col(f"known_{name}")) & F.isnotnull(c[f"known_{name}"])
-        score = score + F.when(known, relative_improvement(name, c) * weight).otherwise(0.0)
-    steps = F.col("grade_rank") - c["grade_rank"]
-    graded = (F.col("grade_rank") < fixed.UNGRADED_RANK) & (c["grade_rank"] < fixed.UNGRADED_RANK)
-    score = score + F.when(
-        graded, clamp(steps / fixed.GRADE_STEPS, -1.0, 1.0) * fixed.GRADE_WEIGHT
-    ).otherwise(0.0)
-    processing = (F.col("known_nova") - c["known_nova"]) / fixed.NOVA_STEPS
-    return score + F.when(
-        processing.isNotNull(), clamp(processing, -1.0, 1.0) * fixed.NOVA_WEIGHT
-    ).otherwise(0.0)
+        score = score + relative_improvement(name, c) * weight
+    score = score + F.coalesce(F.get("grade_terms", c["grade_rank"]), F.lit(0.0))
+    return score + clamp(_nova_steps(c) / fixed.NOVA_STEPS, -1.0, 1.0) * fixed.NOVA_WEIGHT
 
 
 def simple_score(c: Column) -> Column:
@@ -127,25 +131,18 @@ def better_score(c: Column) -> Column:
 
 def discovery_score(c: Column) -> Column:
     by_grade = (F.col("grade_rank") - c["grade_rank"]) * fixed.DISCOVERY_PER_GRADE
-    by_nova = (F.col("known_nova") - c["known_nova"]) * fixed.DISCOVERY_PER_NOVA
+    by_nova = _nova_steps(c) * fixed.DISCOVERY_PER_NOVA
     score = F.lit(fixed.DISCOVERY_BASE) + F.when(
         c["grade_rank"] < fixed.UNGRADED_RANK,
         F.greatest(F.lit(fixed.DISCOVERY_GRADE_FLOOR), by_grade),
     ).otherwise(0.0)
-    return score + F.when(
-        by_nova.isNotNull(), clamp(by_nova, *fixed.DISCOVERY_NOVA_RANGE)
-    ).otherwise(0.0)
+    return score + clamp(by_nova, *fixed.DISCOVERY_NOVA_RANGE)
 
 
-def confidence(c: Column, scored: Column) -> Column:
+def detailed_confidence(score: Column) -> Column:
     """Whole percent; fractions are cut off."""
-    percent = (scored * fixed.CONFIDENCE_PER_SCORE + fixed.CONFIDENCE_BASE).cast("int")
-    low, high = fixed.CONFIDENCE_RANGE
-    return (
-        F.when(~is_better(c), fixed.DISCOVERY_CONFIDENCE)
-        .when(is_detailed(c), clamp(percent, low, high))
-        .otherwise(fixed.SIMPLE_CONFIDENCE)
-    )
+    percent = (score * fixed.CONFIDENCE_PER_SCORE + fixed.CONFIDENCE_BASE).cast("int")
+    return clamp(percent, *fixed.CONFIDENCE_RANGE)
 
 
 def _change_text(label: str, current: Column, other: Column) -> Column:
@@ -159,16 +156,16 @@ def _less_processed(c: Column) -> Column:
 def _nova_step(c: Column) -> Column:
     return F.concat(
         F.lit("lower processing (NOVA "),
-        F.col("known_nova").cast("string"),
+        F.col("nova_text"),
         F.lit(" -> "),
-        c["known_nova"].cast("string"),
+        c["nova_text"],
         F.lit(")"),
     )
 
 
 def _graded(lead: str, c: Column) -> Column:
     """``lead`` and the grade in brackets; null without a grade."""
-    return F.concat(F.lit(f"{lead} ("), F.upper(c["grade"]), F.lit(")"))
+    return F.concat(F.lit(f"{lead} ("), c["grade_text"], F.lit(")"))
 
 
 def _parts_or(default: str, parts: list[Column]) -> Column:
@@ -180,16 +177,14 @@ def detailed_reason(c: Column, confident: Column) -> Column:
 
     Unlike the score it takes a metric the candidate lacks as zero.
     """
-    parts = [F.concat(F.lit("NutriScore "), F.upper(c["grade"]))]
+    parts = [F.concat(F.lit("NutriScore "), c["grade_text"])]
     for name, label, _ in REASON_METRICS:
         current, other = F.col(name), F.coalesce(c[f"known_{name}"], F.lit(0.0))
         better = (other < current) if name in fixed.LOWER_IS_BETTER else (other > current)
         parts.append(
             F.when(better, _change_text(label, F.col(f"{name}_text"), c[f"{name}_text"]))
         )
-    nova_change = _change_text(
-        "NOVA", F.col("known_nova").cast("string"), c["known_nova"].cast("string")
-    )
+    nova_change = _change_text("NOVA", F.col("nova_text"), c["nova_text"])
     parts.append(F.when(_less_processed(c), nova_change))
     return F.concat(
         _parts_or("Better overall nutrition profile", parts),
@@ -215,7 +210,7 @@ def simple_reason(c: Column) -> Column:
 
 def discovery_reason(c: Column) -> Column:
     same_nova = F.concat(
-        F.lit("similar processing (NOVA "), c["known_nova"].cast("string"), F.lit(")")
+        F.lit("similar processing (NOVA "), c["nova_text"], F.lit(")")
     )
     return F.concat_ws(
         "; ",
@@ -229,9 +224,21 @@ def discovery_reason(c: Column) -> Column:
     )
 
 
-def reason(c: Column, confident: Column) -> Column:
-    return (
-        F.when(~is_better(c), discovery_reason(c))
-        .when(is_detailed(c), detailed_reason(c, confident))
+def better_entry(c: Column, score: Column) -> list[Column]:
+    """Confidence and reason of a better graded candidate."""
+    confidence = detailed_confidence(score)
+    detailed = is_detailed(c)
+    return [
+        F.when(detailed, confidence).otherwise(fixed.SIMPLE_CONFIDENCE).alias("confidence"),
+        F.when(detailed, detailed_reason(c, confidence))
         .otherwise(simple_reason(c))
-    )
+        .alias("reason"),
+    ]
+
+
+def discovery_entry(c: Column, score: Column) -> list[Column]:
+    """Confidence and reason of a candidate offered for want of a better one."""
+    return [
+        F.lit(fixed.DISCOVERY_CONFIDENCE).alias("confidence"),
+        discovery_reason(c).alias("reason"),
+    ]

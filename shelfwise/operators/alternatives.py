@@ -56,13 +56,36 @@ def comparable(pooled: DataFrame) -> DataFrame:
     )
 
 
-def _ranking(score: Callable[[Column], Column]) -> Column:
+Scoring = tuple[Callable[[Column], Column], Callable[[Column, Column], list[Column]]]
+BETTER: Scoring = (scoring.better_score, scoring.better_entry)
+DISCOVERY: Scoring = (scoring.discovery_score, scoring.discovery_entry)
+
+
+def _ranking(kind: Scoring) -> Column:
     """Negated score and place of each candidate: sorts best first, ties in order."""
+    score, _ = kind
     return F.transform(
         "choice", lambda c, i: F.struct((-score(c)).alias("loss"), i.alias("place"))
     )
 
 
+def _entries(kind: Scoring) -> Column:
+    _, describe = kind
+
+    def entry(c: Column, score: Column) -> Column:
+        confidence, reason = describe(c, score)
+        return F.struct(
+            c["name"].alias("name"),
+            F.coalesce(c["grade_text"], F.lit("N/A")).alias("nutriscore_grade"),
+            reason,
+            score.alias("score"),
+            confidence,
+            c["url"].alias("url"),
+        )
+
+    return F.zip_with("chosen", "scores", entry)
+
+
 def with_alternatives(
     subjects: DataFrame, pools: DataFrame, config: InsightConfig = DEFAULT_CONFIG
 ) -> DataFrame:
@@ -72,31 +95,23 @@ def with_alternatives(
     pool inside its own row, so no (product, candidate) pair is ever shuffled
     or sorted across rows; reasons are written for the chosen ones only.
     """
-    ranking = F.when(F.col("any_better"), _ranking(scoring.better_score)).otherwise(
-        _ranking(scoring.discovery_score)
-    )
-
-    def entry(c: Column, score: Column) -> Column:
-        confidence = scoring.confidence(c, score)
-        return F.struct(
-            c["name"].alias("name"),
-            F.coalesce(F.upper(c["grade"]), F.lit("N/A")).alias("nutriscore_grade"),
-            scoring.reason(c, confidence).alias("reason"),
-            score.alias("score"),
-            confidence.alias("confidence"),
-            c["url"].alias("url"),
-        )
-
+    any_better = F.col("any_better")
+    ranking = F.when(any_better, _ranking(BETTER)).otherwise(_ranking(DISCOVERY))
     best = F.slice(F.sort_array(ranking), 1, config.max_results)
     picked = (
         comparable(with_pool(subjects, pools))
         # Unfolding a list of one changes nothing, but later filters stay above
         # it; Catalyst would otherwise copy the whole comparison into them.
         .select("*", F.explode(F.array(best)).alias("best"))
-        .withColumn("chosen", F.transform("best", lambda pick: F.get("choice", pick["place"])))
+        .withColumns(
+            {
+                "chosen": F.transform("best", lambda pick: F.get("choice", pick["place"])),
+                "scores": F.transform("best", lambda pick: -pick["loss"]),
+            }
+        )
         .withColumn(
             "similar_products",
-            F.zip_with("chosen", F.transform("best", lambda pick: -pick["loss"]), entry),
+            F.when(any_better, _entries(BETTER)).otherwise(_entries(DISCOVERY)),
         )
     )
     none = F.array().cast(picked.schema["similar_products"].dataType)
@@ -113,24 +128,34 @@ def scored_candidates(subjects: DataFrame, pools: DataFrame) -> DataFrame:
     """
     c = F.col("c")
     others = F.filter("pool", scoring.other_name)
-    score = F.when(scoring.is_better(c), scoring.better_score(c)).otherwise(
-        scoring.discovery_score(c)
-    )
+
+    def described(kind: Scoring) -> Column:
+        _, describe = kind
+        return F.struct(*describe(c, F.col("score")))
+
     return (
         with_pool(subjects, pools)
         .withColumns(scoring.product_side())
         .select("*", F.posexplode(others).alias("place", "c"))
-        .withColumn("score", score)
-        .withColumn("confidence", scoring.confidence(c, F.col("score")))
+        .withColumn("is_better", scoring.is_better(c))
+        .withColumn(
+            "score",
+            F.when(F.col("is_better"), scoring.better_score(c)).otherwise(
+                scoring.discovery_score(c)
+            ),
+        )
+        .withColumn(
+            "described", F.when(F.col("is_better"), described(BETTER)).otherwise(described(DISCOVERY))
+        )
         .select(
             "barcode",
             "place",
             "c.name",
             "c.url",
-            F.coalesce(F.upper("c.grade"), F.lit("N/A")).alias("nutriscore_grade"),
-            scoring.is_better(c).alias("is_better"),
+            F.coalesce("c.grade_text", F.lit("N/A")).alias("nutriscore_grade"),
+            "is_better",
             "score",
-            "confidence",
-            scoring.reason(c, F.col("confidence")).alias("reason"),
+            "described.confidence",
+            "described.reason",
         )
     )

@@ -192,7 +192,8 @@ def prompts(
             for task in (tasks or prompt_fn.TASKS)
         ]
     )
-    return rules.select("barcode", F.inline(rows)).filter(F.col("prompt").isNotNull())
+    asked = F.filter(rows, lambda row: row["prompt"].isNotNull())
+    return rules.withColumn("asked", asked).select("barcode", F.inline("asked"))
 
 
 def report(
