@@ -25,6 +25,9 @@ REASON_METRICS = [
 ]
 
 
+DISCOVERY_CONFIDENCE = fixed.DISCOVERY_CONFIDENCE
+
+
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
@@ -224,21 +227,11 @@ def discovery_reason(c: Column) -> Column:
     )
 
 
-def better_entry(c: Column, score: Column) -> list[Column]:
-    """Confidence and reason of a better graded candidate."""
-    confidence = detailed_confidence(score)
-    detailed = is_detailed(c)
-    return [
-        F.when(detailed, confidence).otherwise(fixed.SIMPLE_CONFIDENCE).alias("confidence"),
-        F.when(detailed, detailed_reason(c, confidence))
-        .otherwise(simple_reason(c))
-        .alias("reason"),
-    ]
+def better_confidence(c: Column, score: Column) -> Column:
+    return F.when(is_detailed(c), detailed_confidence(score)).otherwise(fixed.SIMPLE_CONFIDENCE)
 
 
-def discovery_entry(c: Column, score: Column) -> list[Column]:
-    """Confidence and reason of a candidate offered for want of a better one."""
-    return [
-        F.lit(fixed.DISCOVERY_CONFIDENCE).alias("confidence"),
-        discovery_reason(c).alias("reason"),
-    ]
+def better_reason(c: Column, score: Column) -> Column:
+    return F.when(is_detailed(c), detailed_reason(c, detailed_confidence(score))).otherwise(
+        simple_reason(c)
+    )

@@ -36,54 +36,55 @@ def with_pool(subjects: DataFrame, pools: DataFrame) -> DataFrame:
     )
 
 
-def comparable(pooled: DataFrame) -> DataFrame:
-    """Add ``choice``, the candidates to rank, and what comparing needs of the product.
-
-    Only better graded candidates are taken if there is any, else all. A product's
-    own name is left out here, after its category's candidates were chosen: it
-    takes one of their places, as it does in a catalog search.
-    """
-    better = F.filter("pool", lambda c: scoring.is_better(c) & scoring.other_name(c))
-    return (
-        pooled.withColumns(scoring.product_side() | {"better": better})
-        .withColumn("any_better", F.coalesce(F.size("better") > 0, F.lit(False)))
-        .withColumn(
-            "choice",
-            F.when(F.col("any_better"), F.col("better")).otherwise(
-                F.filter("pool", scoring.other_name)
-            ),
-        )
-    )
+def comparable(subjects: DataFrame, pools: DataFrame) -> DataFrame:
+    """Products with their pool and what comparing needs of them."""
+    return with_pool(subjects, pools).withColumns(scoring.product_side())
 
 
-Scoring = tuple[Callable[[Column], Column], Callable[[Column, Column], list[Column]]]
-BETTER: Scoring = (scoring.better_score, scoring.better_entry)
-DISCOVERY: Scoring = (scoring.discovery_score, scoring.discovery_entry)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _ranking(kind: Scoring) -> Column:
-    """Negated score and place of each candidate: sorts best first, ties in order."""
-    score, _ = kind
-    return F.transform(
-        "choice", lambda c, i: F.struct((-score(c)).alias("loss"), i.alias("place"))
+def _best(keep: Callable, score: Callable, most: int) -> Column:
+    """The best scored candidates among those kept, equal scores in pool order."""
+    scored = F.transform(
+        F.filter("pool", keep),
+        lambda c, i: F.struct((-score(c)).alias("loss"), i.alias("place"), c.alias("c")),
     )
+    return F.slice(F.sort_array(scored), 1, most)
 
 
-def _entries(kind: Scoring) -> Column:
-    _, describe = kind
+def best_candidates(most: int) -> Column:
+    """Better graded candidates, best first; all others only if there is none.
+
+    A product's own name is left out here, after its category's candidates were
+    chosen: it takes one of their places, as it does in a catalog search.
+
+    This is one expression on purpose: the lists in between hold up to a whole
+    pool, and each as a column of its own would be copied from row to row.
+    """
+    better = _best(
+        lambda c: scoring.is_better(c) & scoring.other_name(c), scoring.better_score, most
+    )
+    others = _best(scoring.other_name, scoring.discovery_score, most)
+    return _let(better, lambda found: F.when(F.size(found) > 0, found).otherwise(others))
 
-    def entry(c: Column, score: Column) -> Column:
-        confidence, reason = describe(c, score)
-        return F.struct(
-            c["name"].alias("name"),
-            F.coalesce(c["grade_text"], F.lit("N/A")).alias("nutriscore_grade"),
-            reason,
-            score.alias("score"),
-            confidence,
-            c["url"].alias("url"),
-        )
 
-    return F.zip_with("chosen", "scores", entry)
+def _entry(c: Column, score: Column) -> Column:
+    better = scoring.is_better(c)
+    confidence = F.when(better, scoring.better_confidence(c, score)).otherwise(
+        scoring.DISCOVERY_CONFIDENCE
+    )
+    reason = F.when(better, scoring.better_reason(c, score)).otherwise(scoring.discovery_reason(c))
+    return F.struct(
+        c["name"].alias("name"),
+        F.coalesce(c["grade_text"], F.lit("N/A")).alias("nutriscore_grade"),
+        reason.alias("reason"),
+        score.alias("score"),
+        confidence.alias("confidence"),
+        c["url"].alias("url"),
+    )
 
 
 def with_alternatives(
@@ -91,27 +92,17 @@ def with_alternatives(
 ) -> DataFrame:
     """Add ``similar_products``: the best ``max_results`` alternatives, best first.
 
-    Equal scores keep the candidates' order. Each product is compared with its
-    pool inside its own row, so no (product, candidate) pair is ever shuffled
-    or sorted across rows; reasons are written for the chosen ones only.
+    Each product is compared with its pool inside its own row, so no (product,
+    candidate) pair is ever shuffled or sorted across rows; reasons are written
+    for the chosen ones only.
     """
-    any_better = F.col("any_better")
-    ranking = F.when(any_better, _ranking(BETTER)).otherwise(_ranking(DISCOVERY))
-    best = F.slice(F.sort_array(ranking), 1, config.max_results)
     picked = (
-        comparable(with_pool(subjects, pools))
+        comparable(subjects, pools)
         # Unfolding a list of one changes nothing, but later filters stay above
         # it; Catalyst would otherwise copy the whole comparison into them.
-        .select("*", F.explode(F.array(best)).alias("best"))
-        .withColumns(
-            {
-                "chosen": F.transform("best", lambda pick: F.get("choice", pick["place"])),
-                "scores": F.transform("best", lambda pick: -pick["loss"]),
-            }
-        )
+        .select("*", F.explode(F.array(best_candidates(config.max_results))).alias("best"))
         .withColumn(
-            "similar_products",
-            F.when(any_better, _entries(BETTER)).otherwise(_entries(DISCOVERY)),
+            "similar_products", F.transform("best", lambda pick: _entry(pick["c"], -pick["loss"]))
         )
     )
     none = F.array().cast(picked.schema["similar_products"].dataType)
@@ -127,35 +118,13 @@ def scored_candidates(subjects: DataFrame, pools: DataFrame) -> DataFrame:
     ``category_depth * page_size`` rows per product.
     """
     c = F.col("c")
-    others = F.filter("pool", scoring.other_name)
-
-    def described(kind: Scoring) -> Column:
-        _, describe = kind
-        return F.struct(*describe(c, F.col("score")))
-
+    score = F.when(scoring.is_better(c), scoring.better_score(c)).otherwise(
+        scoring.discovery_score(c)
+    )
     return (
-        with_pool(subjects, pools)
-        .withColumns(scoring.product_side())
-        .select("*", F.posexplode(others).alias("place", "c"))
-        .withColumn("is_better", scoring.is_better(c))
-        .withColumn(
-            "score",
-            F.when(F.col("is_better"), scoring.better_score(c)).otherwise(
-                scoring.discovery_score(c)
-            ),
-        )
-        .withColumn(
-            "described", F.when(F.col("is_better"), described(BETTER)).otherwise(described(DISCOVERY))
-        )
-        .select(
-            "barcode",
-            "place",
-            "c.name",
-            "c.url",
-            F.coalesce("c.grade_text", F.lit("N/A")).alias("nutriscore_grade"),
-            "is_better",
-            "score",
-            "described.confidence",
-            "described.reason",
-        )
+        comparable(subjects, pools)
+        .select("*", F.posexplode(F.filter("pool", scoring.other_name)).alias("place", "c"))
+        .withColumns({"is_better": scoring.is_better(c), "score": score})
+        .select("barcode", "place", "is_better", _entry(c, F.col("score")).alias("entry"))
+        .select("barcode", "place", "is_better", "entry.*")
     )
