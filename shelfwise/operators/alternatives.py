@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.config import DEFAULT_CONFIG, InsightConfig
 from shelfwise.functions import scoring
 
-# Products without any category get spread join keys of their own, so that they
-# do not meet in one partition. Paths with a pool always use key 0.
+# Products without any category are spread over this many join keys of their own.
 _SPREAD = 4096
 
 
@@ -21,18 +20,19 @@ def with_pool(subjects: DataFrame, pools: DataFrame) -> DataFrame:
     Catalyst broadcasts the pools if they are small and shuffles on the path
     otherwise. A path shared by much of the catalog then lands in one partition,
     which adaptive execution splits: the pool side has one row per path to copy.
+    It does so only between two exchanges made for the join. The key is therefore
+    built here, with a mark in front, so that the pools' partitioning by path is
+    not taken over; the mark also keeps products without a path apart.
     """
-    spread = F.when(
-        F.size("category_path") == 0, F.pmod(F.xxhash64("barcode"), F.lit(_SPREAD)) + 1
-    ).otherwise(F.lit(0).cast("bigint"))
+    bare = F.pmod(F.xxhash64("barcode"), F.lit(_SPREAD)).cast("string")
+    mark = F.when(F.size("category_path") > 0, "").otherwise(bare)
+    keyed = pools.select(
+        F.concat(F.array(F.lit("")), "category_path").alias("_path_key"), "pool"
+    )
     return (
-        subjects.withColumn("_spread", spread)
-        .join(
-            pools.withColumn("_spread", F.lit(0).cast("bigint")),
-            ["category_path", "_spread"],
-            "left",
-        )
-        .drop("_spread")
+        subjects.withColumn("_path_key", F.concat(F.array(mark), "category_path"))
+        .join(keyed, "_path_key", "left")
+        .drop("_path_key")
     )
 
 
@@ -96,14 +96,14 @@ def with_alternatives(
     candidate) pair is ever shuffled or sorted across rows; reasons are written
     for the chosen ones only.
     """
+    candidates = F.transform("best", lambda pick: pick["c"])
+    scores = F.transform("best", lambda pick: -pick["loss"])
     picked = (
         comparable(subjects, pools)
         # Unfolding a list of one changes nothing, but later filters stay above
         # it; Catalyst would otherwise copy the whole comparison into them.
         .select("*", F.explode(F.array(best_candidates(config.max_results))).alias("best"))
-        .withColumn(
-            "similar_products", F.transform("best", lambda pick: _entry(pick["c"], -pick["loss"]))
-        )
+        .withColumn("similar_products", F.zip_with(candidates, scores, _entry))
     )
     none = F.array().cast(picked.schema["similar_products"].dataType)
     return picked.select(

@@ -62,11 +62,15 @@ def path_candidates(paths: DataFrame, shelves: DataFrame) -> DataFrame:
     candidate), the first of equal (name, address) pairs kept, unnamed ones
     dropped. At most ``category_depth * page_size`` rows per path.
     """
+    # A broad slug may be part of very many paths. A key built for this join gives
+    # it an exchange on both sides, which adaptive execution needs to split it.
+    slug_key = F.array("slug").alias("_slug_key")
     rows = (
         paths.select(
             "category_path", F.posexplode("category_path").alias("level", "slug")
         )
-        .join(shelves, "slug")
+        .select("category_path", "level", slug_key)
+        .join(shelves.select(slug_key, "shelf"), "_slug_key")
         # Deduplication and the list per path both need this partitioning; the
         # shelves travel as arrays and are unfolded behind the exchange.
         .repartition("category_path")
