@@ -37,9 +37,9 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_facts(derived.catalog(spark, sf_dir), RULES)
 
 
-def _of_facts(*columns: Column | str) -> Query:
-    """A projection of the typed product frame."""
-    return lambda spark, sf_dir: _facts(spark, sf_dir).select("barcode", *columns)
+def _of_facts(columns: Callable[[], list[Column | str]]) -> Query:
+    """A projection of the typed product frame. Columns need a session, so they come late."""
+    return lambda spark, sf_dir: _facts(spark, sf_dir).select("barcode", *columns())
 
 
 def _of_catalog(job: Callable[[DataFrame], DataFrame]) -> Query:
@@ -214,36 +214,47 @@ def entry(spark: SparkSession) -> DataFrame:
     return alternatives_topn(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Query]:
-    nutrients = ["fat", "sugars", "salt", "saturated_fat", "proteins", "fiber", "energy_kcal"]
+def _slug_columns() -> list[Column | str]:
     category_tags = F.col("categories_tags")
+    return [
+        tags.first_slug(category_tags).alias("first_slug"),
+        tags.last_slug(category_tags).alias("last_slug"),
+        listed("category_path", ">").alias("path"),
+        tags.is_candy_like(category_tags).alias("is_candy"),
+    ]
+
+
+def _nutrient_columns() -> list[Column | str]:
+    nutrients = ["fat", "sugars", "salt", "saturated_fat", "proteins", "fiber", "energy_kcal"]
+    return [*nutrients, scoring.known_metrics().alias("known_metrics")]
+
+
+def _indicator_columns(indicators: Callable[[], Column]) -> list[Column | str]:
+    return [F.size(indicators()).alias("n"), listed(indicators()).alias("indicators")]
+
+
+def queries() -> dict[str, Query]:
     return {
         "catalog_scan": catalog_scan,
         "safe_conversions": safe_conversions,
-        "nutrient_extract": _of_facts(*nutrients, scoring.known_metrics().alias("known_metrics")),
-        "grade_normalise": _of_facts("nutriscore_grade", "grade", "grade_rank", "nova"),
-        "category_slugs": _of_facts(
-            tags.first_slug(category_tags).alias("first_slug"),
-            tags.last_slug(category_tags).alias("last_slug"),
-            listed("category_path", ">").alias("path"),
-            tags.is_candy_like(category_tags).alias("is_candy"),
-        ),
+        "nutrient_extract": _of_facts(_nutrient_columns),
+        "grade_normalise": _of_facts(lambda: ["nutriscore_grade", "grade", "grade_rank", "nova"]),
+        "category_slugs": _of_facts(_slug_columns),
         "allergen_names": _of_facts(
-            listed(tags.allergen_names(F.col("allergens_tags")), ", ").alias("names")
+            lambda: [listed(tags.allergen_names(F.col("allergens_tags")), ", ").alias("names")]
         ),
         "additive_names": _of_facts(
-            listed(tags.additive_names(F.col("additives_tags")), ", ").alias("names")
+            lambda: [listed(tags.additive_names(F.col("additives_tags")), ", ").alias("names")]
         ),
-        "risk_indicators": _of_facts(
-            F.size(risk_indicators()).alias("n"), listed(risk_indicators()).alias("indicators")
+        "risk_indicators": _of_facts(lambda: _indicator_columns(risk_indicators)),
+        "positive_indicators": _of_facts(lambda: _indicator_columns(positive_indicators)),
+        "explain_nutriscore": _of_facts(
+            lambda: [texts.nutriscore_explanation().alias("nutriscore")]
         ),
-        "positive_indicators": _of_facts(
-            F.size(positive_indicators()).alias("n"),
-            listed(positive_indicators()).alias("indicators"),
+        "explain_nova": _of_facts(lambda: [texts.nova_explanation().alias("nova")]),
+        "nutrient_density": _of_facts(
+            lambda: [texts.nutrient_density().alias("nutrient_density")]
         ),
-        "explain_nutriscore": _of_facts(texts.nutriscore_explanation().alias("nutriscore")),
-        "explain_nova": _of_facts(texts.nova_explanation().alias("nova")),
-        "nutrient_density": _of_facts(texts.nutrient_density().alias("nutrient_density")),
         "summary_text": _of_catalog(lambda c: shelfwise.summarise(c, config=RULES)),
         "text_precedence": _with_replies(text_precedence),
         "barcode_from_url": lambda spark, sf_dir: requested(derived.requests(spark, sf_dir)),
