@@ -24,15 +24,47 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*parts, F.lit(template[end:]))
 
 
+# Amounts as the prompts name them, in their order.
+LISTED = {"Energy": "energy", "Protein": "protein", "Fat": "fat", "Carbs": "carbs", "Fiber": "fiber"}
+GRADED = ["fat", "saturated_fat", "sugars", "proteins", "fiber"]
+ANALYSED = {
+    "fat": "fat",
+    "sugar": "sugars",
+    "salt": "salt",
+    "protein": "proteins",
+    "fiber": "fiber",
+    "saturated_fat": "saturated_fat",
+}
+
+
+def printed_amounts() -> dict[str, Column]:
+    """Columns with the printed amounts, to add before the prompts are put together.
+
+    They are lists, as number formatting is bulky generated code: written out
+    for each amount it would make a method too large for the JVM to compile.
+    """
+
+    def line(entry: Column) -> Column:
+        text = F.concat(
+            F.lit("  - "), entry["label"], F.lit(": "), decimals_text(entry["amount"], 1), F.lit("g/100g")
+        )
+        return F.when(entry["amount"] > 0, text)
+
+    entries = [
+        F.struct(F.lit(label).alias("label"), F.col(f"per_100g_{name}").alias("amount"))
+        for label, name in LISTED.items()
+    ]
+    return {
+        "listed_amounts": F.transform(F.array(*entries), line),
+        "graded_amounts": F.transform(F.array(*GRADED), lambda v: decimals_text(v, 1)),
+        "analysed_amounts": F.transform(F.array(*ANALYSED.values()), shortest_text),
+    }
+
+
 def pairings_prompt() -> Column:
     """Null for products without a specific category: none is asked for them."""
     category = last_slug(F.col("categories_tags"))
-    lines = []
-    for name in ("energy", "protein", "fat", "carbs", "fiber"):
-        amount = F.col(f"per_100g_{name}")
-        line = F.concat(F.lit(f"  - {name.title()}: "), decimals_text(amount, 1), F.lit("g/100g"))
-        lines.append(F.when(amount > 0, line))
-    listed = F.concat_ws("\n", *lines)
+    listed = F.array_join("listed_amounts", "\n")
     prompt = fill(
         fixed.PAIRINGS_PROMPT,
         name=text_or(F.col("product_name"), "Unknown product"),
@@ -55,10 +87,7 @@ def summary_prompt() -> Column:
 
 def nutriscore_prompt() -> Column:
     """Null unless the grade is one of the five."""
-    amounts = {
-        name: decimals_text(F.col(name), 1)
-        for name in ("fat", "saturated_fat", "sugars", "proteins", "fiber")
-    }
+    amounts = {name: F.get("graded_amounts", F.lit(i)) for i, name in enumerate(GRADED)}
     prompt = fill(
         fixed.NUTRISCORE_PROMPT,
         name=F.coalesce("product_name", F.lit("product")),
@@ -88,16 +117,9 @@ def _listed(items: Column) -> Column:
 
 
 def insights_prompt(risks: Column, positives: Column) -> Column:
-    amounts = [
-        ("fat", "fat"),
-        ("sugar", "sugars"),
-        ("salt", "salt"),
-        ("protein", "proteins"),
-        ("fiber", "fiber"),
-        ("saturated_fat", "saturated_fat"),
-    ]
     entries = [
-        F.concat(F.lit(f"'{label}': "), shortest_text(F.col(name))) for label, name in amounts
+        F.concat(F.lit(f"'{label}': "), F.get("analysed_amounts", F.lit(i)))
+        for i, label in enumerate(ANALYSED)
     ]
     return fill(
         fixed.INSIGHTS_PROMPT,

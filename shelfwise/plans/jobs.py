@@ -23,6 +23,7 @@ from shelfwise.sources.schema import product_facts
 
 resolve_requests = request_op.found
 requests_not_found = request_op.not_found
+requested_products = request_op.requested_products
 
 
 def _no_replies(subjects: DataFrame) -> DataFrame:
@@ -178,6 +179,7 @@ def prompts(
     """Prompts to send to a model: (barcode, task, prompt), from one catalog scan."""
     rules = product_facts(catalog, config).withColumns(
         {"risks": indicators.risk_indicators(), "positives": indicators.positive_indicators()}
+        | prompt_fn.printed_amounts()
     )
     texts_by_task = {
         "pairings": prompt_fn.pairings_prompt(),
@@ -192,8 +194,7 @@ def prompts(
             for task in (tasks or prompt_fn.TASKS)
         ]
     )
-    asked = F.filter(rows, lambda row: row["prompt"].isNotNull())
-    return rules.withColumn("asked", asked).select("barcode", F.inline("asked"))
+    return rules.select("barcode", F.inline(rows)).filter(F.col("prompt").isNotNull())
 
 
 def report(

@@ -87,6 +87,25 @@ def test_report_is_nested_and_written(spark, products, peanut_butter, oats, tmp_
     )
 
 
+def test_jobs_run_from_files_to_files(spark, products, peanut_butter, oats, tmp_path):
+    from shelfwise.__main__ import arguments, run
+
+    catalog, out = str(tmp_path / "catalog"), str(tmp_path / "out")
+    products(peanut_butter, {**oats, "categories_tags": ["en:spreads"]}).write.parquet(catalog)
+    requests(spark, "0000000000000", "0000000000000", "9").write.parquet(str(tmp_path / "requests"))
+    run(spark, arguments(["report", "--catalog", catalog, "--out", out, "--fallback",
+                          "--requests", str(tmp_path / "requests")]))
+    row, = spark.read.parquet(f"{out}/report").collect()
+    assert row.product.name == "Smooth Kraft Peanut Butter"
+    assert [s.name for s in row.similar_products] == ["Organic Oats"]
+    assert spark.read.parquet(f"{out}/not_found").count() == 1
+    run(spark, arguments(["pools", "--catalog", catalog, "--out", f"{out}/pools"]))
+    run(spark, arguments(["alternatives", "--catalog", catalog, "--out", out, "--pools", f"{out}/pools"]))
+    assert spark.read.parquet(f"{out}/alternatives").count() == 2
+    run(spark, arguments(["prompts", "--catalog", catalog, "--out", f"{out}/prompts"]))
+    assert spark.read.parquet(f"{out}/prompts").count() == 10
+
+
 def test_report_covers_each_requested_product_once(spark, products):
     catalog = products({"product_name": "x"}, {"product_name": "y"})
     asked = requests(spark, "0000000000001", "0000000000001", "5", "https://food.example/none")
