@@ -58,6 +58,8 @@ def main() -> None:
             frame.repartition(cpus).write.parquet(f"{folder}/{name}")
             inputs[name] = spark.read.parquet(f"{folder}/{name}")
         catalog, requests, replies = inputs["catalog"], inputs["requests"], inputs["replies"]
+        shelfwise.pools(catalog, config=RULES).write.parquet(f"{folder}/pools")
+        pools = spark.read.parquet(f"{folder}/pools")
         views = derived.views(derived.table(spark, sf_dir, "events"))
 
         jobs = {
@@ -70,6 +72,7 @@ def main() -> None:
             "prompts": lambda: shelfwise.prompts(catalog),
             "category_pools": lambda: shelfwise.pools(catalog, config=RULES),
             "alternatives": lambda: shelfwise.alternatives(catalog, config=RULES),
+            "alternatives_stored_pools": lambda: shelfwise.alternatives(catalog, pools=pools, config=RULES),
             "resolve_requests": lambda: shelfwise.resolve_requests(requests, catalog),
             "requests_not_found": lambda: shelfwise.requests_not_found(requests, catalog),
             "report": lambda: shelfwise.report(catalog, replies=replies, config=RULES),

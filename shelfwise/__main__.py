@@ -19,7 +19,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--out", required=True, help="folder for the result")
     parser.add_argument("--requests", help="products to report on; default: the whole catalog")
     parser.add_argument("--replies", help="model replies to merge in")
-    parser.add_argument("--pools", help="stored result of the pools job")
+    parser.add_argument("--pools", help="stored result of the pools job (parquet)")
     parser.add_argument("--format", default="parquet", choices=["parquet", "orc", "json"])
     parser.add_argument("--fallback", action="store_true", help="use rules where replies lack")
     parser.add_argument("--max-results", type=int, default=5)
@@ -31,7 +31,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
     fmt = options.format
     catalog = read_catalog(spark, options.catalog, fmt)
     if options.job == "pools":
-        write_report(jobs.pools(catalog, config=config), options.out, fmt)
+        write_report(jobs.pools(catalog, config=config), options.out)
         return
     if options.job == "prompts":
         write_report(jobs.prompts(catalog, config=config), options.out, fmt)
@@ -44,7 +44,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
         asked = stage(jobs.requested_products(requests, catalog), "requested")
     # A stored table has a known size: Catalyst broadcasts it or not accordingly.
     pools = (
-        spark.read.format(fmt).load(options.pools)
+        spark.read.parquet(options.pools)
         if options.pools
         else stage(jobs.pools(catalog, asked, config), "pools")
     )
