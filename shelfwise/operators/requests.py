@@ -27,7 +27,7 @@ def not_found(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     asked = requested(requests)
     unreadable = asked.filter(F.col("barcode").isNull()).withColumn(
-        "error", F.concat(F.lit(NO_BARCODE_IN_URL), F.col("barcode_or_url"))
+        "error", F.concat(F.lit(NO_BARCODE_IN_URL), F.coalesce("barcode_or_url", F.lit("")))
     )
     unknown = (
         asked.filter(F.col("barcode").isNotNull())
