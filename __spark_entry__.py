@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import sys
 import uuid
 from collections.abc import Callable
@@ -233,7 +234,8 @@ def _indicator_columns(indicators: Callable[[], Column]) -> list[Column | str]:
     return [F.size(indicators()).alias("n"), listed(indicators()).alias("indicators")]
 
 
-def queries() -> dict[str, Query]:
+def library_queries() -> dict[str, Query]:
+    """The queries of the library itself."""
     return {
         "catalog_scan": catalog_scan,
         "safe_conversions": safe_conversions,
@@ -298,5 +300,21 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _training_data():
+    """The module of the training-data queries, or None where that subpackage is not installed."""
+    try:
+        return importlib.import_module("shelfwise.llm.queries")
+    except ModuleNotFoundError as error:
+        if (error.name or "").startswith("shelfwise.llm"):
+            return None
+        raise
+
+
+def queries() -> dict[str, Query]:
+    more = _training_data()
+    return {**library_queries(), **(more.queries() if more else {})}
+
+
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    more = _training_data()
+    return {**oracles.oracle_sql(), **(more.oracle_sql() if more else {})}

@@ -12,12 +12,12 @@ def connection(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.library_queries()) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.library_queries()))
 def test_query_equals_sql(spark, sf_dir, connection, name):
-    found = entry.queries()[name](spark, sf_dir)
+    found = entry.library_queries()[name](spark, sf_dir)
     assert differences(found, connection.sql(entry.oracle_sql()[name])) is None
 
 
