@@ -2,27 +2,77 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import oracles
+from shelfwise.llm.decontaminate import contamination
+from shelfwise.llm.mixing import mixed
 from shelfwise.llm.near_dups import near_duplicates
+from shelfwise.llm.pii import personal_data
 from shelfwise.llm.shipping import ship
-from shelfwise.llm.tables import table
+from shelfwise.llm.tables import doc_fold, table
+from shelfwise.llm.toxicity import toxicity, trained_machine
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixed(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "kept"
+    )
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    documents = table(spark, sf_dir, "documents")
+    machine = trained_machine(documents, table(spark, sf_dir, "labels"), doc_fold(4) != 2)
+    scored = toxicity(documents, machine)
+    return scored.select("doc_id", F.coalesce(doc_fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    own = [op3_near_duplicates]
+    own = [
+        op1_mixing,
+        op2_personal_data,
+        op3_near_duplicates,
+        op4_toxicity,
+        op8_decontamination,
+        pipeline,
+    ]
     return {query.__name__: query for query in own}
 
 
