@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import oracles
 from shelfwise.llm.decontaminate import contamination
+from shelfwise.llm.html_text import extracted
 from shelfwise.llm.mixing import mixed
 from shelfwise.llm.near_dups import near_duplicates
 from shelfwise.llm.pii import personal_data
+from shelfwise.llm.quality import quality, trained_chain
 from shelfwise.llm.shipping import ship
 from shelfwise.llm.tables import doc_fold, table
+from shelfwise.llm.topk import exact_top_k
 from shelfwise.llm.toxicity import toxicity, trained_machine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +49,25 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(doc_fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    documents = table(spark, sf_dir, "documents")
+    chain = trained_chain(documents, table(spark, sf_dir, "labels"), doc_fold(5) != 0)
+    scored = quality(documents, chain)
+    held_out = F.coalesce(doc_fold(5) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -70,6 +92,9 @@ def queries() -> dict[str, Query]:
         op2_personal_data,
         op3_near_duplicates,
         op4_toxicity,
+        op5_main_text,
+        op6_exact_top_k,
+        op7_quality,
         op8_decontamination,
         pipeline,
     ]
