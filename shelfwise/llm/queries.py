@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from shelfwise.llm import oracles
 from shelfwise.llm.decontaminate import contamination
 from shelfwise.llm.html_text import extracted
+from shelfwise.llm.licenses import licenses
 from shelfwise.llm.mixing import mixed
 from shelfwise.llm.near_dups import near_duplicates
 from shelfwise.llm.pii import personal_data
 from shelfwise.llm.quality import quality, trained_chain
 from shelfwise.llm.shipping import ship
 from shelfwise.llm.tables import doc_fold, table
+from shelfwise.llm.token_counts import document_token_counts
 from shelfwise.llm.topk import exact_top_k
 from shelfwise.llm.toxicity import toxicity, trained_machine
 
@@ -82,6 +84,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return document_token_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -96,6 +107,8 @@ def queries() -> dict[str, Query]:
         op6_exact_top_k,
         op7_quality,
         op8_decontamination,
+        op9_token_counts,
+        op10_licenses,
         pipeline,
     ]
     return {query.__name__: query for query in own}
