@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
+from __future__ import annotations
+
+from shelfwise.llm import licenses, mixing
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,5 +48,141 @@ def op3() -> str:
     return f"WITH RECURSIVE {near_duplicates_sql()} SELECT doc_id, n_shingles, component_id, kept FROM near_dups"
 
 
+def op6() -> str:
+    return """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM scored
+)
+SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 5"""
+
+
+def op8() -> str:
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all({_lower('text')}, '{pattern}') AS w FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all({_lower('text')}, '{pattern}') AS w FROM benchmark
+), lengths AS (
+  SELECT DISTINCT least(len(w), 13) AS n FROM item_words WHERE len(w) > 0
+), item_windows AS (
+  SELECT DISTINCT item_id, n, g FROM (
+    SELECT item_id, least(len(w), 13) AS n,
+      unnest([array_to_string(w[i : i + least(len(w), 13) - 1], ' ') for i in range(1, len(w) - least(len(w), 13) + 2)]) AS g
+    FROM item_words WHERE len(w) > 0)
+), doc_windows AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i,
+    unnest([array_to_string(w[i : i + n - 1], ' ') for i in range(1, len(w) - n + 2)]) AS g
+  FROM doc_words, lengths WHERE len(w) >= n
+), found AS (
+  SELECT d.doc_id, d.i, d.n, b.item_id FROM doc_windows d JOIN item_windows b ON d.n = b.n AND d.g = b.g
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated
+FROM doc_words w LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+
+def op10() -> str:
+    """Templates by the positions of their shingles, without windows, bands or a gate."""
+    rows = []
+    for name, text in licenses.TEMPLATES.items():
+        words = licenses.plain_words(text)
+        size, window, step = licenses.shape(len(words))
+        shingles = dict.fromkeys(" ".join(words[i : i + size]) for i in range(len(words) - size + 1))
+        rows += [f"('{name}', {size}, {window + step}, {len(shingles)}, '{g}')" for g in shingles]
+    return f"""
+WITH templates(license, size, reach, total, g) AS (VALUES {', '.join(rows)}
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all({_lower('text')}, '[a-z0-9]+') AS w FROM documents
+), sizes AS (
+  SELECT DISTINCT size FROM templates
+), grams AS (
+  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS i,
+    unnest([array_to_string(w[i : i + size - 1], ' ') for i in range(1, len(w) - size + 2)]) AS g
+  FROM doc_words, sizes WHERE len(w) >= size
+), hits AS (
+  SELECT doc_id, license, reach, total, i, grams.g FROM grams JOIN templates USING (size, g)
+), stretches AS (
+  SELECT a.doc_id, a.license, a.i, any_value(a.total) AS total, count(DISTINCT b.g) AS n
+  FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.license = b.license AND b.i >= a.i AND b.i < a.i + a.reach
+  GROUP BY a.doc_id, a.license, a.i
+), held AS (
+  SELECT DISTINCT doc_id, license FROM stretches WHERE 100 * n >= {licenses.PERCENT} * total
+), listed AS (
+  SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS l FROM held GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(l, '') AS licenses
+FROM doc_words w LEFT JOIN listed USING (doc_id)"""
+
+
+def op1() -> str:
+    dimensions, power = mixing.DIMENSIONS, 48
+    uniform = "CAST(CAST('0x' || substr(md5({}), 1, 12) AS BIGINT) AS DOUBLE) / " + f"CAST({2**power} AS DOUBLE)"
+    word = r"[^\x20\x09-\x0D]+"
+    same = "c.{0} IS NOT DISTINCT FROM f.value"
+    parts = [
+        f"""facts AS (
+  SELECT doc_id, source, lang, CAST(floor({uniform.format(f"regexp_extract(coalesce(text, ''), '{word}')")} * {mixing.TOPICS}) AS INTEGER) AS topic,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '{word}')) AS BIGINT) AS n_tokens FROM documents
+)""",
+        "w0 AS (SELECT source, lang, topic, sum(n_tokens) AS tokens, CAST(sum(n_tokens) AS DOUBLE) AS weight"
+        " FROM facts GROUP BY source, lang, topic)",
+    ]
+    for name in dimensions:
+        temper = 0.0 if name == "topic" else mixing.TEMPER
+        parts.append(
+            f"goal_{name} AS (SELECT value, p / sum(p) OVER () AS share FROM (SELECT {name} AS value,"
+            f" pow(CAST(sum(tokens) AS DOUBLE), {temper}) AS p FROM w0 GROUP BY {name} HAVING sum(tokens) > 0))"
+        )
+    k = 0
+    for _ in range(mixing.ROUNDS):
+        for name in dimensions:
+            parts.append(
+                f"w{k + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.weight * coalesce(f.factor, 0) AS weight FROM w{k} c"
+                f" LEFT JOIN (SELECT s.value, g.share / s.held AS factor FROM (SELECT {name} AS value, sum(weight) AS held FROM w{k}"
+                f" GROUP BY {name} HAVING sum(weight) > 0) s JOIN goal_{name} g ON s.value IS NOT DISTINCT FROM g.value) f"
+                f" ON {same.format(name)})"
+            )
+            k += 1
+    parts.append(
+        f"live AS MATERIALIZED (SELECT source, lang, topic, CAST(tokens AS DOUBLE) AS tokens, weight, weight / tokens AS rate FROM w{k}"
+        " WHERE tokens > 0 AND weight > 0)"
+    )
+    parts.append("f0 AS MATERIALIZED (SELECT CAST(0 AS DOUBLE) AS factor)")
+    for r in range(12):
+        parts.append(
+            f"f{r + 1} AS MATERIALIZED (SELECT greatest(f{r}.factor, coalesce(({mixing.KEEP_SHARE} * (SELECT sum(tokens) FROM w0)"
+            f" - coalesce(sum(l.tokens) FILTER (l.rate * f{r}.factor >= 1), 0))"
+            f" / sum(l.weight) FILTER (l.rate * f{r}.factor < 1), 0)) AS factor FROM live l, f{r} GROUP BY f{r}.factor)"
+        )
+    parts.append("chances AS (SELECT l.*, least(1.0, l.rate * f12.factor) AS p FROM live l, f12)")
+    return f"""
+WITH {', '.join(parts)}
+SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(coalesce(c.p, 0), 9) AS probability,
+  {uniform.format("coalesce(CAST(d.doc_id AS VARCHAR), 'null')")} < coalesce(c.p, 0) AS kept
+FROM facts d LEFT JOIN chances c ON d.source IS NOT DISTINCT FROM c.source AND d.lang IS NOT DISTINCT FROM c.lang
+  AND d.topic IS NOT DISTINCT FROM c.topic"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_duplicates": op3()}
+    return {
+        "op1_mixing": op1(),
+        "op3_near_duplicates": op3(),
+        "op6_exact_top_k": op6(),
+        "op8_decontamination": op8(),
+        "op10_licenses": op10(),
+    }
