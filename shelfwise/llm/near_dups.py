@@ -11,9 +11,12 @@ Candidates are confirmed on the full shingle sets. Work inside a bucket of equal
 never grows with the square of a group of copies:
 
 1. equal shingle sets form a class, of which only the smallest id goes on;
-2. each member of a bucket is compared with the bucket's smallest id;
-3. only members of a bucket that are *still in different components* are compared with
-   each other, if their signatures are within the distance.
+2. each member of a bucket is compared with one pivot, first the bucket's smallest id,
+   then, where members are still in different components, one drawn by hash;
+3. members that are *then still in different components* are compared with each other at
+   the first key they share, in pairs of blocks of bounded size: first by signature, which
+   leaves the rows that have a partner within the distance, then by their full sets. Out
+   of a pair of blocks come rows or links, never candidate pairs.
 
 Two linked texts that share a bucket are therefore in one component at the end.
 """
@@ -150,27 +153,176 @@ def shingle_sets(documents: DataFrame, shingle_words: int) -> DataFrame:
     return ids.mapInArrow(_set_batches(shingle_words), SETS_SCHEMA)
 
 
+def _masked(sig: Column, wiped: int) -> Column:
+    signed = wiped - (1 << 64) if wiped >= 1 << 63 else wiped
+    return sig.bitwiseAND(F.lit(signed).cast("long"))
+
+
 def _keys() -> Column:
-    """All bucket keys of a signature: every chunk under every allowed error."""
-    made = []
-    for c in range(CHUNKS):
-        for k, wiped in enumerate(_WIPED):
-            signed = wiped - (1 << 64) if wiped >= 1 << 63 else wiped
-            masked = F.col(f"sig{c}").bitwiseAND(F.lit(signed).cast("long"))
-            made.append(F.xxhash64(F.lit(4 * c + k), masked))
-    return F.explode(F.array(*made))
-
-
-def _distance(left: str, right: str) -> Column:
-    """Components in which two signatures differ: fold each 16 bits onto the lowest and count."""
-    total = None
-    for c in range(CHUNKS):
-        x = F.col(f"{left}.sig{c}").bitwiseXOR(F.col(f"{right}.sig{c}"))
-        for shift in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        part = F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001).cast("long")))
-        total = part if total is None else total + part
-    return total
+    """All bucket keys of a signature, by slot: every chunk under every allowed error."""
+    return F.array(
+        *(
+            F.xxhash64(F.lit(len(_WIPED) * c + k), _masked(F.col(f"sig{c}"), wiped))
+            for c in range(CHUNKS)
+            for k, wiped in enumerate(_WIPED)
+        )
+    )
+
+
+def _first_slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first slot in which pairs of signatures (pairs, COMPONENTS) have the same key, or -1."""
+    equal = (left == right).reshape(len(left), CHUNKS, -1)
+    errors = (~equal).sum(axis=2)
+    chunk = (errors <= CHUNK_ERRORS).argmax(axis=1)
+    at = np.arange(len(left))
+    wiped = np.where(errors[at, chunk] == 0, 0, equal[at, chunk].argmin(axis=1))
+    return np.where(errors[at, chunk] <= CHUNK_ERRORS, len(_WIPED) * chunk + wiped, -1)
+
+
+#: Rows of a block of signatures and of a block of sets, and pairs looked at together.
+SIGNATURE_BLOCK = 512
+SET_BLOCK = 128
+PAIRS_AT_ONCE = 1 << 17
+_SET_SLICE = 4096
+
+
+def _blocks(rows: DataFrame, size: int, payload: list[str]) -> DataFrame:
+    """Rows of each key in blocks of about ``size``, paired with the blocks of the same key.
+
+    A key's rows are dealt out by id, so no group grows with the key; a block also meets
+    itself. The columns of the second block end in ``_y``.
+    """
+    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / size).alias("n_blocks"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks"))
+    made = (
+        rows.join(counts, "key")
+        .groupBy("key", "slot", block.alias("block"))
+        .agg(F.collect_list(F.struct(*payload)).alias("rows"))
+        .select("key", "slot", "block", *(F.col(f"rows.{c}").alias(c) for c in payload))
+    )
+    made = stage(made, "blocks")
+    x, y = made.alias("x"), made.alias("y")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block"))).select(
+        "x.key",
+        "x.slot",
+        (F.col("x.block") == F.col("y.block")).alias("same"),
+        *(F.col(f"x.{c}").alias(c) for c in payload),
+        *(F.col(f"y.{c}").alias(f"{c}_y") for c in payload),
+    )
+
+
+def _pair_index(n: int, m: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    if same:
+        return np.triu_indices(n, 1)
+    return np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+
+
+def _partner_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of block pairs that have a partner in another component within the distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = {}
+            for name in ("doc_id", "part", "n_b", *(f"sig{c}" for c in range(CHUNKS))):
+                for suffix in ("", "_y"):
+                    fields[name + suffix] = batch.column(name + suffix).flatten().to_numpy()
+            lists = {s: batch.column("doc_id" + s) for s in ("", "_y")}
+            firsts = {s: np.concatenate(([0], np.cumsum(np.diff(v.offsets.to_numpy())))) for s, v in lists.items()}
+            signature = {
+                s: np.stack([fields[f"sig{c}{s}"] for c in range(CHUNKS)], axis=1).view(np.uint16)
+                for s in ("", "_y")
+            }
+            keys, slots = batch.column("key").to_numpy(), batch.column("slot").to_numpy()
+            same = batch.column("same").to_pylist()
+            left, right, owner, held, out = [], [], [], 0, []
+
+            def looked_at() -> None:
+                a, b, row = map(np.concatenate, (left, right, owner))
+                n_a, n_b = fields["n_b"][a], fields["n_b_y"][b]
+                keep = (fields["part"][a] != fields["part_y"][b]) & (
+                    np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent
+                )
+                a, b, row = a[keep], b[keep], row[keep]
+                keep = (signature[""][a] != signature["_y"][b]).sum(axis=1) <= MAX_DISTANCE
+                a, b, row = a[keep], b[keep], row[keep]
+                keep = _first_slots(signature[""][a], signature["_y"][b]) == slots[row]
+                a, b, row = a[keep], b[keep], row[keep]
+                if len(a):
+                    ids = np.concatenate((fields["doc_id"][a], fields["doc_id_y"][b]))
+                    out.append(np.unique(np.stack((np.tile(keys[row], 2), np.tile(slots[row], 2), ids)), axis=1))
+
+            for k in range(batch.num_rows):
+                n, m = firsts[""][k + 1] - firsts[""][k], firsts["_y"][k + 1] - firsts["_y"][k]
+                a, b = _pair_index(n, m, same[k])
+                left.append(a + firsts[""][k])
+                right.append(b + firsts["_y"][k])
+                owner.append(np.full(len(a), k))
+                held += len(a)
+                if held >= PAIRS_AT_ONCE:
+                    looked_at()
+                    left, right, owner, held = [], [], [], 0
+            if held:
+                looked_at()
+            if out:
+                found = np.unique(np.concatenate(out, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[0]), pa.array(found[1].astype(np.int32)), pa.array(found[2])],
+                    names=["key", "slot", "doc_id"],
+                )
+
+    return run
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of two lists of sets.
+
+    Products of 0-1 matrices, a slice of the shared values at a time, so memory doesn't
+    grow with the sets.
+    """
+    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    sides = []
+    for sets in (left, right):
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        sides.append((values[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]))
+    shared = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    for first in range(0, len(shared), _SET_SLICE):
+        part = shared[first : first + _SET_SLICE]
+        marks = []
+        for (values, rows), n in zip(sides, total.shape):
+            a, b = np.searchsorted(values, part[0]), np.searchsorted(values, part[-1], "right")
+            at = np.searchsorted(part, values[a:b])
+            known = part[at] == values[a:b]
+            mark = np.zeros((n, len(part)), dtype=np.float32)
+            mark[rows[a:b][known], at[known]] = 1
+            marks.append(mark)
+        total += marks[0] @ marks[1].T
+    return total.astype(np.int64)
+
+
+def _link_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between components, confirmed on the full sets of block pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                side = []
+                for s in ("", "_y"):
+                    ids, parts = (np.asarray(batch.column(c + s)[k].as_py()) for c in ("doc_id", "part"))
+                    lists = batch.column("shingles" + s)[k].values
+                    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+                    side.append((ids, parts, [values[a:b] for a, b in zip(ends[:-1], ends[1:])]))
+                (ids, parts, sets), (ids_y, parts_y, sets_y) = side
+                common = common_counts(sets, sets_y)
+                sizes = np.add.outer([len(x) for x in sets], [len(x) for x in sets_y])
+                linked = (common * 100 >= (sizes - common) * percent) & (parts[:, None] != parts_y)
+                a, b = np.nonzero(linked)
+                out.append(np.stack((np.minimum(ids[a], ids_y[b]), np.maximum(ids[a], ids_y[b]))))
+            found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    return run
 
 
 def _similar(percent: int, n_a: str, n_b: str) -> Column:
@@ -191,6 +343,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with the component as ``part``."""
+    named = members.join(found.withColumnRenamed("node", "b"), "b", "left").withColumn(
+        "part", F.coalesce("component", "b")
+    )
+    several = (
+        named.groupBy("key")
+        .agg(F.min("part").alias("low"), F.max("part").alias("high"))
+        .filter(F.col("low") < F.col("high"))
+    )
+    return named.join(several, "key", "left_semi").select("key", "slot", "b", "n_b", "part")
+
+
 def near_duplicates(
     documents: DataFrame, shingle_words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -215,7 +380,9 @@ def near_duplicates(
     )
     classes = stage(classes.select("set_a", "set_b", "first.*"), "classes")
 
-    keys = classes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), _keys().alias("key"))
+    keys = classes.select(
+        F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.posexplode(_keys()).alias("slot", "key")
+    )
     buckets = (
         keys.groupBy("key")
         .agg(F.min(F.struct("b", "n_b")).alias("low"), F.max("b").alias("high"))
@@ -223,45 +390,39 @@ def near_duplicates(
         .select("key", F.col("low.b").alias("a"), F.col("low.n_b").alias("n_a"))
     )
     members = stage(keys.join(buckets, "key"), "members")
-
     needed = members.select(F.col("b").alias("doc_id")).distinct()
     sets = stage(
         shingle_sets(documents.select("doc_id", "text").join(needed, "doc_id", "left_semi"), shingle_words),
         "sets",
     )
+
     stars = members.filter((F.col("a") != F.col("b")) & _similar(percent, "n_a", "n_b"))
-    stars = stage(_confirmed(stars.select("a", "b").distinct(), sets, percent), "stars")
-    first = components(stars)
-
-    grouped = members.select("key", "b", "n_b").join(
-        first.withColumnRenamed("node", "b"), "b", "left"
-    ).withColumn("part", F.coalesce("component", "b"))
-    mixed = (
-        grouped.groupBy("key")
-        .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("b").alias("last"))
-        .filter(F.col("low") < F.col("high"))
-        .select("key")
+    links = stage(_confirmed(stars.select("a", "b").distinct(), sets, percent), "links")
+
+    mixed = stage(_mixed(members.select("key", "slot", "b", "n_b"), components(links)), "mixed")
+    drawn = mixed.groupBy("key").agg(
+        F.min_by(F.struct("b", "n_b", "part"), F.xxhash64("b", "key")).alias("pivot")
     )
-    open_rows = stage(
-        grouped.join(mixed, "key", "left_semi")
-        .select("key", F.col("b").alias("doc_id"), "part")
-        .join(classes.drop("set_a", "set_b"), "doc_id"),
-        "open",
+    stars = mixed.join(drawn, "key").filter(
+        (F.col("part") != F.col("pivot.part")) & _similar(percent, "n_b", "pivot.n_b")
     )
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    within = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.doc_id") < F.col("y.doc_id"))
-        & (F.col("x.part") != F.col("y.part"))
-        & _similar(percent, "x.n_shingles", "y.n_shingles")
-        & (_distance("x", "y") <= MAX_DISTANCE)
+    stars = stars.select(F.col("pivot.b").alias("a"), "b").distinct()
+    links = stage(links.union(_confirmed(stars, sets, percent)), "links")
+
+    mixed = _mixed(mixed.select("key", "slot", "b", "n_b"), components(links)).withColumnRenamed("b", "doc_id")
+    signed_rows = mixed.join(classes.drop("set_a", "set_b", "n_shingles"), "doc_id")
+    partnered = (
+        _blocks(signed_rows, SIGNATURE_BLOCK, ["doc_id", "part", "n_b", *(f"sig{c}" for c in range(CHUNKS))])
+        .mapInArrow(_partner_batches(percent), "key long, slot int, doc_id long")
+        .distinct()
     )
+    with_sets = mixed.drop("n_b").join(partnered, ["key", "slot", "doc_id"], "left_semi").join(sets, "doc_id")
     across = (
-        x.join(y, within)
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+        _blocks(with_sets, SET_BLOCK, ["doc_id", "part", "shingles"])
+        .mapInArrow(_link_batches(percent), "a long, b long")
         .distinct()
     )
-    links = stage(stars.union(_confirmed(across, sets, percent)), "links")
+    links = stage(links.union(across).distinct(), "links")
     joined = components(links)
 
     counts = (
