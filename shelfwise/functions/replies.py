@@ -16,12 +16,15 @@ def no_texts() -> Column:
 def reply_object(reply: Column) -> Column:
     """The JSON from the first ``{`` to the last ``}`` as a one-element array variant.
 
-    Null unless exactly one value is there. The brackets make the parser reject
-    text behind the object, which it would otherwise ignore.
+    Null unless that text is one JSON object and nothing else. The parser ignores what
+    follows a complete value, so the text is parsed in two wraps: after an object, one
+    needs a bracket and the other a brace, and no further text can be both.
     """
     text = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
     parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(F.size(parsed.cast("array<variant>")) == 1, parsed)
+    wrapped = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}")))
+    one = (F.size(parsed.cast("array<variant>")) == 1) & wrapped.isNotNull()
+    return F.when(one, parsed)
 
 
 def text_items(parsed: Column, field: str) -> Column:
@@ -86,6 +89,6 @@ def accepted(item: Column) -> Column:
 
 
 def without_repeat(items: str) -> Column:
-    """The items without a second one equal to the first; there are at most two."""
-    first = F.lower(F.get(items, F.lit(0)))
-    return F.filter(items, lambda item, i: (i == 0) | (F.lower(item) != first))
+    """The items without those equal to an earlier one, letter case aside."""
+    lower = F.transform(items, F.lower)
+    return F.filter(items, lambda item, i: F.array_position(lower, F.lower(item)) == i + 1)

@@ -19,21 +19,21 @@ from shelfwise.functions.tags import is_candy_like, last_slug
 from shelfwise.sources.schema import REPLY_SCHEMA, conform
 
 
-
 def replies_by_product(replies: DataFrame) -> DataFrame:
     """One row per barcode with the reply to each task.
 
-    A task has one row, with a null reply if the model gave none; no row means
-    it was not asked. Pairings may have a second ``attempt``, used if the first
-    held no pairings. Replies are parsed before the shuffle, and the grouping
-    keeps one value per task on the map side.
+    A null reply says that the model gave none; no row means it was not asked. Of
+    several rows the earliest attempt with a reply counts, of pairings the first of
+    at most two attempts that holds any. Replies are parsed before the shuffle, and
+    the grouping keeps one value per task on the map side.
     """
     df = conform(replies, REPLY_SCHEMA)
     task = F.col("task")
     attempt = F.coalesce("attempt", F.lit(1))
 
     def first(condition: Column, value: Column) -> Column:
-        earliest = F.min(F.when(condition, F.struct(attempt.alias("attempt"), value.alias("value"))))
+        given = condition & F.col("reply").isNotNull()
+        earliest = F.min(F.when(given, F.struct(attempt.alias("attempt"), value.alias("value"))))
         return earliest["value"]
 
     items = F.when(task == "pairings", pairing_items(F.col("reply")))

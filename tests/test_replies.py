@@ -40,6 +40,9 @@ def listing(*items):
         ('Sure!\n```json\n{"pairings":\n ["a"]}\n```', ["a"]),
         ('{"pairings": ["a"]} tail }', []),
         ('{"pairings": ["a"]},{"x": 1}', []),
+        ('{"pairings": ["x"]}], Option B: [{"pairings": ["y"]}', []),
+        ('{"pairings": ["x"]}]}', []),
+        ('{"pairings": ["x"]}}, {"y": 1}', []),
         ('{"pairings": ["a", ', []),
         ('{"pairings": [1, null, true, ["x"], {"y": 1}, "", "  ", "b"]}', ["b"]),
         ('{"pairings": "a"}', []),
@@ -150,9 +153,9 @@ def test_text_replies(spark, products):
     assert [s.summary for s in summaries] == ["Said.", "Said.", "This product is a food product."]
 
 
-def test_prompts(products, peanut_butter):
+def test_prompts(products, seed_spread):
     catalog = products(
-        {**peanut_butter, "nutriments": {**peanut_butter["nutriments"], "salt_100g": 0.0005, "carbohydrates_100g": 0,
+        {**seed_spread, "nutriments": {**seed_spread["nutriments"], "salt_100g": 0.0005, "carbohydrates_100g": 0,
                                          "proteins_100g": None, "proteins": 3}},
         {"categories_tags": ["en:a", "fr:"], "nutriscore_grade": "x", "product_name": ""},
         {"nutriscore_grade": "b", "nova_group": "2", "product_name": ""},
@@ -165,13 +168,13 @@ def test_prompts(products, peanut_butter):
         ["insights", "nova", "nutriscore", "summary"],
     ]
     first = {task: rows["0" * 13, task] for task in tasks[0]}
-    assert "Category: spreads\nNutrients:\n  - Energy: 600.0g/100g\n  - Fat: 50.0g/100g\n  - Fiber: 5.0g/100g\n\nReturn" in first["pairings"]
+    assert "Category: spreads\nNutrients:\n  - Energy: 401.0g/100g\n  - Fat: 20.5g/100g\n  - Fiber: 6.0g/100g\n\nReturn" in first["pairings"]
     assert "combinations for spreads." in first["pairings"] and '{\n  "pairings": ["food1"' in first["pairings"]
     assert "Category: spreads\nNutriScore: C\nNOVA Group: 4\n" in first["summary"]
     assert "- Protein: 3.0g\n" in first["nutriscore"] and first["nutriscore"].endswith("products.\n")
     assert "NOVA Group: 4 (ultra-processed food)\nAdditives: 2\n" in first["nova"]
     assert (
-        "Nutrients (per 100g): {'fat': 50.0, 'sugar': 10.0, 'salt': 0.0005, 'protein': 3.0, 'fiber': 5.0, 'saturated_fat': 8.0}"
+        "Nutrients (per 100g): {'fat': 20.5, 'sugar': 15.0, 'salt': 0.0005, 'protein': 3.0, 'fiber': 6.0, 'saturated_fat': 5.5}"
         in first["insights"]
     )
     assert "Risks: ['High fat', 'High saturated fat', " in first["insights"]
@@ -182,3 +185,26 @@ def test_prompts(products, peanut_butter):
     assert "Product: product\nCategory: food\n" in rows["0000000000002", "insights"]
     only = shelfwise.prompts(catalog, tasks=["nova"])
     assert {r.task for r in only.collect()} == {"nova"}
+
+
+def test_a_null_reply_hides_no_real_one(spark, products):
+    rows = replies(
+        spark, (0, "summary", None, 1), (0, "summary", "Good text", 2), (0, "nova", None), (0, "nutriscore", "Later", 2),
+        (0, "nutriscore", "First", 1), (0, "insights", None, 1), (0, "insights", '{"enhanced_risks": ["Watch it"]}', 2),
+    )
+    catalog = products({"nutriscore_grade": "a", "nova_group": "4"})
+    assert shelfwise.summarise(catalog, rows).first().summary == "Good text"
+    assert shelfwise.explain(catalog, rows).first().nutriscore == "First"
+    assert shelfwise.explain(catalog, rows).first().nova == fixed.NOVA_UNAVAILABLE
+    assert "Watch it" in shelfwise.analyse(catalog, rows).first().risk_indicators
+
+
+def test_two_bracketed_options_are_no_insights(spark, products):
+    text = '{"enhanced_positives": ["Great taste"]}], or [{"enhanced_risks": ["x"]}'
+    row = shelfwise.analyse(products({}), replies(spark, (0, "insights", text))).first()
+    assert "Great taste" not in row.positive_indicators
+
+
+def test_repeats_are_dropped_in_lists_of_any_length(spark):
+    df = spark.createDataFrame([(["a", "B", "A", "b", "c", "a"],)], "items array<string>")
+    assert df.select(reply_fn.without_repeat("items")).first()[0] == ["a", "B", "c"]
