@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +20,31 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> Dat
     raise ValueError(f"unknown format {fmt!r}")
 
 
+#: The product as JSON holds it: a processing group may be a number or a text.
+_JSON_PRODUCT = T.StructType(
+    [
+        T.StructField(f.name, T.VariantType() if f.name == "nova_group" else f.dataType)
+        for f in PRODUCT_SCHEMA.fields
+    ]
+)
+
+
+def _group_text(group: Column) -> Column:
+    """A processing group as text; a JSON number loses its fraction, a text stays as it is."""
+    kind = F.schema_of_variant(group)
+    number = F.try_variant_get(group, "$", "double").cast("long").cast("string")
+    is_number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+    text = F.when(kind == "STRING", F.try_variant_get(group, "$", "string"))
+    return F.when(is_number, number).otherwise(text)
+
+
 def read_catalog(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Products from parquet, ORC or JSON lines, one product per row."""
     if fmt == "csv":
         raise ValueError("a catalog has nested columns, which CSV cannot hold")
+    if fmt == "json":
+        products = _read(spark, path, fmt, _JSON_PRODUCT)
+        return products.withColumn("nova_group", _group_text(F.col("nova_group")))
     return _read(spark, path, fmt, PRODUCT_SCHEMA)
 
 
@@ -37,13 +58,20 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
             T.StructField("code", T.StringType()),
             T.StructField("status", T.IntegerType()),
             T.StructField("status_verbose", T.StringType()),
-            T.StructField("product", PRODUCT_SCHEMA),
+            T.StructField("product", _JSON_PRODUCT),
         ]
     )
     missing = (F.col("status") == 0) | (F.col("status_verbose") == "product not found")
     found = spark.read.schema(envelope).json(path).filter(~F.coalesce(missing, F.lit(False)))
     fields = [f"product.{name}" for name in PRODUCT_SCHEMA.fieldNames() if name != "barcode"]
-    return found.select(F.coalesce("code", "product.barcode").alias("barcode"), *fields)
+    return found.select(F.coalesce("code", "product.barcode").alias("barcode"), *fields).withColumn(
+        "nova_group", _group_text(F.col("nova_group"))
+    )
+
+
+def repeated_barcodes(catalog: DataFrame) -> DataFrame:
+    """(barcode, count) of barcodes that a catalog holds more than once, which jobs don't expect."""
+    return catalog.groupBy("barcode").count().filter(F.col("count") > 1)
 
 
 def read_requests(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

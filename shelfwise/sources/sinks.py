@@ -41,3 +41,51 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path for it."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store Spark can write to; none is no error."""
+    system, where = _file_system(spark, path)
+    system.delete(where, True)
+
+
+def finished_folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders below a path that a job has finished writing."""
+    system, where = _file_system(spark, path)
+    if not system.exists(where):
+        return []
+    below = [status.getPath() for status in system.listStatus(where) if status.isDirectory()]
+    marker = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(p.toString() for p in below if system.exists(marker(p, "_SUCCESS")))
+
+
+class Staging:
+    """Tables kept in the shared folder for as long as a caller needs them.
+
+    As a context manager it removes them at the end.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self.folder = f"{shared_folder(spark)}/staging-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table and read it back: its size is known then, and its lineage short."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        remove_folder(self._spark, self.folder)
+
+    def __enter__(self) -> "Staging":
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.remove()

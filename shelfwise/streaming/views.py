@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfwise.functions.urls import page_barcode
+from shelfwise.sources.sinks import finished_folders, remove_folder
+
+#: Of a table without any batch.
+LATEST_SCHEMA = "user_id long, ts timestamp, event_id long, barcode string"
 
 
 def product_views(views: DataFrame) -> DataFrame:
@@ -31,27 +37,53 @@ def _latest(rows: DataFrame) -> DataFrame:
 
 
 def start_latest_viewed(
-    views: DataFrame, path: str, checkpoint: str, **trigger
+    views: DataFrame, path: str, checkpoint: str, compact_every: int = 50, **trigger
 ) -> StreamingQuery:
     """Keep a table of last viewed products up to date from a stream.
 
-    Each micro-batch writes the viewers that changed, to its own folder, which
-    a retry of the batch replaces. ``read_latest_viewed`` gives the current state.
+    Each micro-batch writes the last views in it to a folder named after the query and
+    the batch: a retry replaces its own folder, and another checkpoint, whose batches
+    count from 0 again, replaces nothing. The query keeps no state of its own. Every
+    ``compact_every`` batches the folders become one. Taking the latest is the same
+    however often a row is there, so readers need no lock.
     """
 
-    def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        _latest(batch).write.mode("overwrite").parquet(f"{path}/{query}-{batch_id:09d}")
+        if (batch_id + 1) % compact_every == 0:
+            compact_latest_viewed(spark, path)
 
     return (
-        latest_viewed(views)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
+        product_views(views)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def compact_latest_viewed(spark: SparkSession, path: str) -> None:
+    """Put the folders of a table together in one.
+
+    The new folder is complete before the old ones go, so a failure in between only
+    leaves rows twice.
+    """
+    merged = finished_folders(spark, path)
+    if len(merged) < 2:
+        return
+    _latest(_kept(spark, merged)).write.parquet(f"{path}/merged-{uuid.uuid4().hex}")
+    for folder in merged:
+        remove_folder(spark, folder)
+
+
+def _kept(spark: SparkSession, folders: list[str]) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], LATEST_SCHEMA)
+    return spark.read.parquet(*folders)
+
+
 def read_latest_viewed(spark: SparkSession, path: str) -> DataFrame:
-    """Current state out of the changes written so far."""
-    return _latest(spark.read.parquet(path))
+    """Current state of the table; empty before the first batch."""
+    return _latest(_kept(spark, finished_folders(spark, path)))
