@@ -21,7 +21,7 @@ from shelfwise.operators import alternatives as alternative_op
 from shelfwise.operators import candidates as candidate_op
 from shelfwise.operators.requests import requested
 from shelfwise.sources.schema import product_facts
-from shelfwise.sources.sinks import shared_folder
+from shelfwise.sources.sinks import shared_folder, write_report
 from shelfwise.streaming import views as view_jobs
 
 RULES = shelfwise.InsightConfig(fallback_to_rules=True)
@@ -59,7 +59,41 @@ def _with_requests(job: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     )
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(derived.catalog(spark, sf_dir))
+
+
+def catalog_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same out of JSON lines, with processing groups as numbers and as texts."""
+    path = _fresh(spark, "catalog")
+    derived.catalog_json(spark, sf_dir).write.text(path)
+    return _scanned(shelfwise.read_catalog(spark, path, "json"))
+
+
+def requests_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "requests")
+    quoted = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    derived.requests(spark, sf_dir).write.options(**quoted).csv(path)
+    return requested(shelfwise.read_requests(spark, path, "csv"))
+
+
+def replies_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "replies")
+    derived.replies(spark, sf_dir).write.json(path)
+    return shelfwise.read_replies(spark, path, "json")
+
+
+def report_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "report")
+    write_report(_full_report(spark, sf_dir), path)
+    return _flat_report(spark.read.parquet(path))
+
+
+def _scanned(catalog: DataFrame) -> DataFrame:
     amounts = [
         F.try_element_at("nutriments", F.lit(key)).cast("double").alias(name)
         for key, name in derived.NUTRIMENT_COLUMNS.items()
@@ -68,7 +102,7 @@ def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(f"{name}_tags", "|").alias(name)
         for name in ("categories", "labels", "additives", "allergens")
     ]
-    return derived.catalog(spark, sf_dir).select(
+    return catalog.select(
         "barcode", "product_name", "nutriscore_grade", "nova_group", *amounts, *joined,
         "image_url", "url", "unique_scans_n",
     )
@@ -104,13 +138,21 @@ def category_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _facts(spark, sf_dir)
+    return _candidate_rows(_facts(spark, sf_dir))
+
+
+def candidates_many_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a catalog with a path of its own for every product."""
+    return _candidate_rows(product_facts(derived.many_paths_catalog(spark, sf_dir), RULES))
+
+
+def _candidate_rows(facts: DataFrame) -> DataFrame:
     shelves = candidate_op.category_shelves(candidate_op.category_top(facts, RULES))
     rows = candidate_op.path_candidates(candidate_op.category_paths(facts), shelves)
     return rows.select(
         listed("category_path", ">").alias("path"),
         "level",
-        (F.col("position") + 1).alias("position"),
+        "position",
         "candidate.name",
         "candidate.url",
     )
@@ -125,20 +167,32 @@ def alternative_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _alternative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = shelfwise.alternatives(derived.catalog(spark, sf_dir), config=RULES)
+def _alternative_rows(
+    spark: SparkSession, sf_dir: str, catalog: DataFrame | None = None
+) -> DataFrame:
+    catalog = derived.catalog(spark, sf_dir) if catalog is None else catalog
+    best = shelfwise.alternatives(catalog, config=RULES, staging=shelfwise.Staging(spark))
     return best.select("barcode", F.posexplode("similar_products").alias("at", "a")).select(
         "barcode", (F.col("at") + 1).alias("place"), "a.*"
     )
 
 
-def alternatives_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alternative_rows(spark, sf_dir).select(
+def _top_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "barcode", "place", "name", "nutriscore_grade", F.round("score", 9).alias("score"),
         "confidence", "url",
     )
 
 
+def alternatives_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top_rows(_alternative_rows(spark, sf_dir))
+
+
+def alternatives_many_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = derived.many_paths_catalog(spark, sf_dir)
+    return _top_rows(_alternative_rows(spark, sf_dir, catalog))
+
+
 def alternatives_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _alternative_rows(spark, sf_dir)
     return rows.filter(F.col("reason").startswith("Category discovery option")).select(
@@ -168,18 +222,26 @@ def _flat_report(report: DataFrame) -> DataFrame:
     )
 
 
-def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_report(
-        shelfwise.report(
-            derived.catalog(spark, sf_dir), replies=derived.replies(spark, sf_dir), config=RULES
-        )
+def _full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shelfwise.report(
+        derived.catalog(spark, sf_dir),
+        replies=derived.replies(spark, sf_dir),
+        config=RULES,
+        staging=shelfwise.Staging(spark),
     )
 
 
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_report(_full_report(spark, sf_dir))
+
+
 def report_requested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_report(
         shelfwise.report(
-            derived.catalog(spark, sf_dir), requests=derived.requests(spark, sf_dir), config=RULES
+            derived.catalog(spark, sf_dir),
+            requests=derived.requests(spark, sf_dir),
+            config=RULES,
+            staging=shelfwise.Staging(spark),
         )
     )
 
@@ -199,15 +261,22 @@ def latest_viewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_viewed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a file stream: read what is there, stop, read the table kept."""
+    """The same from file streams: two queries with checkpoints of their own keep one table.
+
+    Each reads the events of one half of the viewers, then stops.
+    """
     schema = derived.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
-    run = f"{shared_folder(spark)}/latest-viewed-{uuid.uuid4().hex}"
-    query = view_jobs.start_latest_viewed(
-        derived.views(stream), f"{run}/table", f"{run}/checkpoint", availableNow=True
-    )
-    query.awaitTermination()
-    return view_jobs.read_latest_viewed(spark, f"{run}/table")
+    run = _fresh(spark, "latest-viewed")
+    for half in (0, 1):
+        stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+        query = shelfwise.start_latest_viewed(
+            derived.views(stream.filter(F.col("user_id") % 2 == half)),
+            f"{run}/table",
+            f"{run}/checkpoint-{half}",
+            availableNow=True,
+        )
+        query.awaitTermination()
+    return shelfwise.read_latest_viewed(spark, f"{run}/table")
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -238,6 +307,9 @@ def library_queries() -> dict[str, Query]:
     """The queries of the library itself."""
     return {
         "catalog_scan": catalog_scan,
+        "catalog_read": catalog_read,
+        "requests_read": requests_read,
+        "replies_read": replies_read,
         "safe_conversions": safe_conversions,
         "nutrient_extract": _of_facts(_nutrient_columns),
         "grade_normalise": _of_facts(lambda: ["nutriscore_grade", "grade", "grade_rank", "nova"]),
@@ -269,8 +341,10 @@ def library_queries() -> dict[str, Query]:
         "requests_not_found": _with_requests(shelfwise.requests_not_found),
         "category_top50": category_top50,
         "candidates_dedup": candidates_dedup,
+        "candidates_many_paths": candidates_many_paths,
         "alternative_scores": alternative_scores,
         "alternatives_topn": alternatives_topn,
+        "alternatives_many_paths": alternatives_many_paths,
         "alternatives_discovery": alternatives_discovery,
         "alternative_reasons": lambda spark, sf_dir: _alternative_rows(spark, sf_dir).select(
             "barcode", "place", "reason"
@@ -295,6 +369,7 @@ def library_queries() -> dict[str, Query]:
         "prompts": _of_catalog(shelfwise.prompts),
         "report": report,
         "report_requested": report_requested,
+        "report_written": report_written,
         "latest_viewed": latest_viewed,
         "latest_viewed_stream": latest_viewed_stream,
     }

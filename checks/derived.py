@@ -68,6 +68,8 @@ SELECT barcode, task, attempt, reply FROM (
            WHEN 1 THEN concat('Here it is:', chr(10), '{{"pairings": ["Citrus Slices", "Sparkling Water",', chr(10), ' "Rye Crackers ', cast(k%7 AS string), '"]}} Enjoy!')
            WHEN 2 THEN '{{"pairings": ["bread", "che'
            WHEN 3 THEN '{{"pairings": ["Rice", 1, null, true, ["x"], {{"a": 1}}, "Mixed Nuts"]}}'
+           WHEN 4 THEN CASE k%4 WHEN 0 THEN '{{"pairings": ["x"]}}], Option B: [{{"pairings": ["y"]}}'
+                                WHEN 1 THEN '{{"pairings": ["x"]}}]}}' END
          END AS reply
   FROM {base}
   UNION ALL
@@ -85,6 +87,7 @@ SELECT barcode, task, attempt, reply FROM (
            WHEN 6 THEN 'no object at all'
            WHEN 7 THEN '{{"enhanced_risks": [], "enhanced_positives": ["Low sugar content", " Very low sugar "]}}'
            WHEN 8 THEN '{{"enhanced_risks": [" "], "enhanced_positives": ["  ", "Fine fiber source"]}}'
+           WHEN 9 THEN '{{"enhanced_positives": ["Great taste"]}}], or [{{"enhanced_risks": ["Never shown"]}}'
          END AS reply
   FROM {base}
   UNION ALL
@@ -92,6 +95,8 @@ SELECT barcode, task, attempt, reply FROM (
          CASE k%4 WHEN 0 THEN concat('  A summary of product ', barcode, '.  ') WHEN 1 THEN '   ' END AS reply
   FROM {base} WHERE k%4 <> 3
   UNION ALL
+  SELECT k, barcode, 'summary' AS task, 0 AS attempt, NULL AS reply FROM {base} WHERE k%8 = 0
+  UNION ALL
   SELECT k, barcode, 'nutriscore' AS task, 1 AS attempt,
          CASE WHEN k%4 < 2 THEN concat(chr(10), 'The grade of ', barcode, ' explained.') END AS reply
   FROM {base} WHERE k%4 <> 2
@@ -166,6 +171,24 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def many_paths_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog with a category of its own below those each product has."""
+    own = F.array(F.concat(F.lit("en:own-"), F.col("barcode")))
+    tags = F.when(F.col("categories_tags").isNotNull(), F.concat("categories_tags", own))
+    return catalog(spark, sf_dir).withColumn("categories_tags", tags)
+
+
+def catalog_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as JSON lines, with processing groups as numbers for every second product.
+
+    These are written as a number with a fraction, as tools do that widen integers.
+    """
+    line = F.to_json(F.struct("*"))
+    number = F.regexp_replace(line, '"nova_group":"([0-9]+)"', '"nova_group":$1.0')
+    even = F.col("barcode").cast("long") % 2 == 0
+    return catalog(spark, sf_dir).select(F.when(even, number).otherwise(line).alias("value"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         REQUESTS_SQL, part=table(spark, sf_dir, "part"), pages=table(spark, sf_dir, "pages")

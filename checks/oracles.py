@@ -476,7 +476,25 @@ WHERE f.barcode IN ({cur})
     )
 
 
+def _many_paths(sql: str) -> str:
+    """A query over the catalog in which every product with categories has one of its own."""
+    own = "CASE WHEN categories IS NOT NULL THEN concat(categories, '|en:own-', barcode) END"
+    return sql.replace(f"base AS ({BASE})", f"base AS (SELECT * REPLACE ({own} AS categories) FROM ({BASE}) given)")
+
+
 def oracle_sql() -> dict[str, str]:
+    sql = _oracle_sql()
+    return sql | {
+        "alternatives_many_paths": _many_paths(sql["alternatives_topn"]),
+        "candidates_many_paths": _many_paths(sql["candidates_dedup"]),
+        "catalog_read": sql["catalog_scan"],
+        "requests_read": sql["barcode_from_url"],
+        "replies_read": f"SELECT barcode, task, attempt, reply FROM ({REPLIES}) r",
+        "report_written": sql["report"],
+    }
+
+
+def _oracle_sql() -> dict[str, str]:
     facts = _with(FACTS)
     alts = _with(FACTS, ALTERNATIVES)
     chosen = "SELECT cur_barcode AS barcode, place, "

@@ -14,16 +14,41 @@ from shelfwise.plans.jobs import (
     summarise,
 )
 
+from shelfwise.sources.readers import (
+    read_catalog,
+    read_replies,
+    read_requests,
+    read_responses,
+    repeated_barcodes,
+)
+from shelfwise.sources.sinks import Staging
+from shelfwise.streaming.views import (
+    compact_latest_viewed,
+    latest_viewed,
+    read_latest_viewed,
+    start_latest_viewed,
+)
+
 __all__ = [
     "InsightConfig",
+    "Staging",
     "alternatives",
     "analyse",
+    "compact_latest_viewed",
     "explain",
+    "latest_viewed",
     "pair",
     "pools",
     "prompts",
+    "read_catalog",
+    "read_latest_viewed",
+    "read_replies",
+    "read_requests",
+    "read_responses",
+    "repeated_barcodes",
     "report",
     "requests_not_found",
     "resolve_requests",
+    "start_latest_viewed",
     "summarise",
 ]

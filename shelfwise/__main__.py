@@ -8,8 +8,8 @@ from pyspark.sql import SparkSession
 
 from shelfwise.config import InsightConfig
 from shelfwise.plans import jobs
-from shelfwise.sources.readers import read_catalog, read_replies, read_requests
-from shelfwise.sources.sinks import stage, write_not_found, write_report
+from shelfwise.sources.readers import read_catalog, read_replies, read_requests, read_responses
+from shelfwise.sources.sinks import Staging, write_not_found, write_report
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -20,16 +20,32 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--requests", help="products to report on; default: the whole catalog")
     parser.add_argument("--replies", help="model replies to merge in")
     parser.add_argument("--pools", help="stored result of the pools job (parquet)")
-    parser.add_argument("--format", default="parquet", choices=["parquet", "orc", "json"])
+    formats = ["parquet", "orc", "json"]
+    parser.add_argument("--format", default="parquet", choices=formats, help="of the result")
+    parser.add_argument(
+        "--catalog-format", choices=[*formats, "responses"], help="default: that of the result"
+    )
+    parser.add_argument("--requests-format", choices=[*formats, "csv"])
+    parser.add_argument("--replies-format", choices=[*formats, "csv"])
+    parser.add_argument("--page-size", type=int, default=50, help="candidates per category")
+    parser.add_argument("--category-depth", type=int, default=3, help="category levels searched")
     parser.add_argument("--fallback", action="store_true", help="use rules where replies lack")
     parser.add_argument("--max-results", type=int, default=5)
     return parser.parse_args(argv)
 
 
 def run(spark: SparkSession, options: argparse.Namespace) -> None:
-    config = InsightConfig(fallback_to_rules=options.fallback, max_results=options.max_results)
+    config = InsightConfig(
+        fallback_to_rules=options.fallback,
+        max_results=options.max_results,
+        page_size=options.page_size,
+        category_depth=options.category_depth,
+    )
     fmt = options.format
-    catalog = read_catalog(spark, options.catalog, fmt)
+    if options.catalog_format == "responses":
+        catalog = read_responses(spark, options.catalog)
+    else:
+        catalog = read_catalog(spark, options.catalog, options.catalog_format or fmt)
     if options.job == "pools":
         write_report(jobs.pools(catalog, config=config), options.out)
         return
@@ -37,23 +53,29 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
         write_report(jobs.prompts(catalog, config=config), options.out, fmt)
         return
 
-    requests = read_requests(spark, options.requests, fmt) if options.requests else None
-    asked = catalog
-    if requests is not None:
-        write_not_found(jobs.requests_not_found(requests, catalog), f"{options.out}/not_found", fmt)
-        asked = stage(jobs.requested_products(requests, catalog), "requested")
-    # A stored table has a known size: Catalyst broadcasts it or not accordingly.
-    pools = (
-        spark.read.parquet(options.pools)
-        if options.pools
-        else stage(jobs.pools(catalog, asked, config), "pools")
-    )
-    if options.job == "alternatives":
-        result = jobs.alternatives(catalog, asked, pools, config)
-    else:
-        replies = read_replies(spark, options.replies, fmt) if options.replies else None
-        result = jobs.report(asked, replies=replies, pools=pools, config=config)
-    write_report(result, f"{options.out}/{options.job}", fmt)
+    with Staging(spark) as staging:
+        asked = catalog
+        if options.requests:
+            requests = read_requests(spark, options.requests, options.requests_format or fmt)
+            missing = jobs.requests_not_found(requests, catalog)
+            write_not_found(missing, f"{options.out}/not_found", fmt)
+            asked = staging.table(jobs.requested_products(requests, catalog), "requested")
+        # A stored table has a known size: Catalyst broadcasts it or not accordingly.
+        pools = (
+            spark.read.parquet(options.pools)
+            if options.pools
+            else staging.table(jobs.pools(catalog, asked, config), "pools")
+        )
+        if options.job == "alternatives":
+            result = jobs.alternatives(catalog, asked, pools, config)
+        else:
+            replies = (
+                read_replies(spark, options.replies, options.replies_format or fmt)
+                if options.replies
+                else None
+            )
+            result = jobs.report(asked, replies=replies, pools=pools, config=config)
+        write_report(result, f"{options.out}/{options.job}", fmt)
 
 
 if __name__ == "__main__":

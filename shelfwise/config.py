@@ -21,6 +21,9 @@ class InsightConfig:
         First-stage groups per category when the most scanned products are
         picked. A category holding a large part of the catalog is reduced in
         this many tasks before one task sees what is left of it.
+    path_rows
+        Products of one category path that are compared under one key. Paths
+        with more are dealt out over several.
     """
 
     fallback_to_rules: bool = False
@@ -28,6 +31,7 @@ class InsightConfig:
     page_size: int = 50
     category_depth: int = 3
     shards: int = 64
+    path_rows: int = 50_000
 
 
 DEFAULT_CONFIG = InsightConfig()

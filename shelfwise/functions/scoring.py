@@ -39,25 +39,28 @@ def known_metrics() -> Column:
 
 
 def _shared_fields() -> dict[str, Column]:
-    """What both sides of a comparison need: metrics if stated, and as printed."""
+    """What both sides of a comparison need: metrics if stated."""
     fields = {
         "enough_metrics": known_metrics() >= fixed.MIN_KNOWN_METRICS,
         "known_nova": F.when(F.col("nova") > 0, F.col("nova").cast("double")),
-        "nova_text": F.col("nova").cast("string"),
     }
     for name in fixed.METRIC_WEIGHTS:
         fields[f"known_{name}"] = F.when(F.col(f"has_{name}"), F.col(name))
-    for name, _, places in REASON_METRICS:
-        fields[f"{name}_text"] = F.concat(decimals_text(F.col(name), places), F.lit("g"))
     return fields
 
 
 def candidate_struct() -> Column:
-    """What a comparison needs to know about a candidate."""
+    """What a comparison needs to know about a candidate, its ``position`` first.
+
+    ``key`` stands for name and address, by which repeats are told.
+    """
+    url = F.coalesce("url", F.lit(""))
     fields = {
+        "position": F.col("position"),
         "name": strip(F.coalesce("product_name", F.lit(""))),
         "name_key": F.col("name_key"),
-        "url": F.coalesce("url", F.lit("")),
+        "url": url,
+        "key": F.concat("name_key", F.lit("\u0000"), F.lower(strip(url))),
         "grade_rank": F.col("grade_rank"),
         "grade_text": F.upper("grade"),
     }
@@ -78,7 +81,18 @@ def product_side() -> dict[str, Column]:
         for other in fixed.GRADE_RANKS.values()
     ]
     graded = F.when(rank < fixed.UNGRADED_RANK, F.array(*terms))
-    return _shared_fields() | spans | {"grade_terms": graded}
+    printed = {
+        f"{name}_text": _amount_text(F.col(name), places) for name, _, places in REASON_METRICS
+    }
+    return _shared_fields() | spans | printed | {"grade_terms": graded}
+
+
+def _amount_text(amount: Column, places: int) -> Column:
+    return F.concat(decimals_text(amount, places), F.lit("g"))
+
+
+def _nova_text(known: Column) -> Column:
+    return known.cast("int").cast("string")
 
 
 def is_better(c: Column) -> Column:
@@ -159,9 +173,9 @@ def _less_processed(c: Column) -> Column:
 def _nova_step(c: Column) -> Column:
     return F.concat(
         F.lit("lower processing (NOVA "),
-        F.col("nova_text"),
+        _nova_text(F.col("known_nova")),
         F.lit(" -> "),
-        c["nova_text"],
+        _nova_text(c["known_nova"]),
         F.lit(")"),
     )
 
@@ -181,13 +195,15 @@ def detailed_reason(c: Column, confident: Column) -> Column:
     Unlike the score it takes a metric the candidate lacks as zero.
     """
     parts = [F.concat(F.lit("NutriScore "), c["grade_text"])]
-    for name, label, _ in REASON_METRICS:
+    for name, label, places in REASON_METRICS:
         current, other = F.col(name), F.coalesce(c[f"known_{name}"], F.lit(0.0))
         better = (other < current) if name in fixed.LOWER_IS_BETTER else (other > current)
         parts.append(
-            F.when(better, _change_text(label, F.col(f"{name}_text"), c[f"{name}_text"]))
+            F.when(better, _change_text(label, F.col(f"{name}_text"), _amount_text(other, places)))
         )
-    nova_change = _change_text("NOVA", F.col("nova_text"), c["nova_text"])
+    nova_change = _change_text(
+        "NOVA", _nova_text(F.col("known_nova")), _nova_text(c["known_nova"])
+    )
     parts.append(F.when(_less_processed(c), nova_change))
     return F.concat(
         _parts_or("Better overall nutrition profile", parts),
@@ -213,7 +229,7 @@ def simple_reason(c: Column) -> Column:
 
 def discovery_reason(c: Column) -> Column:
     same_nova = F.concat(
-        F.lit("similar processing (NOVA "), c["nova_text"], F.lit(")")
+        F.lit("similar processing (NOVA "), _nova_text(c["known_nova"]), F.lit(")")
     )
     return F.concat_ws(
         "; ",

@@ -14,31 +14,55 @@ from shelfwise.functions import scoring
 _SPREAD = 4096
 
 
-def with_pool(subjects: DataFrame, pools: DataFrame) -> DataFrame:
+def hot_paths(subjects: DataFrame, config: InsightConfig = DEFAULT_CONFIG) -> DataFrame:
+    """(category_path, parts): paths of more than ``path_rows`` products, and in how many parts.
+
+    There are at most as many rows as ``path_rows`` fits into the number of products,
+    which is why this table, and no other, is broadcast by hand.
+    """
+    counts = subjects.filter(F.size("category_path") > 0).groupBy("category_path").count()
+    parts = F.ceil(F.col("count") / config.path_rows).cast("int")
+    return counts.filter(F.col("count") > config.path_rows).select(
+        "category_path", parts.alias("parts")
+    )
+
+
+def _keyed(rows: DataFrame, mark: Column, part: Column) -> DataFrame:
+    """With the join key: a mark, the path, and the part of a hot path."""
+    key = F.concat(F.array(mark), "category_path", F.array(part.cast("string")))
+    return rows.withColumn("_path_key", key).drop("parts")
+
+
+def with_pool(
+    subjects: DataFrame, pools: DataFrame, config: InsightConfig = DEFAULT_CONFIG
+) -> DataFrame:
     """Add the candidates of the product's category path; null without a path.
 
     Catalyst broadcasts the pools if they are small and shuffles on the path
-    otherwise. A path shared by much of the catalog then lands in one partition,
-    which adaptive execution splits: the pool side has one row per path to copy.
-    It does so only between two exchanges made for the join. The key is therefore
-    built here, with a mark in front, so that the pools' partitioning by path is
-    not taken over; the mark also keeps products without a path apart.
+    otherwise. The work is in the rows, not in the bytes, so a path of very many
+    products is dealt out by their number: its products go to ``parts`` keys, and its
+    pool to each of them. Products without any path are spread over keys of their own.
     """
-    bare = F.pmod(F.xxhash64("barcode"), F.lit(_SPREAD)).cast("string")
+    hot = F.broadcast(hot_paths(subjects, config))
+    hashed = F.xxhash64("barcode")
+    bare = F.pmod(hashed, F.lit(_SPREAD)).cast("string")
     mark = F.when(F.size("category_path") > 0, "").otherwise(bare)
-    keyed = pools.select(
-        F.concat(F.array(F.lit("")), "category_path").alias("_path_key"), "pool"
-    )
-    return (
-        subjects.withColumn("_path_key", F.concat(F.array(mark), "category_path"))
-        .join(keyed, "_path_key", "left")
-        .drop("_path_key")
+    parts = F.coalesce("parts", F.lit(1))
+    products = _keyed(subjects.join(hot, "category_path", "left"), mark, F.pmod(hashed, parts))
+    copies = (
+        pools.select("category_path", "pool")
+        .join(hot, "category_path", "left")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     )
+    keyed = _keyed(copies, F.lit(""), F.col("_part")).select("_path_key", "pool")
+    return products.join(keyed, "_path_key", "left").drop("_path_key")
 
 
-def comparable(subjects: DataFrame, pools: DataFrame) -> DataFrame:
+def comparable(
+    subjects: DataFrame, pools: DataFrame, config: InsightConfig = DEFAULT_CONFIG
+) -> DataFrame:
     """Products with their pool and what comparing needs of them."""
-    return with_pool(subjects, pools).withColumns(scoring.product_side())
+    return with_pool(subjects, pools, config).withColumns(scoring.product_side())
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -99,7 +123,7 @@ def with_alternatives(
     candidates = F.transform("best", lambda pick: pick["c"])
     scores = F.transform("best", lambda pick: -pick["loss"])
     picked = (
-        comparable(subjects, pools)
+        comparable(subjects, pools, config)
         # Unfolding a list of one changes nothing, but later filters stay above
         # it; Catalyst would otherwise copy the whole comparison into them.
         .select("*", F.explode(F.array(best_candidates(config.max_results))).alias("best"))

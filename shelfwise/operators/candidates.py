@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.config import DEFAULT_CONFIG, InsightConfig
 from shelfwise.functions import tags as tag_fn
-from shelfwise.functions.scalars import strip
 from shelfwise.functions.scoring import candidate_struct
 from shelfwise.operators.topk import top_k_per_group
 
+
 def category_members(facts: DataFrame) -> DataFrame:
     """One row per product and category slug it carries."""
     slugs = F.array_distinct(tag_fn.slugs(F.col("categories_tags")))
     return facts.select("*", F.explode(slugs).alias("slug"))
 
 
-def category_top(facts: DataFrame, config: InsightConfig = DEFAULT_CONFIG) -> DataFrame:
+def category_top(
+    facts: DataFrame, config: InsightConfig = DEFAULT_CONFIG, slugs: DataFrame | None = None
+) -> DataFrame:
     """The most scanned products of every category: (slug, position, barcode, candidate).
 
-    What is shown of a candidate is put together for the chosen ones only.
+    ``slugs`` (one column ``slug``) limits it to categories someone asks for, before
+    anything is ranked. What is shown of a candidate is put together for the chosen
+    ones only.
     """
+    members = category_members(facts)
+    if slugs is not None:
+        members = members.join(slugs, "slug", "left_semi")
     top = top_k_per_group(
-        category_members(facts),
+        members,
         ["slug"],
         [F.desc_nulls_last("unique_scans_n"), F.asc("barcode")],
         config.page_size,
@@ -35,17 +42,23 @@ def category_top(facts: DataFrame, config: InsightConfig = DEFAULT_CONFIG) -> Da
     )
 
 
+def _first_of_key(shelf: Column) -> Column:
+    """The candidates without those that repeat an earlier one's name and address."""
+    keys = F.transform(shelf, lambda c: c["key"])
+    return F.filter(shelf, lambda c, i: F.array_position(keys, c["key"]) == i + 1)
+
+
 def category_shelves(top: DataFrame) -> DataFrame:
     """One row per category with its candidates in search order.
 
-    A shelf holds at most ``page_size`` candidates. The grouping reuses the
-    partitioning by slug that ranking them needed.
+    A shelf holds at most ``page_size`` candidates, unnamed ones and repeats left out.
+    The grouping reuses the partitioning by slug that ranking them needed.
     """
-    return top.groupBy("slug").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("position", "candidate"))),
-            lambda entry: entry["candidate"],
-        ).alias("shelf")
+    return (
+        top.filter(F.col("candidate.name") != "")
+        .groupBy("slug")
+        .agg(F.sort_array(F.collect_list("candidate")).alias("shelf"))
+        .withColumn("shelf", _first_of_key(F.col("shelf")))
     )
 
 
@@ -54,40 +67,56 @@ def category_paths(facts: DataFrame) -> DataFrame:
     return facts.filter(F.size("category_path") > 0).select("category_path").distinct()
 
 
-def path_candidates(paths: DataFrame, shelves: DataFrame) -> DataFrame:
-    """Candidates of each path, repeats over its levels removed.
+def path_slugs(paths: DataFrame) -> DataFrame:
+    """The distinct slugs of the paths."""
+    return paths.select(F.explode("category_path").alias("slug")).distinct()
 
-    What a product may be compared with depends only on its path, so this is
-    done per path, not per product. Rows: (category_path, level, position,
-    candidate), the first of equal (name, address) pairs kept, unnamed ones
-    dropped. At most ``category_depth * page_size`` rows per path.
+
+def path_shelves(
+    paths: DataFrame, shelves: DataFrame, config: InsightConfig = DEFAULT_CONFIG
+) -> DataFrame:
+    """(category_path, kept): for every level of a path the candidates it adds.
+
+    What a product may be compared with depends only on its path, so this is done
+    per path, not per product. A path brings its shelves together as whole arrays, at
+    most ``category_depth`` of them, and repeats of earlier levels are dropped in the
+    row, by key; no candidate becomes a row of its own.
     """
     # A broad slug may be part of very many paths. A key built for this join gives
     # it an exchange on both sides, which adaptive execution needs to split it.
     slug_key = F.array("slug").alias("_slug_key")
-    rows = (
-        paths.select(
-            "category_path", F.posexplode("category_path").alias("level", "slug")
-        )
+    found = (
+        paths.select("category_path", F.posexplode("category_path").alias("level", "slug"))
         .select("category_path", "level", slug_key)
         .join(shelves.select(slug_key, "shelf"), "_slug_key")
-        # Deduplication and the list per path both need this partitioning; the
-        # shelves travel as arrays and are unfolded behind the exchange.
-        .repartition("category_path")
-        .select(
-            "category_path", "level", F.posexplode("shelf").alias("position", "candidate")
-        )
-        .filter(F.col("candidate.name") != "")
-        .withColumn("url_key", F.lower(strip(F.col("candidate.url"))))
+        .groupBy("category_path")
+        .agg(F.collect_list(F.struct("level", "shelf")).alias("found"))
     )
-    first_seen = Window.partitionBy("category_path", "candidate.name_key", "url_key").orderBy(
-        "level", "position"
-    )
-    return (
-        rows.withColumn("_nth", F.row_number().over(first_seen))
-        .filter(F.col("_nth") == 1)
-        .drop("_nth", "url_key")
+    kept: list[str] = []
+    for level in range(config.category_depth):
+        here = F.filter("found", lambda entry: entry["level"] == level)  # noqa: B023
+        shelf = F.get(F.transform(here, lambda entry: entry["shelf"]), F.lit(0))
+        if kept:
+            earlier = F.concat(*(F.transform(k, lambda c: c["key"]) for k in kept))
+            shelf = F.filter(shelf, lambda c: ~F.array_contains(earlier, c["key"]))  # noqa: B023
+        name = f"_kept_{level}"
+        found = found.withColumn(
+            name, F.coalesce(shelf, F.array().cast(shelves.schema["shelf"].dataType))
+        )
+        kept.append(name)
+    return found.select("category_path", F.array(*kept).alias("kept"))
+
+
+def path_candidates(
+    paths: DataFrame, shelves: DataFrame, config: InsightConfig = DEFAULT_CONFIG
+) -> DataFrame:
+    """Candidates of each path as rows: (category_path, level, position, candidate)."""
+    levels = path_shelves(paths, shelves, config).select(
+        "category_path", F.posexplode("kept").alias("level", "kept")
     )
+    return levels.select(
+        "category_path", "level", F.explode("kept").alias("candidate")
+    ).select("category_path", "level", "candidate.position", "candidate")
 
 
 def candidate_pools(
@@ -95,17 +124,23 @@ def candidate_pools(
 ) -> DataFrame:
     """(category_path, pool): the ordered candidates for every path of ``subjects``.
 
-    ``facts`` is the catalog searched, ``subjects`` the products to advise on;
-    both are typed product frames.
+    ``facts`` is the catalog searched, ``subjects`` the products to advise on; both
+    are typed product frames. Only categories on some path of the subjects are ranked.
     """
-    shelves = category_shelves(category_top(facts, config))
-    return pools_of(path_candidates(category_paths(subjects), shelves))
+    check_page_size(facts.sparkSession, config)
+    paths = category_paths(subjects)
+    shelves = category_shelves(category_top(facts, config, path_slugs(paths)))
+    return path_shelves(paths, shelves, config).select(
+        "category_path", F.flatten("kept").alias("pool")
+    )
 
 
-def pools_of(candidates: DataFrame) -> DataFrame:
-    return candidates.groupBy("category_path").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("level", "position", "candidate"))),
-            lambda entry: entry["candidate"],
-        ).alias("pool")
-    )
+def check_page_size(spark: SparkSession, config: InsightConfig) -> None:
+    """Fail early where Spark would not cut groups before the shuffle."""
+    setting = "spark.sql.optimizer.windowGroupLimitThreshold"
+    limit = int(spark.conf.get(setting))
+    if config.page_size > limit:
+        raise ValueError(
+            f"page_size {config.page_size} exceeds {setting} ({limit}): raise that setting,"
+            " or whole categories would be shuffled"
+        )

@@ -20,6 +20,7 @@ from shelfwise.operators import replies as reply_op
 from shelfwise.operators import requests as request_op
 from shelfwise.operators.candidates import candidate_pools
 from shelfwise.sources.schema import product_facts
+from shelfwise.sources.sinks import Staging
 
 resolve_requests = request_op.found
 requests_not_found = request_op.not_found
@@ -146,22 +147,29 @@ def alternatives(
     subjects: DataFrame | None = None,
     pools: DataFrame | None = None,
     config: InsightConfig = DEFAULT_CONFIG,
+    staging: Staging | None = None,
 ) -> DataFrame:
     """Healthier alternatives: (barcode, similar_products), best first.
 
     ``subjects`` are the products to advise on, the whole catalog by default.
     ``pools`` is a stored result of ``pools``, to search the catalog only once
-    for many runs.
+    for many runs. With ``staging`` the candidate lists are computed and stored at
+    once: Catalyst then knows their size, and broadcasts them if they are small
+    instead of shuffling the products.
     """
     facts = product_facts(catalog, config)
     asked = facts if subjects is None else product_facts(subjects, config)
     if pools is None:
-        pools = candidate_pools(facts, asked, config)
+        pools = _staged(candidate_pools(facts, asked, config), staging)
     return alternative_op.with_alternatives(asked, pools, config).select(
         "barcode", "similar_products"
     )
 
 
+def _staged(frame: DataFrame, staging: Staging | None) -> DataFrame:
+    return frame if staging is None else staging.table(frame, "pools")
+
+
 def pools(
     catalog: DataFrame, subjects: DataFrame | None = None, config: InsightConfig = DEFAULT_CONFIG
 ) -> DataFrame:
@@ -203,18 +211,19 @@ def report(
     replies: DataFrame | None = None,
     pools: DataFrame | None = None,
     config: InsightConfig = DEFAULT_CONFIG,
+    staging: Staging | None = None,
 ) -> DataFrame:
     """The full report, one nested row per product.
 
     Covers the whole catalog, or the products asked for in ``requests``. All
-    parts are computed in the product's row, so nothing is joined back.
+    parts are computed in the product's row, so nothing is joined back. ``staging``
+    is that of ``alternatives``.
     """
     asked = catalog if requests is None else request_op.requested_products(requests, catalog)
     subjects = subjects_of(asked, replies, config)
     if pools is None:
-        pools = candidate_pools(
-            product_facts(catalog, config), product_facts(asked, config), config
-        )
+        facts, wanted = product_facts(catalog, config), product_facts(asked, config)
+        pools = _staged(candidate_pools(facts, wanted, config), staging)
     full = alternative_op.with_alternatives(subjects, pools, config)
     full = with_indicators(full, replies is not None)
     full = with_explanations(with_summary(full, config), config)

@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import shelfwise
+from shelfwise.operators import alternatives as alternative_op
+from shelfwise.operators.candidates import candidate_pools
 from shelfwise.operators.topk import top_k_per_group
+from shelfwise.sources.schema import product_facts
 
 FULL = {"sugars_100g": 10, "fat_100g": 10, "salt_100g": 1, "proteins_100g": 5, "fiber_100g": 2}
 JAM = ["en:spreads", "en:jams"]
@@ -171,32 +174,54 @@ def test_top_k_does_not_depend_on_shards(spark, shards):
     assert {(r["key"], r["rank"], r["id"]) for r in got.collect()} == expected
 
 
-def test_hot_path_is_split_and_products_without_path_are_spread(spark, products):
+def test_hot_path_is_dealt_out_by_rows(spark, products):
+    """One path with half the catalog, at Spark's own thresholds but the one for broadcasts."""
     catalog = products(
-        *[product(f"hot{i}", "abcde"[i % 5], "3", scans=i) for i in range(40)],
-        *[product(f"cold{i}", "b", tags=[f"en:c{i % 20}"]) for i in range(40)],
-        *[product(f"bare{i}", "b", tags=None) for i in range(40)],
+        *[product(f"hot{i}", "abcde"[i % 5], "3", scans=i) for i in range(300)],
+        *[product(f"cold{i}", "b", tags=[f"en:c{i % 60}"]) for i in range(200)],
+        *[product(f"bare{i}", "b", tags=None) for i in range(100)],
     )
-    copies = spark.range(500).withColumnRenamed("id", "copy")
-    many = catalog.crossJoin(copies).withColumn("barcode", F.concat("barcode", F.lit("-"), "copy")).drop("copy").repartition(16)
-    expected = {r.barcode[:13]: r.similar_products for r in shelfwise.alternatives(catalog).collect()}
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
-    }
-    before = {key: spark.conf.get(key) for key in settings}
+    config = shelfwise.InsightConfig(path_rows=20)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        found = shelfwise.alternatives(many, pools=shelfwise.pools(catalog))
-        rows = found.collect()
-        plan = found._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = shelfwise.alternatives(catalog, config=config)
+        rows = {r.barcode: r.similar_products for r in found.collect()}
+        facts = product_facts(catalog, config)
+        pools = candidate_pools(facts, facts, config)
+        keyed = alternative_op.with_pool(facts, pools, config)
+        plan = keyed._jdf.queryExecution().executedPlan().toString()
+        parts = keyed.filter(F.size("category_path") > 0).groupBy("category_path").agg(F.count("*").alias("n"))
+        sizes = {tuple(r["category_path"]): r["n"] for r in parts.collect()}
+        hot = {tuple(r["category_path"]): r["parts"] for r in alternative_op.hot_paths(facts, config).collect()}
     finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
-    assert "SortMergeJoin(skew=true)" in plan.split("Initial Plan")[0]
-    assert len(rows) == many.count()
-    assert all(r.similar_products == expected[r.barcode[:13]] for r in rows)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == {r.barcode: r.similar_products for r in shelfwise.alternatives(catalog).collect()}
+    assert len(hot) == 1 and all(sizes[path] <= n * 20 for path, n in hot.items()) and max(hot.values()) == 15
+    assert sum(sizes.values()) == 500 and "SortMergeJoin [_path_key" in plan
+
+
+def test_asked_slugs_are_filtered_before_the_first_window(products):
+    catalog = products(*[product(f"p{i}", "abcde"[i % 5], scans=i, tags=["en:broad", "en:x", "en:y", f"en:c{i}"]) for i in range(20)])
+    facts = product_facts(catalog)
+    plan = candidate_pools(facts, facts.limit(1))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    windows = [k for k, line in enumerate(lines) if "Window" in line]
+    semi = [k for k, line in enumerate(lines) if "LeftSemi" in line]
+    assert semi and max(windows) < min(semi)
+
+
+def test_products_are_not_shuffled_for_a_small_stored_pool(spark, products):
+    catalog = products(*[product(f"p{i}", "abcde"[i % 5], scans=i) for i in range(40)])
+    with shelfwise.Staging(spark) as staging:
+        found = shelfwise.alternatives(catalog, staging=staging)
+        assert {r.barcode: r.similar_products for r in found.collect()} == {
+            r.barcode: r.similar_products for r in shelfwise.alternatives(catalog).collect()
+        }
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin [_path_key") == 1
+
+
+def test_page_size_beyond_the_cut_fails_early(products):
+    with pytest.raises(ValueError, match="windowGroupLimitThreshold"):
+        shelfwise.alternatives(products(product("a", "b")), config=shelfwise.InsightConfig(page_size=1001))

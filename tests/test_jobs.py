@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import shelfwise
 from checks import derived
 from shelfwise.sources import readers, sinks
-from shelfwise.sources.schema import REQUEST_SCHEMA
+from shelfwise.sources.schema import REQUEST_SCHEMA, product_facts
 from shelfwise.streaming import views as view_jobs
 
 RULES = shelfwise.InsightConfig(fallback_to_rules=True)
@@ -62,10 +62,10 @@ def test_request_and_reply_files(spark, tmp_path):
     assert readers.read_replies(spark, str(tmp_path / "a.jsonl"), "json").first() == ("1", "nova", None, "x")
 
 
-def test_report_is_nested_and_written(spark, products, peanut_butter, oats, tmp_path):
+def test_report_is_nested_and_written(spark, products, seed_spread, flakes, tmp_path):
     catalog = products(
-        {**peanut_butter, "image_url": "i", "brands": "b"},
-        {**oats, "categories_tags": ["en:spreads"], "url": "u"},
+        {**seed_spread, "image_url": "i", "brands": "b"},
+        {**flakes, "categories_tags": ["en:spreads"], "url": "u"},
         {"nova_group": "x"},
     )
     report = shelfwise.report(catalog, config=RULES)
@@ -73,10 +73,10 @@ def test_report_is_nested_and_written(spark, products, peanut_butter, oats, tmp_
     rows = [json.loads(line) for line in spark.read.text(str(tmp_path / "report")).toPandas()["value"]]
     first, second, third = sorted(rows, key=lambda r: r["barcode"])
     assert first["product"] == {
-        "name": "Smooth Kraft Peanut Butter", "image_url": "i", "nutriscore": "c", "nova": 4, "brands": "b"
+        "name": "Roasted Seed Spread", "image_url": "i", "nutriscore": "c", "nova": 4, "brands": "b"
     }
     assert set(first["score_explanation"]) == {"nutriscore", "nova", "nutrient_density"}
-    assert [(s["name"], s["nutriscore_grade"], s["url"]) for s in first["similar_products"]] == [("Organic Oats", "A", "u")]
+    assert [(s["name"], s["nutriscore_grade"], s["url"]) for s in first["similar_products"]] == [("Barley Flakes", "A", "u")]
     assert first["pairings"][0] == "banana"
     assert second["similar_products"][0]["confidence"] == 60
     assert third["product"] == {"name": "Unknown product"}
@@ -87,17 +87,17 @@ def test_report_is_nested_and_written(spark, products, peanut_butter, oats, tmp_
     )
 
 
-def test_jobs_run_from_files_to_files(spark, products, peanut_butter, oats, tmp_path):
+def test_jobs_run_from_files_to_files(spark, products, seed_spread, flakes, tmp_path):
     from shelfwise.__main__ import arguments, run
 
     catalog, out = str(tmp_path / "catalog"), str(tmp_path / "out")
-    products(peanut_butter, {**oats, "categories_tags": ["en:spreads"]}).write.parquet(catalog)
+    products(seed_spread, {**flakes, "categories_tags": ["en:spreads"]}).write.parquet(catalog)
     requests(spark, "0000000000000", "0000000000000", "9").write.parquet(str(tmp_path / "requests"))
     run(spark, arguments(["report", "--catalog", catalog, "--out", out, "--fallback",
                           "--requests", str(tmp_path / "requests")]))
     row, = spark.read.parquet(f"{out}/report").collect()
-    assert row.product.name == "Smooth Kraft Peanut Butter"
-    assert [s.name for s in row.similar_products] == ["Organic Oats"]
+    assert row.product.name == "Roasted Seed Spread"
+    assert [s.name for s in row.similar_products] == ["Barley Flakes"]
     assert spark.read.parquet(f"{out}/not_found").count() == 1
     run(spark, arguments(["pools", "--catalog", catalog, "--out", f"{out}/pools"]))
     run(spark, arguments(["alternatives", "--catalog", catalog, "--out", out, "--pools", f"{out}/pools"]))
@@ -106,6 +106,42 @@ def test_jobs_run_from_files_to_files(spark, products, peanut_butter, oats, tmp_
     assert spark.read.parquet(f"{out}/prompts").count() == 10
 
 
+def test_a_csv_list_against_a_parquet_catalog(spark, products, flakes, tmp_path):
+    from shelfwise.__main__ import arguments, run
+
+    catalog, out, asked = str(tmp_path / "catalog"), str(tmp_path / "out"), tmp_path / "asked.csv"
+    products(flakes, {**flakes, "product_name": "Other", "nutriscore_grade": "b"}).write.parquet(catalog)
+    asked.write_text("request_id,barcode_or_url\n1,0000000000001\n2,https://food.example/product/0000000000001/x\n3,5\n")
+    run(spark, arguments(["report", "--catalog", catalog, "--out", out, "--fallback", "--requests", str(asked),
+                          "--requests-format", "csv", "--page-size", "1", "--category-depth", "2"]))
+    row, = spark.read.parquet(f"{out}/report").collect()
+    assert [s.name for s in row.similar_products] in ([], ["Barley Flakes"])
+    assert spark.read.parquet(f"{out}/not_found").count() == 1
+
+
+def test_staged_tables_are_removed(spark, tmp_path):
+    with sinks.Staging(spark) as staging:
+        assert staging.table(spark.range(5), "five").count() == 5
+        assert sinks.finished_folders(spark, staging.folder)
+    assert sinks.finished_folders(spark, staging.folder) == []
+
+
+def test_json_numbers_lose_their_fraction_and_texts_do_not(spark, tmp_path):
+    lines = [{"barcode": str(i), "nova_group": v} for i, v in enumerate([4, 4.0, 3.7, "4", "4.0", None, True, [1]])]
+    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    rows = readers.read_catalog(spark, str(tmp_path / "c.jsonl"), "json").orderBy("barcode").collect()
+    assert [r.nova_group for r in rows] == ["4", "4", "3", "4", "4.0", None, None, None]
+    facts = [r.nova for r in product_facts(readers.read_catalog(spark, str(tmp_path / "c.jsonl"), "json")).orderBy("barcode").collect()]
+    assert facts == [4, 4, 3, 4, 0, 0, 0, 0]
+
+
+def test_repeated_barcodes_are_reported(products):
+    catalog = products({"product_name": "x"}, {"product_name": "y"}, {"product_name": "z"})
+    assert readers.repeated_barcodes(catalog).count() == 0
+    twice = catalog.union(catalog.limit(1))
+    assert [(r["barcode"], r["count"]) for r in readers.repeated_barcodes(twice).collect()] == [("0" * 13, 2)]
+
+
 def test_report_covers_each_requested_product_once(spark, products):
     catalog = products({"product_name": "x"}, {"product_name": "y"})
     asked = requests(spark, "0000000000001", "0000000000001", "5", "https://food.example/none")
@@ -131,15 +167,15 @@ def test_shared_folder_is_the_one_of_the_session(spark):
     assert sinks.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_projections_shuffle_nothing(products, oats):
-    catalog = products(oats)
+def test_projections_shuffle_nothing(products, flakes):
+    catalog = products(flakes)
     for job in (shelfwise.analyse, shelfwise.explain, shelfwise.summarise, shelfwise.pair):
         assert "Exchange" not in job(catalog, config=RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in shelfwise.prompts(catalog)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_columns_and_filters_reach_the_scan(spark, products, oats, tmp_path):
-    products(oats).write.parquet(str(tmp_path / "c"))
+def test_columns_and_filters_reach_the_scan(spark, products, flakes, tmp_path):
+    products(flakes).write.parquet(str(tmp_path / "c"))
     catalog = spark.read.parquet(str(tmp_path / "c"))
     plan = shelfwise.pair(catalog, config=RULES).filter(F.col("barcode") == "0000000000000")
     text = plan._jdf.queryExecution().executedPlan().toString()
@@ -155,12 +191,19 @@ def test_stream_keeps_the_last_view_over_several_runs(spark, tmp_path):
         data = [(u, e, __import__("datetime").datetime(2024, 1, 1, h), url) for u, e, h, url in rows]
         spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "in" / name))
 
-    def run():
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
-        query = view_jobs.start_latest_viewed(stream, str(tmp_path / "out"), str(tmp_path / "check"))
-        query.awaitTermination()
+    def state():
         return {r.user_id: r.barcode for r in view_jobs.read_latest_viewed(spark, str(tmp_path / "out")).collect()}
 
+    def run(checkpoint="check", folder="in", **options):
+        stream = spark.readStream.schema(schema).options(**options).parquet(str(tmp_path / folder / "*"))
+        query = view_jobs.start_latest_viewed(
+            stream, str(tmp_path / "out"), str(tmp_path / checkpoint), compact_every=3
+        )
+        query.awaitTermination()
+        return state()
+
+    assert state() == {}
+
     add("a", (1, 1, 5, pages.format(11)), (1, 2, 6, pages.format(12)), (2, 3, 1, pages.format(21)), (3, 4, 1, "https://food.example/about/1"))
     assert run() == {1: "12", 2: "21"}
     # A late view changes nothing; a later one does; equal times go by event.
@@ -168,3 +211,13 @@ def test_stream_keeps_the_last_view_over_several_runs(spark, tmp_path):
     assert run() == {1: "12", 2: "22", 4: "41"}
     whole = spark.read.schema(schema).parquet(str(tmp_path / "in" / "*"))
     assert {r.user_id: r.barcode for r in view_jobs.latest_viewed(whole).collect()} == {1: "12", 2: "22", 4: "41"}
+
+    # Another checkpoint counts its batches from 0 again and loses nothing.
+    add("../more/a", (5, 8, 1, pages.format(51)))
+    assert run("check2", "more") == {1: "12", 2: "22", 4: "41", 5: "51"}
+    # The folders stay few: every third batch puts them together.
+    for k in range(10):
+        add(f"../many/{k}", (6, 10 + k, k, pages.format(60 + k)))
+    found = run("check3", "many", maxFilesPerTrigger=1)
+    assert found == {1: "12", 2: "22", 4: "41", 5: "51", 6: "69"}
+    assert len(sinks.finished_folders(spark, str(tmp_path / "out"))) <= 4

@@ -13,8 +13,8 @@ def indicators(catalog):
     return [(r.risk_indicators, r.positive_indicators) for r in rows]
 
 
-def test_fixture_indicators(products, peanut_butter, oats):
-    assert indicators(products(peanut_butter, oats)) == [
+def test_fixture_indicators(products, seed_spread, flakes):
+    assert indicators(products(seed_spread, flakes)) == [
         (
             ["High fat", "High saturated fat", "High calorie density", "Ultra-processed food (NOVA 4)"],
             ["High protein"],
@@ -56,14 +56,14 @@ def test_nova_additives_labels_and_grade(products):
     ]
 
 
-def test_fixture_explanations(products, peanut_butter, oats):
-    rows = shelfwise.explain(products(peanut_butter, oats, {}), config=RULES).orderBy("barcode").collect()
+def test_fixture_explanations(products, seed_spread, flakes):
+    rows = shelfwise.explain(products(seed_spread, flakes, {}), config=RULES).orderBy("barcode").collect()
     assert rows[0].nutriscore == (
         "NutriScore C means moderate nutritional quality. This product has high fat content, "
         "high saturated fat, good protein content."
     )
     assert rows[0].nova.startswith("NOVA Group 4: This product is classified as a ultra-processed food. Ultra-")
-    assert rows[0].nutrient_density == "Energy: 600 kcal per 100 g. Protein: 25.0 g per 100 g. Fiber: 5.0 g per 100 g."
+    assert rows[0].nutrient_density == "Energy: 401 kcal per 100 g. Protein: 12.2 g per 100 g. Fiber: 6.0 g per 100 g."
     assert rows[1].nutriscore == (
         "NutriScore A means excellent nutritional quality. This product has good dietary fiber, good protein content."
     )
@@ -83,14 +83,14 @@ def test_good_protein_density(products):
     )
 
 
-def test_fixture_summaries(products, peanut_butter, oats):
-    catalog = products(peanut_butter, oats, {"product_name": "", "nova_group": "3"}, {"nutriscore_grade": "unknown"})
+def test_fixture_summaries(products, seed_spread, flakes):
+    catalog = products(seed_spread, flakes, {"product_name": "", "nova_group": "3"}, {"nutriscore_grade": "unknown"})
     rows = shelfwise.summarise(catalog, config=RULES).orderBy("barcode").collect()
     assert [r.summary for r in rows] == [
-        "Smooth Kraft Peanut Butter is a product with moderate nutritional quality (NutriScore C). It is classified "
+        "Roasted Seed Spread is a product with moderate nutritional quality (NutriScore C). It is classified "
         "as an ultra-processed food, which may contain additives, artificial flavors, and emulsifiers. It contains "
-        "high levels of fat, a good source of protein. Contains allergens: peanuts, soybeans.",
-        "Organic Oats is a product with excellent nutritional quality (NutriScore A). It is unprocessed or minimally "
+        "high levels of fat, a good source of protein. Contains allergens: sesame seeds, nuts.",
+        "Barley Flakes is a product with excellent nutritional quality (NutriScore A). It is unprocessed or minimally "
         "processed food with little to no industrial processing. It contains a good source of protein. "
         "Contains allergens: gluten.",
         "This product is a food product. It is a processed food.",
@@ -98,8 +98,8 @@ def test_fixture_summaries(products, peanut_butter, oats):
     ]
 
 
-def test_without_fallback_texts_are_unavailable(products, oats):
-    catalog = products(oats)
+def test_without_fallback_texts_are_unavailable(products, flakes):
+    catalog = products(flakes)
     assert shelfwise.summarise(catalog).first().summary == fixed.SUMMARY_UNAVAILABLE
     first = shelfwise.explain(catalog).first()
     assert (first.nutriscore, first.nova) == (fixed.NUTRISCORE_UNAVAILABLE, fixed.NOVA_UNAVAILABLE)
