@@ -179,12 +179,11 @@ class Segment:
         """Shortest stretches of at most ``reach`` words that hold all the terms, in any order."""
         places = np.unique(places)
         order = places[np.argsort(self.counts[places], kind="stable")]
-        rarest = self.list_of(order[0])
-        lists = [self.list_of(p) for p in order]
-        ends = np.unique(np.concatenate(lists))
+        lists = [self.list_of(p).astype(np.int64) for p in order]
+        rarest, ends = lists[0], np.unique(np.concatenate(lists))
         near = np.searchsorted(rarest, ends - reach + 1) < np.searchsorted(rarest, ends, "right")
         ends = ends[near]
-        left = ends.astype(np.int64)
+        left = ends.copy()
         for own in lists:
             at = np.searchsorted(own, ends, "right") - 1
             left = np.minimum(left, np.where(at < 0, -(1 << 40), own[at]))

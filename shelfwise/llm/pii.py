@@ -32,6 +32,8 @@ TRAINING_DOCUMENTS = 6000
 #: Marginal from which a token outside the base spans is added.
 ADD_FROM = 0.9
 ROUNDS = 10
+#: Characters from which a core counts as the same thing wherever it stands.
+REPEAT_CHARS = 6
 BUCKETS = 1 << 12
 SLICE_ROWS = 256
 
@@ -199,7 +201,10 @@ def graph(text: str, found: list[Token]) -> Graph:
 
 
 def seed_labels(text: str, found: list[Token]) -> list[int]:
-    """Labels by the patterns and the key-value rules, for training."""
+    """Labels by the patterns and the key-value rules, for training.
+
+    Occurrences of a labelled core elsewhere in the text have its label too.
+    """
     spans = base_spans(text) + [("secret", m.start(1), m.end(1)) for m in _SECRET.finditer(text)]
     spans.sort(key=lambda s: s[1])
     labels, first = [], 0
@@ -212,7 +217,8 @@ def seed_labels(text: str, found: list[Token]) -> list[int]:
                 label = LABELS.index(kind)
                 break
         labels.append(label)
-    return labels
+    known = {_core_key(text, t): y for t, y in zip(found, labels) if y and t.end - t.start >= REPEAT_CHARS}
+    return [y or known.get(_core_key(text, t), 0) for t, y in zip(found, labels)]
 
 
 class Field(NamedTuple):

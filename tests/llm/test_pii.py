@@ -78,6 +78,7 @@ def test_message_passing_is_exact_on_a_chain():
     rng = np.random.default_rng(2)
     k = len(pii.LABELS)
     field = pii.Field(rng.normal(size=(pii.BUCKETS + 1, k)), rng.normal(size=k), rng.normal(size=(k, k)), np.zeros((k, k)))
+    field.weights[pii.BUCKETS] = 0
     field = field._replace(chain=field.chain + field.chain.T)
     graph = pii.Graph([[1, 2], [3], [4]], [[5], [], [6]], [(0, 1), (1, 2)], [])
     got = pii.marginals(field, [graph], rounds=60)
