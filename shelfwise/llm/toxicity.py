@@ -122,7 +122,7 @@ def _fitted_line(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) ->
     return (scale, shift) if scale > 0.05 else (1.0, 0.0)
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, positive_share: float, epochs: int = 60) -> Machine:
+def train(rows: list[np.ndarray], labels: np.ndarray, positive_share: float, epochs: int = 150) -> Machine:
     """Fit by full-gradient Adagrad on weighted logistic loss; a fifth of the rows calibrates.
 
     ``positive_share`` is that of all labelled training rows, which the row weights restore.
@@ -157,7 +157,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, positive_share: float, epo
             logit = np.clip(bias + np.add.reduceat(w[at], begins) + pairs, -30, 30)
             error = row_weight * (1 / (1 + np.exp(-logit)) - y)
             spread = np.repeat(error, sizes)
-            grad_w = np.bincount(at, spread, minlength=len(w)) + 2e-4 * w
+            grad_w = np.bincount(at, spread, minlength=len(w)) + 3e-5 * w
             grad_v = np.empty_like(v)
             slope = spread[:, None] * (np.repeat(total, sizes, axis=0) - vectors)
             for f in range(FACTORS):
