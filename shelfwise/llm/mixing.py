@@ -21,10 +21,9 @@ from shelfwise.llm.tables import stage
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 6
 #: Share of all tokens to keep.
-KEEP_SHARE = 0.5
-#: Power of the target share over the present share; 1 keeps the mix, 0 makes it even.
-TEMPER = 0.5
-TOPICS = 8
+KEEP_SHARE = 0.3
+#: Power that turns present shares into targets; 1 keeps the mix, 0 makes it even.
+TEMPER = 0.7
 
 
 def n_tokens(text: str = "text") -> Column:
@@ -39,10 +38,21 @@ def _uniform(value: Column, digits: int = 12) -> Column:
     return whole / F.lit(float(16**digits))
 
 
-def topic(text: str = "text", topics: int = TOPICS) -> Column:
-    """A stand-in for a topic model: the bucket of the first word, or of no word."""
-    first = F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"[^\x20\x09-\x0D]+", 0)
-    return F.floor(_uniform(first) * topics).cast("int")
+def topic(text: str = "text") -> Column:
+    """A rule-based label of what kind of text it is, where no topic model has labelled it.
+
+    The first that fits of: legal (license and rights lines), contact (holds an at sign),
+    table (cells between bars), note (under 300 characters), prose.
+    """
+    given = F.coalesce(F.col(text), F.lit(""))
+    legal = F.contains(given, F.lit("icense")) | F.contains(given, F.lit("ights reserved"))
+    return (
+        F.when(legal, "legal")
+        .when(F.contains(given, F.lit("@")), "contact")
+        .when(F.contains(given, F.lit(" | ")), "table")
+        .when(F.length(given) < 300, "note")
+        .otherwise("prose")
+    )
 
 
 def described(documents: DataFrame) -> DataFrame:
@@ -125,13 +135,9 @@ def calibrated(fitted: DataFrame, keep_share: float = KEEP_SHARE, rounds: int =
 
 
 def fitted_cells(described_documents: DataFrame, rounds: int = ROUNDS, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """Cells with weights and probabilities for tempered source and language and even topic targets."""
+    """Cells with weights and probabilities for tempered targets in every dimension."""
     table = stage(cells(described_documents), "cells")
-    targets = {
-        "source": tempered_targets(table, "source"),
-        "lang": tempered_targets(table, "lang"),
-        "topic": tempered_targets(table, "topic", 0.0),
-    }
+    targets = {name: tempered_targets(table, name) for name in DIMENSIONS}
     return stage(calibrated(raked(table, targets, rounds), keep_share), "cells")
 
 

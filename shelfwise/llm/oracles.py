@@ -136,17 +136,19 @@ def op1() -> str:
     same = "c.{0} IS NOT DISTINCT FROM f.value"
     parts = [
         f"""facts AS (
-  SELECT doc_id, source, lang, CAST(floor({uniform.format(f"regexp_extract(coalesce(text, ''), '{word}')")} * {mixing.TOPICS}) AS INTEGER) AS topic,
+  SELECT doc_id, source, lang, CASE
+      WHEN contains(coalesce(text, ''), 'icense') OR contains(coalesce(text, ''), 'ights reserved') THEN 'legal'
+      WHEN contains(coalesce(text, ''), '@') THEN 'contact' WHEN contains(coalesce(text, ''), ' | ') THEN 'table'
+      WHEN length(coalesce(text, '')) < 300 THEN 'note' ELSE 'prose' END AS topic,
     CAST(len(regexp_extract_all(coalesce(text, ''), '{word}')) AS BIGINT) AS n_tokens FROM documents
 )""",
         "w0 AS (SELECT source, lang, topic, sum(n_tokens) AS tokens, CAST(sum(n_tokens) AS DOUBLE) AS weight"
         " FROM facts GROUP BY source, lang, topic)",
     ]
     for name in dimensions:
-        temper = 0.0 if name == "topic" else mixing.TEMPER
         parts.append(
             f"goal_{name} AS (SELECT value, p / sum(p) OVER () AS share FROM (SELECT {name} AS value,"
-            f" pow(CAST(sum(tokens) AS DOUBLE), {temper}) AS p FROM w0 GROUP BY {name} HAVING sum(tokens) > 0))"
+            f" pow(CAST(sum(tokens) AS DOUBLE), {mixing.TEMPER}) AS p FROM w0 GROUP BY {name} HAVING sum(tokens) > 0))"
         )
     k = 0
     for _ in range(mixing.ROUNDS):
