@@ -246,3 +246,27 @@ Rules:
 - For lentils: mention plant-based protein quality
 - Only add 0-2 items total, focus on most impactful insights
 - Return valid JSON only"""
+
+# --- Fixed values: texts of the indicators, in the order they are listed ------
+
+RISK_TEXTS = {
+    "fat": "High fat",
+    "sugars": "High sugar",
+    "salt": "High salt",
+    "saturated_fat": "High saturated fat",
+    "calories": "High calorie density",
+    "nova": "Ultra-processed food (NOVA 4)",
+    "additives": "Many additives (%d found)",
+}
+
+POSITIVE_TEXTS = {
+    "protein": "High protein",
+    "sugars": "Low sugar content",
+    "fiber": "High fiber",
+    "organic": "Organic label",
+    "fair_trade": "Fair trade certified",
+    "balanced": "Balanced fat, sugar, and salt levels",
+    "nova_1": "Minimally processed (NOVA 1)",
+    "nova_2": "Processed culinary ingredient (NOVA 2)",
+    "grade": "Good NutriScore (%s)",
+}

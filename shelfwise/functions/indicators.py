@@ -9,51 +9,46 @@ from shelfwise import fixed_values as fixed
 from shelfwise.functions.tags import contains_any
 
 
-def _texts(rules: list[tuple[Column, str | Column]]) -> Column:
-    """Texts of the rules that hold, in rule order."""
-    return F.array_compact(
-        F.array(*[F.when(holds, text if isinstance(text, Column) else F.lit(text)) for holds, text in rules])
-    )
+def _texts(rules: dict[str, Column], texts: dict[str, str], values: dict[str, Column]) -> Column:
+    """Texts of the rules that hold, in the order of ``texts``; some have a value put in."""
+    shown = []
+    for name, text in texts.items():
+        if name in values:
+            before, after = text.replace("%d", "%s").split("%s")
+            printed = F.concat(F.lit(before), values[name], F.lit(after))
+        else:
+            printed = F.lit(text)
+        shown.append(F.when(rules[name], printed))
+    return F.array_compact(F.array(*shown))
 
 
 def risk_indicators() -> Column:
     additives = F.size("additives_tags")
-    return _texts(
-        [
-            (F.col("fat") > fixed.FAT_HIGH, "High fat"),
-            (F.col("sugars") > fixed.SUGARS_HIGH, "High sugar"),
-            (F.col("salt") > fixed.SALT_HIGH, "High salt"),
-            (F.col("saturated_fat") > fixed.SATURATED_FAT_HIGH, "High saturated fat"),
-            (F.col("energy_kcal") > fixed.CALORIES_HIGH, "High calorie density"),
-            (F.col("nova") >= fixed.NOVA_ULTRA_PROCESSED, "Ultra-processed food (NOVA 4)"),
-            (
-                additives > fixed.MANY_ADDITIVES,
-                F.concat(F.lit("Many additives ("), additives.cast("string"), F.lit(" found)")),
-            ),
-        ]
-    )
+    rules = {
+        "fat": F.col("fat") > fixed.FAT_HIGH,
+        "sugars": F.col("sugars") > fixed.SUGARS_HIGH,
+        "salt": F.col("salt") > fixed.SALT_HIGH,
+        "saturated_fat": F.col("saturated_fat") > fixed.SATURATED_FAT_HIGH,
+        "calories": F.col("energy_kcal") > fixed.CALORIES_HIGH,
+        "nova": F.col("nova") >= fixed.NOVA_ULTRA_PROCESSED,
+        "additives": additives > fixed.MANY_ADDITIVES,
+    }
+    return _texts(rules, fixed.RISK_TEXTS, {"additives": additives.cast("string")})
 
 
 def positive_indicators() -> Column:
     labels = F.col("labels_text")
-    balanced = (
-        (F.col("fat") <= fixed.FAT_HIGH)
+    rules = {
+        "protein": F.col("proteins") > fixed.PROTEIN_HIGH,
+        "sugars": F.col("sugars") <= fixed.SUGARS_LOW,
+        "fiber": F.col("fiber") > fixed.FIBER_HIGH,
+        "organic": contains_any(labels, fixed.ORGANIC_WORDS),
+        "fair_trade": contains_any(labels, fixed.FAIR_TRADE_WORDS),
+        "balanced": (F.col("fat") <= fixed.FAT_HIGH)
         & (F.col("sugars") <= fixed.SUGARS_HIGH)
-        & (F.col("salt") <= fixed.SALT_HIGH)
-    )
-    return _texts(
-        [
-            (F.col("proteins") > fixed.PROTEIN_HIGH, "High protein"),
-            (F.col("sugars") <= fixed.SUGARS_LOW, "Low sugar content"),
-            (F.col("fiber") > fixed.FIBER_HIGH, "High fiber"),
-            (contains_any(labels, fixed.ORGANIC_WORDS), "Organic label"),
-            (contains_any(labels, fixed.FAIR_TRADE_WORDS), "Fair trade certified"),
-            (balanced, "Balanced fat, sugar, and salt levels"),
-            (F.col("nova") == 1, "Minimally processed (NOVA 1)"),
-            (F.col("nova") == 2, "Processed culinary ingredient (NOVA 2)"),
-            (
-                F.col("grade").isin("a", "b"),
-                F.concat(F.lit("Good NutriScore ("), F.upper("grade"), F.lit(")")),
-            ),
-        ]
-    )
+        & (F.col("salt") <= fixed.SALT_HIGH),
+        "nova_1": F.col("nova") == 1,
+        "nova_2": F.col("nova") == 2,
+        "grade": F.col("grade").isin("a", "b"),
+    }
+    return _texts(rules, fixed.POSITIVE_TEXTS, {"grade": F.upper("grade")})
