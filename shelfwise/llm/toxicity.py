@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.tables import labelled_sample
+from shelfwise.llm.tables import labelled_sample, stage
 from shelfwise.llm.textscan import ALNUM, Chunk, chunks, prefix_hashes, ragged, words
 
 #: Training rows of each label at most.
@@ -29,6 +29,7 @@ ROWS_PER_CLASS = 5000
 BUCKET_BITS = 20
 TERMS = 3000
 FACTORS = 6
+LEAST_CHI = 6.6
 THRESHOLD = 0.3
 PREFIXES = (4, 5)
 
@@ -93,19 +94,49 @@ class Machine(NamedTuple):
         return 1 / (1 + np.exp(-logits))
 
 
-def _chosen_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The buckets that separate the labels best, by the chi-square of presence."""
-    total = np.zeros((2, 1 << BUCKET_BITS))
-    for row, label in zip(rows, labels):
-        total[label, row] += 1
-    n = np.maximum(np.bincount(labels, minlength=2).astype(float), 1)
-    share = total.sum(axis=0) / n.sum()
-    expected = n[:, None] * share
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = ((total - expected) ** 2 / (expected * (1 - share))).sum(axis=0)
-    chi[~np.isfinite(chi) | (total.sum(axis=0) < 3)] = 0
-    order = np.lexsort((np.arange(len(chi)), -chi))[:TERMS]
-    return np.sort(order[chi[order] > 6.6])
+def chosen_terms(sample: DataFrame, n: list[int]) -> np.ndarray:
+    """The buckets of a sample (buckets, label) that separate the labels best.
+
+    The measure is the chi-square of a bucket's presence; ``n`` are the rows of each label.
+    At most ``TERMS`` bucket numbers reach the driver.
+    """
+    share = F.col("n") / (n[0] + n[1])
+    chi = F.lit(0.0)
+    for held, rows in ((F.col("n") - F.col("toxic"), n[0]), (F.col("toxic"), n[1])):
+        expected = share * rows
+        chi = chi + (held - expected) * (held - expected) / (expected * (1 - share))
+    counts = (
+        sample.select(F.explode("buckets").alias("bucket"), "label")
+        .groupBy("bucket")
+        .agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
+    )
+    best = (
+        counts.filter((F.col("n") >= 3) & (share < 1))
+        .withColumn("chi", chi)
+        .filter(F.col("chi") > LEAST_CHI)
+        .orderBy(F.desc("chi"), "bucket")
+        .limit(TERMS)
+    )
+    return np.sort(np.array([r["bucket"] for r in best.select("bucket").collect()], dtype=np.int64))
+
+
+def _known_batches(terms: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The bucket lists cut to the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            values, offsets = lists.flatten().to_numpy(), np.concatenate(
+                ([0], np.cumsum(np.diff(lists.offsets.to_numpy())))
+            )
+            keep = np.isin(values, terms)
+            before = np.concatenate(([0], np.cumsum(keep)))
+            yield pa.RecordBatch.from_arrays(
+                [ragged(values[keep], np.diff(before[offsets]), pa.int32()), batch.column(1)],
+                names=["buckets", "label"],
+            )
+
+    return run
 
 
 def _fitted_line(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -122,16 +153,17 @@ def _fitted_line(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) ->
     return (scale, shift) if scale > 0.05 else (1.0, 0.0)
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, positive_share: float, epochs: int = 150) -> Machine:
+def train(
+    terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, positive_share: float, epochs: int = 150
+) -> Machine:
     """Fit by full-gradient Adagrad on weighted logistic loss; a fifth of the rows calibrates.
 
+    ``terms`` are the buckets of the vocabulary, ``rows`` those of each text.
     ``positive_share`` is that of all labelled training rows, which the row weights restore.
     """
-    place = np.full(1 << BUCKET_BITS, TERMS, dtype=np.int32)
+    place = np.full(1 << BUCKET_BITS, len(terms), dtype=np.int32)
     if not len(labels):
-        return Machine(place, np.zeros(1), np.zeros((1, FACTORS)), -2.0, 1.0, 0.0)
-    terms = _chosen_terms(rows, labels)
-    place[:] = len(terms)
+        return Machine(place, np.zeros(len(terms) + 1), np.zeros((len(terms) + 1, FACTORS)), -2.0, 1.0, 0.0)
     place[terms] = np.arange(len(terms))
     share = min(max(positive_share, 1e-4), 1 - 1e-4)
     counts = np.maximum(np.bincount(labels, minlength=2), 1)
@@ -192,18 +224,22 @@ def trained_machine(
         .agg(F.count("*").alias("n"))
         .collect()
     }
-    sample = labelled_sample(documents, labels, "toxic", training, per_class)
-    found = (
-        sample.select(F.col("text").cast("string"), "label")
-        .mapInArrow(_sample_batches, "buckets array<int>, label int")
-        .toArrow()
+    picked = labelled_sample(documents, labels, "toxic", training, per_class)
+    sample = stage(
+        picked.select(F.col("text").cast("string"), "label").mapInArrow(
+            _sample_batches, "buckets array<int>, label int"
+        ),
+        "toxicity-sample",
     )
+    rows_of = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    terms = chosen_terms(sample, [rows_of.get(0, 0), rows_of.get(1, 0)]) if rows_of else np.empty(0, np.int64)
+    found = sample.mapInArrow(_known_batches(terms), "buckets array<int>, label int").toArrow()
     rows = [np.asarray(r.values.to_numpy(zero_copy_only=False)) for r in found.column("buckets")]
     values = found.column("label").to_numpy().astype(np.int64)
     # partitions come in any order: fix it, so that the same rows give the same model
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i][:8].tolist(), int(rows[i].sum()), int(values[i])))
     total = sum(shares.values()) or 1
-    return train([rows[i] for i in order], values[order], shares.get(1, 0) / total)
+    return train(terms, [rows[i] for i in order], values[order], shares.get(1, 0) / total)
 
 
 def _score_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

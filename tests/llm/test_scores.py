@@ -45,12 +45,7 @@ def test_pairs_of_terms_are_learned():
         rows.append(np.array(sorted({10 + a, 20 + b, 1000 + rng.randrange(40)}), dtype=np.int32))
         labels.append(int(a == b))
     chosen = np.unique(np.concatenate(rows))
-    keep = toxicity._chosen_terms
-    toxicity._chosen_terms = lambda *_: chosen
-    try:
-        machine = toxicity.train(rows, np.array(labels), 0.5, epochs=400)
-    finally:
-        toxicity._chosen_terms = keep
+    machine = toxicity.train(chosen, rows, np.array(labels), 0.5, epochs=400)
     assert np.mean((machine.scores(rows) >= 0.5) == np.array(labels)) > 0.95
 
 
