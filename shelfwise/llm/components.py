@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from shelfwise.llm.tables import stage
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-    ).first()
-    return row["n"], row["h"]
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs below one other that hangs below none."""
+    ends = F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("below")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("below")),
+    )
+    nodes = (
+        edges.select(F.explode(ends).alias("e"))
+        .groupBy("e.node")
+        .agg(F.sum("e.below").alias("below"), F.min("e.below").alias("least"))
+    )
+    return nodes.filter((F.col("below") > 1) | ((F.col("below") == 1) & (F.col("least") == 0))).isEmpty()
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -33,8 +39,9 @@ def components(edges: DataFrame, u: str = "a", v: str = "b", max_rounds: int = 6
     usable = edges.filter(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
     edges = usable.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
     edges = stage(edges.distinct(), "components")
-    seen = _fingerprint(edges)
     for _ in range(max_rounds):
+        if _only_stars(edges):
+            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
             both.filter(F.col("v") > F.col("u"))
@@ -51,10 +58,6 @@ def components(edges: DataFrame, u: str = "a", v: str = "b", max_rounds: int = 6
             .distinct()
         )
         edges = stage(small, "components")
-        now = _fingerprint(edges)
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
