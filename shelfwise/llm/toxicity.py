@@ -153,10 +153,50 @@ def _fitted_line(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) ->
     return (scale, shift) if scale > 0.05 else (1.0, 0.0)
 
 
+def _fitted(
+    known: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, n_terms: int, share: float, epochs: int
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, vectors and bias by full-gradient Adagrad on weighted logistic loss.
+
+    ``known`` are the vocabulary places of each row's terms.
+    """
+    rng = np.random.default_rng(7)
+    w, v = np.zeros(n_terms + 1), rng.normal(0, 0.02, (n_terms + 1, FACTORS))
+    v[-1] = 0
+    bias, seen_w, seen_v = float(np.log(share / (1 - share))), np.full(len(w), 1e-3), np.full(v.shape, 1e-3)
+    use = [i for i in range(len(known)) if len(known[i])]
+    if not use:
+        return w, v, bias
+    at = np.concatenate([known[i] for i in use])
+    sizes = np.array([len(known[i]) for i in use])
+    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    y, row_weight = labels[use], weight[use] / len(use)
+    for _ in range(epochs):
+        vectors = v[at]
+        total = np.add.reduceat(vectors, begins)
+        pairs = 0.5 * (total**2 - np.add.reduceat(vectors**2, begins)).sum(axis=1)
+        logit = np.clip(bias + np.add.reduceat(w[at], begins) + pairs, -30, 30)
+        error = row_weight * (1 / (1 + np.exp(-logit)) - y)
+        spread = np.repeat(error, sizes)
+        grad_w = np.bincount(at, spread, minlength=len(w)) + 3e-5 * w
+        grad_v = np.empty_like(v)
+        slope = spread[:, None] * (np.repeat(total, sizes, axis=0) - vectors)
+        for f in range(FACTORS):
+            grad_v[:, f] = np.bincount(at, slope[:, f], minlength=len(w))
+        grad_v += 1e-3 * v
+        seen_w += grad_w**2
+        seen_v += grad_v**2
+        w -= 0.3 * grad_w / np.sqrt(seen_w)
+        v -= 0.05 * grad_v / np.sqrt(seen_v)
+        w[-1], v[-1] = 0, 0
+        bias -= 0.2 * error.sum()
+    return w, v, bias
+
+
 def train(
-    terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, positive_share: float, epochs: int = 150
+    terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, positive_share: float, epochs: int = 100
 ) -> Machine:
-    """Fit by full-gradient Adagrad on weighted logistic loss; a fifth of the rows calibrates.
+    """A machine fitted to all rows, calibrated by one that did not see a fifth of them.
 
     ``terms`` are the buckets of the vocabulary, ``rows`` those of each text.
     ``positive_share`` is that of all labelled training rows, which the row weights restore.
@@ -170,43 +210,15 @@ def train(
     weight = np.where(labels == 1, share / counts[1], (1 - share) / counts[0]) * len(labels)
     known = [place[r] for r in rows]
     known = [k[k < len(terms)] for k in known]
-    fit = np.arange(len(rows)) % 5 != 0 if len(rows) >= 50 else np.ones(len(rows), bool)
 
-    rng = np.random.default_rng(7)
-    w, v = np.zeros(len(terms) + 1), rng.normal(0, 0.02, (len(terms) + 1, FACTORS))
-    v[-1] = 0
-    bias, seen_w, seen_v = float(np.log(share / (1 - share))), np.full(len(w), 1e-3), np.full(v.shape, 1e-3)
-    use = [i for i in np.flatnonzero(fit) if len(known[i])]
-    if use:
-        at = np.concatenate([known[i] for i in use])
-        sizes = np.array([len(known[i]) for i in use])
-        begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        y, row_weight = labels[use], weight[use] / len(use)
-        for _ in range(epochs):
-            vectors = v[at]
-            total = np.add.reduceat(vectors, begins)
-            pairs = 0.5 * (total**2 - np.add.reduceat(vectors**2, begins)).sum(axis=1)
-            logit = np.clip(bias + np.add.reduceat(w[at], begins) + pairs, -30, 30)
-            error = row_weight * (1 / (1 + np.exp(-logit)) - y)
-            spread = np.repeat(error, sizes)
-            grad_w = np.bincount(at, spread, minlength=len(w)) + 3e-5 * w
-            grad_v = np.empty_like(v)
-            slope = spread[:, None] * (np.repeat(total, sizes, axis=0) - vectors)
-            for f in range(FACTORS):
-                grad_v[:, f] = np.bincount(at, slope[:, f], minlength=len(w))
-            grad_v += 1e-3 * v
-            seen_w += grad_w**2
-            seen_v += grad_v**2
-            w -= 0.3 * grad_w / np.sqrt(seen_w)
-            v -= 0.05 * grad_v / np.sqrt(seen_v)
-            w[-1], v[-1] = 0, 0
-            bias -= 0.2 * error.sum()
-    machine = Machine(place, w, v, bias, 1.0, 0.0)
-    held = np.flatnonzero(~fit)
-    if len(held) and len(set(labels[held].tolist())) == 2:
-        scale, shift = _fitted_line(machine.logits([rows[i] for i in held]), labels[held], weight[held])
-        machine = machine._replace(scale=scale, shift=shift)
-    return machine
+    scale, shift = 1.0, 0.0
+    held = np.arange(0, len(rows), 5)
+    if len(rows) >= 50 and len(set(labels[held].tolist())) == 2:
+        seen = np.setdiff1d(np.arange(len(rows)), held)
+        part = _fitted([known[i] for i in seen], labels[seen], weight[seen], len(terms), share, epochs)
+        trial = Machine(place, *part, 1.0, 0.0)
+        scale, shift = _fitted_line(trial.logits([rows[i] for i in held]), labels[held], weight[held])
+    return Machine(place, *_fitted(known, labels, weight, len(terms), share, epochs), scale, shift)
 
 
 def trained_machine(
