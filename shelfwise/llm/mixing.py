@@ -7,8 +7,8 @@ one factor per token; documents are kept with probabilities in proportion to the
 of their cell, by a hash of their id, so a rerun keeps the same ones.
 
 Cells stay a distributed table. Sums over a margin are aggregations with partial sums,
-so a source or language with most of the cells is no bottleneck, and each round of
-fitting is written to the shared folder.
+so a source or language with most of the cells is no bottleneck, and each step of
+fitting is written to the shared folder, which keeps plans short.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.tables import stage
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS = 6
+ROUNDS = 4
 #: Share of all tokens to keep.
 KEEP_SHARE = 0.3
 #: Power that turns present shares into targets; 1 keeps the mix, 0 makes it even.
@@ -103,7 +103,7 @@ def raked(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
                     (F.col("c.weight") * F.coalesce("f.factor", F.lit(0.0))).alias("weight"),
                 )
             )
-        fitted = stage(fitted, "cells")
+            fitted = stage(fitted, "cells")
     return fitted
 
 
