@@ -2,7 +2,8 @@
 
 Token counts are raked to the target shares of source, language and topic at once. The
 sums go into one table of cells (source, language, topic); fitting scales the cells of
-each value of one dimension in turn until all three margins hold. Every cell ends with
+each value of one dimension in turn until all three margins hold within ``TOLERANCE``;
+targets that no weights can meet are an error. Every cell ends with
 one factor per token; documents are kept with probabilities in proportion to the factor
 of their cell, by a hash of their id, so a rerun keeps the same ones.
 
@@ -19,7 +20,12 @@ from pyspark.sql import functions as F
 from shelfwise.llm.tables import stage
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Rounds that the SQL in oracles.py spells out; fitting itself goes on until the margins hold.
 ROUNDS = 4
+#: Largest difference of a margin's share from its target at which fitting ends.
+TOLERANCE = 1e-9
+#: Rounds after which targets count as out of reach.
+MAX_ROUNDS = 200
 #: Share of all tokens to keep.
 KEEP_SHARE = 0.3
 #: Power that turns present shares into targets; 1 keeps the mix, 0 makes it even.
@@ -76,16 +82,41 @@ def tempered_targets(table: DataFrame, dimension: str, temper: float = TEMPER) -
     return powers.select("value", (F.col("power") / F.lit(total)).alias("share"))
 
 
-def raked(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def _residual(fitted: DataFrame, goals: dict[str, DataFrame]) -> float:
+    """The largest difference between a share held and its target, over all values of all dimensions.
+
+    Targets count among the values that hold weight, whose shares are made to add up to one.
+    """
+    margins = [F.struct(F.lit(n).alias("dimension"), F.col(n).cast("string").alias("value")) for n in goals]
+    held = (
+        fitted.select(F.explode(F.array(*margins)).alias("m"), "weight")
+        .groupBy("m.dimension", "m.value")
+        .agg(F.sum("weight").alias("held"))
+        .filter(F.col("held") > 0)
+    )
+    wanted = None
+    for name, goal in goals.items():
+        part = goal.select(F.lit(name).alias("of"), F.col("value").cast("string").alias("goal"), "share")
+        wanted = part if wanted is None else wanted.unionByName(part)
+    same = (F.col("dimension") == F.col("of")) & F.col("value").eqNullSafe(F.col("goal"))
+    margin = held.join(wanted, same, "left").select("dimension", "held", F.coalesce("share", F.lit(0.0)).alias("share"))
+    totals = margin.groupBy("dimension").agg(F.sum("held").alias("all_held"), F.sum("share").alias("all_share"))
+    off = F.abs(F.col("held") / F.col("all_held") - F.try_divide("share", "all_share"))
+    return margin.join(totals, "dimension").agg(F.max(off)).first()[0] or 0.0
+
+
+def raked(table: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None) -> DataFrame:
     """The cells with ``weight``: their share of the tokens after fitting all margins.
 
     ``targets`` has a table (value, share) for each dimension; the shares of a dimension
     need not add up to one. Values without a target get weight 0, targets of values that
-    do not occur are shared out by the others.
+    do not occur are shared out by the others. Fitting goes on until every margin is
+    within ``TOLERANCE`` of its target and raises if that takes ``MAX_ROUNDS`` rounds, as
+    the targets then contradict each other; given ``rounds``, just as many are made.
     """
     fitted = stage(table.withColumn("weight", F.col("tokens").cast("double")), "cells")
     goals = {name: stage(frame, "targets") for name, frame in targets.items()}
-    for _ in range(rounds):
+    for _ in range(MAX_ROUNDS if rounds is None else rounds):
         for name, goal in goals.items():
             sums = fitted.groupBy(F.col(name).alias("value")).agg(F.sum("weight").alias("held"))
             factors = (
@@ -104,10 +135,15 @@ def raked(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
                 )
             )
             fitted = stage(fitted, "cells")
+        if rounds is None and (off := _residual(fitted, goals)) <= TOLERANCE:
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"the margins are {off:.1e} off their targets after {MAX_ROUNDS} rounds")
     return fitted
 
 
-def calibrated(fitted: DataFrame, keep_share: float = KEEP_SHARE, rounds: int = 12) -> DataFrame:
+def calibrated(fitted: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
     """The fitted cells with ``probability``: in proportion to weight per token, at most 1.
 
     The common factor is such that ``keep_share`` of all tokens are kept on average. Cells
@@ -118,7 +154,7 @@ def calibrated(fitted: DataFrame, keep_share: float = KEEP_SHARE, rounds: int =
     rate = F.col("weight") / F.col("tokens")
     all_tokens = fitted.agg(F.sum("tokens")).first()[0] or 0
     factor = 0.0
-    for _ in range(rounds):
+    while True:
         full = rate * factor >= 1
         row = live.agg(
             F.sum(F.when(full, F.col("tokens"))).alias("full"),
@@ -127,21 +163,22 @@ def calibrated(fitted: DataFrame, keep_share: float = KEEP_SHARE, rounds: int =
         if not row["open"]:
             break
         new = (keep_share * all_tokens - (row["full"] or 0)) / row["open"]
-        if new <= factor:
+        # sums of the same cells may differ in the last digits
+        if new <= factor * (1 + 1e-12):
             break
         factor = new
     probability = F.when((F.col("tokens") > 0) & (F.col("weight") > 0), F.least(F.lit(1.0), rate * factor))
     return fitted.withColumn("probability", F.coalesce(probability, F.lit(0.0)))
 
 
-def fitted_cells(described_documents: DataFrame, rounds: int = ROUNDS, keep_share: float = KEEP_SHARE) -> DataFrame:
+def fitted_cells(described_documents: DataFrame, rounds: int | None = None, keep_share: float = KEEP_SHARE) -> DataFrame:
     """Cells with weights and probabilities for tempered targets in every dimension."""
     table = stage(cells(described_documents), "cells")
     targets = {name: tempered_targets(table, name) for name in DIMENSIONS}
     return stage(calibrated(raked(table, targets, rounds), keep_share), "cells")
 
 
-def mixed(documents: DataFrame, rounds: int = ROUNDS, keep_share: float = KEEP_SHARE) -> DataFrame:
+def mixed(documents: DataFrame, rounds: int | None = None, keep_share: float = KEEP_SHARE) -> DataFrame:
     """Every document with ``topic``, ``n_tokens``, ``probability`` and ``kept``.
 
     A document is kept if the hash of its id, from 0 to 1, is below its cell's
@@ -165,6 +202,6 @@ def mixed(documents: DataFrame, rounds: int = ROUNDS, keep_share: float = KEEP_S
     )
 
 
-def sampled(documents: DataFrame, rounds: int = ROUNDS, keep_share: float = KEEP_SHARE) -> DataFrame:
+def sampled(documents: DataFrame, rounds: int | None = None, keep_share: float = KEEP_SHARE) -> DataFrame:
     """The documents that the mix keeps, with topic, token count and probability."""
     return mixed(documents, rounds, keep_share).filter("kept").drop("kept")

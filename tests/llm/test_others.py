@@ -63,6 +63,33 @@ def test_mixing_edge_rows(documents, clashing):
     assert mixing.mixed(documents([])).count() == 0
 
 
+def test_margins_hold_with_the_defaults(spark):
+    """A hot source nearly all in one language and topic, as are the others."""
+    counts = [(s, lang, t, 20_000) for s in ("hot", "a", None) for lang in ("en", "de") for t in ("note", "prose")]
+    counts += [("hot", "en", "prose", 300_000), ("a", "de", "note", 200_000), (None, "de", "prose", 100_000)]
+    facts = spark.createDataFrame(counts, "source string, lang string, topic string, n_tokens long")
+    found = mixing.fitted_cells(facts).cache()
+    for name in mixing.DIMENSIONS:
+        held = {r[0]: r[1] for r in found.groupBy(name).agg(F.sum("weight")).collect()}
+        for row in mixing.tempered_targets(mixing.cells(facts), name).collect():
+            assert math.isclose(held[row["value"]], row["share"], abs_tol=1e-8)
+
+
+def test_targets_out_of_reach_raise(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_ROUNDS", 4)
+    facts = spark.createDataFrame([("a", "en", "x", 9), ("b", "de", "x", 1), ("c", "de", "x", 1)], "source string, lang string, topic string, n_tokens long")
+    with pytest.raises(RuntimeError, match="off their targets"):
+        mixing.fitted_cells(facts)
+
+
+def test_calibration_goes_on_while_cells_fill_up(spark):
+    """Each round fills one cell more."""
+    rows = [("s", "en", str(k), 100, 100.0**-k) for k in range(20)]
+    fitted = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, weight double")
+    kept = mixing.calibrated(fitted, 0.95).agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0]
+    assert math.isclose(kept, 0.95 * 2000, rel_tol=1e-6)
+
+
 # -- main text
 
 
