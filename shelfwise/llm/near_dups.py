@@ -456,9 +456,24 @@ def near_duplicates(
 def deduplicated(documents: DataFrame, shingle_words: int = 2, percent: int = 80) -> DataFrame:
     """The documents without near duplicates: of each group the row with the smallest id stays.
 
-    Rows repeated with the same id are reduced to one if their texts are equal too.
-    Columns are those of the input.
+    Rows are told apart by id and text: each pair of them is a document of its own, and of
+    rows equal in both one stays. A row of which only the id is repeated is judged by its
+    own text. Rows with a null id all stay. Columns are those of the input.
     """
-    found = near_duplicates(documents, shingle_words, percent)
-    removed = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return documents.join(removed, "doc_id", "left_anti").select(*documents.columns)
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    keyed = documents.withColumn("_row_key", key)
+    found = near_duplicates(keyed.select(F.col("_row_key").alias("doc_id"), "text"), shingle_words, percent)
+    names = keyed.filter(key.isNotNull()).groupBy("_row_key").agg(
+        F.min(F.col("doc_id").cast("long")).alias("own_id"), F.count("*").alias("n")
+    )
+    names = stage(names, "row-keys")
+    judged = found.select(F.col("doc_id").alias("_row_key"), "component_id").distinct().join(names, "_row_key")
+    first = judged.groupBy("component_id").agg(F.min(F.struct("own_id", "_row_key")).alias("first"))
+    first = first.select(F.col("first._row_key").alias("_row_key"))
+    removed = stage(judged.join(first, "_row_key", "left_anti").select("_row_key"), "removed")
+    left = keyed.join(removed, "_row_key", "left_anti")
+    repeated = stage(names.filter("n > 1").select("_row_key"), "repeated")
+    if not repeated.isEmpty():
+        single = left.join(repeated, "_row_key", "left_anti")
+        left = single.unionByName(left.join(repeated, "_row_key", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.select(*documents.columns)

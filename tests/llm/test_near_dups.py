@@ -121,6 +121,18 @@ def test_deduplicated_keeps_columns_and_clean_rows(documents):
     ]
 
 
+def test_deduplicated_judges_rows_by_id_and_text(documents):
+    """Equal rows become one, and a unique text stays though its id is repeated beside a copy."""
+    rows = [(1, "a b c d"), (2, "e f g h"), (2, "a b c d"), (2, "e f g h"), (3, "i j k l"), (3, "i j k l"), (4, None), (4, None)]
+    rows += [(None, "m n o p"), (None, "m n o p"), (5, "E f g h"), (0, "q r s t"), (0, "u v w x")]
+    kept = near_dups.deduplicated(documents(rows))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect() if r["text"]) == [
+        ("0", "q r s t"), ("0", "u v w x"), ("1", "a b c d"), ("2", "e f g h"), ("3", "i j k l"),
+        ("None", "m n o p"), ("None", "m n o p"),
+    ]
+    assert kept.filter("text IS NULL").count() == 1
+
+
 def test_keys_are_shared_by_all_signatures_within_the_distance(spark):
     """The pigeonhole promise, with as many errors as allowed in random places."""
     rng = np.random.default_rng(3)
