@@ -3,9 +3,10 @@
 The patterns give the base spans, which always stay. A random field over the tokens
 that hold a digit or an at sign adds spans the patterns miss. Its nodes are those
 tokens; neighbours in the text share a chain potential, and occurrences of the same
-core anywhere in a document share a skip potential, each with the next occurrence, so
-a token repeated n times costs n edges. Loopy message passing gives the marginals, by
-which a bare repetition of a value known from a telling place gets that value's label.
+core anywhere in a document share a skip potential: two with each other, more through one
+hub node, so a token repeated n times costs n edges and evidence reaches all repeats in
+two steps. Loopy message passing until nothing changes gives the marginals, by which a
+bare repetition of a value known from a telling place gets that value's label.
 
 Training is piecewise, on a bounded sample of documents labelled by the patterns and by
 key-value rules for secrets: a softmax for the tokens, pair statistics for the two kinds
@@ -31,7 +32,9 @@ LABELS = ("other", *KINDS, "secret")
 TRAINING_DOCUMENTS = 6000
 #: Marginal from which a token outside the base spans is added.
 ADD_FROM = 0.9
-ROUNDS = 10
+#: Largest change of a message, in log units, at which message passing ends, and rounds in which it must.
+TOLERANCE = 1e-5
+MAX_ROUNDS = 5000
 #: Characters from which a core counts as the same thing wherever it stands.
 REPEAT_CHARS = 6
 BUCKETS = 1 << 12
@@ -222,12 +225,13 @@ def seed_labels(text: str, found: list[Token]) -> list[int]:
 
 
 class Field(NamedTuple):
-    """A trained field: token weights, chain and skip potentials."""
+    """A trained field: token weights, chain and skip potentials, log shares of the labels of repeats."""
 
     weights: np.ndarray
     bias: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    hub: np.ndarray = np.zeros(len(LABELS))
 
 
 def _padded(rows: list[list[int]]) -> np.ndarray:
@@ -243,8 +247,11 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _pair_potential(pairs: list[tuple[int, int]], agreement: float) -> np.ndarray:
-    """Log ratio of joint and independent frequencies; ``agreement`` are prior counts of equal labels."""
+def _pair_potential(pairs: list[tuple[int, int]], agreement: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratio of joint and independent frequencies, and the log of the latter.
+
+    ``agreement`` are prior counts of equal labels.
+    """
     k = len(LABELS)
     counts = np.full((k, k), 0.5) + agreement * np.eye(k)
     for a, b in pairs:
@@ -252,7 +259,7 @@ def _pair_potential(pairs: list[tuple[int, int]], agreement: float) -> np.ndarra
         counts[b, a] += 1
     joint = counts / counts.sum()
     share = joint.sum(axis=1)
-    return np.log(joint / np.outer(share, share))
+    return np.log(joint / np.outer(share, share)), np.log(share)
 
 
 def train(rows: list[tuple[Graph, list[int]]], steps: int = 150, rate: float = 0.5) -> Field:
@@ -276,40 +283,85 @@ def train(rows: list[tuple[Graph, list[int]]], steps: int = 150, rate: float = 0
             bias -= rate * error.sum(axis=0)
     chain = [(ys[a], ys[b]) for g, ys in rows for a, b in g.chain]
     skip = [(ys[a], ys[b]) for g, ys in rows for a, b in g.skip]
-    return Field(weights, bias, _pair_potential(chain, 1.0), _pair_potential(skip, 5.0))
+    return Field(weights, bias, _pair_potential(chain, 1.0)[0], *_pair_potential(skip, 5.0))
 
 
-def marginals(field: Field, graphs: list[Graph], rounds: int = ROUNDS) -> np.ndarray:
-    """Label marginals of all nodes of the graphs by damped loopy message passing."""
+def _skip_edges(pairs: list[tuple[int, int]], hub: int) -> tuple[list[tuple[int, int]], int]:
+    """Edges between the occurrences of each core: one for two, else one each to a hub, numbered from ``hub``.
+
+    ``pairs`` join each occurrence with the next. The second value is the number of hubs.
+    """
+    groups: dict[int, list[int]] = {}
+    for a, b in pairs:
+        group = groups.setdefault(a, [a])
+        group.append(b)
+        groups[b] = group
+    edges, hubs = [], 0
+    for first, group in groups.items():
+        if first == group[0]:
+            if len(group) == 2:
+                edges.append((group[0], group[1]))
+            else:
+                edges += [(k, hub + hubs) for k in group]
+                hubs += 1
+    return edges, hubs
+
+
+def marginals(field: Field, graphs: list[Graph], rounds: int | None = None) -> np.ndarray:
+    """Label marginals of all nodes of the graphs by damped loopy message passing.
+
+    A graph goes on until no message changes by more than ``TOLERANCE``; one that does not
+    settle in ``MAX_ROUNDS`` is an error. Given ``rounds``, at most as many are made.
+    """
     rows = [o + p for g in graphs for o, p in zip(g.own, g.place)]
     k = len(LABELS)
     if not rows:
         return np.zeros((0, k))
     unary = field.weights[_padded(rows)].sum(axis=1) + field.bias
+    chain, skip, owners, n, first = [], [], ([], []), len(rows), 0
+    for number, g in enumerate(graphs):
+        edges, hubs = _skip_edges([(first + a, first + b) for a, b in g.skip], n)
+        chain += [(first + a, first + b) for a, b in g.chain]
+        skip += edges
+        owners[0].extend([number] * len(g.chain))
+        owners[1].extend([number] * len(edges))
+        n += hubs
+        first += len(g.own)
+    unary = np.concatenate((unary, np.tile(field.hub, (n - len(rows), 1))))
     unary -= unary.max(axis=1, keepdims=True)
-    first = np.concatenate(([0], np.cumsum([len(g.own) for g in graphs])))
-    chain = [(f + a, f + b) for f, g in zip(first, graphs) for a, b in g.chain]
-    skip = [(f + a, f + b) for f, g in zip(first, graphs) for a, b in g.skip]
     if not chain and not skip:
         return _softmax(unary)
     pairs = np.array(chain + skip)
     source, target = np.concatenate((pairs[:, 0], pairs[:, 1])), np.concatenate((pairs[:, 1], pairs[:, 0]))
     reverse = np.concatenate((np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))))
     of_skip = np.tile(np.arange(len(pairs)) >= len(chain), 2)
-    potential = np.where(of_skip[:, None, None], field.skip, field.chain)
+    owner = np.tile(np.array(owners[0] + owners[1]), 2)
+    potential = np.stack((field.chain, field.skip))
+    potential = (np.exp(potential - potential.max(axis=(1, 2), keepdims=True)))[of_skip.astype(int)]
     messages = np.zeros((len(source), k))
-    for _ in range(rounds):
+    # edges of the graphs that still change
+    live = np.arange(len(source))
+    for _ in range(MAX_ROUNDS if rounds is None else rounds):
         belief = unary.copy()
-        np.add.at(belief, target, messages)
-        given = (belief[source] - messages[reverse])[:, :, None] + potential
-        top = given.max(axis=1, keepdims=True)
-        sent = np.log(np.exp(given - top).sum(axis=1)) + top[:, 0]
+        for label in range(k):
+            belief[:, label] += np.bincount(target[live], messages[live, label], minlength=n)
+        given = belief[source[live]] - messages[reverse[live]]
+        given = np.exp(given - given.max(axis=1, keepdims=True))
+        sent = np.log(np.einsum("ea,eab->eb", given, potential[live]))
         sent -= sent.max(axis=1, keepdims=True)
-        messages = 0.5 * messages + 0.5 * sent
+        change = np.abs(sent - messages[live]).max(axis=1)
+        messages[live] = 0.5 * messages[live] + 0.5 * sent
+        going = np.zeros(len(graphs), dtype=bool)
+        going[owner[live][change > TOLERANCE]] = True
+        live = live[going[owner[live]]]
+        if not len(live):
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"messages still change by {change.max():.1e} after {MAX_ROUNDS} rounds")
     belief = unary.copy()
     np.add.at(belief, target, messages)
-    return _softmax(belief)
-
+    return _softmax(belief[: len(rows)])
 
 
 def found_spans(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:

@@ -92,6 +92,28 @@ def test_message_passing_is_exact_on_a_chain():
     assert np.allclose(got, expected, atol=1e-6)
 
 
+def test_evidence_reaches_every_repeat():
+    """One occurrence in a telling place, 200 that say nothing themselves."""
+    k, secret = len(pii.LABELS), pii.LABELS.index("secret")
+    weights = np.zeros((pii.BUCKETS + 1, k))
+    weights[1, secret] = 12.0
+    skip, hub = pii._pair_potential([(0, 0)] * 300 + [(secret, secret)] * 300, 5.0)
+    field = pii.Field(weights, hub.copy(), np.zeros((k, k)), skip, hub)
+    graph = pii.Graph([[1]] + [[2]] * 200, [[]] * 201, [], [(i, i + 1) for i in range(200)])
+    got = pii.marginals(field, [graph])
+    assert (got[:, secret] >= pii.ADD_FROM).all()
+    alone = pii.marginals(field, [pii.Graph([[2]] * 201, [[]] * 201, [], graph.skip)])
+    assert (alone[:, secret] < pii.ADD_FROM).all()
+
+
+def test_a_value_repeated_200_times_is_found_each_time(documents, corpus):
+    secret = "9f" * 20
+    text = f'token = "{secret}" ' + " ".join(f"lorem {secret} ipsum" for _ in range(200))
+    rows = [*corpus, (1000, text)]
+    found = pii.personal_data(documents(rows)).filter("doc_id = 1000").first()
+    assert found["n_added"] == 201
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(11)
