@@ -225,7 +225,7 @@ def node_features(nodes: list[Node], parents: list[int]) -> list[tuple[list[int]
         names = [_bucket("tag", tag), _bucket("parent", nodes[up].tag if up >= 0 else tag, tag)]
         if node.names.strip():
             found = {w.lower() for w in _NAME_WORD.findall(node.names)}
-            names += [_bucket("name", w) for w in sorted(found)[:8]]
+            names += [_bucket("name", w) for w in sorted(found)]
         kind = "head" if tag in HEADINGS else "block" if tag in BLOCKS else "inline"
         place = [
             _bucket("text", _log_bin(size)),
@@ -303,23 +303,21 @@ def train(pages: list[tuple[list, list[int], list[int]]], steps: int = 120) -> M
             target += [label, label]
         for k in range(1, len(labels)):
             pairs[labels[parents[k]], labels[k]] += 1
-    width = max(map(len, rows), default=1)
-    index = np.full((len(rows), width), BUCKETS)
-    for k, row in enumerate(rows):
-        index[k, : len(row)] = row
-    weights, bias, y = np.zeros(BUCKETS + 1), 0.0, np.array(target, float)
-    seen = np.full(BUCKETS + 1, 1e-6)
+    sizes = np.array([len(row) for row in rows], dtype=np.int64)
+    index = np.fromiter((f for row in rows for f in row), np.int32, int(sizes.sum()))
+    begins = np.cumsum(sizes) - sizes
+    weights, bias, y = np.zeros(BUCKETS), 0.0, np.array(target, float)
+    seen = np.full(BUCKETS, 1e-6)
     for _ in range(steps if len(rows) else 0):
-        p = 1 / (1 + np.exp(-np.clip(weights[index].sum(axis=1) + bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(weights[index], begins) + bias, -30, 30)))
         error = (p - y) / len(y)
-        gradient = np.bincount(index.ravel(), np.repeat(error, width), minlength=BUCKETS + 1) + 1e-6 * weights
+        gradient = np.bincount(index, np.repeat(error, sizes), minlength=BUCKETS) + 1e-6 * weights
         seen += gradient**2
         weights -= 0.3 * gradient / np.sqrt(seen)
-        weights[BUCKETS] = 0
         bias -= 0.3 * error.sum()
     joint = pairs / pairs.sum()
     edges = np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0)))
-    return Model(weights[:BUCKETS].tolist(), float(bias), edges.tolist())
+    return Model(weights.tolist(), float(bias), edges.tolist())
 
 
 def main_text(model: Model, html: str) -> str:

@@ -130,6 +130,22 @@ def test_tree_messages_equal_enumeration():
     assert np.allclose(html_text.marginals(model, features, parents), content / total)
 
 
+def test_all_naming_words_count():
+    """The telling word comes after twelve others in the alphabet."""
+    words = "bg block border col d flex font gap grid h item m"
+
+    def page(more):
+        nodes, parents = html_text.flat(html_text.parsed(f'<div class="{words} {more}"><p>Some text here</p></div>'))
+        return html_text.node_features(nodes, parents), parents
+
+    own = set(page("sidebar")[0][1][0])
+    assert len(own) == 2 + 13 and own != set(page("story")[0][1][0])
+    examples = [(*page(word), [0] + [int(word == "story")] * 2) for word in ("sidebar", "story")] * 20
+    model = html_text.train(examples)
+    sure = {word: html_text.marginals(model, *page(word)) for word in ("sidebar", "story")}
+    assert sure["sidebar"][1] < 0.5 < sure["story"][1] and sure["sidebar"][2] < 0.5 < sure["story"][2]
+
+
 def test_page_edge_rows(spark, pages):
     rows = [
         (1, "u", None), (1, "u", ""), (None, None, "no markup at all"), (2, "u", "<p>a &am"), (3, "u", "<" * 50 + "p"),
