@@ -4,8 +4,9 @@ Every distinct shingle set gets a signature of 32 components of 16 bits, kept as
 eight 64-bit chunks of four components. Two signatures that differ in at most 15
 components differ in at most one component of some chunk (pigeonhole: 15 // 8 = 1).
 So every chunk is entered under four keys, each with one component wiped out, and two
-signatures within the distance always share a key. Sets of similarity 0.8 differ in
-6.4 components on average and in more than 15 with a probability below 1e-4.
+signatures within the distance always share a key. Sets of similarity 0.8 differ in 6.4 components
+on average, in more than 15 with a probability of 1.4e-4, and share no key at all with
+one of 1.1e-6 (0.1808 ** 8): whatever shares a key is looked at, at any distance.
 
 Candidates are confirmed on the full shingle sets. Work inside a bucket of equal keys
 never grows with the square of a group of copies:
@@ -14,8 +15,8 @@ never grows with the square of a group of copies:
 2. each member of a bucket is compared with one pivot, first the bucket's smallest id,
    then, where members are still in different components, one drawn by hash;
 3. members that are *then still in different components* are compared with each other at
-   the first key they share, in pairs of blocks of bounded size: first by signature, which
-   leaves the rows that have a partner within the distance, then by their full sets. Out
+   the first key they share, in pairs of blocks of bounded size: first by set size and
+   signature, which leaves the rows that have such a partner, then by their full sets. Out
    of a pair of blocks come rows or links, never candidate pairs.
 
 Two linked texts that share a bucket are therefore in one component at the end.
@@ -218,7 +219,7 @@ def _pair_index(n: int, m: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _partner_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of block pairs that have a partner in another component within the distance."""
+    """Rows of block pairs that have a partner of fitting size in another component, by the first key of the two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,8 +244,6 @@ def _partner_batches(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent
                 )
                 a, b, row = a[keep], b[keep], row[keep]
-                keep = (signature[""][a] != signature["_y"][b]).sum(axis=1) <= MAX_DISTANCE
-                a, b, row = a[keep], b[keep], row[keep]
                 keep = _first_slots(signature[""][a], signature["_y"][b]) == slots[row]
                 a, b, row = a[keep], b[keep], row[keep]
                 if len(a):

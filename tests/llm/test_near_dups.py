@@ -156,6 +156,18 @@ def test_keys_are_shared_by_all_signatures_within_the_distance(spark):
         assert slot == equal.index(True)
 
 
+def test_pairs_that_share_a_key_are_looked_at_at_any_distance():
+    import pyarrow as pa
+
+    other = [0, *[0x0001000100010001] * 4, 0x00010001, 0, 0]
+    values = {"doc_id": [1, 2], "part": [1, 2], "n_b": [10, 10], **{f"sig{c}": [0, x] for c, x in enumerate(other)}}
+    fields = {name + s: pa.array([v], pa.list_(pa.int64())) for name, v in values.items() for s in ("", "_y")}
+    fields |= {"key": pa.array([7], pa.int64()), "slot": pa.array([0], pa.int32()), "same": pa.array([True])}
+    batch = pa.RecordBatch.from_arrays(list(fields.values()), names=list(fields))
+    found = [r for out in near_dups._partner_batches(80)([batch]) for r in out.to_pylist()]
+    assert found == [{"key": 7, "slot": 0, "doc_id": 1}, {"key": 7, "slot": 0, "doc_id": 2}]
+
+
 def test_common_counts(monkeypatch):
     monkeypatch.setattr(near_dups, "_SET_SLICE", 3)
     rng = np.random.default_rng(1)
