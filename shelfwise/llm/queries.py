@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import oracles
+from shelfwise.llm.conversations import structure
 from shelfwise.llm.decontaminate import contamination
 from shelfwise.llm.html_text import extracted
 from shelfwise.llm.licenses import licenses
@@ -17,6 +18,7 @@ from shelfwise.llm.near_dups import near_duplicates
 from shelfwise.llm.pii import personal_data
 from shelfwise.llm.quality import quality, trained_chain
 from shelfwise.llm.shipping import ship
+from shelfwise.llm.spelling import spelling_variants
 from shelfwise.llm.tables import doc_fold, table
 from shelfwise.llm.token_counts import document_token_counts
 from shelfwise.llm.topk import exact_top_k
@@ -93,6 +95,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return structure(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return spelling_variants(table(spark, sf_dir, "documents"), misspell=97)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -109,6 +121,8 @@ def queries() -> dict[str, Query]:
         op8_decontamination,
         op9_token_counts,
         op10_licenses,
+        op12_conversations,
+        op13_spelling,
         pipeline,
     ]
     return {query.__name__: query for query in own}
