@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.tables import stage
+from shelfwise.sources.sinks import Staging
 
 
 def _only_stars(edges: DataFrame) -> bool:
@@ -27,18 +28,22 @@ def _nearest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
 
 
-def components(edges: DataFrame, u: str = "a", v: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(
+    edges: DataFrame, u: str = "a", v: str = "b", max_rounds: int = 60, work: Staging | None = None
+) -> DataFrame:
     """(node, component): for every node of an undirected edge table its component's smallest node.
 
     Alternates large-star and small-star steps, which hang every node below ever
     smaller neighbours until only stars remain; the number of rounds is logarithmic in
     the number of nodes. Edges stay in distributed tables, each round is written to the
     shared folder, and a hub is only ever aggregated or joined, never gathered.
-    Loops and null ends are ignored; an empty table gives an empty result.
+    Loops and null ends are ignored; an empty table gives an empty result. With ``work`` the
+    rounds are kept in that staging, which its owner removes.
     """
+    store = stage if work is None else work.table
     usable = edges.filter(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
     edges = usable.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-    edges = stage(edges.distinct(), "components")
+    edges = store(edges.distinct(), "components")
     for _ in range(max_rounds):
         if _only_stars(edges):
             break
@@ -57,7 +62,7 @@ def components(edges: DataFrame, u: str = "a", v: str = "b", max_rounds: int = 6
             .union(parents.select("u", F.col("least").alias("v")))
             .distinct()
         )
-        edges = stage(small, "components")
+        edges = store(small, "components")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -12,6 +12,7 @@ from shelfwise.llm import oracles
 from shelfwise.llm.conversations import structure
 from shelfwise.llm.decontaminate import contamination
 from shelfwise.llm.html_text import extracted
+from shelfwise.llm.jaccard_join import jaccard_join
 from shelfwise.llm.licenses import licenses
 from shelfwise.llm.mixing import mixed
 from shelfwise.llm.near_dups import near_duplicates
@@ -95,6 +96,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return jaccard_join(table(spark, sf_dir, "documents"), shingle_words=4, percent=85)
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return structure(table(spark, sf_dir, "conversations"))
@@ -121,6 +127,7 @@ def queries() -> dict[str, Query]:
         op8_decontamination,
         op9_token_counts,
         op10_licenses,
+        op11_jaccard_join,
         op12_conversations,
         op13_spelling,
         pipeline,
