@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfwise.functions.urls import page_barcode
-from shelfwise.sources.sinks import finished_folders, remove_folder
+from shelfwise.sources.snapshots import KEEP_VERSIONS, Conflict, FolderTable
 
 #: Of a table without any batch.
 LATEST_SCHEMA = "user_id long, ts timestamp, event_id long, barcode string"
@@ -37,23 +35,30 @@ def _latest(rows: DataFrame) -> DataFrame:
 
 
 def start_latest_viewed(
-    views: DataFrame, path: str, checkpoint: str, compact_every: int = 50, **trigger
+    views: DataFrame,
+    path: str,
+    checkpoint: str,
+    compact_every: int = 50,
+    keep_versions: int = KEEP_VERSIONS,
+    **trigger,
 ) -> StreamingQuery:
     """Keep a table of last viewed products up to date from a stream.
 
-    Each micro-batch writes the last views in it to a folder named after the query and
-    the batch: a retry replaces its own folder, and another checkpoint, whose batches
-    count from 0 again, replaces nothing. The query keeps no state of its own. Every
-    ``compact_every`` batches the folders become one. Taking the latest is the same
-    however often a row is there, so readers need no lock.
+    Each micro-batch writes the last views in it to a new folder and commits that. The
+    query keeps no state of its own, and any number of queries may feed one table. Every
+    ``compact_every`` batches the folders become one. Taking the latest is the same however
+    often a row is there, so a batch that is tried again does no harm. Folders that have been
+    put together stay for ``keep_versions`` more commits, for readers that have planned on them.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        table = FolderTable(spark, path)
         query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        _latest(batch).write.mode("overwrite").parquet(f"{path}/{query}-{batch_id:09d}")
+        table.commit([table.write(_latest(batch), f"{query}-{batch_id:09d}")])
         if (batch_id + 1) % compact_every == 0:
             compact_latest_viewed(spark, path)
+            table.clean(keep_versions)
 
     return (
         product_views(views)
@@ -64,26 +69,26 @@ def start_latest_viewed(
     )
 
 
-def compact_latest_viewed(spark: SparkSession, path: str) -> None:
-    """Put the folders of a table together in one.
+def compact_latest_viewed(spark: SparkSession, path: str) -> bool:
+    """Put the folders of a table together in one; False if another writer did so first.
 
-    The new folder is complete before the old ones go, so a failure in between only
-    leaves rows twice.
+    The folders that were merged are replaced in one commit, and folders committed meanwhile
+    stay. If any of the merged ones has been replaced already, this merge is thrown away.
     """
-    merged = finished_folders(spark, path)
-    if len(merged) < 2:
-        return
-    _latest(_kept(spark, merged)).write.parquet(f"{path}/merged-{uuid.uuid4().hex}")
-    for folder in merged:
-        remove_folder(spark, folder)
-
-
-def _kept(spark: SparkSession, folders: list[str]) -> DataFrame:
-    if not folders:
-        return spark.createDataFrame([], LATEST_SCHEMA)
-    return spark.read.parquet(*folders)
+    table = FolderTable(spark, path)
+    _, folders = table.state()
+    if len(folders) < 2:
+        return False
+    merged = table.write(_latest(table.rows_of(folders)), "merged")
+    try:
+        table.commit([merged], folders)
+    except Conflict:
+        table.discard(merged)
+        return False
+    return True
 
 
 def read_latest_viewed(spark: SparkSession, path: str) -> DataFrame:
     """Current state of the table; empty before the first batch."""
-    return _latest(_kept(spark, finished_folders(spark, path)))
+    rows = FolderTable(spark, path).read()
+    return spark.createDataFrame([], LATEST_SCHEMA) if rows is None else _latest(rows)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import shelfwise
 from checks import derived
+from shelfwise.sources.snapshots import FolderTable
 from shelfwise.sources import readers, sinks
 from shelfwise.sources.schema import REQUEST_SCHEMA, product_facts
 from shelfwise.streaming import views as view_jobs
@@ -220,4 +221,4 @@ def test_stream_keeps_the_last_view_over_several_runs(spark, tmp_path):
         add(f"../many/{k}", (6, 10 + k, k, pages.format(60 + k)))
     found = run("check3", "many", maxFilesPerTrigger=1)
     assert found == {1: "12", 2: "22", 4: "41", 5: "51", 6: "69"}
-    assert len(sinks.finished_folders(spark, str(tmp_path / "out"))) <= 4
+    assert len(FolderTable(spark, str(tmp_path / "out")).state()[1]) <= 4
