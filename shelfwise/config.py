@@ -24,6 +24,9 @@ class InsightConfig:
     path_rows
         Products of one category path that are compared under one key. Paths
         with more are dealt out over several.
+    pool_products
+        Products a category path must have to get a candidate list of its own.
+        Products of other paths put theirs together from the lists of their categories.
     """
 
     fallback_to_rules: bool = False
@@ -32,6 +35,7 @@ class InsightConfig:
     category_depth: int = 3
     shards: int = 64
     path_rows: int = 50_000
+    pool_products: int = 16
 
 
 DEFAULT_CONFIG = InsightConfig()

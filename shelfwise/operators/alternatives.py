@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.config import DEFAULT_CONFIG, InsightConfig
 from shelfwise.functions import scoring
+from shelfwise.operators.candidates import without_earlier
 
 # Products without any category are spread over this many join keys of their own.
 _SPREAD = 4096
@@ -27,10 +28,40 @@ def hot_paths(subjects: DataFrame, config: InsightConfig = DEFAULT_CONFIG) -> Da
     )
 
 
-def _keyed(rows: DataFrame, mark: Column, part: Column) -> DataFrame:
-    """With the join key: a mark, the path, and the part of a hot path."""
-    key = F.concat(F.array(mark), "category_path", F.array(part.cast("string")))
-    return rows.withColumn("_path_key", key).drop("parts")
+def _keyed(rows: DataFrame, mark: Column, path: Column, part: Column) -> DataFrame:
+    """With the join key: a mark, a path, and the part of a hot path."""
+    return rows.withColumn("_path_key", F.concat(F.array(mark), path, F.array(part.cast("string"))))
+
+
+def _with_own_lists(products: DataFrame, pools: DataFrame) -> DataFrame:
+    """Add ``_own``: whether the product's path has a list of its own, or refers to none."""
+    several = pools.filter(F.size("category_path") > 1).select("category_path", F.lit(True).alias("_own"))
+    own = F.coalesce("_own", F.size("category_path") <= 1)
+    return products.join(several, "category_path", "left").withColumn("_own", own)
+
+
+def _with_shelf(products: DataFrame, shelves: DataFrame, level: int) -> DataFrame:
+    """Add the list of one category of products without a list of their own.
+
+    All others have keys that match nothing, spread over many, and no list so far to
+    carry along.
+    """
+    slug = F.get("category_path", F.lit(level))
+    spread = F.pmod(F.xxhash64("barcode"), F.lit(_SPREAD)).cast("string")
+    refers = ~F.col("_own") & slug.isNotNull()
+    key = F.when(refers, F.array(F.lit(""), slug)).otherwise(F.array(spread))
+    lists = shelves.select(
+        F.concat(F.array(F.lit("")), "category_path").alias("_slug_key"), F.col("pool").alias(f"_shelf_{level}")
+    )
+    return products.withColumn("_slug_key", key).join(lists, "_slug_key", "left").drop("_slug_key")
+
+
+def _merged(shelves: list[Column]) -> Column:
+    """One list of the shelves, specific to broad, without what an earlier one holds."""
+    kept: list[Column] = []
+    for shelf in shelves:
+        kept.append(without_earlier(shelf, kept))
+    return F.concat(*kept)
 
 
 def with_pool(
@@ -38,24 +69,40 @@ def with_pool(
 ) -> DataFrame:
     """Add the candidates of the product's category path; null without a path.
 
-    Catalyst broadcasts the pools if they are small and shuffles on the path
-    otherwise. The work is in the rows, not in the bytes, so a path of very many
-    products is dealt out by their number: its products go to ``parts`` keys, and its
-    pool to each of them. Products without any path are spread over keys of their own.
+    Products of a path with a list of its own look that up. The others look up the list of
+    each of their categories, at most ``category_depth``, and put them together in their row.
+    Catalyst broadcasts the lists if they are small and shuffles on the path or category
+    otherwise; products are joined with the long lists of shared paths last, so that no
+    earlier shuffle carries those.
+
+    The work is in the rows, not in the bytes, so a path of very many products is dealt
+    out by their number: its products go to ``parts`` keys, and its list to each of them.
+    Products without any path are spread over keys of their own. Broad categories, which
+    very many paths refer to, are left to adaptive execution: lists are unique by key, so it
+    can split such a key on the products' side.
     """
     hot = F.broadcast(hot_paths(subjects, config))
     hashed = F.xxhash64("barcode")
     bare = F.pmod(hashed, F.lit(_SPREAD)).cast("string")
-    mark = F.when(F.size("category_path") > 0, "").otherwise(bare)
+    products = _with_own_lists(subjects, pools)
+    shelves = pools.filter(F.size("category_path") == 1)
+    for level in range(config.category_depth):
+        products = _with_shelf(products, shelves, level)
+    mark = F.when((F.size("category_path") > 0) & F.col("_own"), "").otherwise(bare)
     parts = F.coalesce("parts", F.lit(1))
-    products = _keyed(subjects.join(hot, "category_path", "left"), mark, F.pmod(hashed, parts))
+    products = products.join(hot, "category_path", "left")
+    products = _keyed(products, mark, F.col("category_path"), F.pmod(hashed, parts)).drop("parts")
     copies = (
         pools.select("category_path", "pool")
         .join(hot, "category_path", "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     )
-    keyed = _keyed(copies, F.lit(""), F.col("_part")).select("_path_key", "pool")
-    return products.join(keyed, "_path_key", "left").drop("_path_key")
+    keyed = _keyed(copies, F.lit(""), F.col("category_path"), F.col("_part")).select("_path_key", "pool")
+    found = products.join(keyed, "_path_key", "left")
+    none = F.array().cast(pools.schema["pool"].dataType)
+    levels = [F.coalesce(f"_shelf_{level}", none) for level in range(config.category_depth)]
+    pool = F.when(F.col("_own"), F.col("pool")).otherwise(_merged(levels))
+    return found.withColumn("pool", pool).select(*subjects.columns, "pool")
 
 
 def comparable(

@@ -9,6 +9,7 @@ from shelfwise.config import DEFAULT_CONFIG, InsightConfig
 from shelfwise.functions import tags as tag_fn
 from shelfwise.functions.scoring import candidate_struct
 from shelfwise.operators.topk import top_k_per_group
+from shelfwise.sources.sinks import Staging
 
 
 def category_members(facts: DataFrame) -> DataFrame:
@@ -72,15 +73,23 @@ def path_slugs(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode("category_path").alias("slug")).distinct()
 
 
+def without_earlier(shelf: Column, earlier: list[Column]) -> Column:
+    """A shelf without the candidates that stand on one of the earlier shelves, by key."""
+    if not earlier:
+        return shelf
+    keys = F.concat(*(F.transform(e, lambda c: c["key"]) for e in earlier))
+    return F.filter(shelf, lambda c: ~F.array_contains(keys, c["key"]))
+
+
 def path_shelves(
     paths: DataFrame, shelves: DataFrame, config: InsightConfig = DEFAULT_CONFIG
 ) -> DataFrame:
     """(category_path, kept): for every level of a path the candidates it adds.
 
-    What a product may be compared with depends only on its path, so this is done
-    per path, not per product. A path brings its shelves together as whole arrays, at
-    most ``category_depth`` of them, and repeats of earlier levels are dropped in the
-    row, by key; no candidate becomes a row of its own.
+    What a product may be compared with depends only on its path, so for paths of many
+    products this is done per path, not per product. A path brings its shelves together
+    as whole arrays, at most ``category_depth`` of them, and repeats of earlier levels are
+    dropped in the row, by key; no candidate becomes a row of its own.
     """
     # A broad slug may be part of very many paths. A key built for this join gives
     # it an exchange on both sides, which adaptive execution needs to split it.
@@ -96,9 +105,7 @@ def path_shelves(
     for level in range(config.category_depth):
         here = F.filter("found", lambda entry: entry["level"] == level)  # noqa: B023
         shelf = F.get(F.transform(here, lambda entry: entry["shelf"]), F.lit(0))
-        if kept:
-            earlier = F.concat(*(F.transform(k, lambda c: c["key"]) for k in kept))
-            shelf = F.filter(shelf, lambda c: ~F.array_contains(earlier, c["key"]))  # noqa: B023
+        shelf = without_earlier(shelf, [F.col(name) for name in kept])
         name = f"_kept_{level}"
         found = found.withColumn(
             name, F.coalesce(shelf, F.array().cast(shelves.schema["shelf"].dataType))
@@ -119,19 +126,48 @@ def path_candidates(
     ).select("category_path", "level", "candidate.position", "candidate")
 
 
+def _counted_paths(subjects: DataFrame, config: InsightConfig) -> DataFrame:
+    """(category_path, shared): whether at least ``pool_products`` products have the path."""
+    counts = subjects.filter(F.size("category_path") > 0).groupBy("category_path").count()
+    several = F.size("category_path") > 1
+    return counts.select(
+        "category_path", (several & (F.col("count") >= config.pool_products)).alias("shared")
+    )
+
+
 def candidate_pools(
-    facts: DataFrame, subjects: DataFrame, config: InsightConfig = DEFAULT_CONFIG
+    facts: DataFrame,
+    subjects: DataFrame,
+    config: InsightConfig = DEFAULT_CONFIG,
+    staging: Staging | None = None,
+    top: DataFrame | None = None,
 ) -> DataFrame:
-    """(category_path, pool): the ordered candidates for every path of ``subjects``.
+    """(category_path, pool): the ordered candidates that products of ``subjects`` look up.
 
     ``facts`` is the catalog searched, ``subjects`` the products to advise on; both
     are typed product frames. Only categories on some path of the subjects are ranked.
+
+    A path that many products share has a row of its own. All other paths refer to their
+    categories: these are rows too, under the path of that category alone, however many
+    paths they are on. So the table holds each list of candidates once, and grows with
+    the categories and the shared paths, not with the paths. With ``staging`` shelves and
+    counted paths, which both kinds of rows need, are stored and computed once. ``top`` is a
+    result of ``category_top`` or of a maintained index, if there is one.
     """
     check_page_size(facts.sparkSession, config)
-    paths = category_paths(subjects)
-    shelves = category_shelves(category_top(facts, config, path_slugs(paths)))
-    return path_shelves(paths, shelves, config).select(
-        "category_path", F.flatten("kept").alias("pool")
+    paths = _counted_paths(subjects, config)
+    if staging is not None:
+        paths = staging.table(paths, "paths")
+    if top is None:
+        top = category_top(facts, config, path_slugs(paths))
+    shelves = category_shelves(top)
+    if staging is not None:
+        shelves = staging.table(shelves, "shelves")
+    shared = path_shelves(paths.filter("shared"), shelves, config)
+    referred = path_slugs(paths.filter(~F.col("shared")))
+    alone = shelves.join(referred, "slug", "left_semi")
+    return shared.select("category_path", F.flatten("kept").alias("pool")).union(
+        alone.select(F.array("slug").alias("category_path"), F.col("shelf").alias("pool"))
     )
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
@@ -18,6 +20,17 @@ def write_not_found(missing: DataFrame, path: str, fmt: str = "parquet", mode: s
     missing.write.mode(mode).format(fmt).save(path)
 
 
+def write_checked(lines: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
+    """Products and rejects of ``read_catalog_lines`` in one job: folders ``outcome=accepted`` and ``=rejected``."""
+    outcome = F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")
+    lines.withColumn("outcome", outcome).write.mode(mode).partitionBy("outcome").format(fmt).save(path)
+
+
+def write_resolved(resolved: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
+    """Requests with their products, and those without, in one job: a folder for each ``outcome``."""
+    resolved.write.mode(mode).partitionBy("outcome").format(fmt).save(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
@@ -81,6 +94,15 @@ class Staging:
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Let Spark remove the shuffle files of what has been written.
+
+        It does so when the driver's garbage collector finds that nothing refers to them any
+        more, which on a driver with memory to spare may be long after.
+        """
+        gc.collect()
+        self._spark._jvm.java.lang.System.gc()
+
     def remove(self) -> None:
         remove_folder(self._spark, self.folder)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import shelfwise
 from shelfwise.operators import alternatives as alternative_op
-from shelfwise.operators.candidates import candidate_pools
+from shelfwise.operators.candidates import candidate_pools, category_paths, category_top, path_slugs
 from shelfwise.operators.topk import top_k_per_group
 from shelfwise.sources.schema import product_facts
 
@@ -204,11 +204,14 @@ def test_hot_path_is_dealt_out_by_rows(spark, products):
 def test_asked_slugs_are_filtered_before_the_first_window(products):
     catalog = products(*[product(f"p{i}", "abcde"[i % 5], scans=i, tags=["en:broad", "en:x", "en:y", f"en:c{i}"]) for i in range(20)])
     facts = product_facts(catalog)
-    plan = candidate_pools(facts, facts.limit(1))._jdf.queryExecution().optimizedPlan().toString()
+    slugs = path_slugs(category_paths(facts.limit(1)))
+    plan = category_top(facts, slugs=slugs)._jdf.queryExecution().optimizedPlan().toString()
     lines = plan.splitlines()
     windows = [k for k, line in enumerate(lines) if "Window" in line]
     semi = [k for k, line in enumerate(lines) if "LeftSemi" in line]
-    assert semi and max(windows) < min(semi)
+    assert windows and semi and max(windows) < min(semi)
+    pools = candidate_pools(facts, facts.limit(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert pools.count("LeftSemi") >= pools.count("+- Window") / 2 > 0
 
 
 def test_products_are_not_shuffled_for_a_small_stored_pool(spark, products):
@@ -222,6 +225,33 @@ def test_products_are_not_shuffled_for_a_small_stored_pool(spark, products):
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin [_path_key") == 1
 
 
+def test_lists_of_categories_and_of_shared_paths_give_the_same(spark, products):
+    """Whatever number of products gives a path a list of its own, with and without broadcasts."""
+    rows = [product(f"p{i}", "abcde"[i % 5], scans=i % 50, tags=["en:broad", f"en:mid{i % 4}", f"en:leaf{i % 23}"]) for i in range(200)]
+    rows += [product(f"twin{i}", "a", scans=90, tags=["en:mid1", "en:broad"], url="same") for i in range(3)]
+    rows += [product(f"one{i}", "c", tags=["en:broad"]) for i in range(5)] + [product("bare", "b", tags=None)]
+    rows += [product("twice", "e", tags=["en:broad", "en:x", "en:broad"]), product("blank", "e", tags=["en:mid1", "fr:"])]
+    catalog = products(*rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    found = {}
+    for least in (1, 10, 1000):
+        config = shelfwise.InsightConfig(pool_products=least, page_size=7)
+        pools = shelfwise.pools(catalog, config=config).collect()
+        keys = [tuple(r.category_path) for r in pools]
+        assert len(keys) == len(set(keys)) and (least < 1000 or all(len(k) == 1 for k in keys))
+        found[least] = {r.barcode: r.similar_products for r in shelfwise.alternatives(catalog, config=config).collect()}
+        with shelfwise.Staging(spark) as staging:
+            staged = shelfwise.alternatives(catalog, config=config, staging=staging)
+            assert {r.barcode: r.similar_products for r in staged.collect()} == found[least]
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        shuffled = shelfwise.alternatives(catalog, config=shelfwise.InsightConfig(pool_products=10, page_size=7)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found[1] == found[10] == found[1000] == {r.barcode: r.similar_products for r in shuffled}
+    assert sum(len(v) > 0 for v in found[1].values()) > 150
+
+
 def test_page_size_beyond_the_cut_fails_early(products):
     with pytest.raises(ValueError, match="windowGroupLimitThreshold"):
         shelfwise.alternatives(products(product("a", "b")), config=shelfwise.InsightConfig(page_size=1001))
