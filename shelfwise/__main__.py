@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.config import InsightConfig
 from shelfwise.plans import jobs
-from shelfwise.sources.readers import read_catalog, read_replies, read_requests, read_responses
-from shelfwise.sources.sinks import Staging, write_not_found, write_report
+from shelfwise.sources.readers import (
+    latest_versions,
+    read_catalog,
+    read_catalog_lines,
+    read_replies,
+    read_requests,
+    read_responses,
+)
+from shelfwise.sources.schema import PRODUCT_SCHEMA
+from shelfwise.sources.sinks import Staging, write_checked, write_not_found, write_report
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -25,6 +33,12 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument(
         "--catalog-format", choices=[*formats, "responses"], help="default: that of the result"
     )
+    parser.add_argument(
+        "--checked", help="folder for the products and the rejected lines of a JSON catalog"
+    )
+    parser.add_argument(
+        "--version-column", help="of a catalog with several versions of products: the newest counts"
+    )
     parser.add_argument("--requests-format", choices=[*formats, "csv"])
     parser.add_argument("--replies-format", choices=[*formats, "csv"])
     parser.add_argument("--page-size", type=int, default=50, help="candidates per category")
@@ -34,6 +48,23 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def _catalog(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
+    fmt = options.catalog_format or options.format
+    if fmt == "responses":
+        catalog = read_responses(spark, options.catalog)
+    elif options.checked:
+        if fmt != "json":
+            raise ValueError("only the lines of a JSON catalog can be checked")
+        write_checked(read_catalog_lines(spark, options.catalog), options.checked)
+        names = PRODUCT_SCHEMA.fieldNames()
+        catalog = spark.read.parquet(options.checked).filter("outcome = 'accepted'").select(*names)
+    else:
+        catalog = read_catalog(spark, options.catalog, fmt)
+    if options.version_column:
+        catalog = latest_versions(catalog, options.version_column)
+    return catalog
+
+
 def run(spark: SparkSession, options: argparse.Namespace) -> None:
     config = InsightConfig(
         fallback_to_rules=options.fallback,
@@ -42,10 +73,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
         category_depth=options.category_depth,
     )
     fmt = options.format
-    if options.catalog_format == "responses":
-        catalog = read_responses(spark, options.catalog)
-    else:
-        catalog = read_catalog(spark, options.catalog, options.catalog_format or fmt)
+    catalog = _catalog(spark, options)
     if options.job == "pools":
         write_report(jobs.pools(catalog, config=config), options.out)
         return
@@ -64,7 +92,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
         pools = (
             spark.read.parquet(options.pools)
             if options.pools
-            else staging.table(jobs.pools(catalog, asked, config), "pools")
+            else staging.table(jobs.pools(catalog, asked, config, staging=staging), "pools")
         )
         if options.job == "alternatives":
             result = jobs.alternatives(catalog, asked, pools, config)

@@ -19,9 +19,24 @@ PER_100G = "_100g"
 
 
 def _number(entry: Column, layout: T.DataType) -> Column:
-    """An entry as a double: zero where null or empty, null where it is no number."""
+    """An entry as a double: zero where it says nothing, null where it is no number.
+
+    A variant tells texts from numbers: the text "0" says something, namely nothing of the
+    nutrient, so it does not give way to the plain entry. As null it counts as zero, too.
+    """
     if isinstance(layout, T.StringType):
         return F.when(entry.isNull() | (entry == ""), 0.0).otherwise(number_in(entry))
+    if isinstance(layout, T.VariantType):
+        kind = F.schema_of_variant(entry)
+        text = F.try_variant_get(entry, "$", "string")
+        number = F.try_variant_get(entry, "$", "double")
+        truth = F.try_variant_get(entry, "$", "boolean").cast("double")
+        return (
+            F.when(entry.isNull() | (kind == "VOID"), 0.0)
+            .when(kind == "STRING", F.when(text == "", 0.0).otherwise(F.nullif(number_in(text), F.lit(0.0))))
+            .when(kind == "BOOLEAN", truth)
+            .otherwise(number)
+        )
     return F.coalesce(entry.cast("double"), F.lit(0.0))
 
 

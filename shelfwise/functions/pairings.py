@@ -55,14 +55,22 @@ def plausible_pairings(items: Column, tags: Column) -> Column:
     return F.slice(F.when(is_candy_like(tags), filled).otherwise(cleaned), 1, fixed.MAX_PAIRINGS)
 
 
-def pairings(from_reply: Column, fallback: bool) -> Column:
+def pairings(from_reply: Column, fallback: bool, from_table: Column | None = None) -> Column:
     """Default without tags; else the reply's items; else rules if allowed, or nothing.
 
-    ``from_reply`` is the cleaned item list of a reply, null where none was asked for.
+    ``from_reply`` is the cleaned item list of a reply, null where none was asked for;
+    ``from_table`` that of a rule of a table, null where none fits, in place of the
+    built-in rules.
     """
     nothing = F.array().cast("array<string>")
+    if not fallback:
+        rules = nothing
+    elif from_table is None:
+        rules = rule_pairings(F.col("slugs_text"))
+    else:
+        rules = F.coalesce(from_table, text_array(fixed.DEFAULT_PAIRINGS))
     return (
         F.when(F.size("categories_tags") == 0, text_array(fixed.DEFAULT_PAIRINGS))
         .when(F.size(from_reply) > 0, from_reply)
-        .otherwise(rule_pairings(F.col("slugs_text")) if fallback else nothing)
+        .otherwise(rules)
     )

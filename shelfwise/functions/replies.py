@@ -13,20 +13,24 @@ def no_texts() -> Column:
     return F.array().cast("array<string>")
 
 
-def reply_object(reply: Column) -> Column:
-    """The JSON from the first ``{`` to the last ``}`` as a one-element array variant.
+def one_json(text: Column) -> Column:
+    """A text that is one JSON value and nothing else as a one-element array variant, else null.
 
-    Null unless that text is one JSON object and nothing else. The parser ignores what
-    follows a complete value, so the text is parsed in two wraps: after an object, one
-    needs a bracket and the other a brace, and no further text can be both.
+    The parser ignores what follows a complete value, so the text is parsed in two wraps:
+    after the value, one needs a bracket and the other a brace, and no further text can be
+    both.
     """
-    text = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
     parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     wrapped = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}")))
     one = (F.size(parsed.cast("array<variant>")) == 1) & wrapped.isNotNull()
     return F.when(one, parsed)
 
 
+def reply_object(reply: Column) -> Column:
+    """The JSON from the first ``{`` to the last ``}`` as a one-element array variant."""
+    return one_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0))
+
+
 def text_items(parsed: Column, field: str) -> Column:
     """The text elements of a list field; empty if it is missing or no list."""
     elements = F.try_variant_get(parsed, f"$[0].{field}", "array<variant>")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwise.functions.replies import one_json
+from shelfwise.functions.scalars import strip
 from shelfwise.sources.schema import PRODUCT_SCHEMA, REPLY_SCHEMA, REQUEST_SCHEMA
 
 
@@ -20,12 +22,10 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> Dat
     raise ValueError(f"unknown format {fmt!r}")
 
 
-#: The product as JSON holds it: a processing group may be a number or a text.
+#: The product as JSON holds it: a processing group or an amount may be a number or a text.
+_JSON_TYPES = {"nova_group": T.VariantType(), "nutriments": T.MapType(T.StringType(), T.VariantType())}
 _JSON_PRODUCT = T.StructType(
-    [
-        T.StructField(f.name, T.VariantType() if f.name == "nova_group" else f.dataType)
-        for f in PRODUCT_SCHEMA.fields
-    ]
+    [T.StructField(f.name, _JSON_TYPES.get(f.name, f.dataType)) for f in PRODUCT_SCHEMA.fields]
 )
 
 
@@ -39,7 +39,10 @@ def _group_text(group: Column) -> Column:
 
 
 def read_catalog(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Products from parquet, ORC or JSON lines, one product per row."""
+    """Products from parquet, ORC or JSON lines, one product per row.
+
+    From JSON the nutriments are a map of variants, which tells the text "0" from the number.
+    """
     if fmt == "csv":
         raise ValueError("a catalog has nested columns, which CSV cannot hold")
     if fmt == "json":
@@ -48,6 +51,66 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return _read(spark, path, fmt, PRODUCT_SCHEMA)
 
 
+#: Why a line of a catalog is not a product.
+MALFORMED, NOT_AN_OBJECT, NO_BARCODE, WRONG_TYPE = (
+    "not valid JSON",
+    "not an object",
+    "no barcode",
+    "a field of another type",
+)
+
+
+def read_catalog_lines(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines as products, with ``line`` and ``reason`` where a line is none.
+
+    Of such a line all product columns are null, so that half-read products reach no job.
+    Blank lines are left out. A line may hold one object only: what follows it is an error.
+    """
+    lines = spark.read.text(path).withColumnRenamed("value", "line").filter(strip(F.col("line")) != "")
+    schema = T.StructType([*_JSON_PRODUCT.fields, T.StructField("_unread", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"}
+    read = lines.withColumns({"_whole": one_json(F.col("line")), "_product": F.from_json("line", schema, options)})
+    kind = F.schema_of_variant(F.get(F.col("_whole").cast("array<variant>"), F.lit(0)))
+    barcode = F.coalesce(strip(F.col("_product.barcode")), F.lit(""))
+    reason = (
+        F.when(F.col("_whole").isNull(), MALFORMED)
+        .when(~F.coalesce(kind, F.lit("")).startswith("OBJECT"), NOT_AN_OBJECT)
+        .when(F.col("_product._unread").isNotNull(), WRONG_TYPE)
+        .when(barcode == "", NO_BARCODE)
+    )
+    good = F.col("reason").isNull()
+    fields = [F.when(good, F.col(f"_product.{name}")).alias(name) for name in PRODUCT_SCHEMA.fieldNames()]
+    return (
+        read.withColumn("reason", reason)
+        .select(*fields, F.when(~good, F.col("line")).alias("line"), "reason")
+        .withColumn("nova_group", _group_text(F.col("nova_group")))
+    )
+
+
+def accepted(lines: DataFrame) -> DataFrame:
+    """The products among the rows of ``read_catalog_lines``."""
+    return lines.filter(F.col("reason").isNull()).select(*PRODUCT_SCHEMA.fieldNames())
+
+
+def rejected(lines: DataFrame) -> DataFrame:
+    """(line, reason) of the others."""
+    return lines.filter(F.col("reason").isNotNull()).select("line", "reason")
+
+
+def latest_versions(catalog: DataFrame, version: str = "last_modified_t") -> DataFrame:
+    """One row per barcode of a catalog that holds several versions of products: the newest.
+
+    Versions are compared by the column ``version``, nulls being oldest; of equal ones the row
+    whose content has the greatest hash stays, the same in every run. Rows without a barcode
+    are left out, as nothing can ask for them. Tasks keep one row per barcode before they
+    shuffle, so a product with very many versions is no burden to the task it ends up in.
+    """
+    content = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in catalog.columns))))
+    newest = F.max_by(F.struct(*(F.col(f"`{c}`") for c in catalog.columns)), F.struct(F.col(version), content))
+    known = catalog.filter(F.col("barcode").isNotNull())
+    return known.groupBy(F.col("barcode").alias("_barcode")).agg(newest.alias("_newest")).select("_newest.*")
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Products from saved catalog responses, JSON lines ``{code, status, product}``.
 
