@@ -19,12 +19,14 @@ from shelfwise.operators import alternatives as alternative_op
 from shelfwise.operators import replies as reply_op
 from shelfwise.operators import requests as request_op
 from shelfwise.operators.candidates import candidate_pools
+from shelfwise.operators.rule_tables import table_pairings
 from shelfwise.sources.schema import product_facts
 from shelfwise.sources.sinks import Staging
 
 resolve_requests = request_op.found
 requests_not_found = request_op.not_found
 requested_products = request_op.requested_products
+resolved = request_op.resolved
 
 
 def _no_replies(subjects: DataFrame) -> DataFrame:
@@ -99,13 +101,18 @@ def with_summary(subjects: DataFrame, config: InsightConfig) -> DataFrame:
     )
 
 
-def with_pairings(subjects: DataFrame, config: InsightConfig, replies: bool) -> DataFrame:
+def with_pairings(
+    subjects: DataFrame, config: InsightConfig, replies: bool, rules: DataFrame | None = None
+) -> DataFrame:
     """Add pairings: from replies if there are any, else from the rules."""
     if replies:
         subjects = subjects.withColumn("reply_pairings", reply_op.reply_pairings())
-    return subjects.withColumn(
-        "pairings", choose_pairings(F.col("reply_pairings"), config.fallback_to_rules)
-    )
+    from_table = None
+    if rules is not None:
+        subjects = subjects.join(table_pairings(subjects, rules), "barcode", "left")
+        from_table = F.col("rule_items")
+    chosen = choose_pairings(F.col("reply_pairings"), config.fallback_to_rules, from_table)
+    return subjects.withColumn("pairings", chosen).drop("rule_items")
 
 
 def analyse(
@@ -135,11 +142,17 @@ def summarise(
 
 
 def pair(
-    catalog: DataFrame, replies: DataFrame | None = None, config: InsightConfig = DEFAULT_CONFIG
+    catalog: DataFrame,
+    replies: DataFrame | None = None,
+    config: InsightConfig = DEFAULT_CONFIG,
+    rules: DataFrame | None = None,
 ) -> DataFrame:
-    """Food pairings: (barcode, pairings)."""
+    """Food pairings: (barcode, pairings).
+
+    ``rules`` is a table (key, position, items) of any size, in place of the built-in rules.
+    """
     subjects = subjects_of(catalog, replies, config)
-    return with_pairings(subjects, config, replies is not None).select("barcode", "pairings")
+    return with_pairings(subjects, config, replies is not None, rules).select("barcode", "pairings")
 
 
 def alternatives(
@@ -160,7 +173,7 @@ def alternatives(
     facts = product_facts(catalog, config)
     asked = facts if subjects is None else product_facts(subjects, config)
     if pools is None:
-        pools = _staged(candidate_pools(facts, asked, config), staging)
+        pools = _staged(candidate_pools(facts, asked, config, staging), staging)
     return alternative_op.with_alternatives(asked, pools, config).select(
         "barcode", "similar_products"
     )
@@ -171,12 +184,20 @@ def _staged(frame: DataFrame, staging: Staging | None) -> DataFrame:
 
 
 def pools(
-    catalog: DataFrame, subjects: DataFrame | None = None, config: InsightConfig = DEFAULT_CONFIG
+    catalog: DataFrame,
+    subjects: DataFrame | None = None,
+    config: InsightConfig = DEFAULT_CONFIG,
+    top: DataFrame | None = None,
+    staging: Staging | None = None,
 ) -> DataFrame:
-    """Candidates per category path, for storing and passing to other jobs."""
+    """Candidates per shared category path and per category, for storing and passing to other jobs.
+
+    ``top`` is what ``indexed_top`` gives, to take the categories from a maintained index
+    in place of ranking the catalog.
+    """
     facts = product_facts(catalog, config)
     asked = facts if subjects is None else product_facts(subjects, config)
-    return candidate_pools(facts, asked, config)
+    return candidate_pools(facts, asked, config, staging, top)
 
 
 def prompts(
@@ -223,7 +244,7 @@ def report(
     subjects = subjects_of(asked, replies, config)
     if pools is None:
         facts, wanted = product_facts(catalog, config), product_facts(asked, config)
-        pools = _staged(candidate_pools(facts, wanted, config), staging)
+        pools = _staged(candidate_pools(facts, wanted, config, staging), staging)
     full = alternative_op.with_alternatives(subjects, pools, config)
     full = with_indicators(full, replies is not None)
     full = with_explanations(with_summary(full, config), config)
