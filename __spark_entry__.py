@@ -19,9 +19,11 @@ from shelfwise.functions import scoring, scalars, tags, texts, urls
 from shelfwise.functions.indicators import positive_indicators, risk_indicators
 from shelfwise.operators import alternatives as alternative_op
 from shelfwise.operators import candidates as candidate_op
+from shelfwise.operators import shelf_index
 from shelfwise.operators.requests import requested
+from shelfwise.sources import readers
 from shelfwise.sources.schema import product_facts
-from shelfwise.sources.sinks import shared_folder, write_report
+from shelfwise.sources.sinks import shared_folder, write_checked, write_report, write_resolved
 from shelfwise.streaming import views as view_jobs
 
 RULES = shelfwise.InsightConfig(fallback_to_rules=True)
@@ -74,6 +76,34 @@ def catalog_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned(shelfwise.read_catalog(spark, path, "json"))
 
 
+def catalog_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines with spoilt ones among them: products and rejects, from one scan and one job."""
+    path, checked = _fresh(spark, "lines"), _fresh(spark, "checked")
+    derived.catalog_lines(spark, sf_dir).write.text(path)
+    write_checked(readers.read_catalog_lines(spark, path), checked)
+    return spark.read.parquet(checked).select("barcode", "product_name", "line", "reason")
+
+
+def nutriments_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts as JSON has them: the text "0" is an amount, the number 0 gives way to the plain entry."""
+    path = _fresh(spark, "amounts")
+    derived.amount_lines(spark, sf_dir).write.text(path)
+    return product_facts(shelfwise.read_catalog(spark, path, "json"), RULES).select("barcode", "fat")
+
+
+def catalog_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shelfwise.latest_versions(derived.catalog_versions(spark, sf_dir))
+
+
+def requests_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What both sinks hold: requests with and without a product, written by one job."""
+    path = _fresh(spark, "resolved")
+    write_resolved(shelfwise.resolved(derived.requests(spark, sf_dir), derived.catalog(spark, sf_dir)), path)
+    return spark.read.parquet(path).select(
+        "request_id", "barcode", "product_name", "nutriscore_grade", "outcome", "error"
+    )
+
+
 def requests_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _fresh(spark, "requests")
     quoted = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -137,6 +167,17 @@ def category_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def category_top50_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same out of the index of an earlier catalog, with two updates merged into it."""
+    path, facts = _fresh(spark, "index"), _facts(spark, sf_dir)
+    shelf_index.build_index(spark, path, product_facts(derived.earlier_catalog(spark, sf_dir), RULES), RULES)
+    for changed, deleted in derived.catalog_changes(spark, sf_dir):
+        shelf_index.update_index(spark, path, facts, product_facts(changed, RULES), deleted, RULES)
+    return shelf_index.indexed_top(spark, path, RULES).select(
+        "slug", "position", "barcode", F.col("candidate.name").alias("name"), "unique_scans_n"
+    )
+
+
 def candidates_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidate_rows(_facts(spark, sf_dir))
 
@@ -279,6 +320,20 @@ def latest_viewed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelfwise.read_latest_viewed(spark, f"{run}/table")
 
 
+def _hashed_replies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    prompts = shelfwise.prompts(derived.catalog(spark, sf_dir))
+    return prompts, spark.sql(derived.HASHED_REPLIES_SQL, prompts=prompts)
+
+
+def replies_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies to the prompts products have now, out of a table with stale ones."""
+    return shelfwise.current_replies(*_hashed_replies(spark, sf_dir))
+
+
+def prompts_unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shelfwise.unanswered(*_hashed_replies(spark, sf_dir))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: the healthier alternatives of every product."""
     return alternatives_topn(spark, "/root/testdata/sf0.001")
@@ -308,6 +363,9 @@ def library_queries() -> dict[str, Query]:
     return {
         "catalog_scan": catalog_scan,
         "catalog_read": catalog_read,
+        "catalog_rejects": catalog_rejects,
+        "catalog_latest": catalog_latest,
+        "nutriments_typed": nutriments_typed,
         "requests_read": requests_read,
         "replies_read": replies_read,
         "safe_conversions": safe_conversions,
@@ -339,7 +397,9 @@ def library_queries() -> dict[str, Query]:
             )
         ),
         "requests_not_found": _with_requests(shelfwise.requests_not_found),
+        "requests_resolved": requests_resolved,
         "category_top50": category_top50,
+        "category_top50_maintained": category_top50_maintained,
         "candidates_dedup": candidates_dedup,
         "candidates_many_paths": candidates_many_paths,
         "alternative_scores": alternative_scores,
@@ -366,7 +426,12 @@ def library_queries() -> dict[str, Query]:
                 listed("positive_indicators").alias("positive_indicators"),
             )
         ),
+        "pairings_rules_table": lambda spark, sf_dir: shelfwise.pair(
+            derived.catalog(spark, sf_dir), config=RULES, rules=shelfwise.fixed_rules(spark)
+        ).select("barcode", listed("pairings", ", ").alias("pairings")),
         "prompts": _of_catalog(shelfwise.prompts),
+        "replies_current": replies_current,
+        "prompts_unanswered": prompts_unanswered,
         "report": report,
         "report_requested": report_requested,
         "report_written": report_written,

@@ -50,6 +50,41 @@ FROM (
 ) base
 """
 
+# JSON lines of products, some of them spoilt.
+LINES_SQL = """
+SELECT CASE WHEN k%31 = 0 THEN concat('{{"barcode":"', barcode, '","product_name":')
+            WHEN k%29 = 0 THEN concat('[', line, ']')
+            WHEN k%23 = 0 THEN concat('{{"product_name":"no code ', barcode, '"}}')
+            WHEN k%19 = 0 THEN concat('{{"barcode":" ","product_name":"', barcode, '"}}')
+            WHEN k%17 = 0 THEN concat('{{"barcode":"', barcode, '","categories_tags":7}}')
+            WHEN k%13 = 0 THEN concat(line, ' {{"barcode":"1"}}')
+            WHEN k%11 = 0 THEN concat('"', barcode, '"')
+            WHEN k%7 = 0 THEN concat('  ', line, ' ') ELSE line END AS line
+FROM (SELECT k, barcode, concat('{{"barcode":"', barcode, '","product_name":"Food ', cast(k AS string), '"}}') AS line
+      FROM (SELECT p_partkey AS k, lpad(cast(p_partkey AS string), 13, '0') AS barcode FROM {part}) base) lines
+"""
+
+# JSON lines of products whose amounts are numbers, texts and other values.
+AMOUNT_LINES_SQL = """
+SELECT concat('{{"barcode":"', lpad(cast(p_partkey AS string), 13, '0'), '","nutriments":{{',
+              CASE p_partkey%9 WHEN 0 THEN '"fat_100g":0,' WHEN 1 THEN '"fat_100g":"0",' WHEN 2 THEN '"fat_100g":"",'
+                   WHEN 3 THEN '"fat_100g":null,' WHEN 4 THEN '"fat_100g":"x",' WHEN 5 THEN '"fat_100g":false,'
+                   WHEN 6 THEN concat('"fat_100g":', cast(p_partkey%50 + 1 AS string), '.5,')
+                   WHEN 7 THEN concat('"fat_100g":"', cast(p_partkey%50 + 1 AS string), '.5",') ELSE '' END,
+              CASE WHEN p_partkey%2 = 0 THEN '"fat":' ELSE '"fat":"' END, cast(p_partkey%40 AS string),
+              CASE WHEN p_partkey%2 = 0 THEN '}}}}' ELSE '"}}}}' END) AS line
+FROM {part}
+"""
+
+# Versions of products: one to five, the fifth as a repeated row, one without a date.
+VERSIONS_SQL = " UNION ALL ".join(
+    f"""SELECT lpad(cast(p_partkey AS string), 13, '0') AS barcode, concat(p_name, ' v{min(v, 3)}') AS product_name,
+       {f"1700000000 + {min(v, 3)}*1000 + p_partkey%7" if v else "cast(NULL AS bigint)"} AS last_modified_t,
+       cast(p_partkey%1000 + {min(v, 3)} AS bigint) AS unique_scans_n
+FROM {{part}} WHERE p_partkey%5 >= {v}"""
+    for v in range(5)
+)
+
 REQUESTS_SQL = """
 SELECT k AS request_id,
        CASE WHEN k%5 = 0 THEN concat('https://food.example/product/', barcode, '/item')
@@ -108,6 +143,17 @@ SELECT barcode, task, attempt, reply FROM (
 WHERE k%3 = 0
 """
 
+# Replies by prompt: up to date, stale, none, and of one or two tries; equal prompts have one.
+HASHED_REPLIES_SQL = """
+SELECT task, lower(sha2(CASE WHEN k%4 = 1 THEN concat(prompt, ' before') ELSE prompt END, 256)) AS prompt_hash, attempt,
+       CASE WHEN task <> 'pairings' THEN CASE WHEN k%7 <> 2 THEN concat('Reply to ', cast(length(prompt) AS string)) END
+            WHEN attempt = 1 AND k%3 = 0 THEN '{{"pairings": []}}' WHEN k%5 = 0 THEN 'no json'
+            ELSE '{{"pairings": ["Rice", "Soup"]}}' END AS reply
+FROM (SELECT task, prompt, length(prompt)*7 + ascii(right(prompt, 9)) AS k FROM {prompts} GROUP BY task, prompt) asked
+CROSS JOIN (SELECT 1 AS attempt UNION ALL SELECT 2 AS attempt) tries
+WHERE k%4 <> 3 AND (attempt = 1 OR k%2 = 0)
+"""
+
 REPLY_BASE_SQL = (
     "SELECT p_partkey AS k, lpad(cast(p_partkey AS string), 13, '0') AS barcode FROM {part}"
 )
@@ -189,6 +235,39 @@ def catalog_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).select(F.when(even, number).otherwise(line).alias("value"))
 
 
+def earlier_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog before the changes below: some products less, some more, some with more scans."""
+    now, k = catalog(spark, sf_dir), F.col("barcode").cast("long")
+    gone = now.filter(k % 23 == 0).withColumns(
+        {"barcode": F.concat(F.lit("x"), "barcode"), "unique_scans_n": F.col("unique_scans_n") + 100}
+    )
+    scans = F.when(k % 13 == 0, F.col("unique_scans_n") + 50).otherwise(F.col("unique_scans_n"))
+    return now.filter(k % 17 != 3).withColumn("unique_scans_n", scans).unionByName(gone)
+
+
+def catalog_changes(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame]]:
+    """(changed products, deleted barcodes) of two updates that make the catalog of ``earlier_catalog``."""
+    now, k = catalog(spark, sf_dir), F.col("barcode").cast("long")
+    gone = now.filter(k % 23 == 0).select(F.concat(F.lit("x"), "barcode").alias("barcode"))
+    return [(now.filter(k % 13 == 0), gone.limit(0)), (now.filter((k % 17 == 3) & (k % 13 != 0)), gone)]
+
+
+def _of_part(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql, part=table(spark, sf_dir, "part"))
+
+
+def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_part(spark, sf_dir, LINES_SQL)
+
+
+def amount_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_part(spark, sf_dir, AMOUNT_LINES_SQL)
+
+
+def catalog_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_part(spark, sf_dir, VERSIONS_SQL)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         REQUESTS_SQL, part=table(spark, sf_dir, "part"), pages=table(spark, sf_dir, "pages")

@@ -482,6 +482,37 @@ def _many_paths(sql: str) -> str:
     return sql.replace(f"base AS ({BASE})", f"base AS (SELECT * REPLACE ({own} AS categories) FROM ({BASE}) given)")
 
 
+def _hashed_replies(prompts: str) -> str:
+    """CTEs: prompts with their hash, and the derived replies to them."""
+    replies = derived.HASHED_REPLIES_SQL.format(prompts="prompted p").replace("lower(sha2(", "sha256(").replace(", 256)) AS", ") AS")
+    return f"WITH prompted AS ({prompts}), asked AS (SELECT *, sha256(prompt) AS prompt_hash FROM prompted), hashed_replies AS ({replies})\n"
+
+
+CATALOG_REJECTS = f"""
+WITH judged AS (
+  SELECT line, CASE WHEN NOT json_valid(line) THEN 'not valid JSON' WHEN json_type(line) <> 'OBJECT' THEN 'not an object'
+    WHEN json_type(line, '$.categories_tags') = 'UBIGINT' THEN 'a field of another type'
+    WHEN coalesce(trim(json_extract_string(line, '$.barcode')), '') = '' THEN 'no barcode' END AS reason
+  FROM ({derived.LINES_SQL.format(part="part")}) l
+)
+SELECT CASE WHEN reason IS NULL THEN json_extract_string(line, '$.barcode') END AS barcode,
+  CASE WHEN reason IS NULL THEN json_extract_string(line, '$.product_name') END AS product_name,
+  CASE WHEN reason IS NOT NULL THEN line END AS line, reason FROM judged"""
+
+NUTRIMENTS_TYPED = f"""
+WITH held AS (
+  SELECT json_extract_string(line, '$.barcode') AS barcode, json_type(line, '$.nutriments.fat_100g') AS kind,
+    json_extract_string(line, '$.nutriments.fat_100g') AS v, json_extract_string(line, '$.nutriments.fat') AS plain
+  FROM ({derived.AMOUNT_LINES_SQL.format(part="part")}) l
+)
+SELECT barcode, CASE WHEN kind IS NULL OR kind IN ('NULL', 'BOOLEAN') OR v = '' OR (kind <> 'VARCHAR' AND cast(v AS DOUBLE) = 0)
+  THEN cast(plain AS DOUBLE) ELSE coalesce(try_cast(v AS DOUBLE), 0e0) END AS fat FROM held"""
+
+CATALOG_LATEST = f"""
+SELECT barcode, product_name, last_modified_t, unique_scans_n FROM ({derived.VERSIONS_SQL.format(part="part")}) v
+QUALIFY row_number() OVER (PARTITION BY barcode ORDER BY last_modified_t DESC NULLS LAST) = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = _oracle_sql()
     return sql | {
@@ -491,6 +522,22 @@ def oracle_sql() -> dict[str, str]:
         "requests_read": sql["barcode_from_url"],
         "replies_read": f"SELECT barcode, task, attempt, reply FROM ({REPLIES}) r",
         "report_written": sql["report"],
+        "category_top50_maintained": sql["category_top50"],
+        "pairings_rules_table": sql["pairings_rules"],
+        "replies_current": _hashed_replies(sql["prompts"])
+        + "SELECT barcode, task, attempt, reply FROM asked JOIN hashed_replies USING (task, prompt_hash)",
+        "prompts_unanswered": _hashed_replies(sql["prompts"])
+        + """SELECT DISTINCT a.task, a.prompt_hash, a.prompt, cast(coalesce(t.tried, 0) + 1 AS INTEGER) AS attempt FROM asked a LEFT JOIN (
+  SELECT task, prompt_hash, max(attempt) AS tried, bool_or(CASE task WHEN 'pairings' THEN contains(reply, 'Rice') ELSE reply IS NOT NULL END) AS done
+  FROM hashed_replies GROUP BY task, prompt_hash) t USING (task, prompt_hash)
+WHERE NOT coalesce(t.done, FALSE) AND coalesce(t.tried, 0) < 2""",
+        "catalog_rejects": CATALOG_REJECTS,
+        "nutriments_typed": NUTRIMENTS_TYPED,
+        "catalog_latest": CATALOG_LATEST,
+        "requests_resolved": f"""SELECT request_id, barcode, product_name, nutriscore_grade, 'found' AS outcome, NULL AS error
+FROM ({sql["resolve_requests"]}) f
+UNION ALL SELECT request_id, barcode, NULL, NULL, CASE WHEN barcode IS NULL THEN 'unreadable' ELSE 'unknown' END, error
+FROM ({sql["requests_not_found"]}) n""",
     }
 
 
