@@ -94,6 +94,13 @@ class Staging:
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *names: str) -> None:
+        """Remove the tables written under these names, which nothing reads any more."""
+        system, where = _file_system(self._spark, self.folder)
+        for status in system.listStatus(where):
+            if status.getPath().getName().rpartition("-")[0] in names:
+                system.delete(status.getPath(), True)
+
     def settle(self) -> None:
         """Let Spark remove the shuffle files of what has been written.
 
