@@ -2,13 +2,15 @@
 
 Token counts are raked to the target shares of source, language and topic at once. The
 sums go into one table of cells (source, language, topic); fitting scales the cells of
-each value of one dimension in turn until all three margins hold within ``TOLERANCE``;
-targets that no weights can meet are an error. Every cell ends with
+each value of one dimension in turn until a whole round changes no cell any more. All three
+margins hold then, if any weights can meet them; where none can, as when a source has a
+language of its own and the two have different targets, the last dimension holds and the
+others are as near as the fit comes, which ``residuals`` tells. Every cell ends with
 one factor per token; documents are kept with probabilities in proportion to the factor
 of their cell, by a hash of their id, so a rerun keeps the same ones.
 
 Cells stay a distributed table. Sums over a margin are aggregations with partial sums,
-so a source or language with most of the cells is no bottleneck, and each step of
+so a source or language with most of the cells is no bottleneck, and each round of
 fitting is written to the shared folder, which keeps plans short.
 """
 
@@ -20,12 +22,12 @@ from pyspark.sql import functions as F
 from shelfwise.llm.tables import stage
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Rounds that the SQL in oracles.py spells out; fitting itself goes on until the margins hold.
-ROUNDS = 4
-#: Largest difference of a margin's share from its target at which fitting ends.
-TOLERANCE = 1e-9
-#: Rounds after which targets count as out of reach.
+#: Largest change of a cell in a round, against its weight, at which fitting ends.
+TOLERANCE = 1e-13
+#: Rounds at most: contradicting targets may go on changing very slowly.
 MAX_ROUNDS = 200
+#: Largest difference of a margin's share from a caller's target.
+CLOSE = 1e-6
 #: Share of all tokens to keep.
 KEEP_SHARE = 0.3
 #: Power that turns present shares into targets; 1 keeps the mix, 0 makes it even.
@@ -82,12 +84,12 @@ def tempered_targets(table: DataFrame, dimension: str, temper: float = TEMPER) -
     return powers.select("value", (F.col("power") / F.lit(total)).alias("share"))
 
 
-def _residual(fitted: DataFrame, goals: dict[str, DataFrame]) -> float:
-    """The largest difference between a share held and its target, over all values of all dimensions.
+def residuals(fitted: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, value, target, held): the shares of every value that holds weight.
 
     Targets count among the values that hold weight, whose shares are made to add up to one.
     """
-    margins = [F.struct(F.lit(n).alias("dimension"), F.col(n).cast("string").alias("value")) for n in goals]
+    margins = [F.struct(F.lit(n).alias("dimension"), F.col(n).cast("string").alias("value")) for n in targets]
     held = (
         fitted.select(F.explode(F.array(*margins)).alias("m"), "weight")
         .groupBy("m.dimension", "m.value")
@@ -95,52 +97,71 @@ def _residual(fitted: DataFrame, goals: dict[str, DataFrame]) -> float:
         .filter(F.col("held") > 0)
     )
     wanted = None
-    for name, goal in goals.items():
+    for name, goal in targets.items():
         part = goal.select(F.lit(name).alias("of"), F.col("value").cast("string").alias("goal"), "share")
         wanted = part if wanted is None else wanted.unionByName(part)
     same = (F.col("dimension") == F.col("of")) & F.col("value").eqNullSafe(F.col("goal"))
-    margin = held.join(wanted, same, "left").select("dimension", "held", F.coalesce("share", F.lit(0.0)).alias("share"))
+    margin = held.join(wanted, same, "left").select(
+        "dimension", "value", "held", F.coalesce("share", F.lit(0.0)).alias("share")
+    )
     totals = margin.groupBy("dimension").agg(F.sum("held").alias("all_held"), F.sum("share").alias("all_share"))
-    off = F.abs(F.col("held") / F.col("all_held") - F.try_divide("share", "all_share"))
-    return margin.join(totals, "dimension").agg(F.max(off)).first()[0] or 0.0
+    return margin.join(totals, "dimension").select(
+        "dimension",
+        "value",
+        F.try_divide("share", "all_share").alias("target"),
+        (F.col("held") / F.col("all_held")).alias("held"),
+    )
 
 
-def raked(table: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None) -> DataFrame:
+def _scaled(fitted: DataFrame, name: str, goal: DataFrame) -> DataFrame:
+    """The cells scaled to the targets of one dimension; ``change`` is multiplied by the factor."""
+    sums = fitted.groupBy(F.col(name).alias("value")).agg(F.sum("weight").alias("held"))
+    factors = (
+        sums.filter(F.col("held") > 0)
+        .alias("s")
+        .join(goal.alias("g"), F.col("s.value").eqNullSafe(F.col("g.value")))
+        .select(F.col("s.value").alias("value"), (F.col("g.share") / F.col("s.held")).alias("factor"))
+    )
+    factor = F.coalesce("f.factor", F.lit(0.0))
+    return (
+        fitted.alias("c")
+        .join(factors.alias("f"), F.col(f"c.{name}").eqNullSafe(F.col("f.value")), "left")
+        .select(
+            *(f"c.{d}" for d in DIMENSIONS),
+            "c.tokens",
+            (F.col("c.weight") * factor).alias("weight"),
+            (F.col("c.change") * factor).alias("change"),
+        )
+    )
+
+
+def raked(
+    table: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None, strict: bool = True
+) -> DataFrame:
     """The cells with ``weight``: their share of the tokens after fitting all margins.
 
     ``targets`` has a table (value, share) for each dimension; the shares of a dimension
     need not add up to one. Values without a target get weight 0, targets of values that
-    do not occur are shared out by the others. Fitting goes on until every margin is
-    within ``TOLERANCE`` of its target and raises if that takes ``MAX_ROUNDS`` rounds, as
-    the targets then contradict each other; given ``rounds``, just as many are made.
+    do not occur are shared out by the others. Fitting goes on until a round changes no cell
+    by more than ``TOLERANCE`` of its weight, or ``MAX_ROUNDS`` rounds; given ``rounds``, just as
+    many are made. If a margin is then further than ``CLOSE`` from its target, the targets
+    contradict each other: an error with ``strict``, else the fit is returned as it is.
     """
-    fitted = stage(table.withColumn("weight", F.col("tokens").cast("double")), "cells")
     goals = {name: stage(frame, "targets") for name, frame in targets.items()}
+    fitted = table.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(MAX_ROUNDS if rounds is None else rounds):
+        scaled = fitted.select(*DIMENSIONS, "tokens", "weight", F.lit(1.0).alias("change"))
         for name, goal in goals.items():
-            sums = fitted.groupBy(F.col(name).alias("value")).agg(F.sum("weight").alias("held"))
-            factors = (
-                sums.filter(F.col("held") > 0)
-                .alias("s")
-                .join(goal.alias("g"), F.col("s.value").eqNullSafe(F.col("g.value")))
-                .select(F.col("s.value").alias("value"), (F.col("g.share") / F.col("s.held")).alias("factor"))
-            )
-            fitted = (
-                fitted.alias("c")
-                .join(factors.alias("f"), F.col(f"c.{name}").eqNullSafe(F.col("f.value")), "left")
-                .select(
-                    *(f"c.{d}" for d in DIMENSIONS),
-                    "c.tokens",
-                    (F.col("c.weight") * F.coalesce("f.factor", F.lit(0.0))).alias("weight"),
-                )
-            )
-            fitted = stage(fitted, "cells")
-        if rounds is None and (off := _residual(fitted, goals)) <= TOLERANCE:
+            scaled = _scaled(scaled, name, goal)
+        fitted = stage(scaled, "cells")
+        live = fitted.filter(F.col("weight") > 0)
+        if rounds is None and (live.agg(F.max(F.abs(F.col("change") - 1))).first()[0] or 0.0) <= TOLERANCE:
             break
-    else:
-        if rounds is None:
-            raise RuntimeError(f"the margins are {off:.1e} off their targets after {MAX_ROUNDS} rounds")
-    return fitted
+    if strict and rounds is None:
+        off = residuals(fitted, goals).agg(F.max(F.abs(F.col("held") - F.col("target")))).first()[0] or 0.0
+        if off > CLOSE:
+            raise ValueError(f"the targets contradict each other: a margin stays {off:.1e} off its target")
+    return fitted.select(*DIMENSIONS, "tokens", "weight")
 
 
 def calibrated(fitted: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
@@ -172,18 +193,22 @@ def calibrated(fitted: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
 
 
 def fitted_cells(described_documents: DataFrame, rounds: int | None = None, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """Cells with weights and probabilities for tempered targets in every dimension."""
+    """Cells with weights and probabilities for tempered targets in every dimension.
+
+    Tempered margins of dimensions that hang together may contradict each other, so the fit
+    comes as near to them as it gets.
+    """
     table = stage(cells(described_documents), "cells")
     targets = {name: tempered_targets(table, name) for name in DIMENSIONS}
-    return stage(calibrated(raked(table, targets, rounds), keep_share), "cells")
+    return stage(calibrated(raked(table, targets, rounds, strict=False), keep_share), "cells")
 
 
 def mixed(documents: DataFrame, rounds: int | None = None, keep_share: float = KEEP_SHARE) -> DataFrame:
     """Every document with ``topic``, ``n_tokens``, ``probability`` and ``kept``.
 
     A document is kept if the hash of its id, from 0 to 1, is below its cell's
-    probability. Null sources, languages and topics are values of their own. Texts
-    without tokens have no weight: their cell decides if it holds other texts, else they
+    probability. Null sources, languages and topics are values of their own. Texts of any
+    length count whole. Texts without tokens have no weight: their cell decides if it holds other texts, else they
     go. Null ids count as the id "null"; rows repeated with one id share their lot.
     Other columns stay as they are; an empty table gives no rows. Columns named like the
     added ones are replaced, but for a given ``topic``, which is used.

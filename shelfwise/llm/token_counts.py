@@ -11,6 +11,7 @@ file of any size is no single task's work.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,12 +31,33 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SEPARATOR = 50256
 WORD_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space as the pattern has it, and the length from which a run of it is cut off by hand.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LONG_RUN = 2000
+_LONG_RUNS = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
+
 BLOCK_SCHEMA = "file string, block long, payload binary, doc_ids array<long>"
 SUMMARY_SCHEMA = "file string, block long, n_separators long, head long, tail long, inside array<int>, doc_ids array<long>"
 
 Batches = Iterator[pa.RecordBatch]
 
 
+def _ids(encoding, text: str) -> list[int]:
+    """The token ids of a text.
+
+    The encoder's pattern runs out of stack on very long runs of white space. Such a run is
+    one piece of the pattern, but for its last character where text follows, and pieces are
+    encoded one by one: so is this one, and the text before and behind it.
+    """
+    out, begin = [], 0
+    for run in _LONG_RUNS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoding.encode_ordinary(text[begin : run.start()])
+        out += encoding._encode_single_piece(text[run.start() : end].encode())
+        begin = end
+    return out + encoding.encode_ordinary(text[begin:])
+
+
 def _encoded_batches(shared, pattern: str, separator: int, block_tokens: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         import tiktoken
@@ -60,7 +82,7 @@ def _encoded_batches(shared, pattern: str, separator: int, block_tokens: int) ->
             for k in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(k, SLICE_ROWS)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    tokens = np.array(encoding.encode_ordinary(text or "") + [separator], dtype=np.uint16)
+                    tokens = np.array(_ids(encoding, text or "") + [separator], dtype=np.uint16)
                     parts.append(tokens)
                     held += len(tokens)
                     ids.append((doc_id, held))

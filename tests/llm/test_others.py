@@ -75,11 +75,23 @@ def test_margins_hold_with_the_defaults(spark):
             assert math.isclose(held[row["value"]], row["share"], abs_tol=1e-8)
 
 
-def test_targets_out_of_reach_raise(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_ROUNDS", 4)
-    facts = spark.createDataFrame([("a", "en", "x", 9), ("b", "de", "x", 1), ("c", "de", "x", 1)], "source string, lang string, topic string, n_tokens long")
-    with pytest.raises(RuntimeError, match="off their targets"):
-        mixing.fitted_cells(facts)
+def test_contradicting_targets(spark, documents):
+    """A language with one source of its own: own targets end in the nearest fit, a caller's raise."""
+    rows = [("a", "en", "x", 900), ("a", "de", "x", 50), ("b", "fr", "x", 100), ("c", "de", "x", 70)]
+    facts = spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long")
+    cells = mixing.cells(facts)
+    targets = {name: mixing.tempered_targets(cells, name) for name in mixing.DIMENSIONS}
+    found = mixing.fitted_cells(facts)
+    assert found.count() == 4 and found.filter("probability > 0").count() == 4
+    off = {(r["dimension"], r["value"]): r["held"] - r["target"] for r in mixing.residuals(found, targets).collect()}
+    assert abs(off["topic", "x"]) < 1e-9 and abs(off["source", "b"]) + abs(off["lang", "fr"]) > 1e-3
+    with pytest.raises(ValueError, match="contradict"):
+        mixing.raked(cells, targets)
+    names = [("src0", "en"), ("src1", "de"), ("src2", "fr")]
+    own = documents([(i, "some words " * (1 + i % 3)) for i in range(60)])
+    for source, lang in names:
+        own = own.withColumn("lang", F.when(F.col("source") == source, lang).otherwise(F.col("lang")))
+    assert mixing.mixed(own).count() == 60
 
 
 def test_calibration_goes_on_while_cells_fill_up(spark):
@@ -224,6 +236,24 @@ def test_counts_of_flat_files(spark, monkeypatch, tmp_path, run):
     assert not [r for r in found if r["file"].endswith("empty")]
 
 
+def test_very_long_runs_keep_their_tokens(documents):
+    """Runs that the encoder's pattern cannot take whole, and shorter ones it can."""
+    import tiktoken
+
+    with open(token_counts.VOCABULARY, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.read().splitlines())}
+    encoding = tiktoken.Encoding("own", pat_str=token_counts.WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    size = token_counts.LONG_RUN
+    for run in (" ", "\n", "\t", "\u3000", " \n", "\xa0"):
+        for n in (size - 1, size, size + 1, 2 * size):
+            for before, behind in (("", ""), ("a", ""), ("", "b"), ("a.", " b"), ("x" * 50, "9"), ("\x1c", "\x1f"), ("a", "'s")):
+                text = before + run * n + behind
+                assert token_counts._ids(encoding, text) == encoding.encode_ordinary(text)
+    rows = [(1, " " * 2_000_000), (2, "\n" * 1_000_000 + "x"), (3, "w" * 1_000_000), (4, ("word" + " " * 5000) * 300)]
+    found = {r["doc_id"]: r["n_tokens"] for r in token_counts.document_token_counts(documents(rows)).collect()}
+    assert set(found) == {1, 2, 3, 4} and min(found.values()) > 1000
+
+
 def test_document_counts_equal_the_tokenizer(documents, clashing, monkeypatch):
     import tiktoken
 
