@@ -25,6 +25,8 @@ Two linked texts that share a bucket are therefore in one component at the end.
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.components import components
 from shelfwise.llm.tables import stage
 from shelfwise.llm.textscan import Chunk, Words, chunks, mix, mix_int, words
+from shelfwise.sources.sinks import Staging
 
 COMPONENTS = 32
 COMPONENT_BITS = 16
@@ -65,7 +68,7 @@ def shingle_runs(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     # a shingle at every word; those that would run over the row's end are dropped below
     n = len(found.hashes)
     value = found.hashes.copy()
-    for k in range(1, size):
+    for k in range(1, min(size, n)):
         value[: n - k] = value[: n - k] * _PAIR + found.hashes[k:]
     long_rows = counts >= size
     at = np.repeat(found.rows[:-1], per_row) + (
@@ -187,26 +190,49 @@ PAIRS_AT_ONCE = 1 << 17
 _SET_SLICE = 4096
 
 
-def _blocks(rows: DataFrame, size: int, payload: list[str]) -> DataFrame:
+def _size_class(n: Column, percent: int) -> Column:
+    """Sets of fitting sizes are in the same class or in neighbouring ones."""
+    if percent >= 100:
+        return n.cast("int")
+    # a little wider than the sizes allow, so that rounding parts none
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent) * (1 - 1e-6)).cast("int")
+
+
+def _blocks(rows: DataFrame, size: int, payload: list[str], percent: int, work: Staging) -> DataFrame:
     """Rows of each key in blocks of about ``size``, paired with the blocks of the same key.
 
-    A key's rows are dealt out by id, so no group grows with the key; a block also meets
+    Blocks hold rows of one size class, and meet those of their own and the next class only.
+    A class's rows are dealt out by id, so no group grows with the key; a block also meets
     itself. The columns of the second block end in ``_y``.
     """
-    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / size).alias("n_blocks"))
+    classed = rows.withColumn("size_class", _size_class(F.col("n_b"), percent))
+    counts = classed.groupBy("key", "size_class").agg(
+        F.ceil(F.count("*") / size).alias("n_blocks"), F.min("part").alias("low"), F.max("part").alias("high")
+    )
+    near = counts.select("key", "size_class", "low", "high")
+    # classes that hold one component only, and whose neighbours hold no other, have no pair to look at
+    around = near.select("key", F.explode(F.array(*(F.col("size_class") + d for d in (-1, 0, 1)))).alias("size_class"), "low", "high")
+    several = (
+        around.groupBy("key", "size_class").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .filter(F.col("low") < F.col("high")).select("key", "size_class")
+    )
+    counts = counts.drop("low", "high").join(several, ["key", "size_class"])
     block = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks"))
     made = (
-        rows.join(counts, "key")
-        .groupBy("key", "slot", block.alias("block"))
+        classed.join(counts, ["key", "size_class"])
+        .groupBy("key", "slot", "size_class", block.alias("block"))
         .agg(F.collect_list(F.struct(*payload)).alias("rows"))
-        .select("key", "slot", "block", *(F.col(f"rows.{c}").alias(c) for c in payload))
+        .select("key", "slot", "size_class", "block", *(F.col(f"rows.{c}").alias(c) for c in payload))
     )
-    made = stage(made, "blocks")
+    made = work.table(made, "blocks")
     x, y = made.alias("x"), made.alias("y")
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block"))).select(
+    own = (F.col("x.size_class") == F.col("y.size_class")) & (F.col("x.block") <= F.col("y.block"))
+    met = own | (F.col("x.size_class") + 1 == F.col("y.size_class"))
+    same = (F.col("x.size_class") == F.col("y.size_class")) & (F.col("x.block") == F.col("y.block"))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & met).select(
         "x.key",
         "x.slot",
-        (F.col("x.block") == F.col("y.block")).alias("same"),
+        same.alias("same"),
         *(F.col(f"x.{c}").alias(c) for c in payload),
         *(F.col(f"y.{c}").alias(f"{c}_y") for c in payload),
     )
@@ -367,17 +393,25 @@ def near_duplicates(
     smallest id with the same set; ``n_links`` counts the confirmed links of that class
     which the search used, not all links inside a group of copies.
 
-    Null and empty texts and texts of white space have no shingle and stay alone.
+    Null and empty texts and texts of white space have no shingle and link with nothing.
     Rows with a null id stay alone, with null ``component_id`` and ``class_id``, and are
-    kept. Rows that share an id are one document with one component. Other columns of
-    the input play no part. An empty table gives an empty result.
+    kept. Rows that share an id are one document: what any of them links with is reachable
+    from all, and all get the same component. Texts of any length are read whole. Other
+    columns of the input play no part. An empty table gives an empty result.
     """
-    signed = stage(set_signatures(documents, shingle_words), "signatures")
+    with Staging(documents.sparkSession) as work:
+        found = stage(_near_duplicates(documents, shingle_words, percent, work), "near-duplicates")
+    work.settle()
+    return found
+
+
+def _near_duplicates(documents: DataFrame, shingle_words: int, percent: int, work: Staging) -> DataFrame:
+    signed = work.table(set_signatures(documents, shingle_words), "signatures")
     filled = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = filled.groupBy("set_a", "set_b").agg(
         F.min(F.struct("doc_id", "n_shingles", *(f"sig{c}" for c in range(CHUNKS)))).alias("first")
     )
-    classes = stage(classes.select("set_a", "set_b", "first.*"), "classes")
+    classes = work.table(classes.select("set_a", "set_b", "first.*"), "classes")
 
     keys = classes.select(
         F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.posexplode(_keys()).alias("slot", "key")
@@ -388,17 +422,20 @@ def near_duplicates(
         .filter(F.col("low.b") < F.col("high"))
         .select("key", F.col("low.b").alias("a"), F.col("low.n_b").alias("n_a"))
     )
-    members = stage(keys.join(buckets, "key"), "members")
+    members = work.table(keys.join(buckets, "key"), "members")
     needed = members.select(F.col("b").alias("doc_id")).distinct()
-    sets = stage(
+    sets = work.table(
         shingle_sets(documents.select("doc_id", "text").join(needed, "doc_id", "left_semi"), shingle_words),
         "sets",
     )
+    work.settle()
 
     stars = members.filter((F.col("a") != F.col("b")) & _similar(percent, "n_a", "n_b"))
-    links = stage(_confirmed(stars.select("a", "b").distinct(), sets, percent), "links")
+    links = work.table(_confirmed(stars.select("a", "b").distinct(), sets, percent), "links")
+    work.settle()
 
-    mixed = stage(_mixed(members.select("key", "slot", "b", "n_b"), components(links)), "mixed")
+    found = components(links, work=work)
+    mixed = work.table(_mixed(members.select("key", "slot", "b", "n_b"), found), "mixed")
     drawn = mixed.groupBy("key").agg(
         F.min_by(F.struct("b", "n_b", "part"), F.xxhash64("b", "key")).alias("pivot")
     )
@@ -406,49 +443,62 @@ def near_duplicates(
         (F.col("part") != F.col("pivot.part")) & _similar(percent, "n_b", "pivot.n_b")
     )
     stars = stars.select(F.col("pivot.b").alias("a"), "b").distinct()
-    links = stage(links.union(_confirmed(stars, sets, percent)), "links")
+    links = work.table(links.union(_confirmed(stars, sets, percent)), "links")
+    work.settle()
 
-    mixed = _mixed(mixed.select("key", "slot", "b", "n_b"), components(links)).withColumnRenamed("b", "doc_id")
+    found = components(links, work=work)
+    mixed = _mixed(mixed.select("key", "slot", "b", "n_b"), found).withColumnRenamed("b", "doc_id")
+    mixed = work.table(mixed, "mixed")
     signed_rows = mixed.join(classes.drop("set_a", "set_b", "n_shingles"), "doc_id")
+    payload = ["doc_id", "part", "n_b", *(f"sig{c}" for c in range(CHUNKS))]
     partnered = (
-        _blocks(signed_rows, SIGNATURE_BLOCK, ["doc_id", "part", "n_b", *(f"sig{c}" for c in range(CHUNKS))])
+        _blocks(signed_rows, SIGNATURE_BLOCK, payload, percent, work)
         .mapInArrow(_partner_batches(percent), "key long, slot int, doc_id long")
         .distinct()
     )
-    with_sets = mixed.drop("n_b").join(partnered, ["key", "slot", "doc_id"], "left_semi").join(sets, "doc_id")
+    with_sets = mixed.join(partnered, ["key", "slot", "doc_id"], "left_semi").join(sets, "doc_id")
     across = (
-        _blocks(with_sets, SET_BLOCK, ["doc_id", "part", "shingles"])
+        _blocks(with_sets, SET_BLOCK, ["doc_id", "part", "shingles"], percent, work)
         .mapInArrow(_link_batches(percent), "a long, b long")
         .distinct()
     )
-    links = stage(links.union(across).distinct(), "links")
-    joined = components(links)
+    links = work.table(links.union(across).distinct(), "links")
+    work.settle()
+
+    names = classes.select("set_a", "set_b", F.col("doc_id").alias("class_id"))
+    members = filled.select("doc_id", "n_shingles", "set_a", "set_b").join(names, ["set_a", "set_b"])
+    members = work.table(members.drop("set_a", "set_b"), "rows")
+    spans = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).filter("a < z").drop("z")
+    by_id = members.join(spans, "doc_id").select("a", F.col("class_id").alias("b")).filter("a < b")
+    joined = components(links.union(by_id), work=work)
 
     counts = (
         links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     )
-    reached = (
-        classes.select("set_a", "set_b", F.col("doc_id").alias("class_id"))
-        .join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
+    component = F.coalesce("component", "class_id")
+    linked = (
+        members.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
         .join(counts, "class_id", "left")
+        .select(
+            "doc_id",
+            "n_shingles",
+            component.alias("component_id"),
+            (F.col("doc_id") == component).alias("kept"),
+            "class_id",
+            F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        )
     )
-    alone = signed.filter(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select(
+    empty = signed.filter(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles")
+    of_id = linked.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id")
+    own = F.coalesce("component_id", "doc_id")
+    alone = empty.join(of_id.agg(F.min("component_id").alias("component_id")), "doc_id", "left").select(
         "doc_id",
         "n_shingles",
-        F.col("doc_id").alias("component_id"),
-        F.lit(True).alias("kept"),
+        own.alias("component_id"),
+        F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"),
         F.col("doc_id").alias("class_id"),
         F.lit(0).cast("long").alias("n_links"),
     )
-    component = F.coalesce("component", "class_id")
-    linked = filled.join(reached, ["set_a", "set_b"]).select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        (F.col("doc_id") == component).alias("kept"),
-        "class_id",
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-    )
     return linked.union(alone)
 
 
@@ -459,20 +509,24 @@ def deduplicated(documents: DataFrame, shingle_words: int = 2, percent: int = 80
     rows equal in both one stays. A row of which only the id is repeated is judged by its
     own text. Rows with a null id all stay. Columns are those of the input.
     """
+    row_key = f"_row_key_{uuid.uuid4().hex}"
     key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    keyed = documents.withColumn("_row_key", key)
-    found = near_duplicates(keyed.select(F.col("_row_key").alias("doc_id"), "text"), shingle_words, percent)
-    names = keyed.filter(key.isNotNull()).groupBy("_row_key").agg(
-        F.min(F.col("doc_id").cast("long")).alias("own_id"), F.count("*").alias("n")
-    )
-    names = stage(names, "row-keys")
-    judged = found.select(F.col("doc_id").alias("_row_key"), "component_id").distinct().join(names, "_row_key")
-    first = judged.groupBy("component_id").agg(F.min(F.struct("own_id", "_row_key")).alias("first"))
-    first = first.select(F.col("first._row_key").alias("_row_key"))
-    removed = stage(judged.join(first, "_row_key", "left_anti").select("_row_key"), "removed")
-    left = keyed.join(removed, "_row_key", "left_anti")
-    repeated = stage(names.filter("n > 1").select("_row_key"), "repeated")
+    keyed = documents.withColumn(row_key, key)
+    rows = keyed.select(F.col(row_key).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with Staging(documents.sparkSession) as work:
+        found = near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"), shingle_words, percent)
+        names = rows.filter(F.col("row_key").isNotNull()).groupBy("row_key").agg(
+            F.min("doc_id").alias("own_id"), F.count("*").alias("n")
+        )
+        names = work.table(names, "row-keys")
+        judged = found.select(F.col("doc_id").alias("row_key"), "component_id").distinct().join(names, "row_key")
+        first = judged.groupBy("component_id").agg(F.min(F.struct("own_id", "row_key")).alias("first"))
+        first = first.select(F.col("first.row_key").alias("row_key"))
+        removed = stage(judged.join(first, "row_key", "left_anti").select(F.col("row_key").alias(row_key)), "removed")
+        repeated = stage(names.filter("n > 1").select(F.col("row_key").alias(row_key)), "repeated")
+    work.settle()
+    left = keyed.join(removed, row_key, "left_anti")
     if not repeated.isEmpty():
-        single = left.join(repeated, "_row_key", "left_anti")
-        left = single.unionByName(left.join(repeated, "_row_key", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return left.select(*documents.columns)
+        single = left.join(repeated, row_key, "left_anti")
+        left = single.unionByName(left.join(repeated, row_key, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -89,6 +89,10 @@ class Machine(NamedTuple):
             out[filled] += np.add.reduceat(self.weights[at], begins) + 0.5 * (total**2 - squares).sum(axis=1)
         return out
 
+    def knows(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Whether a row has a known term."""
+        return np.array([bool((self.place[r] < len(self.weights) - 1).any()) for r in rows], dtype=bool)
+
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         logits = np.clip(self.scale * self.logits(rows) + self.shift, -40, 40)
         return 1 / (1 + np.exp(-logits))
@@ -271,8 +275,8 @@ def _score_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def toxicity(documents: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, score, predicted): the probability that a text is toxic, and whether it is at least 0.3.
 
-    One row per input row. Null and empty texts and texts without a known term get the
-    score of the bias. Null and repeated ids pass through; other columns play no part; an
+    One row per input row; texts of any length are read whole. Null and empty texts and texts
+    without a known term get the score of the bias. Null and repeated ids pass through; other columns play no part; an
     empty table gives no rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(machine)
@@ -286,15 +290,19 @@ def _clean_batches(shared, place: int) -> Callable[[Iterator[pa.RecordBatch]], I
         machine = shared.value
         for batch in batches:
             for chunk in chunks(batch.column(place)):
-                scores = machine.scores(term_buckets(chunk))
-                part = batch.slice(chunk.first, len(scores))
-                yield part.filter(pa.array(scores < THRESHOLD))
+                rows = term_buckets(chunk)
+                toxic = (machine.scores(rows) >= THRESHOLD) & machine.knows(rows)
+                yield batch.slice(chunk.first, len(rows)).filter(pa.array(~toxic))
 
     return run
 
 
 def without_toxic(documents: DataFrame, machine: Machine) -> DataFrame:
-    """The rows scored below 0.3, with the columns of the input, in one narrow pass."""
+    """The rows scored below 0.3, with the columns of the input, in one narrow pass.
+
+    Texts that say nothing to the machine, null and empty ones and those without a term it
+    knows, stay whatever score the share of toxic rows gives them.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(machine)
     place = documents.columns.index("text")
     return documents.mapInArrow(_clean_batches(shared, place), documents.schema)

@@ -133,6 +133,46 @@ def test_deduplicated_judges_rows_by_id_and_text(documents):
     assert kept.filter("text IS NULL").count() == 1
 
 
+def test_ids_with_several_texts(documents):
+    """What any text of an id links with is reachable from all."""
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, None), (9, "c d"), (9, "c d"), (9, "e f"), (8, "e f"), (9, "")]
+    found = near_dups.near_duplicates(documents(rows), 2).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 8)}
+    assert len(found) == len(rows) and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
+
+
+def test_deduplicated_leaves_clashing_columns(documents):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z")]
+    names = ["_row_key", "row_key", "own_id", "n", "component_id", "first"]
+    frame = documents(rows, **{c: F.lit(5) for c in names})
+    found = near_dups.deduplicated(frame)
+    assert found.columns == frame.columns
+    assert sorted((r["doc_id"], *(r[c] for c in names)) for r in found.collect()) == [(1, *[5] * 6), (3, *[5] * 6)]
+
+
+def test_templated_texts_that_are_no_duplicates(documents, monkeypatch):
+    """Many texts of one template, alike by half: all apart, with blocks much smaller than their buckets."""
+    rng = random.Random(11)
+    template = [f"t{k}" for k in range(40)]
+    rows = [(i, " ".join(template + [f"{i}w{k}" for k in range(20 + i % 25)])) for i in range(1500)]
+    rows += [(5000 + i, rows[i][1] + " tail") for i in range(0, 1500, 100)]
+    rng.shuffle(rows)
+    monkeypatch.setattr(near_dups, "SIGNATURE_BLOCK", 64)
+    found = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(documents(rows), 2).collect()}
+    assert found == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+
+
+def test_size_classes_keep_fitting_sizes_together(spark):
+    """Sets whose sizes allow the similarity are in the same or in neighbouring classes."""
+    sizes = spark.range(1, 4001).withColumnRenamed("id", "n")
+    for percent in (50, 80, 85, 99, 100):
+        classes = {r["n"]: r["c"] for r in sizes.select("n", near_dups._size_class(F.col("n"), percent).alias("c")).collect()}
+        for n in range(1, 4001):
+            largest = min(4000, n * 100 // percent)
+            assert 0 <= classes[largest] - classes[n] <= 1
+
+
 def test_keys_are_shared_by_all_signatures_within_the_distance(spark):
     """The pigeonhole promise, with as many errors as allowed in random places."""
     rng = np.random.default_rng(3)
