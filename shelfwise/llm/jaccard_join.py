@@ -28,11 +28,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
@@ -55,7 +56,8 @@ PAIRS_AT_ONCE = 1 << 15
 SET_BLOCK = 1 << 15
 
 _SETS = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, prefix array<long>, cells array<int>"
-_POSTINGS = "gram long, cls long, n long, pos long, earlier array<long>, cells array<int>"
+#: Of a posting the last two are runs of 64-bit and 32-bit numbers as bytes, which travel as one value each.
+_POSTINGS = "gram long, cls long, n long, pos long, earlier binary, cells binary"
 _PAYLOAD = ["cls", "n", "pos", "earlier", "cells"]
 
 Batches = Iterator[pa.RecordBatch]
@@ -154,71 +156,122 @@ def _set_batches(size: int, percent: int, ranks: Broadcast) -> Callable[[Batches
     return run
 
 
+def _places(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. within each of consecutive runs of the given lengths."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column one after the other, and how many each row has; null has none."""
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), counts
+
+
+def _as_bytes(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Consecutive runs of values as binary values."""
+    offsets = np.concatenate(([0], np.cumsum(counts) * values.itemsize)).astype(np.int32)
+    data = pa.py_buffer(np.ascontiguousarray(values))
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), data])
+
+
+def _of_bytes(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of binary values one after the other, and how many each has."""
+    if not len(column):
+        return np.empty(0, kind), np.empty(0, np.int64)
+    _, offset_buffer, data = column.buffers()
+    offsets = np.frombuffer(offset_buffer, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    held = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    return held.view(kind), np.diff(offsets).astype(np.int64) // size
+
+
 def _posting_batches(batches: Batches) -> Batches:
-    """Postings of the shared prefix shingles of a class, with what the filters need of it."""
+    """Postings of the shared prefix shingles of classes, with what the filters need of them.
+
+    That are the shared shingles before it, ``EARLIER`` at most, and how many shingles the set
+    has behind it in each cell.
+    """
     for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for row in batch.to_pylist():
-            prefix = np.array(row["prefix"], dtype=np.int64).view(np.uint64)
-            left = np.array(row["cells"], dtype=np.int64)
-            grams = [g for _, g in sorted((h["pos"], h["gram"]) for h in row["hits"])]
-            done = 0
-            for k, pos in enumerate(sorted(h["pos"] for h in row["hits"])):
-                left = left - np.bincount(_cells(prefix[done:pos]), minlength=CELLS)
-                done = pos
-                for column, value in zip(out, (grams[k], row["cls"], row["n"], pos, grams[: min(k, EARLIER)], left.tolist())):
-                    column.append(value)
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
+        grams, counts = _flat(batch.column("grams"))
+        places, _ = _flat(batch.column("places"))
+        prefix, lengths = _flat(batch.column("prefix"))
+        cells = _flat(batch.column("cells"))[0].reshape(-1, CELLS).astype(np.int64)
+        of_class, k = np.repeat(np.arange(batch.num_rows), counts), _places(counts)
+        marks = np.zeros((len(prefix) + 1, CELLS), dtype=np.int64)
+        marks[np.arange(1, len(prefix) + 1), _cells(prefix.view(np.uint64))] = 1
+        passed = np.cumsum(marks, axis=0)
+        begin = (np.cumsum(lengths) - lengths)[of_class]
+        left = cells[of_class] - (passed[begin + places] - passed[begin])
+        n_earlier = np.minimum(k, EARLIER)
+        first = np.repeat(np.cumsum(counts) - counts, counts)
+        earlier = grams[np.repeat(first, n_earlier) + _places(n_earlier)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(out, kinds)], names=["gram", "cls", "n", "pos", "earlier", "cells"]
+            [
+                pa.array(grams),
+                batch.column("cls").take(pa.array(of_class)),
+                batch.column("n").take(pa.array(of_class)),
+                pa.array(places),
+                _as_bytes(earlier, n_earlier),
+                _as_bytes(left.astype(np.int32).reshape(-1), np.full(len(left), CELLS)),
+            ],
+            names=["gram", "cls", "n", "pos", "earlier", "cells"],
         )
 
 
-def _block_pairs(rows: DataFrame, weight: Column, size: int, payload: list[str], work: Staging) -> DataFrame:
-    """Rows of every shingle in blocks of about ``size``, each paired with itself and the others.
+def _block_pairs(rows: DataFrame, counts: DataFrame, payload: list[str], work: Staging) -> DataFrame:
+    """Rows of every shingle in its number of blocks, each paired with itself and the others.
 
-    A shingle's rows are dealt out by class, so no group grows with the bucket; the columns of
-    the second block end in ``_y``, and are null for a block that meets itself.
+    ``counts`` has (gram, n_blocks). A shingle's rows are dealt out by class, so no group grows
+    with the bucket; the columns of the second block end in ``_y``, and are null for a block
+    that meets itself.
     """
-    counts = rows.groupBy("gram").agg(F.ceil(F.sum(weight) / size).alias("n_blocks"), F.count("*").alias("n_rows"))
-    counts = counts.filter(F.col("n_rows") > 1).drop("n_rows")
-    block = F.pmod(F.xxhash64("cls"), F.col("n_blocks"))
-    made = (
-        rows.join(counts, "gram")
-        .groupBy("gram", block.alias("block"))
-        .agg(F.collect_list(F.struct(*payload)).alias("rows"), F.first("n_blocks").alias("n_blocks"))
-        .select("gram", "block", "n_blocks", *(F.col(f"rows.{c}").alias(c) for c in payload))
-    )
-    made = work.table(made, "blocks")
-    alone = made.select(
-        "gram", *payload, *(F.lit(None).cast(made.schema[c].dataType).alias(f"{c}_y") for c in payload)
-    )
-    several = made.filter(F.col("n_blocks") > 1)
+    whole = _blocked(rows, counts.filter("n_blocks = 1"), payload)
+    several = work.table(_blocked(rows, counts.filter("n_blocks > 1"), payload), "blocks")
     x, y = several.alias("x"), several.alias("y")
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.block") < F.col("y.block"))).select(
         "x.gram", *(F.col(f"x.{c}").alias(c) for c in payload), *(F.col(f"y.{c}").alias(f"{c}_y") for c in payload)
     )
-    return alone.union(met)
+    nothing = [F.lit(None).cast(several.schema[c].dataType).alias(f"{c}_y") for c in payload]
+    return whole.union(several).select("gram", *payload, *nothing).union(met)
 
 
-def _sides(batch: pa.RecordBatch, name: str) -> tuple[pa.Array, pa.Array, np.ndarray]:
-    """A payload column of both blocks; of a block that meets itself it is the same one."""
-    x, y = batch.column(name), batch.column(f"{name}_y")
-    itself = y.is_null().to_numpy(zero_copy_only=False)
-    return x, y, itself
+def _blocked(rows: DataFrame, counts: DataFrame, payload: list[str]) -> DataFrame:
+    block = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).alias("block")
+    grouped = rows.join(counts, "gram").groupBy("gram", block).agg(F.collect_list(F.struct(*payload)).alias("rows"))
+    return grouped.select("gram", "block", *(F.col(f"rows.{c}").alias(c) for c in payload))
 
 
-def _pairs_of(n: int, m: int, itself: bool) -> tuple[np.ndarray, np.ndarray]:
-    if itself:
-        return np.triu_indices(n, 1)
-    return np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+class _Side(NamedTuple):
+    """The postings of blocks one after the other; ``starts`` has each block's first."""
 
+    cls: np.ndarray
+    n: np.ndarray
+    pos: np.ndarray
+    earlier: np.ndarray
+    cells: np.ndarray
+    starts: np.ndarray
+
+
+def _side(batch: pa.RecordBatch, suffix: str) -> _Side:
+    flat = {name: _flat(batch.column(name + suffix)) for name in ("cls", "n", "pos")}
+    counts = flat["cls"][1]
+    values, n_values = _of_bytes(batch.column("earlier" + suffix).flatten(), np.int64)
+    earlier = np.zeros((len(n_values), EARLIER), dtype=np.int64)
+    earlier[np.repeat(np.arange(len(n_values)), n_values), _places(n_values)] = values
+    cells = _of_bytes(batch.column("cells" + suffix).flatten(), np.int32)[0].reshape(-1, CELLS)
+    return _Side(*(flat[name][0] for name in ("cls", "n", "pos")), earlier, cells, np.concatenate(([0], np.cumsum(counts))))
 
-def _flat(lists: list, width: int, fill: int) -> np.ndarray:
-    out = np.full((len(lists), width), fill, dtype=np.int64)
-    for k, values in enumerate(lists):
-        out[k, : len(values)] = values
-    return out
+
+def _passing(x: _Side, y: _Side, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (a of x, b of y) may be similar and have not met at an earlier shingle."""
+    n_a, n_b = x.n[a], y.n[b]
+    need = -(-percent * (n_a + n_b) // (100 + percent))
+    keep = np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent
+    keep &= 1 + np.minimum(n_a - x.pos[a], n_b - y.pos[b]) >= need
+    at = np.flatnonzero(keep)
+    at = at[1 + np.minimum(x.cells[a[at]], y.cells[b[at]]).sum(axis=1) >= need[at]]
+    before = x.earlier[a[at]][:, :, None]
+    return at[~((before == y.earlier[b[at]][:, None, :]) & (before != 0)).any(axis=(1, 2))]
 
 
 def _partner_batches(percent: int) -> Callable[[Batches], Batches]:
@@ -228,50 +281,41 @@ def _partner_batches(percent: int) -> Callable[[Batches], Batches]:
         for batch in batches:
             grams = batch.column("gram").to_numpy()
             itself = batch.column("cls_y").is_null().to_numpy(zero_copy_only=False)
-            values, starts = {}, {}
-            for name in _PAYLOAD:
-                own, other = batch.column(name).to_pylist(), batch.column(f"{name}_y").to_pylist()
-                for side, lists in (("", own), ("_y", [a if b is None else b for a, b in zip(own, other)])):
-                    values[name + side] = [v for block in lists for v in block]
-                    starts[side] = np.concatenate(([0], np.cumsum([len(block) for block in lists])))
-            side_of = {
-                s: {c: np.array(values[c + s], dtype=np.int64) for c in ("cls", "n", "pos")}
-                | {"earlier": _flat(values["earlier" + s], EARLIER, fill), "cells": np.array(values["cells" + s], dtype=np.int64)}
-                for s, fill in (("", 0), ("_y", 1))
-            }
-            x, y = side_of[""], side_of["_y"]
-            found: set[tuple[int, int]] = set()
-
-            def looked_at(a: np.ndarray, b: np.ndarray, row: np.ndarray) -> None:
-                n_a, n_b = x["n"][a], y["n"][b]
-                need = -(-percent * (n_a + n_b) // (100 + percent))
-                keep = np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent
-                keep &= 1 + np.minimum(n_a - x["pos"][a], n_b - y["pos"][b]) >= need
-                a, b, row, need = a[keep], b[keep], row[keep], need[keep]
-                keep = 1 + np.minimum(x["cells"][a], y["cells"][b]).sum(axis=1) >= need
-                a, b, row = a[keep], b[keep], row[keep]
-                keep = ~(x["earlier"][a][:, :, None] == y["earlier"][b][:, None, :]).any(axis=(1, 2))
-                a, b, row = a[keep], b[keep], row[keep]
-                found.update(zip(grams[row].tolist(), x["cls"][a].tolist()))
-                found.update(zip(grams[row].tolist(), y["cls"][b].tolist()))
-
-            held, waiting = 0, []
-            for k in range(batch.num_rows):
-                n, m = starts[""][k + 1] - starts[""][k], starts["_y"][k + 1] - starts["_y"][k]
-                a, b = _pairs_of(n, m, itself[k])
-                waiting.append((a + starts[""][k], b + starts["_y"][k], np.full(len(a), k)))
-                held += len(a)
-                if held >= PAIRS_AT_ONCE:
-                    whole = [np.concatenate(c) for c in zip(*waiting)]
-                    for first in range(0, held, PAIRS_AT_ONCE):
-                        looked_at(*(c[first : first + PAIRS_AT_ONCE] for c in whole))
-                    held, waiting = 0, []
-            if held:
-                looked_at(*(np.concatenate(c) for c in zip(*waiting)))
-            rows = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], names=["gram", "cls"]
-            )
+            x, y = _side(batch, ""), _side(batch, "_y")
+            found = [np.empty((0, 2), dtype=np.int64)]
+
+            def look(other: _Side, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+                held, waiting = 0, []
+                for part in pairs:
+                    waiting.append(part)
+                    held += len(part[0])
+                    if held >= PAIRS_AT_ONCE:
+                        look_at(other, waiting)
+                        held, waiting = 0, []
+                if held:
+                    look_at(other, waiting)
+
+            def look_at(other: _Side, waiting: list) -> None:
+                a, b, row = (np.concatenate(c) for c in zip(*waiting))
+                for first in range(0, len(a), PAIRS_AT_ONCE):
+                    part = slice(first, first + PAIRS_AT_ONCE)
+                    at = first + _passing(x, other, a[part], b[part], percent)
+                    ends = np.concatenate((x.cls[a[at]], other.cls[b[at]]))
+                    found.append(np.unique(np.stack((np.tile(grams[row[at]], 2), ends), axis=1), axis=0))
+
+            sizes = np.diff(x.starts)
+            two = np.flatnonzero(itself & (sizes == 2))
+            more = np.flatnonzero(itself & (sizes > 2))
+            look(x, iter([(x.starts[two], x.starts[two] + 1, two)]) if len(two) else iter(()))
+            look(x, (tuple(c + x.starts[k] for c in np.triu_indices(sizes[k], 1)) + (np.full(sizes[k] * (sizes[k] - 1) // 2, k),) for k in more))
+            met = np.flatnonzero(~itself)
+            of = lambda side, k: np.arange(side.starts[k], side.starts[k + 1])
+            look(y, (
+                (np.repeat(of(x, k), len(of(y, k))), np.tile(of(y, k), len(of(x, k))), np.full(len(of(x, k)) * len(of(y, k)), k))
+                for k in met
+            ))
+            rows = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], names=["gram", "cls"])
 
     return run
 
@@ -352,26 +396,36 @@ def _full_sets(size: int) -> Callable[[Batches], Batches]:
 
 def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int, ranks: Broadcast, work: Staging) -> DataFrame:
     """(a, b, n) of ``_link_batches`` over all classes."""
-    postings = classes.select("cls", "n_shingles", F.posexplode("prefix").alias("at", "gram")).select(
+    postings = classes.select("cls", F.posexplode("prefix").alias("at", "gram")).select(
         "gram", "cls", (F.col("at") + 1).cast("long").alias("pos")
     )
-    several = postings.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("gram")
-    shared = work.table(postings.join(several, "gram"), "shared")
-    hits = shared.groupBy("cls").agg(F.collect_list(F.struct("pos", "gram")).alias("hits"))
-    described = hits.join(classes, "cls").select("cls", F.col("n_shingles").alias("n"), "hits", "prefix", "cells")
-    described = described.mapInArrow(_posting_batches, _POSTINGS)
-    pairs = _block_pairs(described, F.lit(1), POSTING_BLOCK, _PAYLOAD, work)
+    several = postings.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    shared = work.table(postings.join(several.select("gram"), "gram"), "shared")
+    work.settle()
+    hits = F.sort_array(F.collect_list(F.struct("pos", "gram")))
+    described = shared.groupBy("cls").agg(hits.alias("hits")).join(classes, "cls").select(
+        "cls", F.col("n_shingles").alias("n"), F.col("hits.gram").alias("grams"), F.col("hits.pos").alias("places"), "prefix", "cells"
+    )
+    described = work.table(described.mapInArrow(_posting_batches, _POSTINGS), "postings")
+    counts = shared.groupBy("gram").agg(F.ceil(F.count("*") / POSTING_BLOCK).alias("n_blocks"))
+    pairs = _block_pairs(described, counts, _PAYLOAD, work)
     partnered = pairs.mapInArrow(_partner_batches(percent), "gram long, cls long").distinct()
     partnered = work.table(partnered, "partnered")
+    work.drop("shared", "postings", "blocks")
+    work.settle()
 
     wanted = partnered.select("cls").distinct().join(classes.select("cls", "doc_id", "text_hash"), "cls")
-    chosen = texts.join(wanted, ["doc_id", "text_hash"]).select("cls", "text")
     # a row that is there several times, id and text, is one text of its class
-    sets = chosen.mapInArrow(_full_sets(size), "cls long, shingles array<long>").dropDuplicates(["cls"])
-    sets = work.table(sets, "sets")
-    with_sets = partnered.join(sets, "cls")
-    pairs = _block_pairs(with_sets, F.size("shingles"), SET_BLOCK, ["cls", "shingles"], work)
-    return work.table(pairs.mapInArrow(_link_batches(percent, ranks), "a long, b long, n long"), "links")
+    chosen = texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("cls", "text")
+    sets = work.table(chosen.mapInArrow(_full_sets(size), "cls long, shingles array<long>"), "sets")
+    work.settle()
+    counts = partnered.join(sets.select("cls", F.size("shingles").alias("n")), "cls").groupBy("gram").agg(
+        F.ceil(F.sum("n") / SET_BLOCK).alias("n_blocks")
+    )
+    pairs = _block_pairs(partnered.join(sets, "cls"), counts, ["cls", "shingles"], work)
+    links = work.table(pairs.mapInArrow(_link_batches(percent, ranks), "a long, b long, n long"), "links")
+    work.settle()
+    return links
 
 
 def jaccard_join(documents: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
