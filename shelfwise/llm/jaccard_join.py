@@ -33,7 +33,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
@@ -218,15 +218,20 @@ def _posting_batches(batches: Batches) -> Batches:
         )
 
 
-def _block_pairs(rows: DataFrame, counts: DataFrame, payload: list[str], work: Staging) -> DataFrame:
-    """Rows of every shingle in its number of blocks, each paired with itself and the others.
+def _block_pairs(
+    rows: DataFrame, counts: DataFrame, attach: Callable[[DataFrame], DataFrame], payload: list[str], work: Staging
+) -> DataFrame:
+    """Rows (gram, cls) of every shingle in blocks, each paired with itself and the others of it.
 
-    ``counts`` has (gram, n_blocks). A shingle's rows are dealt out by class, so no group grows
-    with the bucket; the columns of the second block end in ``_y``, and are null for a block
-    that meets itself.
+    ``counts`` has (gram, n_blocks), and ``attach`` adds the payload to the rows. Most shingles
+    are one block, which is put together once and not stored. The rows of the others are
+    dealt out by class, so no group grows with the bucket. The columns of the second block end
+    in ``_y``, and are null for a block that meets itself.
     """
-    whole = _blocked(rows, counts.filter("n_blocks = 1"), payload)
-    several = work.table(_blocked(rows, counts.filter("n_blocks > 1"), payload), "blocks")
+    large = work.table(counts.filter(F.col("n_blocks") > 1), "large")
+    block = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).alias("block")
+    whole = _blocked(attach(rows.join(large, "gram", "left_anti")), [F.col("gram"), F.lit(0).cast("long").alias("block")], payload)
+    several = work.table(_blocked(attach(rows.join(large, "gram")), [F.col("gram"), block], payload), "blocks")
     x, y = several.alias("x"), several.alias("y")
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.block") < F.col("y.block"))).select(
         "x.gram", *(F.col(f"x.{c}").alias(c) for c in payload), *(F.col(f"y.{c}").alias(f"{c}_y") for c in payload)
@@ -235,9 +240,8 @@ def _block_pairs(rows: DataFrame, counts: DataFrame, payload: list[str], work: S
     return whole.union(several).select("gram", *payload, *nothing).union(met)
 
 
-def _blocked(rows: DataFrame, counts: DataFrame, payload: list[str]) -> DataFrame:
-    block = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).alias("block")
-    grouped = rows.join(counts, "gram").groupBy("gram", block).agg(F.collect_list(F.struct(*payload)).alias("rows"))
+def _blocked(rows: DataFrame, keys: list[Column], payload: list[str]) -> DataFrame:
+    grouped = rows.groupBy(*keys).agg(F.collect_list(F.struct(*payload)).alias("rows"))
     return grouped.select("gram", "block", *(F.col(f"rows.{c}").alias(c) for c in payload))
 
 
@@ -408,7 +412,7 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int, ranks:
     )
     described = work.table(described.mapInArrow(_posting_batches, _POSTINGS), "postings")
     counts = shared.groupBy("gram").agg(F.ceil(F.count("*") / POSTING_BLOCK).alias("n_blocks"))
-    pairs = _block_pairs(described, counts, _PAYLOAD, work)
+    pairs = _block_pairs(described, counts, lambda rows: rows, _PAYLOAD, work)
     partnered = pairs.mapInArrow(_partner_batches(percent), "gram long, cls long").distinct()
     partnered = work.table(partnered, "partnered")
     work.drop("shared", "postings", "blocks")
@@ -422,7 +426,7 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int, ranks:
     counts = partnered.join(sets.select("cls", F.size("shingles").alias("n")), "cls").groupBy("gram").agg(
         F.ceil(F.sum("n") / SET_BLOCK).alias("n_blocks")
     )
-    pairs = _block_pairs(partnered.join(sets, "cls"), counts, ["cls", "shingles"], work)
+    pairs = _block_pairs(partnered, counts, lambda rows: rows.join(sets, "cls"), ["cls", "shingles"], work)
     links = work.table(pairs.mapInArrow(_link_batches(percent, ranks), "a long, b long, n long"), "links")
     work.settle()
     return links
