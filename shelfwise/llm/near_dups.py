@@ -175,7 +175,7 @@ def _keys() -> Column:
 
 def _first_slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The first slot in which pairs of signatures (pairs, COMPONENTS) have the same key, or -1."""
-    equal = (left == right).reshape(len(left), CHUNKS, -1)
+    equal = (left == right).reshape(len(left), CHUNKS, COMPONENTS // CHUNKS)
     errors = (~equal).sum(axis=2)
     chunk = (errors <= CHUNK_ERRORS).argmax(axis=1)
     at = np.arange(len(left))
