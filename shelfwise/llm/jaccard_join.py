@@ -33,7 +33,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
@@ -57,7 +57,7 @@ SET_BLOCK = 1 << 15
 
 _SETS = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, prefix array<long>, cells array<int>"
 #: Of a posting the last two are runs of 64-bit and 32-bit numbers as bytes, which travel as one value each.
-_POSTINGS = "gram long, cls long, n long, pos long, earlier binary, cells binary"
+_POSTINGS = "gram long, cls long, n long, pos long, n_blocks long, earlier binary, cells binary"
 _PAYLOAD = ["cls", "n", "pos", "earlier", "cells"]
 
 Batches = Iterator[pa.RecordBatch]
@@ -211,27 +211,26 @@ def _posting_batches(batches: Batches) -> Batches:
                 batch.column("cls").take(pa.array(of_class)),
                 batch.column("n").take(pa.array(of_class)),
                 pa.array(places),
+                pa.array(_flat(batch.column("n_blocks"))[0]),
                 _as_bytes(earlier, n_earlier),
                 _as_bytes(left.astype(np.int32).reshape(-1), np.full(len(left), CELLS)),
             ],
-            names=["gram", "cls", "n", "pos", "earlier", "cells"],
+            names=["gram", "cls", "n", "pos", "n_blocks", "earlier", "cells"],
         )
 
 
 def _block_pairs(
-    rows: DataFrame, counts: DataFrame, attach: Callable[[DataFrame], DataFrame], payload: list[str], work: Staging
+    rows: DataFrame, attach: Callable[[DataFrame], DataFrame], payload: list[str], work: Staging
 ) -> DataFrame:
-    """Rows (gram, cls) of every shingle in blocks, each paired with itself and the others of it.
+    """Rows (gram, cls, n_blocks) of every shingle in blocks, each paired with itself and the others of it.
 
-    ``counts`` has (gram, n_blocks), and ``attach`` adds the payload to the rows. Most shingles
-    are one block, which is put together once and not stored. The rows of the others are
-    dealt out by class, so no group grows with the bucket. The columns of the second block end
-    in ``_y``, and are null for a block that meets itself.
+    ``attach`` adds the payload to the rows. Most shingles are one block, which is put together
+    once and not stored. The rows of the others are dealt out by class, so no group grows with
+    the bucket. The columns of the second block end in ``_y``, and are null for a block that
+    meets itself.
     """
-    large = work.table(counts.filter(F.col("n_blocks") > 1), "large")
-    block = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).alias("block")
-    whole = _blocked(attach(rows.join(large, "gram", "left_anti")), [F.col("gram"), F.lit(0).cast("long").alias("block")], payload)
-    several = work.table(_blocked(attach(rows.join(large, "gram")), [F.col("gram"), block], payload), "blocks")
+    whole = _blocked(attach(rows.filter(F.col("n_blocks") == 1)), payload)
+    several = work.table(_blocked(attach(rows.filter(F.col("n_blocks") > 1)), payload), "blocks")
     x, y = several.alias("x"), several.alias("y")
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.block") < F.col("y.block"))).select(
         "x.gram", *(F.col(f"x.{c}").alias(c) for c in payload), *(F.col(f"y.{c}").alias(f"{c}_y") for c in payload)
@@ -240,8 +239,9 @@ def _block_pairs(
     return whole.union(several).select("gram", *payload, *nothing).union(met)
 
 
-def _blocked(rows: DataFrame, keys: list[Column], payload: list[str]) -> DataFrame:
-    grouped = rows.groupBy(*keys).agg(F.collect_list(F.struct(*payload)).alias("rows"))
+def _blocked(rows: DataFrame, payload: list[str]) -> DataFrame:
+    block = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).alias("block")
+    grouped = rows.groupBy("gram", block).agg(F.collect_list(F.struct(*payload)).alias("rows"))
     return grouped.select("gram", "block", *(F.col(f"rows.{c}").alias(c) for c in payload))
 
 
@@ -404,15 +404,16 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int, ranks:
         "gram", "cls", (F.col("at") + 1).cast("long").alias("pos")
     )
     several = postings.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    shared = work.table(postings.join(several.select("gram"), "gram"), "shared")
+    several = several.select("gram", F.ceil(F.col("n") / POSTING_BLOCK).alias("n_blocks"))
+    shared = work.table(postings.join(several, "gram"), "shared")
     work.settle()
-    hits = F.sort_array(F.collect_list(F.struct("pos", "gram")))
+    hits = F.sort_array(F.collect_list(F.struct("pos", "gram", "n_blocks")))
     described = shared.groupBy("cls").agg(hits.alias("hits")).join(classes, "cls").select(
-        "cls", F.col("n_shingles").alias("n"), F.col("hits.gram").alias("grams"), F.col("hits.pos").alias("places"), "prefix", "cells"
-    )
+        "cls", F.col("n_shingles").alias("n"), F.col("hits.gram").alias("grams"), F.col("hits.pos").alias("places"),
+        F.col("hits.n_blocks").alias("n_blocks"), "prefix", "cells",
+    )
     described = work.table(described.mapInArrow(_posting_batches, _POSTINGS), "postings")
-    counts = shared.groupBy("gram").agg(F.ceil(F.count("*") / POSTING_BLOCK).alias("n_blocks"))
-    pairs = _block_pairs(described, counts, lambda rows: rows, _PAYLOAD, work)
+    pairs = _block_pairs(described, lambda rows: rows, _PAYLOAD, work)
     partnered = pairs.mapInArrow(_partner_batches(percent), "gram long, cls long").distinct()
     partnered = work.table(partnered, "partnered")
     work.drop("shared", "postings", "blocks")
@@ -426,7 +427,8 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int, ranks:
     counts = partnered.join(sets.select("cls", F.size("shingles").alias("n")), "cls").groupBy("gram").agg(
         F.ceil(F.sum("n") / SET_BLOCK).alias("n_blocks")
     )
-    pairs = _block_pairs(partnered, counts, lambda rows: rows.join(sets, "cls"), ["cls", "shingles"], work)
+    counted = work.table(partnered.join(counts, "gram"), "counted")
+    pairs = _block_pairs(counted, lambda rows: rows.join(sets, "cls"), ["cls", "shingles"], work)
     links = work.table(pairs.mapInArrow(_link_batches(percent, ranks), "a long, b long, n long"), "links")
     work.settle()
     return links
