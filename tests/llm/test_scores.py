@@ -52,7 +52,7 @@ def test_pairs_of_terms_are_learned():
 def test_texts_that_say_nothing_are_never_removed(spark, documents):
     rows = [(i, f"nice word{i % 7} here" if i % 4 else f"awful thing{i % 7}") for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0 or i % 8 == 1)) for i in range(400)], "doc_id long, toxic int")
-    docs = documents([*rows, (1000, None), (1001, ""), (1002, " \n"), (1003, "zzz qqq"), (None, "awful thing1")], score=F.lit(1), rows=F.lit(2))
+    docs = documents([*rows, (1000, None), (1001, ""), (1002, " \n"), (1003, "zzz qqq"), (None, "awful thing1")], score=F.lit(1), label=F.lit(2))
     machine = toxicity.trained_machine(docs, labels, F.lit(True))._replace(shift=3.0)
     kept = toxicity.without_toxic(docs, machine)
     assert kept.columns == docs.columns
