@@ -45,8 +45,9 @@ def category_top(
 
 def _first_of_key(shelf: Column) -> Column:
     """The candidates without those that repeat an earlier one's name and address."""
-    keys = F.transform(shelf, lambda c: c["key"])
-    return F.filter(shelf, lambda c, i: F.array_position(keys, c["key"]) == i + 1)
+    keys = F.array(F.transform(shelf, lambda c: c["key"]))
+    first = F.transform(keys, lambda k: F.filter(shelf, lambda c, i: F.array_position(k, c["key"]) == i + 1))
+    return F.get(first, F.lit(0))
 
 
 def category_shelves(top: DataFrame) -> DataFrame:
@@ -78,7 +79,9 @@ def without_earlier(shelf: Column, earlier: list[Column]) -> Column:
     if not earlier:
         return shelf
     keys = F.concat(*(F.transform(e, lambda c: c["key"]) for e in earlier))
-    return F.filter(shelf, lambda c: ~F.array_contains(keys, c["key"]))
+    # bound to a name, so that the keys are put together once and not for every candidate
+    rest = F.transform(F.array(keys), lambda k: F.filter(shelf, lambda c: ~F.array_contains(k, c["key"])))
+    return F.get(rest, F.lit(0))
 
 
 def path_shelves(
@@ -114,16 +117,69 @@ def path_shelves(
     return found.select("category_path", F.array(*kept).alias("kept"))
 
 
+def key_digests(shelf: Column) -> Column:
+    """The keys of a shelf's candidates as 16 bytes each, in shelf order."""
+    return F.transform(shelf, lambda c: F.unhex(F.md5(c["key"])))
+
+
+def parts_of(count: Column, config: InsightConfig = DEFAULT_CONFIG) -> Column:
+    """In how many parts a key of ``count`` rows is dealt out."""
+    return F.ceil(count / config.path_rows).cast("int")
+
+
+def dealt_shelves(shelves: DataFrame, hot: DataFrame) -> DataFrame:
+    """Shelves by ``_slug_key``: the slug, and each of the parts that ``hot`` (slug, parts) deals it out in."""
+    parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    dealt = shelves.join(F.broadcast(hot), "slug", "left").select("slug", "shelf", F.explode(parts).alias("part"))
+    key = F.array("slug", F.col("part").cast("string"))
+    return dealt.select(key.alias("_slug_key"), "shelf", key_digests(F.col("shelf")).alias("digests"))
+
+
 def path_candidates(
     paths: DataFrame, shelves: DataFrame, config: InsightConfig = DEFAULT_CONFIG
 ) -> DataFrame:
-    """Candidates of each path as rows: (category_path, level, position, candidate)."""
-    levels = path_shelves(paths, shelves, config).select(
-        "category_path", F.posexplode("kept").alias("level", "kept")
+    """Candidates of each path as rows: (category_path, level, position, candidate).
+
+    Paths may be as many as products, so no path carries its candidates: what its levels
+    repeat is told by digests of their keys, and the candidates are unfolded where a level
+    meets its shelf, after the last shuffle. Slugs of very many paths are dealt out.
+    """
+    levels = paths.select("category_path", F.posexplode("category_path").alias("level", "slug")).filter(
+        F.col("level") < config.category_depth
+    )
+    counts = levels.groupBy("slug").count().filter(F.col("count") > config.path_rows)
+    hot = counts.select("slug", parts_of(F.col("count"), config).alias("parts"))
+    part = F.pmod(F.xxhash64("category_path"), F.coalesce("parts", F.lit(1))).cast("string")
+    keyed = levels.join(F.broadcast(hot), "slug", "left").select(
+        "category_path", "level", F.array("slug", part).alias("_slug_key")
+    )
+    shelves = dealt_shelves(shelves, hot)
+    found = (
+        keyed.join(shelves.select("_slug_key", "digests"), "_slug_key")
+        .groupBy("category_path")
+        .agg(F.sort_array(F.collect_list(F.struct("level", "_slug_key", "digests"))).alias("found"))
+    )
+
+    def unrepeated(entry: Column, i: Column) -> Column:
+        before = F.flatten(F.transform(F.slice("found", F.lit(1), i), lambda e: e["digests"]))
+        repeats = F.transform(
+            F.array(before),
+            lambda keys: F.filter(
+                F.transform(entry["digests"], lambda k, j: F.when(F.array_contains(keys, k), j)),
+                lambda j: j.isNotNull(),
+            ),
+        )
+        return F.struct(
+            entry["level"].alias("level"), entry["_slug_key"].alias("_slug_key"), F.get(repeats, F.lit(0)).alias("repeats")
+        )
+
+    rows = found.select("category_path", F.inline(F.transform("found", unrepeated)))
+    kept = F.filter("shelf", lambda c, i: ~F.array_contains("repeats", i))
+    return (
+        rows.join(shelves.select("_slug_key", "shelf"), "_slug_key")
+        .select("category_path", "level", F.explode(kept).alias("candidate"))
+        .select("category_path", "level", "candidate.position", "candidate")
     )
-    return levels.select(
-        "category_path", "level", F.explode("kept").alias("candidate")
-    ).select("category_path", "level", "candidate.position", "candidate")
 
 
 def _counted_paths(subjects: DataFrame, config: InsightConfig) -> DataFrame:
