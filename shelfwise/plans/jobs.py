@@ -20,6 +20,7 @@ from shelfwise.operators import replies as reply_op
 from shelfwise.operators import requests as request_op
 from shelfwise.operators.candidates import candidate_pools
 from shelfwise.operators.rule_tables import table_pairings
+from shelfwise.operators.spread import spread
 from shelfwise.sources.schema import product_facts
 from shelfwise.sources.sinks import Staging
 
@@ -205,8 +206,12 @@ def prompts(
     tasks: list[str] | None = None,
     config: InsightConfig = DEFAULT_CONFIG,
 ) -> DataFrame:
-    """Prompts to send to a model: (barcode, task, prompt), from one catalog scan."""
-    rules = product_facts(catalog, config).withColumns(
+    """Prompts to send to a model: (barcode, task, prompt), from one catalog scan.
+
+    Products are dealt out first: prompts are many times as long, and a task that sums them
+    up for a whole input split would hold them all.
+    """
+    rules = product_facts(spread(catalog, "barcode", "product_name", "url"), config).withColumns(
         {"risks": indicators.risk_indicators(), "positives": indicators.positive_indicators()}
         | prompt_fn.printed_amounts()
     )
