@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.config import DEFAULT_CONFIG, InsightConfig
 from shelfwise.functions import scoring
-from shelfwise.operators.candidates import without_earlier
+from shelfwise.operators.candidates import dealt_shelves, parts_of, without_earlier
+from shelfwise.operators.spread import spread
 
 # Products without any category are spread over this many join keys of their own.
 _SPREAD = 4096
@@ -22,9 +23,18 @@ def hot_paths(subjects: DataFrame, config: InsightConfig = DEFAULT_CONFIG) -> Da
     which is why this table, and no other, is broadcast by hand.
     """
     counts = subjects.filter(F.size("category_path") > 0).groupBy("category_path").count()
-    parts = F.ceil(F.col("count") / config.path_rows).cast("int")
     return counts.filter(F.col("count") > config.path_rows).select(
-        "category_path", parts.alias("parts")
+        "category_path", parts_of(F.col("count"), config).alias("parts")
+    )
+
+
+def hot_keys(subjects: DataFrame, config: InsightConfig = DEFAULT_CONFIG) -> DataFrame:
+    """(key, parts): the same of whole paths and of single slugs, which are paths of one."""
+    slugs = F.transform(F.slice("category_path", 1, config.category_depth), lambda s: F.array(s))
+    keys = F.array_distinct(F.concat(F.array("category_path"), slugs))
+    counts = subjects.filter(F.size("category_path") > 0).select(F.explode(keys).alias("key")).groupBy("key").count()
+    return counts.filter(F.col("count") > config.path_rows).select(
+        "key", parts_of(F.col("count"), config).alias("parts")
     )
 
 
@@ -117,31 +127,105 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _best(keep: Callable, score: Callable, most: int) -> Column:
+def _best(pool: Column, keep: Callable, score: Callable, most: int, first: int) -> Column:
     """The best scored candidates among those kept, equal scores in pool order."""
     scored = F.transform(
-        F.filter("pool", keep),
-        lambda c, i: F.struct((-score(c)).alias("loss"), i.alias("place"), c.alias("c")),
+        F.filter(pool, keep),
+        lambda c, i: F.struct((-score(c)).alias("loss"), (i + first).alias("place"), c.alias("c")),
     )
     return F.slice(F.sort_array(scored), 1, most)
 
 
-def best_candidates(most: int) -> Column:
+def best_candidates(pool: Column, most: int, first: int = 0) -> Column:
     """Better graded candidates, best first; all others only if there is none.
 
     A product's own name is left out here, after its category's candidates were
-    chosen: it takes one of their places, as it does in a catalog search.
+    chosen: it takes one of their places, as it does in a catalog search. Places
+    count from ``first``.
 
     This is one expression on purpose: the lists in between hold up to a whole
     pool, and each as a column of its own would be copied from row to row.
     """
     better = _best(
-        lambda c: scoring.is_better(c) & scoring.other_name(c), scoring.better_score, most
+        pool, lambda c: scoring.is_better(c) & scoring.other_name(c), scoring.better_score, most, first
     )
-    others = _best(scoring.other_name, scoring.discovery_score, most)
+    others = _best(pool, scoring.other_name, scoring.discovery_score, most, first)
     return _let(better, lambda found: F.when(F.size(found) > 0, found).otherwise(others))
 
 
+def _best_of(so_far: Column, here: Column, most: int) -> Column:
+    """The best of two lists of best candidates: better graded ones, if either has any."""
+
+    def graded(best: Column) -> Column:
+        return F.coalesce(scoring.is_better(F.get(best, F.lit(0))["c"]), F.lit(False))
+
+    both = F.slice(F.sort_array(F.concat(so_far, here)), 1, most)
+    return (
+        F.when(F.size(here) == 0, so_far)
+        .when((F.size(so_far) == 0) | (graded(here) & ~graded(so_far)), here)
+        .when(graded(so_far) & ~graded(here), so_far)
+        .otherwise(both)
+    )
+
+
+# Places of one level of a path; more than any list holds.
+_PLACES = 1_000_000
+
+
+def with_best(
+    subjects: DataFrame, pools: DataFrame, config: InsightConfig = DEFAULT_CONFIG
+) -> DataFrame:
+    """Add ``best``: the best candidates of the product's list, or of all the lists it refers to.
+
+    A list is compared where the product meets it, and dropped before the next shuffle: products
+    carry the best so far, and by digests the keys of the lists seen, which later ones leave out.
+    Paths and categories of very many products are dealt out as in ``with_pool``.
+    """
+    most = config.max_results
+    hot = hot_keys(subjects, config)
+    products = spread(subjects, "barcode", "name_key", "url")
+    hashed = F.xxhash64("barcode")
+    bare = F.array(F.pmod(hashed, F.lit(_SPREAD)).cast("string"))
+    part = F.pmod(hashed, F.coalesce("parts", F.lit(1))).cast("string")
+    size = F.size("category_path")
+
+    several = F.broadcast(hot.filter(F.size("key") > 1).withColumnRenamed("key", "category_path"))
+    path_key = F.when(size > 1, F.concat(F.array(F.lit("")), "category_path", F.array(part))).otherwise(bare)
+    copies = (
+        pools.filter(size > 1)
+        .join(several, "category_path", "left")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    )
+    lists = _keyed(copies, F.lit(""), F.col("category_path"), F.col("_part")).select("_path_key", "pool")
+    rows = products.join(several, "category_path", "left").withColumn("_path_key", path_key)
+    rows = rows.drop("parts").join(lists, "_path_key", "left").withColumns(scoring.product_side())
+    kept = [F.col(name) for name in subjects.columns]
+    # Unfolding a list of one changes nothing, but later filters stay above
+    # it; Catalyst would otherwise copy the whole comparison into them.
+    rows = rows.select("*", F.explode(F.array(best_candidates(F.col("pool"), most))).alias("_here"))
+    none = F.array().cast(rows.schema["_here"].dataType)
+    rows = rows.select(
+        *kept, F.col("pool").isNotNull().alias("_own"), F.coalesce("_here", none).alias("best"),
+        F.array().cast("array<binary>").alias("_seen"),
+    )
+
+    alone = hot.filter(F.size("key") == 1).select(F.get("key", F.lit(0)).alias("slug"), "parts")
+    shelves = pools.filter(size == 1).select(F.get("category_path", F.lit(0)).alias("slug"), F.col("pool").alias("shelf"))
+    shelves = dealt_shelves(shelves, alone)
+    unseen = F.filter("shelf", lambda c, i: ~F.array_contains("_seen", F.get("digests", i)))
+    for level in range(config.category_depth):
+        slug = F.get("category_path", F.lit(level))
+        key = F.when(~F.col("_own") & slug.isNotNull(), F.array(slug, part)).otherwise(bare)
+        rows = rows.withColumn("slug", slug).join(F.broadcast(alone), "slug", "left")
+        rows = rows.withColumn("_slug_key", key).drop("slug", "parts").join(shelves, "_slug_key", "left")
+        here = _let(unseen, lambda shelf: best_candidates(shelf, most, (level + 1) * _PLACES))  # noqa: B023
+        rows = rows.withColumns(scoring.product_side()).select("*", F.explode(F.array(here)).alias("_here"))
+        best = F.when(F.col("_here").isNull(), F.col("best")).otherwise(_best_of(F.col("best"), F.col("_here"), most))
+        seen = F.when(F.col("digests").isNull(), F.col("_seen")).otherwise(F.concat("_seen", "digests"))
+        rows = rows.select(*kept, "_own", best.alias("best"), seen.alias("_seen"))
+    return rows.select(*kept, "best")
+
+
 def _entry(c: Column, score: Column) -> Column:
     better = scoring.is_better(c)
     confidence = F.when(better, scoring.better_confidence(c, score)).otherwise(
@@ -163,17 +247,15 @@ def with_alternatives(
 ) -> DataFrame:
     """Add ``similar_products``: the best ``max_results`` alternatives, best first.
 
-    Each product is compared with its pool inside its own row, so no (product,
+    Each product is compared with a list inside its own row, so no (product,
     candidate) pair is ever shuffled or sorted across rows; reasons are written
     for the chosen ones only.
     """
     candidates = F.transform("best", lambda pick: pick["c"])
     scores = F.transform("best", lambda pick: -pick["loss"])
     picked = (
-        comparable(subjects, pools, config)
-        # Unfolding a list of one changes nothing, but later filters stay above
-        # it; Catalyst would otherwise copy the whole comparison into them.
-        .select("*", F.explode(F.array(best_candidates(config.max_results))).alias("best"))
+        with_best(subjects, pools, config)
+        .withColumns(scoring.product_side())
         .withColumn("similar_products", F.zip_with(candidates, scores, _entry))
     )
     none = F.array().cast(picked.schema["similar_products"].dataType)
