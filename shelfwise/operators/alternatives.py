@@ -270,14 +270,19 @@ def scored_candidates(subjects: DataFrame, pools: DataFrame) -> DataFrame:
     Unfolds the pools in place (a narrow step); at most
     ``category_depth * page_size`` rows per product.
     """
-    c = F.col("c")
-    score = F.when(scoring.is_better(c), scoring.better_score(c)).otherwise(
-        scoring.discovery_score(c)
-    )
+    def compared(c: Column, place: Column) -> Column:
+        better = scoring.is_better(c)
+        score = F.when(better, scoring.better_score(c)).otherwise(scoring.discovery_score(c))
+        return _let(
+            score,
+            lambda s: F.struct(place.alias("place"), better.alias("is_better"), _entry(c, s).alias("entry")),
+        )
+
+    # Inside the row on purpose: written out per row, the comparison is a generated
+    # method too large for the JVM to compile.
+    entries = F.transform(F.filter("pool", scoring.other_name), compared)
     return (
-        comparable(subjects, pools)
-        .select("*", F.posexplode(F.filter("pool", scoring.other_name)).alias("place", "c"))
-        .withColumns({"is_better": scoring.is_better(c), "score": score})
-        .select("barcode", "place", "is_better", _entry(c, F.col("score")).alias("entry"))
+        comparable(spread(subjects, "barcode", "name_key", "url"), pools)
+        .select("barcode", F.inline(entries))
         .select("barcode", "place", "is_better", "entry.*")
     )
