@@ -11,7 +11,8 @@ of their cell, by a hash of their id, so a rerun keeps the same ones.
 
 Cells stay a distributed table. Sums over a margin are aggregations with partial sums,
 so a source or language with most of the cells is no bottleneck, and each round of
-fitting is written to the shared folder, which keeps plans short.
+fitting is written to the shared folder, which keeps plans short. Targets are joined to
+the cells once, before the first round, so a round has one join for each dimension.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.tables import stage
+from shelfwise.sources.sinks import Staging
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Largest change of a cell in a round, against its weight, at which fitting ends.
 TOLERANCE = 1e-13
 #: Rounds at most: contradicting targets may go on changing very slowly.
 MAX_ROUNDS = 200
+#: Rounds after which the driver gives up what it holds of those before: plans, broadcast sums, shuffles.
+SETTLE_ROUNDS = 4
 #: Largest difference of a margin's share from a caller's target.
 CLOSE = 1e-6
 #: Share of all tokens to keep.
@@ -113,28 +117,29 @@ def residuals(fitted: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def _scaled(fitted: DataFrame, name: str, goal: DataFrame) -> DataFrame:
-    """The cells scaled to the targets of one dimension; ``change`` is multiplied by the factor."""
+def _scaled(fitted: DataFrame, name: str) -> DataFrame:
+    """The cells scaled to the goals of one dimension; ``change`` is multiplied by the factor."""
     sums = fitted.groupBy(F.col(name).alias("value")).agg(F.sum("weight").alias("held"))
-    factors = (
-        sums.filter(F.col("held") > 0)
-        .alias("s")
-        .join(goal.alias("g"), F.col("s.value").eqNullSafe(F.col("g.value")))
-        .select(F.col("s.value").alias("value"), (F.col("g.share") / F.col("s.held")).alias("factor"))
-    )
-    factor = F.coalesce("f.factor", F.lit(0.0))
+    factor = F.coalesce(F.when(F.col("s.held") > 0, F.col(f"c.goal_{name}") / F.col("s.held")), F.lit(0.0))
     return (
         fitted.alias("c")
-        .join(factors.alias("f"), F.col(f"c.{name}").eqNullSafe(F.col("f.value")), "left")
+        .join(sums.alias("s"), F.col(f"c.{name}").eqNullSafe(F.col("s.value")))
         .select(
-            *(f"c.{d}" for d in DIMENSIONS),
-            "c.tokens",
+            *(F.col(f"c.{c}") for c in fitted.columns if c not in ("weight", "change")),
             (F.col("c.weight") * factor).alias("weight"),
             (F.col("c.change") * factor).alias("change"),
         )
     )
 
 
+def _with_goals(table: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    """The cells with the target of each of their values as ``goal_<dimension>``, null where it has none."""
+    for name, goal in goals.items():
+        same = F.col(f"c.{name}").eqNullSafe(F.col("g.value"))
+        table = table.alias("c").join(goal.alias("g"), same, "left").select("c.*", F.col("g.share").alias(f"goal_{name}"))
+    return table
+
+
 def raked(
     table: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None, strict: bool = True
 ) -> DataFrame:
@@ -148,11 +153,14 @@ def raked(
     contradict each other: an error with ``strict``, else the fit is returned as it is.
     """
     goals = {name: stage(frame, "targets") for name, frame in targets.items()}
-    fitted = table.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(MAX_ROUNDS if rounds is None else rounds):
-        scaled = fitted.select(*DIMENSIONS, "tokens", "weight", F.lit(1.0).alias("change"))
-        for name, goal in goals.items():
-            scaled = _scaled(scaled, name, goal)
+    driver = Staging(table.sparkSession)
+    fitted = _with_goals(table.withColumn("weight", F.col("tokens").cast("double")), goals)
+    for done in range(MAX_ROUNDS if rounds is None else rounds):
+        if done % SETTLE_ROUNDS == 0:
+            driver.settle()
+        scaled = fitted.withColumn("change", F.lit(1.0))
+        for name in goals:
+            scaled = _scaled(scaled, name)
         fitted = stage(scaled, "cells")
         live = fitted.filter(F.col("weight") > 0)
         if rounds is None and (live.agg(F.max(F.abs(F.col("change") - 1))).first()[0] or 0.0) <= TOLERANCE:

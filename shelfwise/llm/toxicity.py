@@ -184,9 +184,10 @@ def _fitted(
         spread = np.repeat(error, sizes)
         grad_w = np.bincount(at, spread, minlength=len(w)) + 3e-5 * w
         grad_v = np.empty_like(v)
-        slope = spread[:, None] * (np.repeat(total, sizes, axis=0) - vectors)
+        # a factor at a time: all at once, the terms of the sample would be held several times over
         for f in range(FACTORS):
-            grad_v[:, f] = np.bincount(at, slope[:, f], minlength=len(w))
+            slope = spread * (np.repeat(total[:, f], sizes) - vectors[:, f])
+            grad_v[:, f] = np.bincount(at, slope, minlength=len(w))
         grad_v += 1e-3 * v
         seen_w += grad_w**2
         seen_v += grad_v**2

@@ -75,6 +75,37 @@ def test_margins_hold_with_the_defaults(spark):
             assert math.isclose(held[row["value"]], row["share"], abs_tol=1e-8)
 
 
+def test_rounds_leave_little_with_the_driver(spark, monkeypatch):
+    """A round joins the sums of each dimension and nothing else; the driver is settled now and then."""
+    rows = [(s, lang, t, 10 + k) for k, (s, lang, t) in enumerate((s, lang, t) for s in ("a", None) for lang in "xy" for t in "pq")]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {name: mixing.tempered_targets(cells, name, 0.5) for name in mixing.DIMENSIONS}
+    joins, settled = [], []
+    staged, settle = mixing.stage, mixing.Staging.settle
+
+    def noted(df, name):
+        if name == "cells":
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return staged(df, name)
+
+    monkeypatch.setattr(mixing, "stage", noted)
+    monkeypatch.setattr(mixing.Staging, "settle", lambda self: (settled.append(1), settle(self)))
+    fitted = mixing.raked(cells, targets, rounds=9)
+    assert fitted.columns == [*mixing.DIMENSIONS, "tokens", "weight"] and fitted.count() == 8
+    # the plan shows what a dimension starts from twice, for its sums and for its cells: 1, 3, 7 joins
+    assert joins[1:] == [2 ** len(mixing.DIMENSIONS) - 1] * 8 and len(settled) == 3
+
+
+def test_values_without_a_target_and_targets_without_a_value(spark):
+    rows = [("a", "x", "p", 30), ("a", "y", "p", 10), (None, "x", "p", 20), ("b", "x", "p", 40), ("c", "y", "p", 0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    goal = lambda rows: spark.createDataFrame(rows, "value string, share double")
+    targets = {"source": goal([("a", 0.6), (None, 0.4), ("z", 5.0)]), "lang": goal([("x", 0.8), ("y", 0.2)]), "topic": goal([("p", 1.0)])}
+    found = {(r["source"], r["lang"]): r["weight"] for r in mixing.raked(cells, targets, rounds=40).collect()}
+    assert found["b", "x"] == 0 and found["c", "y"] == 0 and len(found) == 5
+    assert math.isclose(found["a", "y"], 0.2, abs_tol=1e-9) and math.isclose(found["a", "x"] + found[None, "x"], 0.8, abs_tol=1e-9)
+
+
 def test_contradicting_targets(spark, documents):
     """A language with one source of its own: own targets end in the nearest fit, a caller's raise."""
     rows = [("a", "en", "x", 900), ("a", "de", "x", 50), ("b", "fr", "x", 100), ("c", "de", "x", 70)]
