@@ -58,6 +58,7 @@ SET_BLOCK = 1 << 15
 _SETS = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, prefix array<long>, cells array<int>"
 #: Of a posting the last two are runs of 64-bit and 32-bit numbers as bytes, which travel as one value each.
 _POSTINGS = "gram long, cls long, n long, pos long, n_blocks long, earlier binary, cells binary"
+_BLOCKS = "gram long, n_blocks long, block long, cls array<long>, shingles binary"
 _PAYLOAD = ["cls", "n", "pos", "earlier", "cells"]
 
 Batches = Iterator[pa.RecordBatch]
@@ -220,29 +221,37 @@ def _posting_batches(batches: Batches) -> Batches:
 
 
 def _block_pairs(
-    rows: DataFrame, attach: Callable[[DataFrame], DataFrame], payload: list[str], work: Staging
+    rows: DataFrame, payload: list[str], work: Staging, packed: Callable[[DataFrame], DataFrame] = lambda blocks: blocks
 ) -> DataFrame:
-    """Rows (gram, cls, n_blocks) of every shingle in blocks, each paired with itself and the others of it.
+    """Rows (gram, n_blocks) with a payload in blocks, each paired with itself and the others of its shingle.
 
-    ``attach`` adds the payload to the rows. Most shingles are one block, which is put together
-    once and not stored. The rows of the others are dealt out by class, so no group grows with
-    the bucket. The columns of the second block end in ``_y``, and are null for a block that
-    meets itself.
+    Most shingles are one block, which is put together once and not stored. The rows of the others
+    are dealt out by class, so no group grows with the bucket. ``packed`` makes the blocks smaller
+    before they are stored and meet.
+    """
+    whole = packed(_blocked(rows.filter(F.col("n_blocks") == 1), payload))
+    several = work.table(packed(_blocked(rows.filter(F.col("n_blocks") > 1), payload)), "blocks")
+    work.settle()
+    return _paired(whole.union(several), several, payload)
+
+
+def _paired(blocks: DataFrame, several: DataFrame, payload: list[str]) -> DataFrame:
+    """All blocks by themselves, and pairs of those of ``several``, which share their shingle with others.
+
+    The columns of the second block end in ``_y``, and are null for a block that meets itself.
     """
-    whole = _blocked(attach(rows.filter(F.col("n_blocks") == 1)), payload)
-    several = work.table(_blocked(attach(rows.filter(F.col("n_blocks") > 1)), payload), "blocks")
     x, y = several.alias("x"), several.alias("y")
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.block") < F.col("y.block"))).select(
         "x.gram", *(F.col(f"x.{c}").alias(c) for c in payload), *(F.col(f"y.{c}").alias(f"{c}_y") for c in payload)
     )
     nothing = [F.lit(None).cast(several.schema[c].dataType).alias(f"{c}_y") for c in payload]
-    return whole.union(several).select("gram", *payload, *nothing).union(met)
+    return blocks.select("gram", *payload, *nothing).union(met)
 
 
 def _blocked(rows: DataFrame, payload: list[str]) -> DataFrame:
     block = F.pmod(F.xxhash64("cls"), F.col("n_blocks")).alias("block")
-    grouped = rows.groupBy("gram", block).agg(F.collect_list(F.struct(*payload)).alias("rows"))
-    return grouped.select("gram", "block", *(F.col(f"rows.{c}").alias(c) for c in payload))
+    grouped = rows.groupBy("gram", "n_blocks", block).agg(F.collect_list(F.struct(*payload)).alias("rows"))
+    return grouped.select("gram", "n_blocks", "block", *(F.col(f"rows.{c}").alias(c) for c in payload))
 
 
 class _Side(NamedTuple):
@@ -343,6 +352,35 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _packed(sets: list[np.ndarray]) -> bytes:
+    """Sets that meet in a block share most shingles: each shingle once, and short numbers that refer to it."""
+    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    head = np.array([len(sets), len(known), *(len(s) for s in sets)], dtype=np.int64)
+    return head.tobytes() + known.tobytes() + codes.astype(_code_kind(len(known))).tobytes()
+
+
+def _unpacked(block: pa.Buffer) -> list[np.ndarray]:
+    n_sets, n_known = np.frombuffer(block, np.int64, 2)
+    sizes = np.frombuffer(block, np.int64, n_sets, 16)
+    known = np.frombuffer(block, np.uint64, n_known, 16 + 8 * n_sets)
+    codes = np.frombuffer(block, _code_kind(n_known), -1, 16 + 8 * (n_sets + n_known))
+    return np.split(known[codes], np.cumsum(sizes)[:-1])
+
+
+def _code_kind(n_known: int) -> type:
+    return np.uint16 if n_known <= 1 << 16 else np.uint32
+
+
+def _packed_batches(batches: Batches) -> Batches:
+    """Blocks of full sets with the sets of each as one value."""
+    for batch in batches:
+        at, packed = batch.schema.get_field_index("shingles"), []
+        for lists in batch.column(at):
+            values, ends = lists.values.values.to_numpy().view(np.uint64), lists.values.offsets.to_numpy()
+            packed.append(_packed([values[i:j] for i, j in zip(ends[:-1], ends[1:])]))
+        yield batch.set_column(at, "shingles", pa.array(packed, pa.binary()))
+
+
 def _link_batches(percent: int, ranks: Broadcast) -> Callable[[Batches], Batches]:
     """Links of block pairs, confirmed on full sets, where the bucket is that of their first common shingle.
 
@@ -359,9 +397,7 @@ def _link_batches(percent: int, ranks: Broadcast) -> Callable[[Batches], Batches
                 rank = _rank(order, gram)[0]
                 side = []
                 for s in ("",) if itself[k] else ("", "_y"):
-                    lists = batch.column("shingles" + s)[k].values
-                    values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-                    sets = [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
+                    sets = _unpacked(batch.column("shingles" + s)[k].as_buffer())
                     before = []
                     for own in sets:
                         ranked = _rank(order, own)
@@ -413,7 +449,7 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int, ranks:
         F.col("hits.n_blocks").alias("n_blocks"), "prefix", "cells",
     )
     described = work.table(described.mapInArrow(_posting_batches, _POSTINGS), "postings")
-    pairs = _block_pairs(described, lambda rows: rows, _PAYLOAD, work)
+    pairs = _block_pairs(described, _PAYLOAD, work)
     partnered = pairs.mapInArrow(_partner_batches(percent), "gram long, cls long").distinct()
     partnered = work.table(partnered, "partnered")
     work.drop("shared", "postings", "blocks")
@@ -428,7 +464,9 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int, ranks:
         F.ceil(F.sum("n") / SET_BLOCK).alias("n_blocks")
     )
     counted = work.table(partnered.join(counts, "gram"), "counted")
-    pairs = _block_pairs(counted, lambda rows: rows.join(sets, "cls"), ["cls", "shingles"], work)
+    pairs = _block_pairs(
+        counted.join(sets, "cls"), ["cls", "shingles"], work, lambda blocks: blocks.mapInArrow(_packed_batches, _BLOCKS)
+    )
     links = work.table(pairs.mapInArrow(_link_batches(percent, ranks), "a long, b long, n long"), "links")
     work.settle()
     return links

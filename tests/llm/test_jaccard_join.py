@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,32 @@ def test_small_blocks_and_few_earlier_shingles(documents, monkeypatch):
     assert result(op.jaccard_join(documents(rows), 2, 80)) == brute(rows, 2, 80)
 
 
+def test_full_sets_of_near_copies_travel_packed(documents, monkeypatch):
+    """Blocks of near copies hold each shingle about once, before any block meets another."""
+    rows = corpus(11, groups=1, size=60, words=(200, 200), edits=100)
+    stored, table = [], op.Staging.table
+
+    def noted(self, df, name):
+        out = table(self, df, name)
+        if name == "blocks" and "shingles" in out.columns:
+            stored.extend((r["n_blocks"], len(r["cls"]), len(r["shingles"])) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(op.Staging, "table", noted)
+    monkeypatch.setattr(op, "SET_BLOCK", 4000)
+    assert result(op.jaccard_join(documents(rows), 2, 80)) == brute(rows, 2, 80)
+    assert any(n > 1 for n, _, _ in stored)
+    full = [(n, size) for _, n, size in stored if n >= 8]
+    assert full and all(size < 0.6 * 8 * 190 * n for n, size in full)
+
+
+@pytest.mark.parametrize("n", [1, 70_000])
+def test_packed_sets_are_what_they_were(n):
+    sets = [np.arange(k, n + k, dtype=np.uint64) << np.uint64(40) for k in (0, 0, 5)] + [np.empty(0, np.uint64)]
+    block = op._packed(sets)
+    assert [s.tolist() for s in op._unpacked(pa.py_buffer(block))] == [s.tolist() for s in sets]
+
+
 def test_passages_of_a_third_of_all_rows_do_not_fill_the_buckets(documents):
     """A long passage that many different texts share makes them meet nowhere."""
     rng = random.Random(7)
