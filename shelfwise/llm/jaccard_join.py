@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
+from shelfwise.llm.key_bits import key_bits, may_hold
 from shelfwise.llm.near_dups import common_counts, shingle_runs
 from shelfwise.llm.tables import stage
 from shelfwise.llm.textscan import chunks, words
@@ -59,6 +60,7 @@ _SETS = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, p
 #: Of a posting the last two are runs of 64-bit and 32-bit numbers as bytes, which travel as one value each.
 _POSTINGS = "gram long, cls long, n long, pos long, n_blocks long, earlier binary, cells binary"
 _BLOCKS = "gram long, n_blocks long, block long, cls array<long>, shingles binary"
+_FULL_SETS = "cls long, buckets array<struct<gram:long,n_blocks:long>>, shingles array<long>"
 _PAYLOAD = ["cls", "n", "pos", "earlier", "cells"]
 
 Batches = Iterator[pa.RecordBatch]
@@ -220,32 +222,31 @@ def _posting_batches(batches: Batches) -> Batches:
         )
 
 
-def _block_pairs(
-    rows: DataFrame, payload: list[str], work: Staging, packed: Callable[[DataFrame], DataFrame] = lambda blocks: blocks
-) -> DataFrame:
+def _block_pairs(rows: DataFrame, payload: list[str], work: Staging) -> DataFrame:
     """Rows (gram, n_blocks) with a payload in blocks, each paired with itself and the others of its shingle.
 
     Most shingles are one block, which is put together once and not stored. The rows of the others
-    are dealt out by class, so no group grows with the bucket. ``packed`` makes the blocks smaller
-    before they are stored and meet.
+    are dealt out by class, so no group grows with the bucket.
     """
-    whole = packed(_blocked(rows.filter(F.col("n_blocks") == 1), payload))
-    several = work.table(packed(_blocked(rows.filter(F.col("n_blocks") > 1), payload)), "blocks")
+    whole = _blocked(rows.filter(F.col("n_blocks") == 1), payload)
+    several = work.table(_blocked(rows.filter(F.col("n_blocks") > 1), payload), "blocks")
     work.settle()
-    return _paired(whole.union(several), several, payload)
+    return _by_itself(whole, payload).union(_paired(several, payload))
 
 
-def _paired(blocks: DataFrame, several: DataFrame, payload: list[str]) -> DataFrame:
-    """All blocks by themselves, and pairs of those of ``several``, which share their shingle with others.
+def _by_itself(blocks: DataFrame, payload: list[str]) -> DataFrame:
+    """Blocks that meet themselves: the columns of the second block end in ``_y`` and are null."""
+    nothing = [F.lit(None).cast(blocks.schema[c].dataType).alias(f"{c}_y") for c in payload]
+    return blocks.select("gram", *payload, *nothing)
 
-    The columns of the second block end in ``_y``, and are null for a block that meets itself.
-    """
-    x, y = several.alias("x"), several.alias("y")
+
+def _paired(blocks: DataFrame, payload: list[str]) -> DataFrame:
+    """All blocks by themselves, and pairs of those that share their shingle."""
+    x, y = blocks.alias("x"), blocks.alias("y")
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.block") < F.col("y.block"))).select(
         "x.gram", *(F.col(f"x.{c}").alias(c) for c in payload), *(F.col(f"y.{c}").alias(f"{c}_y") for c in payload)
     )
-    nothing = [F.lit(None).cast(several.schema[c].dataType).alias(f"{c}_y") for c in payload]
-    return blocks.select("gram", *payload, *nothing).union(met)
+    return _by_itself(blocks, payload).union(met)
 
 
 def _blocked(rows: DataFrame, payload: list[str]) -> DataFrame:
@@ -423,19 +424,23 @@ def _link_batches(percent: int, ranks: Broadcast) -> Callable[[Batches], Batches
 def _full_sets(size: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column("text")):
                 shingles, offsets = shingle_runs(words(chunk), size)
                 rows = len(chunk.offsets) - 1
                 sets = [np.unique(shingles[offsets[r] : offsets[r + 1]]).view(np.int64) for r in range(rows)]
+                own = batch.slice(chunk.first, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, rows), _lists(sets, pa.int64())], names=["cls", "shingles"]
+                    [own.column("cls"), own.column("buckets"), _lists(sets, pa.int64())], names=["cls", "buckets", "shingles"]
                 )
 
     return run
 
 
-def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int, ranks: Broadcast, work: Staging) -> DataFrame:
-    """(a, b, n) of ``_link_batches`` over all classes."""
+def _partnered(classes: DataFrame, names: DataFrame, percent: int, work: Staging) -> DataFrame:
+    """(doc_id, text_hash, cls, buckets): classes with a partner behind all filters, and the shingles where they have it.
+
+    Of a class's wide row only ``names`` is left afterwards.
+    """
     postings = classes.select("cls", F.posexplode("prefix").alias("at", "gram")).select(
         "gram", "cls", (F.col("at") + 1).cast("long").alias("pos")
     )
@@ -449,25 +454,51 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int, ranks:
         F.col("hits.n_blocks").alias("n_blocks"), "prefix", "cells",
     )
     described = work.table(described.mapInArrow(_posting_batches, _POSTINGS), "postings")
+    work.drop("shared", "classes")
+    work.settle()
     pairs = _block_pairs(described, _PAYLOAD, work)
     partnered = pairs.mapInArrow(_partner_batches(percent), "gram long, cls long").distinct()
     partnered = work.table(partnered, "partnered")
-    work.drop("shared", "postings", "blocks")
+    work.drop("postings", "blocks")
     work.settle()
 
-    wanted = partnered.select("cls").distinct().join(classes.select("cls", "doc_id", "text_hash"), "cls")
+    sized = partnered.join(names.select("cls", "doc_id", "text_hash", "n_shingles"), "cls")
+    counts = sized.groupBy("gram").agg(F.ceil(F.sum("n_shingles") / SET_BLOCK).alias("n_blocks"))
+    buckets = F.collect_list(F.struct("gram", "n_blocks")).alias("buckets")
+    return work.table(sized.join(counts, "gram").groupBy("doc_id", "text_hash", "cls").agg(buckets), "wanted")
+
+
+def _links(
+    texts: DataFrame, classes: DataFrame, names: DataFrame, size: int, percent: int, ranks: Broadcast, work: Staging
+) -> DataFrame:
+    """(a, b, n) of ``_link_batches`` over all classes.
+
+    The few texts with a partner are told by a bitmap before the others could be shuffled, and
+    their sets are stored with the buckets they go to, so they travel once, to their blocks.
+    """
+    wanted = _partnered(classes, names, percent, work)
+    key = ["doc_id", "text_hash"]
     # a row that is there several times, id and text, is one text of its class
-    chosen = texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("cls", "text")
-    sets = work.table(chosen.mapInArrow(_full_sets(size), "cls long, shingles array<long>"), "sets")
+    chosen = texts.filter(may_hold(key_bits(wanted, *key), *key)).join(wanted, key).dropDuplicates(key)
+    sets = chosen.select("cls", "buckets", "text").mapInArrow(_full_sets(size), _FULL_SETS)
+    sets = work.table(sets, "sets")
     work.settle()
-    counts = partnered.join(sets.select("cls", F.size("shingles").alias("n")), "cls").groupBy("gram").agg(
-        F.ceil(F.sum("n") / SET_BLOCK).alias("n_blocks")
-    )
-    counted = work.table(partnered.join(counts, "gram"), "counted")
-    pairs = _block_pairs(
-        counted.join(sets, "cls"), ["cls", "shingles"], work, lambda blocks: blocks.mapInArrow(_packed_batches, _BLOCKS)
-    )
-    links = work.table(pairs.mapInArrow(_link_batches(percent, ranks), "a long, b long, n long"), "links")
+    rows = sets.select("cls", "shingles", F.explode("buckets").alias("bucket")).select("bucket.*", "cls", "shingles")
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        return _blocked(rows, payload).mapInArrow(_packed_batches, _BLOCKS)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return work.table(pairs.mapInArrow(_link_batches(percent, ranks), "a long, b long, n long"), "links")
+
+    payload = ["cls", "shingles"]
+    in_one = linked(_by_itself(blocks(rows.filter(F.col("n_blocks") == 1)), payload))
+    work.settle()
+    several = work.table(blocks(rows.filter(F.col("n_blocks") > 1)), "blocks")
+    work.drop("sets")
+    work.settle()
+    links = in_one.union(linked(_paired(several, payload)))
+    work.drop("blocks")
     work.settle()
     return links
 
@@ -498,9 +529,15 @@ def jaccard_join(documents: DataFrame, shingle_words: int = 5, percent: int = 80
         first = F.min(F.struct("doc_id", "text_hash", "n_shingles", "prefix", "cells")).alias("first")
         classes = filled.groupBy("set_a", "set_b").agg(first)
         classes = work.table(classes.select(F.monotonically_increasing_id().alias("cls"), "set_a", "set_b", "first.*"), "classes")
-        links = _links(texts, classes, shingle_words, percent, ranks, work)
+        # what is wide of rows and classes goes as soon as it has been used
+        rows = work.table(rows.select("doc_id", "n_shingles", "set_a", "set_b"), "documents")
+        filled = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+        names = work.table(classes.select("cls", "set_a", "set_b", "doc_id", "text_hash", "n_shingles"), "names")
+        work.drop("rows")
+        work.settle()
+        links = _links(texts, classes, names, shingle_words, percent, ranks, work)
 
-        names = classes.select("set_a", "set_b", "cls", F.col("doc_id").alias("class_id"))
+        names = names.select("set_a", "set_b", "cls", F.col("doc_id").alias("class_id"))
         members = work.table(
             filled.select("doc_id", "n_shingles", "set_a", "set_b").join(names, ["set_a", "set_b"]).drop("set_a", "set_b"), "members"
         )
