@@ -17,7 +17,7 @@ the cells once, before the first round, so a round has one join for each dimensi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfwise.llm.tables import stage
@@ -161,9 +161,14 @@ def raked(
         scaled = fitted.withColumn("change", F.lit(1.0))
         for name in goals:
             scaled = _scaled(scaled, name)
-        fitted = stage(scaled, "cells")
-        live = fitted.filter(F.col("weight") > 0)
-        if rounds is None and (live.agg(F.max(F.abs(F.col("change") - 1))).first()[0] or 0.0) <= TOLERANCE:
+        if rounds is not None:
+            fitted = stage(scaled, "cells")
+            continue
+        # the change is seen as the cells are written: a round is one query for the driver to plan and remember
+        seen = Observation()
+        largest = F.max(F.when(F.col("weight") > 0, F.abs(F.col("change") - 1)))
+        fitted = stage(scaled.observe(seen, largest.alias("change")), "cells")
+        if (seen.get.get("change") or 0.0) <= TOLERANCE:
             break
     if strict and rounds is None:
         off = residuals(fitted, goals).agg(F.max(F.abs(F.col("held") - F.col("target")))).first()[0] or 0.0

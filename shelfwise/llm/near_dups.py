@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
+from shelfwise.llm.key_bits import key_bits, may_hold
 from shelfwise.llm.tables import stage
 from shelfwise.llm.textscan import Chunk, Words, chunks, mix, mix_int, words
 from shelfwise.sources.sinks import Staging
@@ -423,11 +424,10 @@ def _near_duplicates(documents: DataFrame, shingle_words: int, percent: int, wor
         .select("key", F.col("low.b").alias("a"), F.col("low.n_b").alias("n_a"))
     )
     members = work.table(keys.join(buckets, "key"), "members")
-    needed = members.select(F.col("b").alias("doc_id")).distinct()
-    sets = work.table(
-        shingle_sets(documents.select("doc_id", "text").join(needed, "doc_id", "left_semi"), shingle_words),
-        "sets",
-    )
+    needed = work.table(members.select(F.col("b").alias("doc_id")).distinct(), "needed")
+    work.settle()
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(may_hold(key_bits(needed, "doc_id"), "doc_id"))
+    sets = work.table(shingle_sets(own.join(needed, "doc_id", "left_semi"), shingle_words), "sets")
     work.settle()
 
     stars = members.filter((F.col("a") != F.col("b")) & _similar(percent, "n_a", "n_b"))
@@ -525,8 +525,11 @@ def deduplicated(documents: DataFrame, shingle_words: int = 2, percent: int = 80
         removed = stage(judged.join(first, "row_key", "left_anti").select(F.col("row_key").alias(row_key)), "removed")
         repeated = stage(names.filter("n > 1").select(F.col("row_key").alias(row_key)), "repeated")
     work.settle()
-    left = keyed.join(removed, row_key, "left_anti")
+    # rows that are surely neither removed nor repeated stay as they are, without a shuffle of their texts
+    marked = may_hold(key_bits(removed.union(repeated), row_key), row_key)
+    left = keyed.filter(marked).join(removed, row_key, "left_anti")
     if not repeated.isEmpty():
         single = left.join(repeated, row_key, "left_anti")
         left = single.unionByName(left.join(repeated, row_key, "left_semi").dropDuplicates(["doc_id", "text"]))
+    left = left.unionByName(keyed.filter(~marked))
     return left.select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -239,3 +239,12 @@ def test_components_of_a_long_chain_and_a_star(spark):
     found = {r["node"]: r["component"] for r in components(edges).collect()}
     assert found == {**{k: 0 for k in range(201)}, **{1000 + k: 1000 for k in range(300)}}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_rows_without_near_duplicates_are_not_shuffled_to_be_kept(documents):
+    own = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(50)]
+    frame = documents([*own, (50, own[0][1]), (7, own[7][1])])
+    kept = near_dups.deduplicated(frame, 2, 80)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(50))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT marked(" in plan or "NOT pythonUDF" in plan

@@ -96,6 +96,23 @@ def test_rounds_leave_little_with_the_driver(spark, monkeypatch):
     assert joins[1:] == [2 ** len(mixing.DIMENSIONS) - 1] * 8 and len(settled) == 3
 
 
+def test_a_round_is_one_query(spark, monkeypatch):
+    """How much a round changes is seen as it is written, and fitting ends as soon as nothing changes."""
+    rows = [(s, lang, "p", n) for s, lang, n in (("a", "x", 30), ("a", "y", 10), (None, "x", 20), (None, "y", 5))]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {name: mixing.tempered_targets(cells, name, 0.5) for name in mixing.DIMENSIONS}
+    rounds, asked, staged = [], [], mixing.stage
+    monkeypatch.setattr(mixing, "stage", lambda df, name: (rounds.append(name), staged(df, name))[1])
+    first = type(cells).first
+    monkeypatch.setattr(type(cells), "first", lambda self: (asked.append(1), first(self))[1])
+    fitted = mixing.raked(cells, targets, strict=False)
+    n = rounds.count("cells")
+    assert 2 < n < mixing.MAX_ROUNDS and not asked
+    assert fitted.count() == 4 and mixing.raked(cells.limit(0), targets).count() == 0
+    again = {(r["source"], r["lang"]): r["weight"] for r in mixing.raked(cells, targets, rounds=n).collect()}
+    assert {(r["source"], r["lang"]): r["weight"] for r in fitted.collect()} == pytest.approx(again)
+
+
 def test_values_without_a_target_and_targets_without_a_value(spark):
     rows = [("a", "x", "p", 30), ("a", "y", "p", 10), (None, "x", "p", 20), ("b", "x", "p", 40), ("c", "y", "p", 0)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
