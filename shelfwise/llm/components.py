@@ -38,7 +38,7 @@ def components(
     the number of nodes. Edges stay in distributed tables, each round is written to the
     shared folder, and a hub is only ever aggregated or joined, never gathered.
     Loops and null ends are ignored; an empty table gives an empty result. With ``work`` the
-    rounds are kept in that staging, which its owner removes.
+    rounds are kept in that staging, which its owner removes, and the driver is settled after each.
     """
     store = stage if work is None else work.table
     usable = edges.filter(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
@@ -54,6 +54,8 @@ def components(
             .select(F.col("v").alias("u"), F.col("least").alias("v"))
             .distinct()
         )
+        # read three times below, where each would bring the whole step above into the plan
+        large = store(large, "components")
         parents = _nearest(large)
         small = (
             large.join(parents, "u")
@@ -63,6 +65,8 @@ def components(
             .distinct()
         )
         edges = store(small, "components")
+        if work is not None:
+            work.settle()
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

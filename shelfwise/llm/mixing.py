@@ -30,6 +30,8 @@ TOLERANCE = 1e-13
 MAX_ROUNDS = 200
 #: Rounds after which the driver gives up what it holds of those before: plans, broadcast sums, shuffles.
 SETTLE_ROUNDS = 4
+#: Cells up to which a round is a single task: fewer are no work to share out, and cost the driver more than the executors.
+TASK_CELLS = 1 << 16
 #: Largest difference of a margin's share from a caller's target.
 CLOSE = 1e-6
 #: Share of all tokens to keep.
@@ -117,9 +119,14 @@ def residuals(fitted: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def _scaled(fitted: DataFrame, name: str) -> DataFrame:
-    """The cells scaled to the goals of one dimension; ``change`` is multiplied by the factor."""
+def _scaled(fitted: DataFrame, name: str, in_one: bool = False) -> DataFrame:
+    """The cells scaled to the goals of one dimension; ``change`` is multiplied by the factor.
+
+    With ``in_one`` the cells are one partition, so that only the sums leave it.
+    """
+    fitted = fitted.coalesce(1) if in_one else fitted
     sums = fitted.groupBy(F.col(name).alias("value")).agg(F.sum("weight").alias("held"))
+    sums = F.broadcast(sums) if in_one else sums
     factor = F.coalesce(F.when(F.col("s.held") > 0, F.col(f"c.goal_{name}") / F.col("s.held")), F.lit(0.0))
     return (
         fitted.alias("c")
@@ -154,13 +161,17 @@ def raked(
     """
     goals = {name: stage(frame, "targets") for name, frame in targets.items()}
     driver = Staging(table.sparkSession)
+    # stored before the first round, whose plan would hold these joins eight times
+    counted = Observation()
     fitted = _with_goals(table.withColumn("weight", F.col("tokens").cast("double")), goals)
+    fitted = stage(fitted.observe(counted, F.count("*").alias("n")), "cells-with-goals")
+    in_one = (counted.get.get("n") or 0) <= TASK_CELLS
     for done in range(MAX_ROUNDS if rounds is None else rounds):
         if done % SETTLE_ROUNDS == 0:
             driver.settle()
         scaled = fitted.withColumn("change", F.lit(1.0))
         for name in goals:
-            scaled = _scaled(scaled, name)
+            scaled = _scaled(scaled, name, in_one)
         if rounds is not None:
             fitted = stage(scaled, "cells")
             continue

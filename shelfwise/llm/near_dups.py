@@ -456,6 +456,8 @@ def _near_duplicates(documents: DataFrame, shingle_words: int, percent: int, wor
         .mapInArrow(_partner_batches(percent), "key long, slot int, doc_id long")
         .distinct()
     )
+    partnered = work.table(partnered, "partnered")
+    work.settle()
     with_sets = mixed.join(partnered, ["key", "slot", "doc_id"], "left_semi").join(sets, "doc_id")
     across = (
         _blocks(with_sets, SET_BLOCK, ["doc_id", "part", "shingles"], percent, work)

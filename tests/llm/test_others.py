@@ -113,6 +113,30 @@ def test_a_round_is_one_query(spark, monkeypatch):
     assert {(r["source"], r["lang"]): r["weight"] for r in fitted.collect()} == pytest.approx(again)
 
 
+def test_few_cells_are_fitted_without_a_shuffle(spark, monkeypatch):
+    """Rounds over few cells shuffle nothing and join no goals; over many they stay spread out, with the same weights."""
+    rows = [(s, lang, t, 10 + 7 * k) for k, (s, lang, t) in enumerate((s, lang, t) for s in ("a", None) for lang in "xy" for t in "pq")]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").repartition(3)
+    targets = {name: mixing.tempered_targets(cells, name, 0.5) for name in mixing.DIMENSIONS}
+    plans, staged = [], mixing.stage
+
+    def noted(df, name):
+        if name == "cells":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(mixing, "stage", noted)
+    found = []
+    for most in (mixing.TASK_CELLS, 7):
+        monkeypatch.setattr(mixing, "TASK_CELLS", most)
+        plans.clear()
+        found.append({r[:3]: r["weight"] for r in mixing.raked(cells, targets, rounds=3).collect()})
+        shuffles = [plan.count("Exchange hashpartitioning") for plan in plans]
+        assert shuffles == [0] * 3 if most > 7 else all(shuffles)
+        assert [plan.count("HashJoin") + plan.count("SortMergeJoin") for plan in plans] == [7] * 3
+    assert found[0] == pytest.approx(found[1]) and len(found[0]) == 8
+
+
 def test_values_without_a_target_and_targets_without_a_value(spark):
     rows = [("a", "x", "p", 30), ("a", "y", "p", 10), (None, "x", "p", 20), ("b", "x", "p", 40), ("c", "y", "p", 0)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
