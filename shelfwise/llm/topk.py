@@ -27,6 +27,9 @@ TILE = 64
 #: Query blocks in one column of the grid.
 COLUMN_BLOCKS = 16
 
+#: What a block's weights are kept as: the first of these that holds them all.
+WEIGHT_KINDS = (np.int16, np.int32, np.int64)
+
 BLOCK_SCHEMA = "block long, ids binary, terms binary, counts binary, rows binary, weights binary"
 PART_SCHEMA = "query_key string, query_id long, vec_id long, score long"
 
@@ -44,6 +47,13 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     )
 
 
+def _narrowed(weights: np.ndarray) -> np.ndarray:
+    """The weights in the narrowest kind that holds them and their negatives."""
+    low, high = int(weights.min(initial=0)), int(weights.max(initial=0))
+    fits = (k for k in WEIGHT_KINDS if -np.iinfo(k).max <= low and high <= np.iinfo(k).max)
+    return weights.astype(next(fits, np.int64))
+
+
 def _blocks(size: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         number = TaskContext.get().partitionId() << 32
@@ -59,13 +69,12 @@ def _blocks(size: int) -> Callable[[Batches], Batches]:
                 live = np.flatnonzero(weights)
                 live = live[np.argsort(terms[live], kind="stable")]
                 found, counts = np.unique(terms[live], return_counts=True)
-                arrays = (found, counts, rows[live], weights[live])
-                kinds = (np.int32, np.int32, np.int32, np.int64)
+                arrays = (found.astype(np.int32), counts.astype(np.int32), rows[live].astype(np.int32), _narrowed(weights[live]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([number]),
                         pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary()),
-                        *(pa.array([a.astype(k).tobytes()], pa.binary()) for a, k in zip(arrays, kinds)),
+                        *(pa.array([a.tobytes()], pa.binary()) for a in arrays),
                     ],
                     names=["block", "ids", "terms", "counts", "rows", "weights"],
                 )
@@ -80,7 +89,7 @@ class Postings:
     def __init__(self, ids: bytes, terms: bytes, counts: bytes, rows: bytes, weights: bytes):
         self.ids = np.frombuffer(ids, np.int64)
         self.rows = np.frombuffer(rows, np.int32)
-        self.weights = np.frombuffer(weights, np.int64)
+        self.weights = np.frombuffer(weights, f"i{len(weights) // max(len(self.rows), 1) or 8}")
         ends = np.cumsum(np.frombuffer(counts, np.int32))
         self.lists = {
             int(t): slice(int(a), int(b))
@@ -100,6 +109,13 @@ class Postings:
             yield first, part
 
 
+def _filled(rows: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """The weights of all ``n`` rows: zero for those a list does not have."""
+    out = np.zeros(n, dtype=weights.dtype)
+    out[rows] = weights
+    return out
+
+
 def accumulated(tile: dict, n_queries: int, candidates: Postings, kind: type) -> np.ndarray:
     """Scores of a tile of queries against a block, one term after the other."""
     n = len(candidates.ids)
@@ -111,11 +127,13 @@ def accumulated(tile: dict, n_queries: int, candidates: Postings, kind: type) ->
             continue
         rows, weights = candidates.rows[where], candidates.weights[where].astype(kind)
         query_weights = query_weights.astype(kind)
-        if len(rows) == n and len(queries) == n_queries:
-            np.multiply.outer(query_weights, weights, out=scratch)
+        # A list of most rows is filled up: adding to all rows is many times faster than to some.
+        if 2 * len(rows) >= n and 2 * len(queries) >= n_queries:
+            filled = _filled(queries, query_weights, n_queries)
+            np.multiply.outer(filled, _filled(rows, weights, n), out=scratch)
             scores += scratch
-        elif len(rows) == n:
-            scores[queries] += np.multiply.outer(query_weights, weights)
+        elif 2 * len(rows) >= n:
+            scores[queries] += np.multiply.outer(query_weights, _filled(rows, weights, n))
         else:
             scores[np.ix_(queries, rows)] += np.multiply.outer(query_weights, weights)
     return scores
@@ -187,7 +205,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
         "queries",
     )
     columns = max(1, -(-queries.count() // COLUMN_BLOCKS))
-    lines = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), candidates.count()))
     left = queries.select(
         *(F.col(c).alias(f"q_{c}") for c in queries.columns),
         F.pmod(F.xxhash64("block"), F.lit(columns)).alias("column"),
@@ -198,7 +216,13 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
         _each(columns).alias("column"),
         F.pmod(F.xxhash64("block"), F.lit(lines)).alias("line"),
     )
-    found = left.join(right, ["column", "line"]).mapInArrow(_pair_batches(k), PART_SCHEMA)
+    # Catalyst sizes both sides as if they were not copied: of its own accord it would broadcast
+    # the queries with a copy for every line, which no driver holds. Parts of a stated number
+    # are not put together again, for the work is in the pairs and not in the bytes.
+    cell = ["column", "line"]
+    left, right = (side.repartition(lines * columns, *cell) for side in (left, right))
+    pairs = left.join(right.hint("merge"), cell)
+    found = pairs.mapInArrow(_pair_batches(k), PART_SCHEMA)
     order = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))

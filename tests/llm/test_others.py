@@ -283,6 +283,38 @@ def test_top_k_equals_brute_force(spark, monkeypatch, size):
     assert topk.exact_top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_blocks_dealt_out_are_never_broadcast(spark):
+    """Copies for every line are not in the size Catalyst goes by."""
+    ship(spark)
+    frame = spark.createDataFrame([(i, [0.5, i / 7]) for i in range(100)], "vec_id long, embedding array<double>")
+    plan = topk.exact_top_k(frame, F.col("vec_id") % 50 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("largest, width", [(32767, 2), (-32768, 4), (1 << 31, 8), (1 << 40, 8)])
+def test_weights_are_kept_as_they_are(largest, width):
+    weights = topk._narrowed(np.array([1, -2, largest], dtype=np.int64))
+    rows = np.arange(3, dtype=np.int32)
+    held = topk.Postings(b"", b"", b"", rows.tobytes(), weights.tobytes())
+    assert weights.dtype.itemsize == width
+    assert held.weights.tolist() == [1, -2, largest] and held.largest == abs(largest)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.6, 1.0])
+def test_lists_of_some_most_or_all_rows(share):
+    """Accumulated term by term, whether lists are filled up or not, against a product of matrices."""
+    rng = np.random.default_rng(6)
+    queries, candidates = (rng.integers(-9, 9, (n, 7)) * (rng.random((n, 7)) < share) for n in (5, 40))
+    lists = lambda m: {t: (np.flatnonzero(m[:, t]), m[m[:, t] != 0, t]) for t in range(7)}
+    block = topk.Postings(np.arange(40).tobytes(), b"", b"", b"", b"")
+    of = lists(candidates)
+    block.rows, block.weights = (np.concatenate([of[t][i] for t in range(7)]) for i in (0, 1))
+    ends = np.cumsum([len(of[t][0]) for t in range(7)])
+    block.lists = {t: slice(int(ends[t] - len(of[t][0])), int(ends[t])) for t in range(7)}
+    for kind in (np.int32, np.int64):
+        assert (topk.accumulated(lists(queries), 5, block, kind) == queries @ candidates.T).all()
+
+
 # -- token counts
 
 
