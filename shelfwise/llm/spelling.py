@@ -279,7 +279,8 @@ def near_words(found: DataFrame) -> DataFrame:
 
     ``found`` has distinct words in its column ``word``; null and empty ones have no near
     word. The signatures are joined by equality; adaptive execution splits a signature that
-    very many words share.
+    very many words share. Catalyst sizes the signatures as one row a word, where there are
+    many, so the join is told not to broadcast them.
     """
     filled = found.filter(F.col("word") != "").select("word")
     parts, schema = _parts(filled), "key long, side int, head int, tail int, word string"
@@ -289,7 +290,7 @@ def near_words(found: DataFrame) -> DataFrame:
     unequal = (F.col("x.side") == SHORTER) & (F.col("y.side") == LONGER)
     one_end = (F.col("x.head") == F.col("y.head")) | (F.col("x.tail") == F.col("y.tail"))
     near = F.levenshtein("x.word", "y.word", 1) == 1
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & one_end & (equal | unequal) & near)
+    met = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & one_end & (equal | unequal) & near)
     return met.select(F.col("x.word").alias("a"), F.col("y.word").alias("b")).distinct()
 
 
@@ -297,14 +298,15 @@ def _with_roots(forms: DataFrame, work: Staging) -> DataFrame:
     """(word, root) of words that have a form: the end of the chain of forms.
 
     A form occurs at least twice as often as its word, so a chain has less than 64 words and
-    six doublings of the step reach its end; they stop as soon as all have.
+    six doublings of the step reach its end; they stop as soon as all have. Words fill many
+    times their files in memory, and broadcasts of all doublings would stay with the driver.
     """
     steps = work.table(forms.select("word", F.col("form").alias("root")), "roots")
     for _ in range(6):
         onward = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        if steps.join(onward, "root", "left_semi").isEmpty():
+        if steps.join(onward.hint("merge"), "root", "left_semi").isEmpty():
             break
-        moved = steps.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"))
+        moved = steps.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"))
         steps = work.table(moved, "roots")
     return steps
 
@@ -331,10 +333,10 @@ def spelling_variants(
         )
         others = frequent.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
         best = F.min(F.struct((-F.col("other_n")).alias("loss"), "other"))
-        nearest = both.join(others, "other").groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
+        nearest = both.join(others.hint("merge"), "other").groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
         is_form = -F.col("best.loss") >= 2 * F.col("n")
         judged = work.table(
-            frequent.join(nearest, "word", "left").select(
+            frequent.join(nearest.hint("merge"), "word", "left").select(
                 "word",
                 "n",
                 F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
@@ -344,7 +346,7 @@ def spelling_variants(
             "forms",
         )
         roots = _with_roots(judged.filter(F.col("form").isNotNull()), work)
-        found = judged.join(roots, "word", "left").select(
+        found = judged.join(roots.hint("merge"), "word", "left").select(
             "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
         )
         return stage(found, "spelling")

@@ -127,3 +127,21 @@ def test_near_words_are_any_words(spark, documents):
     known = [w for w in words if w]
     assert {tuple(sorted(p)) for p in found} == {tuple(sorted((a, b))) for a in known for b in known if a < b and edits(a, b) == 1}
     assert len(found) == len({tuple(sorted(p)) for p in found})
+
+
+def test_signatures_and_words_are_never_broadcast(spark, documents, monkeypatch):
+    """A word has many signatures, which are not in the size Catalyst goes by."""
+    found = spark.createDataFrame([("heart",), ("heat",), ("beat",)], "word string")
+    plan = spelling.near_words(found)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plans, table = [], spelling.Staging.table
+
+    def noted(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, name)
+
+    monkeypatch.setattr(spelling.Staging, "table", noted)
+    texts = ["heart heart heart heart heart heart heart heart heart heart", "hearts hearts hearts hearts", "heartsy"]
+    rows = as_dict(spelling.spelling_variants(documents(list(enumerate(texts))), least_n=1))
+    assert {w: r[1] for w, r in rows.items()} == {"heart": "heart", "hearts": "heart", "heartsy": "heart"}
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
