@@ -250,13 +250,17 @@ def with_alternatives(
     Each product is compared with a list inside its own row, so no (product,
     candidate) pair is ever shuffled or sorted across rows; reasons are written
     for the chosen ones only.
+
+    Unfolding a list of one keeps later filters above the comparison: Catalyst would copy it
+    into them, and hold such a filter once for every choice of columns of the product's side.
     """
     candidates = F.transform("best", lambda pick: pick["c"])
     scores = F.transform("best", lambda pick: -pick["loss"])
+    entries = F.zip_with(candidates, scores, _entry)
     picked = (
         with_best(subjects, pools, config)
         .withColumns(scoring.product_side())
-        .withColumn("similar_products", F.zip_with(candidates, scores, _entry))
+        .select(*subjects.columns, F.explode(F.array(entries)).alias("similar_products"))
     )
     none = F.array().cast(picked.schema["similar_products"].dataType)
     return picked.select(

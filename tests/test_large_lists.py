@@ -86,3 +86,17 @@ def test_prompts_are_made_in_many_parts(spark, products):
     plan = alternative_op.with_best(*(lambda f: (f, candidate_pools(f, f)))(product_facts(_catalog(products))))
     assert "RepartitionByExpression [barcode" in plan._jdf.queryExecution().optimizedPlan().toString()
     assert made.filter(F.col("task") == "summary").count() == 61
+
+
+def test_filters_of_alternatives_stay_above_the_comparison(products):
+    """A filter that holds the comparison makes Catalyst derive it anew for every choice of columns."""
+    best = shelfwise.alternatives(_catalog(products))
+    rows = best.select("barcode", F.inline("similar_products")).filter(F.col("reason").startswith("Category discovery option"))
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    lines = plan.toString().splitlines()
+    assert any("zip_with" in line for line in lines)
+    assert not any("Filter" in line and "zip_with" in line for line in lines)
+    assert plan.constraints().size() < 100
+    assert rows.count() == sum(
+        a.reason.startswith("Category discovery option") for r in best.collect() for a in r.similar_products
+    )
