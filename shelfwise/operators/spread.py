@@ -13,3 +13,9 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, *[c for c in columns if c in df.columns])
+
+
+def held_parts(df: DataFrame) -> int:
+    """In how many parts a table lies that the session holds as it is; 0 where only a job can tell."""
+    plan = df._jdf.queryExecution().sparkPlan()
+    return plan.execute().getNumPartitions() if plan.nodeName() == "Scan ExistingRDD" else 0

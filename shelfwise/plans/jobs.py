@@ -20,7 +20,7 @@ from shelfwise.operators import replies as reply_op
 from shelfwise.operators import requests as request_op
 from shelfwise.operators.candidates import candidate_pools
 from shelfwise.operators.rule_tables import table_pairings
-from shelfwise.operators.spread import spread
+from shelfwise.operators.spread import held_parts, spread
 from shelfwise.sources.schema import product_facts
 from shelfwise.sources.sinks import Staging
 
@@ -209,9 +209,11 @@ def prompts(
     """Prompts to send to a model: (barcode, task, prompt), from one catalog scan.
 
     Products are dealt out first: prompts are many times as long, and a task that sums them
-    up for a whole input split would hold them all.
+    up for a whole input split would hold them all. A table held in as many parts stays as it is.
     """
-    rules = product_facts(spread(catalog, "barcode", "product_name", "url"), config).withColumns(
+    parts = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = catalog if held_parts(catalog) >= parts else spread(catalog, "barcode", "product_name", "url")
+    rules = product_facts(dealt, config).withColumns(
         {"risks": indicators.risk_indicators(), "positives": indicators.positive_indicators()}
         | prompt_fn.printed_amounts()
     )
